@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from foliograph.llm import mixing
 from foliograph.llm.shared import table
 
 
@@ -45,11 +46,30 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliograph.llm.mixing import mixture
+
+    return mixture(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from foliograph.llm.quality_fm import quality_classifier
 
     return quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_bpe, op4_minhash_dedup, op5_pii, op6_quality_rules, op8_quality_classifier)}
-ORACLES: dict[str, str] = {}
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All recordings, and the matches of every one whose id is divisible by 50."""
+    from foliograph.llm.media import aligned, recordings
+
+    return aligned(recordings(table(spark, sf_dir, "embeddings")), "id % 50 = 0")
+
+
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliograph.llm.suffixes import repeated_bytes
+
+    return repeated_bytes(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_bpe, op4_minhash_dedup, op5_pii, op6_quality_rules, op7_mixing, op8_quality_classifier, op9_media, op10_suffix_dedup)}
+ORACLES: dict[str, str] = {"op7_mixing": mixing.ORACLE}
