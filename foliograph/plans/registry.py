@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from foliograph.plans import scalars
+from foliograph.plans import layout
 
-MODULES = (scalars,)
+MODULES = (layout,)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
