@@ -3,13 +3,14 @@
 1. A text's set of word shingles is hashed; texts with the same set form one class, and only the class's smallest id
    goes on, so copies never meet each other.
 2. ``BANDS * ROWS`` universal hashes of the set give minima. Classes that agree in all minima of a band are in one
-   bucket. Each bucket names one member, at random by band, as its centre; every member is a candidate with the centre.
-   So a bucket of n members gives n - 1 pairs, and a large group has as many different centres as bands.
+   bucket. Each bucket names two members as centres, one at random by band, one by its company over all bands; every
+   member is a candidate with both. So a bucket of n members gives 2 n pairs at most, however large the group.
 3. Signatures rule out candidates (the share of equal minima is far below the threshold). The rest is confirmed on the
    full sets in integers: first each class's most similar centre, which ties most groups together, then the
    candidates that still lie in different components.
 4. Buckets that then still hold several components get the pairs across them, from the members outside the bucket's
-   largest component, confirmed the same way. No bucket, candidate or partner is capped.
+   largest component. The join itself leaves out pairs that cannot reach the threshold because too many of their
+   shingles occur nowhere else. The rest is confirmed the same way. No bucket, candidate or partner is capped.
 
 Components are those of alternating large-star and small-star. The miss probability of a pair at the threshold of
 0.8 is (1 - 0.8^5)^32 = 3e-6.
@@ -34,8 +35,8 @@ from foliograph.llm.textvec import MULTIPLIERS, U, followed, lay, mix, word_hash
 
 BANDS = 32
 ROWS = 5
-#: an estimate of the similarity below this rules a pair out: six standard deviations under the threshold
-RULED_OUT = 0.6
+#: an estimate of the similarity below this rules a pair out: nearly five standard deviations under the threshold
+RULED_OUT = 0.65
 SIGNED = "doc_id long, n_shingles long, set_key binary, signature binary, bands array<long>"
 
 
@@ -161,18 +162,38 @@ def labelled(nodes: DataFrame, parts: DataFrame, name: str, to: str) -> DataFram
     return nodes.join(parts.select(F.col("node").alias(name), F.col("component").alias(to)), name, "left").withColumn(to, F.coalesce(to, name))
 
 
+def candidates_by_centre(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members of buckets with more than one and the bucket's two centres, and the pairs of members and centres.
+
+    One centre is random by band. The other is the member in the most company over all its buckets: the text that the
+    rest of a group derives from, where it is there.
+    """
+    order = F.struct(F.xxhash64("node", "band").alias("h"), "node")
+    buckets = members.groupBy("band", "code").agg(F.min(order)["node"].alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    crowded = checkpointed(members.join(buckets, ["band", "code"]))
+    company = crowded.groupBy("node").agg(F.sum("n").alias("company"))
+    hearts = crowded.join(company, "node").groupBy("band", "code").agg(F.max(F.struct("company", F.xxhash64("node").alias("h"), "node"))["node"].alias("heart"))
+    crowded = checkpointed(crowded.drop("n").join(hearts, ["band", "code"]))
+    ends = crowded.select("node", F.explode(F.array("centre", "heart")).alias("other")).where("node <> other")
+    return crowded, checkpointed(ends.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct())
+
+
+def shared_sizes(nodes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """``node, lone``: how many shingles of a class no other of the given classes has."""
+    named = nodes.select(F.col("node").alias("doc_id"))
+    sets = full_sets(only_ids(docs.select("doc_id", "text"), named, named.count()), width)
+    owned = sets.select("doc_id", F.explode("shingles").alias("s")).groupBy("s").agg(F.min("doc_id").alias("node"), F.max("doc_id").alias("last"))
+    return owned.where("node = last").groupBy("node").agg(F.count(F.lit(1)).alias("lone"))
+
+
 def class_components(nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """``node, component`` of the classes ``nodes (node, n, signature, bands)`` that have a link."""
-    members = nodes.select("node", F.posexplode("bands").alias("band", "code"))
-    order = F.struct(F.xxhash64("node", "band").alias("h"), "node")
-    centres = members.groupBy("band", "code").agg(F.min(order)["node"].alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    crowded = checkpointed(members.join(centres, ["band", "code"]))  # members of buckets with more than one
-    pairs = crowded.where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+    crowded, pairs = candidates_by_centre(nodes.select("node", F.posexplode("bands").alias("band", "code")))
     candidates = checkpointed(judged(pairs, nodes, percent))
     # the most similar partner of each class first: about one pair a class ties most groups together
     ends = candidates.select(F.col("a").alias("node"), F.struct("equal", -F.col("b"), "a", "b").alias("p")).union(candidates.select(F.col("b").alias("node"), F.struct("equal", -F.col("a"), "a", "b").alias("p")))
-    best = ends.groupBy("node").agg(F.max("p").alias("p")).select("p.a", "p.b").distinct()
-    links = checkpointed(confirmed(checkpointed(best), docs, width, percent))
+    best = checkpointed(ends.groupBy("node").agg(F.max("p").alias("p")).select("p.a", "p.b").distinct())
+    links = checkpointed(confirmed(best, docs, width, percent))
     parts = components(links)
     apart = labelled(labelled(candidates.select("a", "b"), parts, "a", "ca"), parts, "b", "cb").where("ca <> cb").select("a", "b")
     rest = checkpointed(apart.join(best, ["a", "b"], "left_anti"))
@@ -184,10 +205,20 @@ def class_components(nodes: DataFrame, docs: DataFrame, width: int, percent: int
     sizes = split.groupBy("band", "code", "part").agg(F.count(F.lit(1)).alias("n"))
     main = sizes.groupBy("band", "code").agg(F.max(F.struct("n", "part"))["part"].alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")
     torn = checkpointed(split.join(main, ["band", "code"]))
-    minor = torn.where("part <> main").select("band", "code", F.col("node").alias("x"), F.col("part").alias("px"))
-    across = minor.join(torn.select("band", "code", F.col("node").alias("y"), F.col("part").alias("py"), "centre"), ["band", "code"]).where("px <> py and x <> centre and y <> centre")
-    across = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    late = checkpointed(judged(across, nodes, percent))
+    if torn.isEmpty():
+        return parts
+    # of two sets, the shingles that no one else in such buckets has are in the union and not in the intersection
+    known = checkpointed(torn.select("node").distinct())
+    lone = shared_sizes(known, docs, width)
+    common = (F.col("n") - F.coalesce("lone", F.lit(0))).alias("c")
+    sized = checkpointed(known.join(nodes.select("node", "n"), "node").join(lone, "node", "left").select("node", "n", common).where(100 * F.col("c") >= percent * F.col("n")))
+    torn = checkpointed(torn.join(sized, "node"))
+    minor = torn.where("part <> main").select("band", "code", *(F.col(c).alias(c + "x") for c in ("node", "part", "n", "c")))
+    other = torn.select("band", "code", *(F.col(c).alias(c + "y") for c in ("node", "part", "n", "c")), "centre", "heart")
+    most = F.least("cx", "cy")
+    fits = (F.col("partx") != F.col("party")) & (100 * most >= percent * (F.col("nx") + F.col("ny") - most)) & ~F.col("nodex").isin(F.col("centre"), F.col("heart")) & ~F.col("nodey").isin(F.col("centre"), F.col("heart"))
+    across = minor.join(other, (minor["band"] == other["band"]) & (minor["code"] == other["code"]) & fits).select(F.least("nodex", "nodey").alias("a"), F.greatest("nodex", "nodey").alias("b"))
+    late = checkpointed(judged(across.distinct().join(pairs, ["a", "b"], "left_anti"), nodes, percent))
     if not late.isEmpty():
         parts = components(links.union(confirmed(late, docs, width, percent)))
     return parts
