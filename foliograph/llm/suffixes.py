@@ -96,6 +96,9 @@ def dealt(docs: DataFrame) -> DataFrame:
                 again[1:] = (digest[1:] == digest[:-1]) & (anchor[1:] == anchor[:-1])
                 once = np.ones(len(place), bool)
                 once[1:] = ~again[1:] | (doc[1:] != doc[:-1]) | (at[1:] != at[:-1])  # a row that is there twice is one document
+                # what is settled needs no shard: it goes anywhere, without a digest
+                anchor[again] = mix(doc[again].astype(U) * U(MULTIPLIERS[0]) + at[again].astype(U))
+                digest[again] = 0
                 fields = {"anchor": anchor.view(np.int64), "digest": digest.view(np.int64), "doc_id": doc, "at": at.astype(np.int32), "n": n.astype(np.int32), "repeated": again}
                 yield pa.RecordBatch.from_pydict({k: pa.array(v[once]) for k, v in fields.items()})
 
@@ -106,9 +109,8 @@ def settled(found: DataFrame) -> DataFrame:
     """``doc_id, at, n, repeated`` of stretches that repeat an equal one (repeated), and of the first of each of several
     stretches of one anchor (not repeated), whose bytes have to be compared."""
 
-    # settled ones go anywhere, the others to their anchor's shard, in the order of anchor, digest and document
-    shard = F.when(F.col("repeated"), F.xxhash64("doc_id", "at")).otherwise(F.col("anchor"))
-    ordered = found.withColumn("shard", shard).repartition("shard").sortWithinPartitions("anchor", "repeated", "digest", "doc_id", "at")
+    # to each anchor's shard, in the order of anchor, digest and document
+    ordered = found.repartition("anchor").sortWithinPartitions("anchor", "repeated", "digest", "doc_id", "at")
 
     def run(batches):
         held: list[pa.Table] = []
@@ -138,7 +140,7 @@ def settled(found: DataFrame) -> DataFrame:
         if held:
             yield from judge(pa.concat_tables(held).combine_chunks())
 
-    return ordered.select("anchor", "digest", "doc_id", "at", "n", "repeated").mapInArrow(run, "anchor long, doc_id long, at int, n int, repeated boolean, kinds long")
+    return ordered.mapInArrow(run, "anchor long, doc_id long, at int, n int, repeated boolean, kinds long")
 
 
 class Levels:
