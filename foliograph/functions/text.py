@@ -22,7 +22,7 @@ LONGEST_RANGE = 31
 
 def normalize_title(title: Column) -> Column:
     """Letters, digits and single spaces, lower case; null is empty."""
-    kept = F.trim(F.regexp_replace(title, r"(?U)[^A-Za-z0-9\s]", ""))
+    kept = F.regexp_replace(F.regexp_replace(title, r"(?U)[^A-Za-z0-9\s]", ""), r"(?U)^\s+|\s+$", "")
     return F.coalesce(F.lower(F.regexp_replace(kept, r"(?U)\s+", " ")), F.lit(""))
 
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from foliograph.plans import layout
+from foliograph.plans import citations, layout, places, text
 
-MODULES = (layout,)
+MODULES = (layout, text, citations, places)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}

@@ -45,8 +45,8 @@ lines AS (SELECT doc_id, line_no::INT AS line_no, (line_no // 40 + 1)::INT AS pa
 
 
 def author(key) -> F.Column:
-    """A surname made from a key: S and a letter for each digit."""
-    return F.concat(F.lit("S"), F.translate(key.cast("string"), "0123456789", "abcdefghij"))
+    """a surname made from a key: Q and a letter for each digit."""
+    return F.concat(F.lit("Q"), F.translate(key.cast("string"), "0123456789", "abcdefghij"))
 
 
 def references(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,8 +65,8 @@ def references(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REFERENCES_SQL = """
 refs AS (SELECT l_orderkey AS doc_id, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate))::INT AS ref_ord, l_linenumber AS ref_index,
-  '[' || l_linenumber || '] S' || translate(l_suppkey::VARCHAR, '0123456789', 'abcdefghij') || ', A. Part ' || l_partkey || '. Title. ' || year(l_shipdate) || '.' AS text,
-  year(l_shipdate)::VARCHAR AS year, 'S' || translate(l_suppkey::VARCHAR, '0123456789', 'abcdefghij') AS author FROM lineitem)
+  '[' || l_linenumber || '] Q' || translate(l_suppkey::VARCHAR, '0123456789', 'abcdefghij') || ', A. Part ' || l_partkey || '. Title. ' || year(l_shipdate) || '.' AS text,
+  year(l_shipdate)::VARCHAR AS year, 'Q' || translate(l_suppkey::VARCHAR, '0123456789', 'abcdefghij') AS author FROM lineitem)
 """
 
 
@@ -79,7 +79,7 @@ def bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 BODIES_SQL = """
-bodies AS (SELECT l_orderkey AS doc_id, 'As shown in [' || min(l_linenumber) || '-' || max(l_linenumber) || ', ' || count(*) || '] and by S' || translate(min(l_suppkey)::VARCHAR, '0123456789', 'abcdefghij') || ' et al. (' || min(year(l_shipdate)) ||
+bodies AS (SELECT l_orderkey AS doc_id, 'As shown in [' || min(l_linenumber) || '-' || max(l_linenumber) || ', ' || count(*) || '] and by Q' || translate(min(l_suppkey)::VARCHAR, '0123456789', 'abcdefghij') || ' et al. (' || min(year(l_shipdate)) ||
   '), see Fig. ' || count(*) || ' and Table ' || max(l_linenumber) || '; Section ' || min(l_linenumber) || '.' || count(*) || ' and [' || max(l_linenumber) || ']–[' || (max(l_linenumber) + 2) || '] go on, as do [ABC+9' || min(l_linenumber) || '] and [40-90].' AS body
   FROM lineitem GROUP BY l_orderkey)
 """
