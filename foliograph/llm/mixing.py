@@ -51,7 +51,7 @@ def exponent(sources: DataFrame, max_repeats: float, entropy: float | None) -> f
     low, high = -1, 1 << GRID_BITS  # the answer is above low and at most high
     while high - low > 1:
         steps = sorted({low + (high - low) * k // FAN for k in range(1, FAN)} - {low, high})
-        tried = sources.crossJoin(F.broadcast(sources.sparkSession.createDataFrame([(s,) for s in steps], "step int")))  # fewer than FAN rows
+        tried = sources.withColumn("step", F.explode(F.array(*map(F.lit, steps))))  # fewer than FAN rows a source
         a = F.col("step") / float(1 << GRID_BITS)
         power = F.pow("p", a)
         sums = tried.groupBy("step").agg(F.sum(power).alias("z"), F.sum(power * F.log("p")).alias("l"), F.max(F.pow("p", a - 1)).alias("most"), F.min(F.pow("p", a - 1)).alias("least"), F.first(a).alias("a"))
