@@ -9,8 +9,9 @@
    full sets in integers: first each class's most similar centre, which ties most groups together, then the
    candidates that still lie in different components.
 4. Buckets that then still hold several components get the pairs across them, from the members outside the bucket's
-   largest component. The join itself leaves out pairs that cannot reach the threshold because too many of their
-   shingles occur nowhere else. The rest is confirmed the same way. No bucket, candidate or partner is capped.
+   largest component: those that share a rare shingle are listed by it; of the others the join itself leaves out pairs
+   that cannot reach the threshold, since rare shingles are in their union and not in their intersection. The rest is
+   confirmed the same way. No bucket, candidate or partner is capped.
 
 Components are those of alternating large-star and small-star. The miss probability of a pair at the threshold of
 0.8 is (1 - 0.8^5)^32 = 3e-6.
@@ -37,6 +38,8 @@ BANDS = 32
 ROWS = 5
 #: an estimate of the similarity below this rules a pair out: nearly five standard deviations under the threshold
 RULED_OUT = 0.65
+#: classes that may have a shingle for it to count as rare
+RARE = 16
 SIGNED = "doc_id long, n_shingles long, set_key binary, signature binary, bands array<long>"
 
 
@@ -178,12 +181,13 @@ def candidates_by_centre(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     return crowded, checkpointed(ends.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct())
 
 
-def shared_sizes(nodes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """``node, lone``: how many shingles of a class no other of the given classes has."""
+def rare_shingles(nodes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """``s, node, df``: the shingles that ``RARE`` of the given classes at most have."""
     named = nodes.select(F.col("node").alias("doc_id"))
-    sets = full_sets(only_ids(docs.select("doc_id", "text"), named, named.count()), width)
-    owned = sets.select("doc_id", F.explode("shingles").alias("s")).groupBy("s").agg(F.min("doc_id").alias("node"), F.max("doc_id").alias("last"))
-    return owned.where("node = last").groupBy("node").agg(F.count(F.lit(1)).alias("lone"))
+    sets = checkpointed(full_sets(only_ids(docs.select("doc_id", "text"), named, named.count()), width))
+    owned = sets.select(F.col("doc_id").alias("node"), F.explode("shingles").alias("s"))
+    few = owned.groupBy("s").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") <= RARE)
+    return checkpointed(owned.join(few, "s"))
 
 
 def class_components(nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -207,18 +211,24 @@ def class_components(nodes: DataFrame, docs: DataFrame, width: int, percent: int
     torn = checkpointed(split.join(main, ["band", "code"]))
     if torn.isEmpty():
         return parts
-    # of two sets, the shingles that no one else in such buckets has are in the union and not in the intersection
-    known = checkpointed(torn.select("node").distinct())
-    lone = shared_sizes(known, docs, width)
-    common = (F.col("n") - F.coalesce("lone", F.lit(0))).alias("c")
-    sized = checkpointed(known.join(nodes.select("node", "n"), "node").join(lone, "node", "left").select("node", "n", common).where(100 * F.col("c") >= percent * F.col("n")))
+    # two sets either share a rare shingle, which few others have: such pairs are listed by shingle, at most RARE a row;
+    # or their rare shingles are in the union and not in the intersection, which the join below takes into account
+    known = checkpointed(torn.select("node", "part").distinct())
+    rare = rare_shingles(known, docs, width)
+    minor = checkpointed(torn.where("part <> main").select("node").distinct())
+    told = rare.where("df > 1").join(known, "node")
+    x, y = (t.select("s", F.col("node").alias(c), F.col("part").alias("p" + c)) for t, c in ((told.join(minor, "node", "left_semi"), "x"), (told, "y")))
+    listed = x.join(y, "s").where("px <> py").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    common = (F.col("n") - F.coalesce("rare", F.lit(0))).alias("c")
+    counts = rare.groupBy("node").agg(F.count(F.lit(1)).alias("rare"))
+    sized = checkpointed(known.select("node").join(nodes.select("node", "n"), "node").join(counts, "node", "left").select("node", "n", common).where(100 * F.col("c") >= percent * F.col("n")))
     torn = checkpointed(torn.join(sized, "node"))
-    minor = torn.where("part <> main").select("band", "code", *(F.col(c).alias(c + "x") for c in ("node", "part", "n", "c")))
+    lesser = torn.where("part <> main").select("band", "code", *(F.col(c).alias(c + "x") for c in ("node", "part", "n", "c")))
     other = torn.select("band", "code", *(F.col(c).alias(c + "y") for c in ("node", "part", "n", "c")), "centre", "heart")
     most = F.least("cx", "cy")
     fits = (F.col("partx") != F.col("party")) & (100 * most >= percent * (F.col("nx") + F.col("ny") - most)) & ~F.col("nodex").isin(F.col("centre"), F.col("heart")) & ~F.col("nodey").isin(F.col("centre"), F.col("heart"))
-    across = minor.join(other, (minor["band"] == other["band"]) & (minor["code"] == other["code"]) & fits).select(F.least("nodex", "nodey").alias("a"), F.greatest("nodex", "nodey").alias("b"))
-    late = checkpointed(judged(across.distinct().join(pairs, ["a", "b"], "left_anti"), nodes, percent))
+    across = lesser.join(other, (lesser["band"] == other["band"]) & (lesser["code"] == other["code"]) & fits).select(F.least("nodex", "nodey").alias("a"), F.greatest("nodex", "nodey").alias("b"))
+    late = checkpointed(judged(checkpointed(across.union(listed).distinct().join(pairs, ["a", "b"], "left_anti")), nodes, percent))
     if not late.isEmpty():
         parts = components(links.union(confirmed(late, docs, width, percent)))
     return parts
