@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliograph.functions import text as T
-from foliograph.operators import markup
+from foliograph.operators import markup, titles
 from foliograph.sources.adapters import table
 
 
@@ -51,6 +51,11 @@ def fuzzy_title_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, "key").where("a_id < b_id").where(T.titles_match(F.col("a"), F.col("b"))).select("a_id", "b_id")
 
 
+def title_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose heads agree in either direction, whatever they begin with: the whole rule, where ``fuzzy_title_pairs`` holds to its SQL's key."""
+    return titles.agreeing(table(spark, sf_dir, "documents").select("doc_id", T.normalize_title(F.left("text", F.lit(80))).alias("title")))
+
+
 def palette_colors(spark: SparkSession, sf_dir: str) -> DataFrame:
     color = F.concat(F.lit("#"), F.lpad(F.lower(F.hex(F.col("p_partkey") * 7919 % 16777216)), 6, "0"))
     return markup.nearest_color(table(spark, sf_dir, "part").select("p_partkey", color.alias("color")), "color").select("p_partkey", "color", "color_name")
@@ -79,7 +84,7 @@ def pdf_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", T.pdf_date(F.when(F.col("o_orderkey") % 3 > 0, value)).alias("shown"))
 
 
-QUERIES = {f.__name__: f for f in (normalized_titles, normalized_part_names, url_fragments, url_file_names, number_expansion, year_lists, section_numbers, fuzzy_title_pairs, palette_colors, page_headings, page_links, search_page_ranges, clipped_texts, pdf_dates)}
+QUERIES = {f.__name__: f for f in (normalized_titles, normalized_part_names, url_fragments, url_file_names, number_expansion, year_lists, section_numbers, fuzzy_title_pairs, title_pairs, palette_colors, page_headings, page_links, search_page_ranges, clipped_texts, pdf_dates)}
 
 _NORM = "lower(regexp_replace(trim(regexp_replace({x}, '[^A-Za-z0-9\\s]', '', 'g'), ' ' || chr(9) || chr(10)), '\\s+', ' ', 'g'))"
 _HEADS = f"heads AS (SELECT doc_id, {_NORM.format(x='text[1:80]')} AS title FROM documents)"
@@ -97,6 +102,10 @@ ORACLES = {
     "fuzzy_title_pairs": f"""WITH {_HEADS}, w AS (SELECT doc_id, title, string_split(title, ' ') AS ws FROM heads WHERE title <> ''),
       pairs AS (SELECT a.doc_id AS a_id, b.doc_id AS b_id, a.title AS a, b.title AS b, a.ws AS aw, b.ws AS bw FROM w a JOIN w b ON a.title[1:15] = b.title[1:15] AND a.doc_id < b.doc_id)
       SELECT a_id, b_id FROM pairs WHERE (least(length(a), length(b)) >= 15 AND (CASE WHEN length(a) <= length(b) THEN starts_with(b, a) ELSE starts_with(a, b) END)) OR (len(aw) >= 3 AND len(list_filter(aw, lambda x: list_contains(bw, x))) >= 0.5 * len(aw))""",
+    "title_pairs": f"""WITH {_HEADS}, w AS (SELECT doc_id, title, string_split(title, ' ') AS ws FROM heads WHERE title <> ''),
+      pairs AS (SELECT a.doc_id AS a_id, b.doc_id AS b_id, least(length(a.title), length(b.title)) >= 15 AND (CASE WHEN length(a.title) <= length(b.title) THEN starts_with(b.title, a.title) ELSE starts_with(a.title, b.title) END) AS begins,
+        len(a.ws) >= 3 AND len(list_filter(a.ws, lambda x: list_contains(b.ws, x))) >= 0.5 * len(a.ws) AS ab, len(b.ws) >= 3 AND len(list_filter(b.ws, lambda x: list_contains(a.ws, x))) >= 0.5 * len(b.ws) AS ba FROM w a JOIN w b ON a.doc_id < b.doc_id)
+      SELECT a_id, b_id, begins OR ab AS forward, begins OR ba AS backward FROM pairs WHERE begins OR ab OR ba""",
     "palette_colors": f"""WITH c AS (SELECT p_partkey, '#' || lpad(lower(to_hex(p_partkey * 7919 % 16777216)), 6, '0') AS color, (p_partkey * 7919 % 16777216) AS v FROM part),
       p AS (SELECT * FROM (VALUES {', '.join(f"({i}, '{n}', {int(h[1:3], 16)}, {int(h[3:5], 16)}, {int(h[5:], 16)})" for i, (n, h) in enumerate(markup.PALETTE))}) t(ord, color_name, r, g, b))
       SELECT p_partkey, color, arg_min(color_name, ((v // 65536 - r) ** 2 + (v // 256 % 256 - g) ** 2 + (v % 256 - b) ** 2) * 10 + ord) AS color_name FROM c, p GROUP BY 1, 2""",
