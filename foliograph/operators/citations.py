@@ -17,10 +17,24 @@ BETWEEN = rf"\[([0-9]+)\]\s*{DASH}\s*\[([0-9]+)\]"
 ABBREVIATED = rf"\[({_KEY}(?:\s*[,;]\s*{_KEY})*)\]"
 SURNAME = r"(?:(?:[Dd]e|[Vv]on|[Vv]an|[Dd]er|[Dd]en|[Ll]e|[Ll]a|[Dd]el|[Dd]os|[Dd]as|[Dd]i|[Dd]u)\s+)?\p{Lu}[\p{L}\p{M}'’\-]+"
 YEARS = r"[0-9]{4}[a-z]?(?:,[a-z])*(?:\s*,\s*[0-9]{4}[a-z]?(?:,[a-z])*)*"
-#: author, optionally et al., then years in parentheses
-OUTSIDE = rf"({SURNAME})(?:\s+et\s+al\.?)?(?:'s|’s)?\s*\(({YEARS})\)"
-#: the same, all in parentheses
-INSIDE = rf"\(({SURNAME})(?:\s+et\s+al\.?)?,?\s+({YEARS})\)"
+_AND, _ET_AL, _PAGES = r"(?:and|&amp;|&|＆)", r"(?:\s+et\s+al\.?)", r"(?:,\s*(?:pp?\.\s*)?[0-9]+(?:[–-][0-9]+)?)?"
+_PREFIX = r"(?:(?:e\.g\.,?|i\.e\.,?|see(?:\s+also)?|cf\.|compare|inter alia:)(?:,?\s*(?:e\.g\.,?|i\.e\.,?))?\s*)?"
+_POSTFIX = r"(?:\s*(?:;\s*)?(?:among others|amongst others|and others))?"
+_DATED = rf"\(({YEARS}){_PAGES}\)"
+#: author-year patterns in the order in which they claim text: pattern, the group of the second author, the group of the years; the first author is group 1
+AUTHOR_YEAR = (
+    (rf"({SURNAME})\s+{_AND}\s*({SURNAME})\s*{_DATED}", 2, 3),
+    (rf"({SURNAME}),\s+({SURNAME}),?\s+{_AND}\s+({SURNAME})\s*{_DATED}", None, 4),
+    (rf"\({_PREFIX}({SURNAME}),\s+({SURNAME}),?\s+{_AND}\s+({SURNAME})\s*,?\s*({YEARS}){_PAGES}\)", None, 4),
+    (rf"\({_PREFIX}({SURNAME})\s+{_AND}\s+({SURNAME})\s*,?\s*({YEARS}){_PAGES}\)", 2, 3),
+    (rf"({SURNAME}){_ET_AL}?(?:'s|’s)?,?\s*{_DATED}", None, 2),
+    (rf"\({_PREFIX}({SURNAME}){_ET_AL}?\s*,?\s*({YEARS}){_PAGES}\)", None, 2),
+    (rf"({SURNAME}),\s+({SURNAME}){_ET_AL},?\s*{_DATED}", 2, 3),
+)
+#: one citation of a parenthetical block: first author, the second of three, of two or after a comma, years
+CHUNK = rf"({SURNAME})(?:,\s+({SURNAME}),?\s+{_AND}\s+{SURNAME}|\s+{_AND}\s+({SURNAME})|,\s+({SURNAME}))?{_ET_AL}?\s*,?\s*({YEARS}){_PAGES}"
+#: citations in one pair of parentheses, split at semicolons
+BLOCK = rf"\({_PREFIX}{CHUNK}(?:\s*;\s*{CHUNK})*{_POSTFIX}\)"
 #: mentions of other parts of a document; the last group is the part's number
 MENTIONS = {
     "figure": rf"(?i){OPENS}Fig(?:ure|s)?\.?\s*([A-Z]?[0-9]+[a-z]?(?:\s*{DASH}\s*[A-Z]?[0-9]+[a-z]?)?(?:\s*[,&]\s*[A-Z]?[0-9]+[a-z]?)*)",
@@ -92,13 +106,24 @@ def linked(found: DataFrame, refs: DataFrame) -> DataFrame:
 
 
 def author_years(bodies: DataFrame) -> DataFrame:
-    """Author-year citations, years outside parentheses first: one row for each year, letters expanded."""
-    def of(pattern: str, rank: int) -> Column:
-        return F.transform(spans(F.col("body"), pattern), lambda s: F.struct(s["begin"].alias("begin"), s["value"].alias("value"), F.lit(rank).alias("rank")))
+    """Author-year citations by every pattern, overlaps included: one row for each year, letters expanded. ``rank`` is the
+    pattern's, blocks first, and ``at`` to ``end`` the text it takes up: the whole block for each of its citations, which
+    begin where their first author does. ``second`` is the second author where the reference must have one."""
+    cited = lambda begin, rank, at, length, author, second, dates: F.struct(begin.alias("begin"), F.lit(rank).alias("rank"), at.alias("at"), (at + length).alias("end"), author.alias("author"), second.alias("second"), dates.alias("dates"))
+    none = F.lit(None).cast("string")
+    name = lambda value, pattern, k: F.nullif(F.regexp_extract(value, pattern, k), F.lit("")) if k else none
 
-    rows = bodies.select("doc_id", F.explode(F.concat(of(OUTSIDE, 0), of(INSIDE, 1))).alias("c")).select("doc_id", "c.*")
-    pick = lambda k: F.when(F.col("rank") == 0, F.regexp_extract("value", OUTSIDE, k)).otherwise(F.regexp_extract("value", INSIDE, k))
-    return rows.select("doc_id", "begin", pick(1).alias("author"), F.explode(years(pick(2))).alias("year"))
+    def block(s: Column) -> Column:
+        inside = spans(s["value"], rf"{CHUNK}(?=\s*(?:;|\)$))")
+        second = lambda v: F.coalesce(*(name(v, CHUNK, k) for k in (2, 3, 4)))
+        return F.transform(inside, lambda c: cited(s["begin"] + c["begin"], 0, s["begin"], s["length"], F.regexp_extract(c["value"], CHUNK, 1), second(c["value"]), F.regexp_extract(c["value"], CHUNK, 5)))
+
+    def of(rank: int, pattern: str, second: int | None, dates: int) -> Column:
+        return F.transform(spans(F.col("body"), pattern), lambda s: cited(s["begin"], rank, s["begin"], s["length"], F.regexp_extract(s["value"], pattern, 1), name(s["value"], pattern, second), F.regexp_extract(s["value"], pattern, dates)))
+
+    every = F.concat(F.flatten(F.transform(spans(F.col("body"), BLOCK), block)), *(of(k, *p) for k, p in enumerate(AUTHOR_YEAR, 1)))
+    rows = bodies.select("doc_id", F.explode(every).alias("c")).select("doc_id", "c.*")
+    return rows.select("doc_id", "begin", "rank", "at", "end", F.regexp_replace("author", "['’]s$", "").alias("author"), "second", F.explode(years(F.col("dates"))).alias("year"))
 
 
 def signature(text: Column) -> Column:
@@ -108,18 +133,28 @@ def signature(text: Column) -> Column:
 
 def matched_authors(cited: DataFrame, refs: DataFrame) -> DataFrame:
     """Author-year citations with an entry of the same year: the author at its start (confidence 1), anywhere as a word
-    (0.7), or the only entry of that year (0.5); the first entry among equals. An equi-join on document and year."""
+    (0.7), or the only entry of that year (0.5); the first entry among equals. A second author, where ``cited`` has one, must
+    be a word of the entry too, but for the last. An equi-join on document and year."""
     entries = refs.select("doc_id", "year", "ref_ord", signature(F.col("text")).alias("signature"))
     alone = refs.groupBy("doc_id", "year").agg(F.count(F.lit(1)).alias("of_year"))
     both = cited.join(entries, ["doc_id", "year"]).join(alone, ["doc_id", "year"])
-    author = F.lower(F.trim("author"))
-    quoted = F.concat(F.lit("\\Q"), author, F.lit("\\E"))
-    starts = F.rlike("signature", F.concat(F.lit("^"), quoted, F.lit(r"(?:[^\p{L}]|$)")))
-    word = F.rlike("signature", F.concat(F.lit(OPENS), quoted, F.lit(CLOSES)))
-    sure = F.when(starts, 1.0).when(word, 0.7).when(F.col("of_year") == 1, 0.5)
-    ranked = both.where(F.length(author) >= 2).withColumn("confidence", sure).where("confidence is not null")
+    quoted = lambda name: F.concat(F.lit("\\Q"), F.lower(F.trim(name)), F.lit("\\E"))
+    word = lambda name: F.rlike("signature", F.concat(F.lit(OPENS), quoted(name), F.lit(CLOSES)))
+    starts = F.rlike("signature", F.concat(F.lit("^"), quoted("author"), F.lit(r"(?:[^\p{L}]|$)")))
+    joint = F.col("second").isNull() | word("second") if "second" in cited.columns else F.lit(True)
+    sure = F.when(starts & joint, 1.0).when(word("author") & joint, 0.7).when(F.col("of_year") == 1, 0.5)
+    ranked = both.where(F.length(F.trim("author")) >= 2).withColumn("confidence", sure).where("confidence is not null")
     best = F.min(F.struct((-F.col("confidence")).alias("c"), "ref_ord"))
-    return ranked.groupBy("doc_id", "begin", "author", "year").agg(best.alias("b")).select("doc_id", "begin", "author", "year", F.col("b.ref_ord").alias("ref_ord"), (-F.col("b.c")).alias("confidence"))
+    return ranked.groupBy(*cited.columns).agg(best.alias("b")).select(*cited.columns, F.col("b.ref_ord").alias("ref_ord"), (-F.col("b.c")).alias("confidence"))
+
+
+def claimed(matched: DataFrame) -> DataFrame:
+    """Matched author-year citations that no earlier pattern's match overlaps; a citation without an entry claims no text."""
+    columns = ["rank", "at", "end", "begin", "author", "year", "ref_ord", "confidence"]
+    rows = matched.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("every"))
+    taken = lambda out, c: F.exists(out, lambda o: (o["at"] < c["end"]) & (c["at"] < o["end"]) & ((o["rank"] != c["rank"]) | (o["at"] != c["at"])))
+    kept = F.aggregate("every", F.slice("every", F.lit(1), F.lit(0)), lambda out, c: F.when(taken(out, c), out).otherwise(F.concat(out, F.array(c))))
+    return rows.select("doc_id", F.explode(kept).alias("c")).select("doc_id", "c.begin", "c.author", "c.year", "c.ref_ord", "c.confidence")
 
 
 def mentions(bodies: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ def abbreviated_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def author_year_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.matched_authors(C.author_years(bodies(spark, sf_dir)), references(spark, sf_dir))
+    return C.claimed(C.matched_authors(C.author_years(bodies(spark, sf_dir)), references(spark, sf_dir)))
 
 
 def crossref_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
