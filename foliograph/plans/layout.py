@@ -21,6 +21,11 @@ def search_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.search_hits(lines(spark, sf_dir), "There", 1, 2)
 
 
+def search_hits_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``search_hits``, over all pages: that query keeps to the range of pages of its SQL."""
+    return layout.search_hits(lines(spark, sf_dir), "There")
+
+
 def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lines(spark, sf_dir).groupBy("doc_id", "page_no").agg(F.array_sort(F.collect_list(F.struct("line_no", "text"))).alias("l"))
     return rows.select("doc_id", "page_no", F.array_join(F.transform("l", lambda s: s["text"]), " ").alias("page_text"))
@@ -76,7 +81,7 @@ def size_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sizes.select("doc_id", F.explode(layout.size_tiers(F.col("s"))).alias("t")).select("doc_id", "t.size", "t.tier")
 
 
-QUERIES = {f.__name__: f for f in (typeset_lines, search_hits, page_text, body_metrics, left_margins, bottom_margins, column_detect, heading_candidates, document_titles, line_groups, mode_of_quantity, medians_of_quantity, page_pairs, size_tiers)}
+QUERIES = {f.__name__: f for f in (typeset_lines, search_hits, search_hits_whole, page_text, body_metrics, left_margins, bottom_margins, column_detect, heading_candidates, document_titles, line_groups, mode_of_quantity, medians_of_quantity, page_pairs, size_tiers)}
 
 _MODE = "(SELECT doc_id, arg_min(v, (-n) * 1000000000 + f) AS v FROM (SELECT doc_id, {c} AS v, count(*) AS n, min(line_no) AS f FROM body GROUP BY 1, 2) GROUP BY 1)"
 METRICS_SQL = f"""
@@ -92,6 +97,8 @@ ORACLES = {
     "typeset_lines": f"{WITH} SELECT * FROM lines",
     "search_hits": f"""{WITH}, found AS (SELECT doc_id, page_no, line_no, unnest(list_filter(range(length(text)), lambda i: lower(text)[i + 1 : i + 5] = 'there')) AS place FROM lines WHERE page_no BETWEEN 1 AND 2)
       SELECT doc_id, page_no, line_no, place::INT AS place, (row_number() OVER (PARTITION BY doc_id ORDER BY line_no, place) - 1)::INT AS match_id FROM found""",
+    "search_hits_whole": f"""{WITH}, found AS (SELECT doc_id, page_no, line_no, unnest(list_filter(range(length(text)), lambda i: lower(text)[i + 1 : i + 5] = 'there')) AS place FROM lines)
+      SELECT doc_id, page_no, line_no, place::INT AS place, (row_number() OVER (PARTITION BY doc_id ORDER BY line_no, place) - 1)::INT AS match_id FROM found""",
     "page_text": f"{WITH} SELECT doc_id, page_no, string_agg(text, ' ' ORDER BY line_no) AS page_text FROM lines GROUP BY 1, 2",
     "body_metrics": f"{WITH}, {METRICS_SQL} SELECT * FROM metrics",
     "left_margins": f"""{WITH}, long AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY line_no) AS nth FROM lines WHERE length(text) > 10) WHERE nth <= 10 AND w <= 0.9 * 612)
