@@ -2,11 +2,11 @@
 
 Each language has a suffix automaton of a bounded sample of its labelled text. A text is parsed against each
 automaton: a phrase is the longest match from where the last one ended, a letter that the sample lacks is a phrase
-of its own. Phrases times log2 of the sample's length, over the text's length, estimate the cross entropy; the
+of its own; it may be as long as the text. Phrases times log2 of the sample's length, over the text's length, estimate the cross entropy; the
 language with the least wins, the first in alphabetical order among equals.
 
-Texts are lower-cased; every run of characters that aren't letters is one space. Whole texts are parsed, in chunks of
-``CHUNK`` characters that move through the automaton side by side. Null texts and texts without a letter are ``und``
+Texts are lower-cased; every run of characters that aren't letters is one space. Whole texts are parsed side by side, in
+rounds of ``CHUNK`` characters; each text's place in each automaton is carried from round to round. Null texts and texts without a letter are ``und``
 with score 0, and so is everything where nothing was learned. Repeated rows are labelled alike.
 """
 
@@ -16,14 +16,15 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliograph.llm.shared import held_out, pieces
 
-#: labelled texts a language that a fit takes at most, and the characters it takes from each
+#: labelled texts a language that a fit takes at most; of a longer text ``WINDOWS`` windows, ``CHARACTERS`` characters together
 TEXTS = 64
 CHARACTERS = 512
+WINDOWS = 4
 CHUNK = 256
 #: how steeply the score falls with the difference in entropy, in nats a bit
 STEEP = 4.0
@@ -86,6 +87,8 @@ class Parser:
         self.symbol[0] = 0
         self.width = len(known) + 2
         self.tables = [automaton(self.symbol[s].tolist(), self.width).ravel() for s in spoken]
+        self.table = np.concatenate([np.zeros(0, np.int32), *self.tables])
+        self.base = np.cumsum([0, *(len(t) // self.width for t in self.tables)])[:-1]  # each automaton's root in the joint table
         self.bits = [np.log2(max(len(s), 2)) for s in spoken]
 
     def squeeze(self, points: np.ndarray) -> np.ndarray:
@@ -93,17 +96,19 @@ class Parser:
         kept = np.where(self.letters[points], points, 0)
         return kept[np.concatenate([[True], (kept[1:] > 0) | (kept[:-1] > 0)])] if len(kept) else kept
 
-    def phrases(self, table: np.ndarray, steps: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Phrases of each chunk; ``steps`` has a row for each position and chunks by falling length."""
+    def phrases(self, table: np.ndarray, steps: np.ndarray, lengths: np.ndarray, state: np.ndarray | None = None, base: np.ndarray | int = 0) -> np.ndarray:
+        """Phrases that begin in each column; ``steps`` has a row for each position and columns by falling length.
+
+        ``state`` is where each column's parse stands and moves on with it, ``base`` the root of each column's automaton."""
         count = np.zeros(steps.shape[1], np.int64)
-        state = np.zeros(steps.shape[1], np.int64)
-        live = np.searchsorted(-lengths, -np.arange(len(steps)), "left")  # chunks longer than each position
+        state = np.zeros(steps.shape[1], np.int64) if state is None else state
+        root = np.broadcast_to(np.asarray(base) * self.width, state.shape)
+        live = np.searchsorted(-lengths, -np.arange(len(steps)), "left")  # columns longer than each position
         for at, n in enumerate(live):
-            c = steps[at, :n]
+            c = steps[at, :n] + root[:n]
             s = state[:n]
             to = table[s * self.width + c]
-            fresh = (to == 0) | (s == 0)
-            count[:n] += fresh
+            count[:n] += (to == 0) | (s == 0)
             state[:n] = np.where(to == 0, table[c], to)
         return count
 
@@ -114,18 +119,20 @@ class Parser:
         rows = [self.squeeze(code_points(t)) for t in texts]
         size = np.array([len(r) for r in rows])
         spoken = np.array([bool(r.any()) for r in rows])
-        chunks = -(-size // CHUNK)
-        owner = np.repeat(np.arange(len(texts)), chunks)
-        if not len(owner):
+        if not spoken.any():
             return names, score
-        index = np.arange(len(owner)) - np.repeat(np.cumsum(chunks) - chunks, chunks)
-        lengths = np.minimum(size[owner] - index * CHUNK, CHUNK)
-        order = np.argsort(-lengths, kind="stable")
-        grid = np.zeros((len(owner), CHUNK), np.int32)
-        inside = np.arange(CHUNK)[None, :] < lengths[:, None]
-        grid[inside] = self.symbol[np.concatenate(rows)]
-        steps = np.ascontiguousarray(grid[order].T)
-        entropy = np.stack([np.bincount(owner[order], weights=self.phrases(t, steps, lengths[order]), minlength=len(texts)) * b for t, b in zip(self.tables, self.bits, strict=True)], 1) / np.maximum(size, 1)[:, None]
+        order = np.argsort(-size, kind="stable")
+        of, falling = len(self.names), size[order]
+        count, state = np.zeros(len(texts) * of, np.int64), np.zeros(len(texts) * of, np.int64)
+        for begin in range(0, int(falling[0]), CHUNK):
+            n = int(np.searchsorted(-falling, -begin, "left"))  # texts longer than what is parsed
+            lengths = np.minimum(falling[:n] - begin, CHUNK)
+            grid = np.zeros((n, CHUNK), np.int32)
+            grid[np.arange(CHUNK)[None, :] < lengths[:, None]] = self.symbol[np.concatenate([rows[i][begin : begin + CHUNK] for i in order[:n]])]
+            count[: n * of] += self.phrases(self.table, np.repeat(grid.T, of, axis=1), np.repeat(lengths, of), state[: n * of], np.tile(self.base, n))
+        entropy = np.zeros((len(texts), of))
+        entropy[order] = count.reshape(-1, of) * np.array(self.bits)
+        entropy /= np.maximum(size, 1)[:, None]
         best = entropy.argmin(1)
         likely = np.exp(STEEP * (entropy.min(1)[:, None] - entropy))
         sure = 1 / likely.sum(1)
@@ -139,12 +146,19 @@ def parser(samples: tuple[tuple[str, str], ...]) -> Parser:
     return Parser(dict(samples))
 
 
+def windows(text: Column, key: Column) -> Column:
+    part, wide = F.floor(F.length(text) / WINDOWS).cast("int"), CHARACTERS // WINDOWS
+    cut = lambda k: F.substr(text, part * k + F.pmod(F.xxhash64(key, F.lit(k)), part - wide + 1).cast("int") + 1, F.lit(wide))
+    return F.when(F.length(text) <= CHARACTERS, text).otherwise(F.concat_ws("\n", *(cut(k) for k in range(WINDOWS))))
+
+
 def learn(docs: DataFrame, texts: int = TEXTS) -> tuple[tuple[str, str], ...]:
-    """A sample of each language's text: ``texts`` rows, spread by hash, and ``CHARACTERS`` characters of each at most."""
+    """A sample of each language's text: ``texts`` rows, spread by hash. A text of up to ``CHARACTERS`` characters is taken
+    whole; of a longer one ``WINDOWS`` windows, one in each equal part, their places by hash."""
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"), 4, 2))
     ids = known.groupBy("lang", F.pmod(F.xxhash64("doc_id"), F.lit(texts)).alias("slot")).agg(F.min("doc_id").alias("doc_id"))
     # `texts` rows a language: the number of languages bounds the broadcast and what comes back
-    rows = known.select("doc_id", "lang", F.substring("text", 1, CHARACTERS).alias("text")).join(F.broadcast(ids.select("doc_id", "lang").distinct()), ["doc_id", "lang"])
+    rows = known.select("doc_id", "lang", windows(F.col("text"), F.col("doc_id")).alias("text")).join(F.broadcast(ids.select("doc_id", "lang").distinct()), ["doc_id", "lang"])
     found: dict[str, list[str]] = {}
     for r in sorted(rows.groupBy("lang", "doc_id").agg(F.min("text").alias("text")).collect(), key=lambda r: (r.lang, r.doc_id)):
         found.setdefault(r.lang, []).append(r.text)
