@@ -23,8 +23,9 @@ from foliograph.llm.textvec import SPACE, lay
 NGRAMS = (3, 4, 5)
 BUCKET_BITS = 18
 PASSAGE = 2
-#: texts of the sample that an n-gram must occur in to be learned
-LEAST_TEXTS = 8
+#: texts of the sample that an n-gram must occur in to be learned: one in so many of the smaller class, three at least
+ONE_IN = 64
+LEAST_TEXTS = 3
 DIM = 8
 STEPS = 40
 RATE = 0.15
@@ -95,7 +96,7 @@ def fit(texts: list[bytes], labels: np.ndarray, seed: int = 7) -> Model:
     # an n-gram is learned where several texts have it; others say nothing, in the fit and later
     pairs = np.concatenate([np.unique(text[passage[g < _NONE]].astype(np.int64) << 20 | g[g < _NONE]) for g in grams])
     known = np.zeros(_NONE + 1, bool)
-    known[:_NONE] = np.bincount(np.unique(pairs) & (1 << 20) - 1, minlength=_NONE)[:_NONE] >= LEAST_TEXTS
+    known[:_NONE] = np.bincount(np.unique(pairs) & (1 << 20) - 1, minlength=_NONE)[:_NONE] >= max(LEAST_TEXTS, int(min(y.sum(), (1 - y).sum())) // ONE_IN)
     rows = np.concatenate([g[known[g]] for g in grams])
     owner = np.concatenate([passage[known[g]] for g in grams])
     used, rows = np.unique(rows, return_inverse=True)

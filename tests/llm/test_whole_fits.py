@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from foliograph.llm import langid
+from foliograph.llm import langid, toxicity
 
 HEADER = "this header is the same everywhere and says nothing at all about what follows it " * 8
 
@@ -29,3 +29,14 @@ def test_language_phrases_go_on_across_rounds():
         part = symbols[k : k + langid.CHUNK]
         parts += p.phrases(p.table, part, np.array([len(part)]), state, p.base[:1])[0]
     assert parts == 1
+
+
+def test_toxicity_learns_a_word_of_few_texts():
+    rng = np.random.default_rng(5)
+    plain = [" ".join(rng.choice([f"word{chr(97 + k)}{chr(97 + j)}" for k in range(12) for j in range(5)], 30)) for _ in range(60)]
+    texts = [t + " clown" for t in plain[:3]] + [t + " worthless" for t in plain[3:10]] + plain[10:]
+    model = toxicity.fit([t.encode() for t in texts], np.array([1] * 10 + [0] * 50))
+    rows, start, _ = toxicity.subwords([b"clown"])
+    assert all(model.known[g[g < toxicity._NONE]].all() for g in rows) and len(start)
+    toxic, clean = model.score([b"worda clown", b"wordaa wordbb"])
+    assert toxic > 0.5 > clean
