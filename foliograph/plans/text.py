@@ -14,6 +14,11 @@ def normalized_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.normalize_title(F.left("text", F.lit(80))).alias("title"))
 
 
+def normalized_first_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole first line of each document as its title, where ``normalized_titles`` keeps to the 80 characters of its SQL."""
+    return table(spark, sf_dir, "documents").select("doc_id", T.normalize_title(F.split_part("text", F.lit("\n"), F.lit(1))).alias("title"))
+
+
 def normalized_part_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", T.normalize_title(F.col("p_name")).alias("title"))
 
@@ -84,12 +89,13 @@ def pdf_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", T.pdf_date(F.when(F.col("o_orderkey") % 3 > 0, value)).alias("shown"))
 
 
-QUERIES = {f.__name__: f for f in (normalized_titles, normalized_part_names, url_fragments, url_file_names, number_expansion, year_lists, section_numbers, fuzzy_title_pairs, title_pairs, palette_colors, page_headings, page_links, search_page_ranges, clipped_texts, pdf_dates)}
+QUERIES = {f.__name__: f for f in (normalized_titles, normalized_first_lines, normalized_part_names, url_fragments, url_file_names, number_expansion, year_lists, section_numbers, fuzzy_title_pairs, title_pairs, palette_colors, page_headings, page_links, search_page_ranges, clipped_texts, pdf_dates)}
 
 _NORM = "lower(regexp_replace(trim(regexp_replace({x}, '[^A-Za-z0-9\\s]', '', 'g'), ' ' || chr(9) || chr(10)), '\\s+', ' ', 'g'))"
 _HEADS = f"heads AS (SELECT doc_id, {_NORM.format(x='text[1:80]')} AS title FROM documents)"
 ORACLES = {
     "normalized_titles": f"WITH {_HEADS} SELECT * FROM heads",
+    "normalized_first_lines": f"SELECT doc_id, {_NORM.format(x='split_part(text, chr(10), 1)')} AS title FROM documents",
     "normalized_part_names": f"SELECT p_partkey, {_NORM.format(x='p_name')} AS title FROM part",
     "url_fragments": "SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)) || CASE WHEN regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) = '' THEN '/' ELSE regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) END AS fragment FROM pages",
     "url_file_names": """SELECT page_id, CASE WHEN f = '' THEN 'document.pdf' WHEN lower(f) LIKE '%.pdf' THEN f ELSE f || '.pdf' END AS file_name
