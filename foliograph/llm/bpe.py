@@ -23,14 +23,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from foliograph.llm.shared import binary_texts, pieces
+from foliograph.llm.shared import each_text, lean, pieces
 from foliograph.llm.textvec import MULTIPLIERS, U, mix, powers
 
 #: letters that make a word of their own with an apostrophe before them (fixed values)
 SUFFIXES = ("s", "t", "re", "ve", "m", "ll", "d")
 SHORT = 48
 #: words that a worker remembers at most; then it starts anew
-REMEMBERED = 1_000_000
+REMEMBERED = 1 << 18
 NO_RANK = np.int32(0x7FFFFFFF)
 
 
@@ -301,7 +301,7 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             of = coder(shared.value)
             n, ids_digest, text_digest = [], [], []
-            for piece in pieces(binary_texts(batch)):
+            for piece in pieces(each_text(batch)):
                 encoded = of.encode([t.decode("utf-8", "replace") for t in piece])
                 for ids, raw in zip(encoded, of.decoded(encoded), strict=True):
                     n.append(len(ids) // 4)
@@ -309,7 +309,7 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
                     text_digest.append(hashlib.sha256(raw if raw.isascii() else raw.decode("utf-8", "replace").encode()).hexdigest())
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids_digest, pa.string()), "decoded_sha256": pa.array(text_digest, pa.string())})
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def token_ids(docs: DataFrame, path: str) -> DataFrame:
@@ -318,10 +318,10 @@ def token_ids(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            ids = [np.frombuffer(x, "<u4").astype(np.int32) for piece in pieces(binary_texts(batch)) for x in coder(shared.value).encode([t.decode("utf-8", "replace") for t in piece])]
+            ids = [np.frombuffer(x, "<u4").astype(np.int32) for piece in pieces(each_text(batch)) for x in coder(shared.value).encode([t.decode("utf-8", "replace") for t in piece])]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "ids": pa.array(ids, pa.list_(pa.int32()))})
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, ids array<int>")
 
 
 def texts_of(spark: SparkSession, encoded: DataFrame, path: str) -> DataFrame:
@@ -333,4 +333,4 @@ def texts_of(spark: SparkSession, encoded: DataFrame, path: str) -> DataFrame:
             texts = [coder(shared.value).decode(np.array(x or [], "<u4").tobytes()) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "text": pa.array(texts, pa.string())})
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(lean(run), "doc_id long, text string")

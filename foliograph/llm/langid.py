@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliograph.llm.shared import held_out, pieces
+from foliograph.llm.shared import held_out, lean, pieces
 
 #: labelled texts a language that a fit takes at most; of a longer text ``WINDOWS`` windows, ``CHARACTERS`` characters together
 TEXTS = 64
@@ -179,5 +179,5 @@ def language(docs: DataFrame, texts: int = TEXTS) -> DataFrame:
                 scores += score.tolist()
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "lang_pred": pa.array(names, pa.string()), "score": pa.array(scores, pa.float64())})
 
-    done = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    done = docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, lang_pred string, score double")
     return done.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "lang_pred", "score")

@@ -14,10 +14,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliograph.llm.shared import arrow_map, held_out, labelled_texts
+from foliograph.llm.shared import arrow_map, each_text, held_out, labelled_texts, lean, pieces
 from foliograph.llm.structure import STATISTICS, statistics
 from foliograph.llm.textvec import lay, word_hashes
 
@@ -125,15 +126,11 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, per_class: int = PER_
 
 def keep_good(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that the classifier accepts, all their columns and types as they were."""
-    import pyarrow as pa
-
-    from foliograph.llm.shared import binary_texts, pieces
-
     shared = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, per_class))
 
     def run(batches):
         for batch in batches:
-            score = [s for piece in pieces(binary_texts(batch)) for s in shared.value.score(piece)]
+            score = [s for piece in pieces(each_text(batch)) for s in shared.value.score(piece)]
             yield batch.filter(pa.array(s >= threshold for s in score))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

@@ -6,16 +6,20 @@ with ``checkpoint()`` in the shared folder that the session names; executors may
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a vectorised step works on at a time; a longer single text is a piece of its own.
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 18
+#: Rows of an Arrow batch that become Python objects at a time.
+ROWS_AT_ONCE = 64
 #: Rows up to which a list of ids (16 bytes each) is sent to every executor; beyond it the join shuffles.
 BROADCAST_IDS = 1_000_000
 
@@ -25,10 +29,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the cluster's shared checkpoint folder; its own folder only where none is named, as in tests."""
+    """``df`` written to the shared folder that the session names in spark.checkpoint.dir.
+
+    Without one a local master gets a folder of its own; on a cluster it is an error, since executors share no local folder.
+    """
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint"))
     return df.checkpoint(eager=True)
 
 
@@ -70,9 +80,39 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, per_class: in
     return [(r.text, r.label) for r in sorted(rows, key=lambda r: r.doc_id)]
 
 
+def each_text(batch: pa.RecordBatch, column: str = "text") -> Iterator[bytes]:
+    """The batch's texts as UTF-8, one after the other; null is empty. Only a few rows are Python objects at a time."""
+    texts = batch.column(column).cast(pa.binary())
+    for lo in range(0, len(texts), ROWS_AT_ONCE):
+        yield from (x or b"" for x in texts.slice(lo, ROWS_AT_ONCE).to_pylist())
+
+
 def binary_texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     """The batch's texts as UTF-8; null is empty."""
-    return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
+    return [*each_text(batch, column)]
+
+
+@lru_cache(1)
+def allocator() -> ctypes.CDLL | None:
+    try:
+        libc = ctypes.CDLL(None)
+        return libc if hasattr(libc, "malloc_trim") else None
+    except OSError:
+        return None
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for a worker that is used again: what a partition freed goes back to the system after it."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if (libc := allocator()) is not None:
+                libc.malloc_trim(0)
+
+    return go
 
 
 def pieces(texts: Iterable[bytes], most: int = PIECE_BYTES) -> Iterator[list[bytes]]:
@@ -98,13 +138,12 @@ def arrow_map(docs: DataFrame, columns: list[str], schema: str, score) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = binary_texts(batch)
             done: dict[str, list] = {}
-            for piece in pieces(texts):
+            for piece in pieces(each_text(batch)):
                 for name, values in score(piece).items():
                     done.setdefault(name, []).extend(values.tolist() if hasattr(values, "tolist") else values)
-            if texts:
+            if batch.num_rows:
                 fields = {c: batch.column(c) for c in kept} | {k: pa.array(v) for k, v in done.items()}
                 yield pa.RecordBatch.from_pydict(fields)
 
-    return docs.select(*columns).mapInArrow(run, schema)
+    return docs.select(*columns).mapInArrow(lean(run), schema)

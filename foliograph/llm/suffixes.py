@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliograph.llm.shared import binary_texts, checkpointed, only_ids, pieces
+from foliograph.llm.shared import binary_texts, checkpointed, lean, only_ids, pieces
 from foliograph.llm.textvec import MULTIPLIERS, U, mix, rolling
 
 LENGTH = 100
@@ -102,7 +102,7 @@ def dealt(docs: DataFrame) -> DataFrame:
                 fields = {"anchor": anchor.view(np.int64), "digest": digest.view(np.int64), "doc_id": doc, "at": at.astype(np.int32), "n": n.astype(np.int32), "repeated": again}
                 yield pa.RecordBatch.from_pydict({k: pa.array(v[once]) for k, v in fields.items()})
 
-    return docs.mapInArrow(run, STRETCH)
+    return docs.mapInArrow(lean(run), STRETCH)
 
 
 def settled(found: DataFrame) -> DataFrame:
@@ -140,7 +140,7 @@ def settled(found: DataFrame) -> DataFrame:
         if held:
             yield from judge(pa.concat_tables(held).combine_chunks())
 
-    return ordered.mapInArrow(run, "anchor long, doc_id long, at int, n int, repeated boolean, kinds long")
+    return ordered.mapInArrow(lean(run), "anchor long, doc_id long, at int, n int, repeated boolean, kinds long")
 
 
 class Levels:
@@ -210,7 +210,7 @@ def compared(contexts: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids[owner[first]]), "at": pa.array((ats[owner[first]] + inside[first]).astype(np.int32)), "n": pa.array(size.astype(np.int32))})
                 start = stop
 
-    return ordered.select("doc_id", "at", "bytes").mapInArrow(run, "doc_id long, at int, n int")
+    return ordered.select("doc_id", "at", "bytes").mapInArrow(lean(run), "doc_id long, at int, n int")
 
 
 def with_lists(docs: DataFrame, marks: DataFrame, rows: int) -> DataFrame:
@@ -234,7 +234,7 @@ def contexts_of(listed: DataFrame) -> DataFrame:
                     out["bytes"].append(text[m["at"] : m["at"] + m["n"] + LENGTH - 1])
             yield pa.RecordBatch.from_pydict({"anchor": pa.array(out["anchor"], pa.int64()), "doc_id": pa.array(out["doc_id"], pa.int64()), "at": pa.array(out["at"], pa.int32()), "bytes": pa.array(out["bytes"], pa.binary())})
 
-    return listed.mapInArrow(run, "anchor long, doc_id long, at int, bytes binary")
+    return listed.mapInArrow(lean(run), "anchor long, doc_id long, at int, bytes binary")
 
 
 def cut(text: bytes, marks: list[dict]) -> tuple[bytes, list[tuple[int, int]]]:
@@ -267,7 +267,7 @@ def results(listed: DataFrame) -> DataFrame:
             kinds = (pa.int64(),) * 4 + (pa.string(),)
             yield pa.RecordBatch.from_pydict({k: pa.array(v, kind) for (k, v), kind in zip(rows.items(), kinds, strict=True)})
 
-    return listed.mapInArrow(run, RESULT)
+    return listed.mapInArrow(lean(run), RESULT)
 
 
 def marks_of(docs: DataFrame) -> DataFrame:
