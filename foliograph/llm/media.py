@@ -4,12 +4,15 @@ A recording is a WAV file in a binary column. Its spectrum is folded into twelve
 image over frames and classes gives the sums under ``FILTERS`` rectangles in constant time each; every filter compares
 two areas and yields two bits, and the filters of a frame are packed into one integer.
 
-Recordings with the same fingerprint form a class, named by its smallest id. Classes that share integers with a query's
-class are aligned: the differences of the integers' places are counted, the fullest offset wins (the smallest among
-equals), and the share of differing bits over the overlap decides. No count is capped, and copies never meet.
+Recordings with the same fingerprint form a class, named by its smallest id. A single integer of a smooth recording is
+common, so the index goes by composite keys: the steady bits of three integers at fixed distances (``DISTANCES``).
+Classes that share keys with a query's class are aligned: the differences of the keys' places are counted, the fullest
+offset wins (the smallest among equals), and the share of differing bits over the overlap decides. No count is capped,
+and copies never meet.
 
 Null, empty and undecodable media, and recordings shorter than a filter, have the empty fingerprint: they are in no
-class and match nothing. Repeated rows of one id are members alike.
+class and match nothing. A row without an id is left out. Repeated rows of one id are members alike; of several
+recordings under one id each is in a class. An empty table gives no row. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliograph.llm.shared import checkpointed
+from foliograph.llm.shared import checkpointed, lean
+from foliograph.llm.textvec import MULTIPLIERS, U, mix
 
 FRAME = 512
 HOP = 128
@@ -38,6 +42,12 @@ EDGE = 0.12
 #: share of differing bits up to which aligned recordings match, and integers they must overlap in
 MOST_ERRORS = 0.2
 LEAST_OVERLAP = 32
+#: places of the integers of a composite key, none reaching over LEAST_OVERLAP integers
+DISTANCES = ((0, 15, 30), (0, 11, 30))
+#: the bits of a composite key: which of the two areas is greater, for the filters of four classes and more
+STEADY = sum(2 << 2 * k for k, (_, _, classes, _) in enumerate(FILTERS) if classes >= 4)
+#: recordings that are decoded at a time
+AT_ONCE = 256
 
 
 def decode(data: bytes | None) -> tuple[np.ndarray, int]:
@@ -111,10 +121,45 @@ def fingerprints(media: DataFrame, id_column: str, media_column: str) -> DataFra
 
     def run(batches):
         for batch in batches:
-            prints = [fingerprint(chroma(*decode(x))).view(np.int32) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_pydict({"id": batch.column(0), "prints": pa.array(prints, pa.list_(pa.int32()))})
+            for lo in range(0, batch.num_rows, AT_ONCE):
+                part = batch.slice(lo, AT_ONCE)
+                prints = [fingerprint(chroma(*decode(x))).view(np.int32) for x in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_pydict({"id": part.column(0), "prints": pa.array(prints, pa.list_(pa.int32()))})
+
+    return media.select(F.col(id_column).cast("long").alias("id"), F.col(media_column).alias("media")).mapInArrow(lean(run), "id long, prints array<int>")
+
+
+def composite_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The composite keys of a fingerprint and their places; of a run of equal keys the first."""
+    steady = (prints.view(np.uint32) & np.uint32(STEADY)).astype(U)
+    keys, places = [], []
+    for family, distances in enumerate(DISTANCES):
+        n = len(steady) - max(distances)
+        if n <= 0:
+            continue
+        key = np.full(n, family + 1, U)
+        for d in distances:
+            key = mix(key * U(MULTIPLIERS[5]) + steady[d : d + n])
+        place = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        keys.append(key[place])
+        places.append(place)
+    return (np.concatenate(keys), np.concatenate(places)) if keys else (np.zeros(0, U), np.zeros(0, np.int64))
+
+
+def indexed(whole: DataFrame) -> DataFrame:
+    """``class, asked, key, place``: the composite keys of every class."""
 
-    return media.select(F.col(id_column).cast("long").alias("id"), F.col(media_column).alias("media")).mapInArrow(run, "id long, prints array<int>")
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, AT_ONCE):
+                part = batch.slice(lo, AT_ONCE)
+                found = [composite_keys(np.array(x, np.int32)) for x in part.column("prints").to_pylist()]
+                owner = np.repeat(np.arange(len(found)), [len(k) for k, _ in found])
+                of_class, asked = part.column("class").take(pa.array(owner)), part.column("asked").take(pa.array(owner))
+                key, place = (np.concatenate([x[c] for x in found]) for c in (0, 1))
+                yield pa.RecordBatch.from_pydict({"class": of_class, "asked": asked, "key": pa.array(key.view(np.int64)), "place": pa.array(place.astype(np.int32))})
+
+    return whole.select("class", "asked", "prints").mapInArrow(lean(run), "class long, asked boolean, key long, place int")
 
 
 def aligned(media: DataFrame, queries: str, id_column: str = "id", media_column: str = "media") -> DataFrame:
@@ -124,23 +169,25 @@ def aligned(media: DataFrame, queries: str, id_column: str = "id", media_column:
     ``match`` (``a`` a query's class, ``b`` a matching class that isn't it, ``shift`` the offset of b against a, ``errors``
     the share of differing bits over the overlap).
     """
-    prints = checkpointed(fingerprints(media, id_column, media_column).where(F.size("prints") > 0).withColumn("key", F.sha2(F.array_join("prints", ","), 256)))
-    classes = checkpointed(prints.where("id is not null").groupBy("key").agg(F.min("id").alias("class"), F.max(F.expr(queries)).alias("asked")))
-    whole = checkpointed(prints.join(classes.withColumnRenamed("class", "id"), ["key", "id"]).dropDuplicates(["key"]).select(F.col("id").alias("class"), "prints", "asked"))
-    places = whole.select("class", "asked", F.posexplode("prints").alias("place", "code"))
-    asked = places.where("asked").select(F.col("class").alias("a"), F.col("place").alias("pa"), "code")
-    shared = asked.join(places.select(F.col("class").alias("b"), F.col("place").alias("pb"), "code"), "code").where("a <> b")
+    prints = checkpointed(fingerprints(media, id_column, media_column).where((F.size("prints") > 0) & F.col("id").isNotNull()).withColumn("key", F.sha2(F.array_join("prints", ","), 256)))
+    classes = checkpointed(prints.groupBy("key").agg(F.min("id").alias("class"), F.max(F.expr(queries)).alias("asked")))
+    whole = checkpointed(prints.join(classes.withColumnRenamed("class", "id"), ["key", "id"]).dropDuplicates(["key"]).select(F.col("id").alias("class"), F.coalesce("asked", F.lit(False)).alias("asked"), "prints"))
+    keys = checkpointed(indexed(whole))
+    asked = keys.where("asked").select(F.col("class").alias("a"), F.col("place").alias("pa"), "key")
+    shared = asked.join(keys.select(F.col("class").alias("b"), F.col("place").alias("pb"), "key"), "key").where("a <> b")
     votes = shared.groupBy("a", "b", (F.col("pa") - F.col("pb")).alias("shift")).agg(F.count(F.lit(1)).alias("n"))
     best = votes.groupBy("a", "b").agg(F.max(F.struct("n", -F.abs("shift"), -F.col("shift")))["col3"].alias("s")).select("a", "b", (-F.col("s")).alias("shift"))
-    pairs = best.join(whole.select(F.col("class").alias("a"), F.col("prints").alias("x")), "a").join(whole.select(F.col("class").alias("b"), F.col("prints").alias("y")), "b")
+    pairs = best.join(whole.where("asked").select(F.col("class").alias("a"), F.col("prints").alias("x")), "a").join(whole.select(F.col("class").alias("b"), F.col("prints").alias("y")), "b")
     x = F.slice("x", F.greatest(F.col("shift"), F.lit(0)) + 1, F.size("x"))
     y = F.slice("y", F.greatest(-F.col("shift"), F.lit(0)) + 1, F.size("y"))
-    differing = F.aggregate(F.zip_with(x, y, lambda p, q: F.coalesce(F.bit_count(p.bitwiseXOR(q)), F.lit(0))), F.lit(0), lambda s, v: s + v)
+    # a negative integer would be counted with the 32 ones that widening puts before it
+    bits = lambda p, q: F.bit_count(p.bitwiseXOR(q).cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
+    differing = F.aggregate(F.zip_with(x, y, lambda p, q: F.coalesce(bits(p, q), F.lit(0))), F.lit(0), lambda s, v: s + v)
     overlap = F.least(F.size(x), F.size(y))
     scored = pairs.select("a", "b", "shift", overlap.alias("overlap"), (differing / (overlap * 2 * len(FILTERS))).alias("errors"))
     match = scored.where((F.col("overlap") >= LEAST_OVERLAP) & (F.col("errors") <= MOST_ERRORS)).select(F.lit("match").alias("kind"), "a", "b", F.col("shift").cast("int").alias("shift"), F.round("errors", 6).alias("errors"))
     member = prints.join(classes, "key").select(F.lit("member").alias("kind"), F.col("id").alias("a"), F.col("class").alias("b"), F.lit(0).alias("shift"), F.lit(0.0).alias("errors"))
-    return member.unionByName(match)
+    return member.unionByName(match.distinct())
 
 
 #: what the adapter below renders: samples a second, and samples a note
@@ -173,4 +220,4 @@ def recordings(vectors: DataFrame, id_column: str = "vec_id", vector_column: str
                 media = [melody(np.nan_to_num(np.array([v or 0 for v in x], float))) if x else None for x in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_pydict({"id": part.column(0), "media": pa.array(media, pa.binary())})
 
-    return vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).alias("v")).mapInArrow(run, "id long, media binary")
+    return vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).alias("v")).mapInArrow(lean(run), "id long, media binary")
