@@ -8,83 +8,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliograph.functions.text import CLOSES, DASH, OPENS, expand_numbers, spans, years
-
-_ITEM = rf"[0-9]+(?:\s*{DASH}\s*[0-9]+)?"
-_KEY = r"[A-Z][a-zA-Z]+\+?[0-9]{2}[a-z]?"
-NUMERIC = rf"\[({_ITEM}(?:\s*[,;]\s*{_ITEM})*)\]"
-BETWEEN = rf"\[([0-9]+)\]\s*{DASH}\s*\[([0-9]+)\]"
-ABBREVIATED = rf"\[({_KEY}(?:\s*[,;]\s*{_KEY})*)\]"
-SURNAME = r"(?:(?:[Dd]e|[Vv]on|[Vv]an|[Dd]er|[Dd]en|[Ll]e|[Ll]a|[Dd]el|[Dd]os|[Dd]as|[Dd]i|[Dd]u)\s+)?\p{Lu}[\p{L}\p{M}'’\-]+"
-YEARS = r"[0-9]{4}[a-z]?(?:,[a-z])*(?:\s*,\s*[0-9]{4}[a-z]?(?:,[a-z])*)*"
-_AND, _ET_AL, _PAGES = r"(?:and|&amp;|&|＆)", r"(?:\s+et\s+al\.?)", r"(?:,\s*(?:pp?\.\s*)?[0-9]+(?:[–-][0-9]+)?)?"
-_PREFIX = r"(?:(?:e\.g\.,?|i\.e\.,?|see(?:\s+also)?|cf\.|compare|inter alia:)(?:,?\s*(?:e\.g\.,?|i\.e\.,?))?\s*)?"
-_POSTFIX = r"(?:\s*(?:;\s*)?(?:among others|amongst others|and others))?"
-_DATED = rf"\(({YEARS}){_PAGES}\)"
-#: author-year patterns in the order in which they claim text: pattern, the group of the second author, the group of the years; the first author is group 1
-AUTHOR_YEAR = (
-    (rf"({SURNAME})\s+{_AND}\s*({SURNAME})\s*{_DATED}", 2, 3),
-    (rf"({SURNAME}),\s+({SURNAME}),?\s+{_AND}\s+({SURNAME})\s*{_DATED}", None, 4),
-    (rf"\({_PREFIX}({SURNAME}),\s+({SURNAME}),?\s+{_AND}\s+({SURNAME})\s*,?\s*({YEARS}){_PAGES}\)", None, 4),
-    (rf"\({_PREFIX}({SURNAME})\s+{_AND}\s+({SURNAME})\s*,?\s*({YEARS}){_PAGES}\)", 2, 3),
-    (rf"({SURNAME}){_ET_AL}?(?:'s|’s)?,?\s*{_DATED}", None, 2),
-    (rf"\({_PREFIX}({SURNAME}){_ET_AL}?\s*,?\s*({YEARS}){_PAGES}\)", None, 2),
-    (rf"({SURNAME}),\s+({SURNAME}){_ET_AL},?\s*{_DATED}", 2, 3),
-)
-#: one citation of a parenthetical block: first author, the second of three, of two or after a comma, years
-CHUNK = rf"({SURNAME})(?:,\s+({SURNAME}),?\s+{_AND}\s+{SURNAME}|\s+{_AND}\s+({SURNAME})|,\s+({SURNAME}))?{_ET_AL}?\s*,?\s*({YEARS}){_PAGES}"
-#: citations in one pair of parentheses, split at semicolons
-BLOCK = rf"\({_PREFIX}{CHUNK}(?:\s*;\s*{CHUNK})*{_POSTFIX}\)"
-#: mentions of other parts of a document; the last group is the part's number
-MENTIONS = {
-    "figure": rf"(?i){OPENS}Fig(?:ure|s)?\.?\s*([A-Z]?[0-9]+[a-z]?(?:\s*{DASH}\s*[A-Z]?[0-9]+[a-z]?)?(?:\s*[,&]\s*[A-Z]?[0-9]+[a-z]?)*)",
-    "table": rf"(?i){OPENS}Tab(?:le|s)?\.?\s+([A-Z]?[0-9]+[a-z]?(?:\s*[–—,-]\s*[A-Z]?[0-9]+[a-z]?)*)",
-    "section": rf"(?i){OPENS}Sec(?:tion|s)?\.?\s+((?:[A-Z]|[0-9]+)(?:\.[0-9]+)*)",
-    "sectionMark": r"(?i)§\s*((?:[A-Z]|[0-9]+)(?:\.[0-9]+)*)",
-    "equation": rf"(?i){OPENS}Eq(?:uation|n|s)?\.?\s*\(?([0-9]+(?:\.[0-9]+)?)\)?",
-    "algorithm": rf"(?i){OPENS}Alg(?:orithm|s)?\.?\s*([0-9]+)",
-    "theorem": rf"(?i){OPENS}(?:Theorem|Lemma|Proposition|Corollary|Definition)\s+([0-9]+(?:\.[0-9]+)?)",
-    "appendix": rf"(?i){OPENS}(?:Appendix|App\.)\s+([A-Z](?:\.[0-9]+)?)",
-}
-#: captions at a line's start
-CAPTIONS = {
-    "figure": r"(?i)^Fig(?:ure)?\.?\s*([0-9]+[a-z]?)\s*[:.]",
-    "table": r"(?i)^Tab(?:le)?\.?\s*([0-9]+[a-z]?)\s*[:.]*",
-    "algorithm": r"(?i)^Algorithm\.?\s*([0-9]+)\s*[:.]",
-    "theorem": r"(?i)^(?:Theorem|Lemma|Proposition|Corollary|Definition)\s+([0-9]+(?:\.[0-9]+)?)\s*[:.]",
-    "sectionMark": r"^§\s*([0-9]+(?:\.[0-9]+)*)\s",
-}
-#: how the entries of a reference list begin, in order of preference
-ENTRY_FORMATS = {
-    "numbered-bracket": r"^\s*\[([0-9]+)\]\s*",
-    "numbered-paren": r"^\s*\(([0-9]+)\)\s*",
-    "numbered-dot": r"^\s*([0-9]+)\.\s+",
-    "numbered-plain": r"^\s*([0-9]+)\s+(?=[A-Z])",
-    "numbered-abbr": rf"^\s*\[({_KEY})\]",
-}
-MOST_SPAN = 30
+from foliograph.functions import scanner
+from foliograph.functions.text import expand_numbers, number_items
+
 LEAST_CONFIDENCE = 0.3
+#: what a citation says about itself, as bits (fixed values)
+NATIVE, DESTINATION, RANGE, MULTI_REF, MULTI_YEAR = 1, 2, 4, 8, 16
+#: formats of numbered reference lists, in order of preference, and what else a list may be (fixed values)
+NUMBERED = ("numbered-bracket", "numbered-paren", "numbered-dot", "numbered-plain", "numbered-abbr")
+AUTHOR_YEAR, HANGING, UNKNOWN = "author-year", "hanging-indent", "unknown"
+#: what a confidence is multiplied by where the reference list is of another kind
+PENALTY = 0.6
 
 
-def citations(bodies: DataFrame) -> DataFrame:
+def citations(bodies: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Numeric citations of every text: ranges between brackets first, then brackets, then abbreviated keys; a match that
     overlaps an earlier kind's is dropped. ``content`` is what stands in the brackets, as ``a-b`` for a range between them."""
-    body = F.col("body")
-    first, last = (F.try_to_number(F.regexp_extract(F.col("value"), BETWEEN, k), F.lit("999999999")).cast("int") for k in (1, 2))
-    row = lambda s, kind, rank: F.struct(s["begin"].alias("begin"), s["length"].alias("length"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), s["value"].alias("value"))
-    every = F.concat(
-        F.transform(spans(body, BETWEEN), lambda s: row(s, "between", 0)),
-        F.transform(spans(body, NUMERIC, 1), lambda s: row(s, "numeric", 1)),
-        F.transform(spans(body, ABBREVIATED, 1), lambda s: row(s, "abbreviated", 2)),
-    )
-    found = bodies.select("doc_id", F.explode(every).alias("c")).select("doc_id", "c.*")
-    found = found.where((F.col("kind") != "between") | ((first < last) & (last - first <= MOST_SPAN)))
-    content = F.when(F.col("kind") == "between", F.concat(first.cast("string"), F.lit("-"), last.cast("string"))).otherwise(F.col("value"))
-    rows = found.select("doc_id", "begin", "length", "rank", "kind", content.alias("content"))
-    # ranges between brackets are the only kind that others can lie within: the last one before each match decides
-    order = Window.partitionBy("doc_id").orderBy("begin", "rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    covered = F.max(F.when(F.col("rank") == 0, F.col("begin") + F.col("length"))).over(order)
-    return rows.withColumn("covered", covered).where((F.col("rank") == 0) | F.coalesce(F.col("covered") <= F.col("begin"), F.lit(True))).select("doc_id", "kind", "begin", "length", "content")
+    keys = keys or ["doc_id"]
+    return scanner.read_by(bodies, keys, "body", scanner.bracket_citations, "kind string, begin int, length int, content string")
 
 
 def cited_numbers(found: DataFrame) -> DataFrame:
@@ -105,25 +46,13 @@ def linked(found: DataFrame, refs: DataFrame) -> DataFrame:
     return out.where("valid > 0").withColumn("confidence", F.round(F.col("valid") / F.col("total"), 6)).where(F.col("confidence") >= LEAST_CONFIDENCE)
 
 
-def author_years(bodies: DataFrame) -> DataFrame:
-    """Author-year citations by every pattern, overlaps included: one row for each year, letters expanded. ``rank`` is the
-    pattern's, blocks first, and ``at`` to ``end`` the text it takes up: the whole block for each of its citations, which
+def author_years(bodies: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Author-year citations by every rule, overlaps included: one row for each year, letters expanded. ``rank`` is the
+    rule's, blocks first, and ``at`` to ``end`` the text it takes up: the whole block for each of its citations, which
     begin where their first author does. ``second`` is the second author where the reference must have one."""
-    cited = lambda begin, rank, at, length, author, second, dates: F.struct(begin.alias("begin"), F.lit(rank).alias("rank"), at.alias("at"), (at + length).alias("end"), author.alias("author"), second.alias("second"), dates.alias("dates"))
-    none = F.lit(None).cast("string")
-    name = lambda value, pattern, k: F.nullif(F.regexp_extract(value, pattern, k), F.lit("")) if k else none
-
-    def block(s: Column) -> Column:
-        inside = spans(s["value"], rf"{CHUNK}(?=\s*(?:;|\)$))")
-        second = lambda v: F.coalesce(*(name(v, CHUNK, k) for k in (2, 3, 4)))
-        return F.transform(inside, lambda c: cited(s["begin"] + c["begin"], 0, s["begin"], s["length"], F.regexp_extract(c["value"], CHUNK, 1), second(c["value"]), F.regexp_extract(c["value"], CHUNK, 5)))
-
-    def of(rank: int, pattern: str, second: int | None, dates: int) -> Column:
-        return F.transform(spans(F.col("body"), pattern), lambda s: cited(s["begin"], rank, s["begin"], s["length"], F.regexp_extract(s["value"], pattern, 1), name(s["value"], pattern, second), F.regexp_extract(s["value"], pattern, dates)))
-
-    every = F.concat(F.flatten(F.transform(spans(F.col("body"), BLOCK), block)), *(of(k, *p) for k, p in enumerate(AUTHOR_YEAR, 1)))
-    rows = bodies.select("doc_id", F.explode(every).alias("c")).select("doc_id", "c.*")
-    return rows.select("doc_id", "begin", "rank", "at", "end", F.regexp_replace("author", "['’]s$", "").alias("author"), "second", F.explode(years(F.col("dates"))).alias("year"))
+    keys = keys or ["doc_id"]
+    found = scanner.read_by(bodies, keys, "body", scanner.author_citations, "rank int, at int, end int, begin int, author string, second string, year string")
+    return found.select(*keys, "begin", "rank", "at", "end", "author", "second", "year")
 
 
 def signature(text: Column) -> Column:
@@ -138,9 +67,10 @@ def matched_authors(cited: DataFrame, refs: DataFrame) -> DataFrame:
     entries = refs.select("doc_id", "year", "ref_ord", signature(F.col("text")).alias("signature"))
     alone = refs.groupBy("doc_id", "year").agg(F.count(F.lit(1)).alias("of_year"))
     both = cited.join(entries, ["doc_id", "year"]).join(alone, ["doc_id", "year"])
-    quoted = lambda name: F.concat(F.lit("\\Q"), F.lower(F.trim(name)), F.lit("\\E"))
-    word = lambda name: F.rlike("signature", F.concat(F.lit(OPENS), quoted(name), F.lit(CLOSES)))
-    starts = F.rlike("signature", F.concat(F.lit("^"), quoted("author"), F.lit(r"(?:[^\p{L}]|$)")))
+    # the name's places become a sign that no text has, so that one constant pattern serves all names
+    marked = lambda name: F.replace(F.concat(F.lit(" "), F.col("signature"), F.lit(" ")), F.lower(F.trim(name)), F.lit("\1"))
+    word = lambda name: F.rlike(marked(name), F.lit("(?<![A-Za-z0-9_])\1(?![A-Za-z0-9_])"))
+    starts = F.rlike(marked("author"), F.lit("^ \1(?!\\p{L})"))
     joint = F.col("second").isNull() | word("second") if "second" in cited.columns else F.lit(True)
     sure = F.when(starts & joint, 1.0).when(word("author") & joint, 0.7).when(F.col("of_year") == 1, 0.5)
     ranked = both.where(F.length(F.trim("author")) >= 2).withColumn("confidence", sure).where("confidence is not null")
@@ -148,30 +78,125 @@ def matched_authors(cited: DataFrame, refs: DataFrame) -> DataFrame:
     return ranked.groupBy(*cited.columns).agg(best.alias("b")).select(*cited.columns, F.col("b.ref_ord").alias("ref_ord"), (-F.col("b.c")).alias("confidence"))
 
 
-def claimed(matched: DataFrame) -> DataFrame:
-    """Matched author-year citations that no earlier pattern's match overlaps; a citation without an entry claims no text."""
-    columns = ["rank", "at", "end", "begin", "author", "year", "ref_ord", "confidence"]
-    rows = matched.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("every"))
+def claimed(matched: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Matched citations (``rank, at, end, begin`` and more) that no earlier rule's match overlaps; a citation without an
+    entry claims no text. The citations of one text are settled together."""
+    keys = keys or ["doc_id"]
+    first = ["rank", "at", "end", "begin"]
+    columns = [*first, *(c for c in matched.columns if c not in (*first, *keys))]
+    rows = matched.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("every"))
     taken = lambda out, c: F.exists(out, lambda o: (o["at"] < c["end"]) & (c["at"] < o["end"]) & ((o["rank"] != c["rank"]) | (o["at"] != c["at"])))
     kept = F.aggregate("every", F.slice("every", F.lit(1), F.lit(0)), lambda out, c: F.when(taken(out, c), out).otherwise(F.concat(out, F.array(c))))
-    return rows.select("doc_id", F.explode(kept).alias("c")).select("doc_id", "c.begin", "c.author", "c.year", "c.ref_ord", "c.confidence")
+    return rows.select(*keys, F.explode(kept).alias("c")).select(*keys, *(F.col(f"c.{c}") for c in columns if c not in ("rank", "at", "end")))
 
 
-def mentions(bodies: DataFrame) -> DataFrame:
+def mentions(bodies: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Cross references of every kind: ``doc_id, kind, begin, length, target``."""
-    every = F.concat(*(_tagged(kind, p) for kind, p in MENTIONS.items()))
-    return bodies.select("doc_id", F.explode(every).alias("m")).select("doc_id", "m.kind", "m.begin", "m.length", "m.target")
+    return scanner.read_by(bodies, keys or ["doc_id"], "body", scanner.mentions, "kind string, begin int, length int, target string")
+
 
+def abbreviated_index(refs: DataFrame) -> DataFrame:
+    """``doc_id, key, ref_index, ref_ord``: the entry that an abbreviated key in lower case stands for; the last of equal keys."""
+    key = F.lower(F.col("ref_index").cast("string"))
+    return refs.groupBy("doc_id", key.alias("key")).agg(F.max(F.struct("ref_ord", "ref_index")).alias("e")).select("doc_id", "key", F.col("e.ref_index").alias("ref_index"), F.col("e.ref_ord").alias("ref_ord"))
 
-def _tagged(kind: str, pattern: str) -> Column:
-    return F.transform(spans(F.col("body"), pattern, 1), lambda s: F.struct(F.lit(kind).alias("kind"), s["begin"].alias("begin"), s["length"].alias("length"), s["value"].alias("target")))
+
+def abbreviated_linked(found: DataFrame, refs: DataFrame) -> DataFrame:
+    """Abbreviated citations with the entries of their keys, one row a key: ``doc_id, begin, key, ref_index, ref_ord``."""
+    keys = found.where("kind = 'abbreviated'").select("doc_id", "begin", F.explode(F.split("content", "[,;]")).alias("key"))
+    return keys.withColumn("key", F.trim("key")).join(abbreviated_index(refs).withColumnRenamed("key", "low"), ["doc_id"]).where(F.lower("key") == F.col("low")).drop("low")
+
+
+def loosely_matched(cited: DataFrame, refs: DataFrame) -> DataFrame:
+    """The looser match of ``doc_id, author, year``: the only entry of the year, else the first whose start holds the author,
+    else the first of the year. ``ref_ord`` is null where the year has no entry."""
+    entries = refs.select("doc_id", "year", "ref_ord", signature(F.col("text")).alias("signature"))
+    both = cited.join(entries, ["doc_id", "year"], "left")
+    holds = F.contains(F.col("signature"), F.lower(F.trim("author")))
+    out = both.groupBy(*cited.columns).agg(F.min(F.when(holds, F.col("ref_ord"))).alias("held"), F.min("ref_ord").alias("first"))
+    return out.select(*cited.columns, F.coalesce("held", "first").alias("ref_ord"))
+
+
+def inline_format(refs: DataFrame, sample: int = 25) -> DataFrame:
+    """How a document's citations should look by its first ``sample`` entries: each entry votes for the first format that it
+    begins with; ``format`` has the most votes (the first in order among equals), ``confidence`` its share."""
+    order = Window.partitionBy("doc_id").orderBy("ref_ord")
+    some = refs.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= sample)
+    start = entry_start(F.col("text"))
+    kinds = [*NUMBERED, AUTHOR_YEAR]
+    vote = F.coalesce(*(F.when(t, F.lit(k)) for t, k in zip([*(begins(start, k) for k in NUMBERED), author_start(F.col("text"))], kinds, strict=True)), F.lit(UNKNOWN))
+    rank = F.array_position(F.array(*(F.lit(k) for k in kinds)), F.col("format"))
+    votes = some.groupBy("doc_id", vote.alias("format")).agg(F.count(F.lit(1)).alias("n"))
+    total = votes.groupBy("doc_id").agg(F.sum("n").alias("total"), F.max(F.when(F.col("format") != UNKNOWN, F.struct("n", (-rank).alias("r"), "format"))).alias("best"))
+    return total.select("doc_id", F.coalesce("best.format", F.lit(UNKNOWN)).alias("format"), F.coalesce(F.col("best.n") / F.col("total"), F.lit(0.0)).alias("confidence"))
+
+
+def penalised(found: DataFrame, formats: DataFrame) -> DataFrame:
+    """``found (doc_id, type, confidence, ...)`` with the confidence of types that don't go with the document's format times
+    ``PENALTY``; superscripts never lose."""
+    numbered, author = F.col("type").isin("numeric", "between"), F.col("type") == "author-year"
+    odd = F.when(F.col("format") == AUTHOR_YEAR, numbered).otherwise(author)
+    odd = odd | ((F.col("type") == "abbreviated") & (F.col("format") != "numbered-abbr")) | (numbered & (F.col("format") == "numbered-abbr"))
+    out = found.join(formats.select("doc_id", "format"), "doc_id", "left")
+    return out.withColumn("confidence", F.when(F.coalesce(odd, F.lit(False)), F.col("confidence") * PENALTY).otherwise(F.col("confidence"))).drop("format")
+
+
+def superscripts(items: DataFrame, refs: DataFrame, body_height: float = 10.0) -> DataFrame:
+    """Superscript citations of lines' items ``doc_id, page_no, line_no, item_no, text, x, width, height``: small items (below
+    seven tenths of the body's height) less than half that height apart are one group; a group of numbers with an entry is
+    a citation. ``doc_id, page_no, line_no, x, content, total, valid, confidence``."""
+    small = items.where(F.col("height") < 0.7 * body_height)
+    order = Window.partitionBy("doc_id", "page_no", "line_no").orderBy("item_no")
+    gap = F.col("x") - F.lag(F.col("x") + F.col("width")).over(order)
+    new = F.when((gap >= -1) & (gap < 0.5 * body_height), 0).otherwise(1)
+    grouped = small.withColumn("new", new).withColumn("part", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item_no", "text"))), lambda s: s["text"]), "")
+    content = F.regexp_replace(F.regexp_replace(joined, r"^[^0-9]+|[^0-9]+$", ""), r"(?U)\s", "")
+    one = grouped.groupBy("doc_id", "page_no", "line_no", "part").agg(F.min("x").alias("x"), content.alias("content"))
+    one = one.where(F.regexp_like("content", F.lit("^[0-9]+(?:[-–—][0-9]+)?(?:,[0-9]+(?:[-–—][0-9]+)?)*$")))
+    numbers = one.select("*", F.explode(expand_numbers(F.col("content"))).alias("number"))
+    known = first_entries(refs).select("doc_id", F.col("ref_index").cast("string").alias("i"), F.lit(1).alias("known"))
+    checked = numbers.withColumn("i", F.col("number").cast("string")).join(known, ["doc_id", "i"], "left")
+    out = checked.groupBy("doc_id", "page_no", "line_no", "part", "x", "content").agg(F.count(F.lit(1)).alias("total"), F.count("known").alias("valid"))
+    return out.where("valid > 0").select("doc_id", "page_no", "line_no", "x", "content", "total", "valid", F.round(F.col("valid") / F.col("total"), 6).alias("confidence"))
+
+
+def inline_citations(pages: DataFrame, refs: DataFrame, skip: DataFrame | None = None) -> DataFrame:
+    """All citations in the texts of pages (``doc_id, page_no, body``): numeric, abbreviated and author-year ones with at least
+    one entry in ``refs``, none of which overlaps what an earlier rule has taken, penalised by the document's format.
+
+    ``skip (doc_id, start_page, end_page)`` names reference sections: pages strictly between are left out. The result is
+    ``doc_id, page_no, type, begin, refs, confidence, flags``; ``refs`` are the entries' places in the list, in order.
+    """
+    if skip is not None:
+        inner = pages.join(skip.select("doc_id", "start_page", "end_page"), "doc_id", "left")
+        pages = inner.where(~F.coalesce((F.col("page_no") > F.col("start_page")) & (F.col("page_no") < F.col("end_page")), F.lit(False))).drop("start_page", "end_page")
+    keys = ["doc_id", "page_no"]
+    known = first_entries(refs).select("doc_id", F.col("ref_index").cast("string").alias("i"), "ref_ord")
+    brackets = citations(pages, keys)
+    numeric = brackets.where("kind <> 'abbreviated'").withColumn("ranges", F.exists(number_items(F.col("content")), lambda s: s["last"].isNotNull()))
+    numeric = numeric.select("*", F.posexplode(expand_numbers(F.col("content"))).alias("place", "number")).withColumn("i", F.col("number").cast("string"))
+    lettered = abbreviated_index(refs).select("doc_id", F.col("key").alias("i"), "ref_ord")
+    keyed = brackets.where("kind = 'abbreviated'").withColumn("ranges", F.lit(False)).select("*", F.posexplode(F.split("content", "[,;]")).alias("place", "number")).withColumn("i", F.lower(F.trim("number")))
+    listed = [t.drop("number").join(k, ["doc_id", "i"], "left") for t, k in ((numeric, known), (keyed, lettered))]
+    both = listed[0].unionByName(listed[1])
+    order = F.transform(F.array_sort(F.collect_list(F.when(F.col("ref_ord").isNotNull(), F.struct("place", "ref_ord")))), lambda s: s["ref_ord"])
+    marks = both.groupBy(*keys, "kind", "begin", "length", "ranges").agg(F.count(F.lit(1)).alias("total"), order.alias("refs")).where(F.size("refs") > 0)
+    rank = F.when(F.col("kind") == "between", 0).when(F.col("kind") == "numeric", 1).otherwise(2)
+    bits = F.when(F.col("ranges"), RANGE).otherwise(0) + F.when(F.size("refs") > 1, MULTI_REF).otherwise(0)
+    one = marks.select(*keys, rank.alias("rank"), F.col("begin").alias("at"), (F.col("begin") + F.col("length")).alias("end"), "begin", F.when(F.col("kind") == "between", "numeric").otherwise(F.col("kind")).alias("type"), "refs", (F.size("refs") / F.col("total")).alias("confidence"), bits.alias("flags"))
+    cited = matched_authors(author_years(pages, keys), refs)
+    every = F.array_sort(F.collect_list(F.struct("year", "ref_ord")))
+    authors = cited.groupBy(*keys, "rank", "at", "end", "begin").agg(F.transform(every, lambda s: s["ref_ord"]).alias("refs"), F.avg("confidence").alias("confidence"))
+    many = F.when(F.size("refs") > 1, MULTI_REF + MULTI_YEAR).otherwise(0)
+    two = authors.select(*keys, (F.col("rank") + 3).alias("rank"), "at", "end", "begin", F.lit("author-year").alias("type"), "refs", "confidence", many.alias("flags"))
+    kept = claimed(one.unionByName(two), keys)
+    return penalised(kept, inline_format(refs)).select(*keys, "type", "begin", "refs", F.round("confidence", 6).alias("confidence"), "flags")
 
 
 def captions(lines: DataFrame) -> DataFrame:
     """Lines that define what cross references point at; of one kind and number the first counts."""
-    kind = F.coalesce(*(F.when(F.col("text").rlike(p), F.lit(k)) for k, p in CAPTIONS.items()))
-    target = F.coalesce(*(F.when(F.col("text").rlike(p), F.regexp_extract("text", p, 1)) for p in CAPTIONS.values()))
-    found = lines.select("doc_id", "line_no", kind.alias("kind"), target.alias("target")).where("kind is not null")
+    found = scanner.read_by(lines, ["doc_id", "line_no"], "text", scanner.definition, "kind string, target string")
     return found.groupBy("doc_id", "kind", "target").agg(F.min("line_no").alias("line_no"))
 
 
@@ -180,21 +205,62 @@ def resolved(found: DataFrame, targets: DataFrame) -> DataFrame:
     return found.join(targets, ["doc_id", "kind", "target"], "left")
 
 
+def entry_start(text: Column) -> Column:
+    """What an entry begins with: an opening sign, a number or key, a closing sign, blanks, and the next character."""
+    sign, number, closing, gap, following = (F.regexp_extract(text, r"(?U)^\s*([\[(]?)([0-9]+|[A-Z][A-Za-z]+\+?[0-9]{2}[a-z]?)([\]).]?)(\s*)(\S?)", k) for k in range(1, 6))
+    return F.struct(sign.alias("sign"), number.alias("number"), closing.alias("closing"), (gap != "").alias("apart"), following.alias("following"))
+
+
+def begins(start: Column, kind: str) -> Column:
+    """Whether an entry that begins with ``start`` is of a numbered format."""
+    digits = start["number"].rlike("^[0-9]")
+    around = lambda a, b: (start["sign"] == a) & (start["closing"] == b)
+    rules = {
+        "numbered-bracket": digits & around("[", "]"),
+        "numbered-paren": digits & around("(", ")"),
+        "numbered-dot": digits & around("", ".") & start["apart"],
+        "numbered-plain": digits & around("", "") & start["apart"] & start["following"].rlike("^[A-Z]"),
+        "numbered-abbr": ~digits & (start["number"] != "") & around("[", "]"),
+    }
+    return rules[kind]
+
+
+def author_start(text: Column) -> Column:
+    """Whether an entry begins with a name and an initial and has a year of 1900 to 2099 later on."""
+    return F.regexp_like(text, F.lit(r"^[A-Z][a-zÀ-ÿ]+[,\s]+[A-Z].*(?:19|20)[0-9]{2}"))
+
+
 def entry_format(refs: DataFrame, sample: int = 50) -> DataFrame:
-    """How a document's reference list is numbered: the pattern that most of its first 50 entries of more than ten
-    characters begin with, the first in order among equals, if a tenth do; else ``author-year`` or ``unknown``."""
-    some = refs.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("ref_ord"))).where(f"nth <= {sample}").where(F.length("text") > 10)
-    votes = [F.sum(F.col("text").rlike(p).cast("int")).alias(f"v{k}") for k, p in enumerate(ENTRY_FORMATS.values())]
-    authors = F.sum(F.col("text").rlike(r"^[A-Z][a-zÀ-ÿ]+(?:[,\s]+[A-Z]\.?\s*)+.*?\(?(?:19|20)[0-9]{2}[a-z]?\)?").cast("int")).alias("authors")
-    counted = some.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), authors, *votes)
-    best = F.array_max(F.array(*(F.struct(F.col(f"v{k}").alias("v"), F.lit(-k).alias("k"), F.lit(name).alias("name")) for k, name in enumerate(ENTRY_FORMATS))))
-    return counted.select("doc_id", F.when(best["v"] >= F.greatest(0.1 * F.col("n"), F.lit(1)), best["name"]).when(F.col("authors") >= 0.15 * F.col("n"), F.lit("author-year")).otherwise(F.lit("unknown")).alias("format"), F.col("n").alias("sampled"))
-
-
-def numbered_entries(lines: DataFrame) -> DataFrame:
-    """Lines of reference lists joined to entries: a line that begins with ``[n]`` opens one, others go on; lines before the first are dropped."""
-    number = F.regexp_extract("text", ENTRY_FORMATS["numbered-bracket"], 1)
+    """How a document's reference list is numbered: of its first 50 lines of more than ten characters (trimmed), the format
+    that most begin with, the first in order among equals, if a tenth do; else ``author-year`` if 0.15 of them begin as such
+    entries do; else ``hanging-indent`` if, of six lines or more with an ``x``, three are indented by more than half the
+    ``font_size`` against the line before; else ``unknown``."""
+    order = Window.partitionBy("doc_id").orderBy("ref_ord")
+    long = refs.where(F.length(F.regexp_replace("text", r"(?U)^\s+|\s+$", "")) > 10)
+    some = long.withColumn("nth", F.row_number().over(order)).where(f"nth <= {sample}")
+    rises = F.col("x") > F.lag("x").over(order) + 0.5 * F.col("font_size") if {"x", "font_size"} <= set(refs.columns) else F.lit(False)
+    some = some.withColumn("rises", F.coalesce(rises, F.lit(False))).withColumn("start", entry_start(F.col("text")))
+    votes = [F.count_if(begins(F.col("start"), kind)).alias(f"v{k}") for k, kind in enumerate(NUMBERED)]
+    counted = some.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(author_start(F.col("text"))).alias("authors"), F.count_if("rises").alias("rises"), *votes)
+    best = F.array_max(F.array(*(F.struct(F.col(f"v{k}").alias("v"), F.lit(-k).alias("k"), F.lit(name).alias("name")) for k, name in enumerate(NUMBERED))))
+    kind = F.when(best["v"] >= 0.1 * F.col("n"), best["name"]).when(F.col("authors") >= 0.15 * F.col("n"), AUTHOR_YEAR).when((F.col("n") >= 6) & (F.col("rises") >= 3), HANGING).otherwise(UNKNOWN)
+    return refs.select("doc_id").distinct().join(counted.select("doc_id", kind.alias("format"), F.col("n").alias("sampled")), "doc_id", "left").select("doc_id", F.coalesce("format", F.lit(UNKNOWN)).alias("format"), F.coalesce("sampled", F.lit(0)).alias("sampled"))
+
+
+def numbered_entries(lines: DataFrame, kind: str = "numbered-bracket") -> DataFrame:
+    """Lines of reference lists joined to entries: a line that begins as ``kind`` does opens one, others go on; lines before the first are dropped."""
+    start = entry_start(F.col("text"))
+    number = F.when(begins(start, kind), start["number"]).otherwise("")
     order = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     grouped = lines.withColumn("number", number).withColumn("entry", F.sum((F.col("number") != "").cast("int")).over(order)).where("entry > 0")
     listed = grouped.groupBy("doc_id", "entry").agg(F.max("number").alias("ref_index"), F.array_sort(F.collect_list(F.struct("line_no", "text"))).alias("l"))
     return listed.select("doc_id", "entry", "ref_index", F.array_join(F.transform("l", lambda s: s["text"]), " ").alias("text"))
+
+
+def anchors(entries: DataFrame) -> DataFrame:
+    """What is read from an entry's ``text``: its year (the first of 1900 to 2099, a letter perhaps), the 40 characters that
+    authors are sought in, and whether the first 100 name several."""
+    year = F.regexp_extract("text", r"(?<![A-Za-z0-9_])((?:19|20)[0-9]{2}[a-z]?)(?![A-Za-z0-9_])", 1)
+    bare = F.regexp_replace("text", r"^[\[(]?[0-9]+[\]).\s]*", "")
+    several = F.regexp_like(F.left("text", F.lit(100)), F.lit(r"(?i)(?<![a-z0-9_])(?:et\s+al|and)(?![a-z0-9_])|,.*,|&"))
+    return entries.withColumn("year", F.nullif(year, F.lit(""))).withColumn("author_search_text", F.lower(F.left(bare, F.lit(40)))).withColumn("has_multiple_authors", several)

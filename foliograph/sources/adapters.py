@@ -70,16 +70,49 @@ refs AS (SELECT l_orderkey AS doc_id, (row_number() OVER (PARTITION BY l_orderke
 """
 
 
-def bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sentence for each order that cites its entries and points at figures, tables and sections: ``doc_id, body``."""
-    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.min("l_linenumber").alias("lo"), F.max("l_linenumber").alias("hi"), F.count(F.lit(1)).alias("n"), F.min("l_suppkey").alias("s"), F.min(F.year("l_shipdate")).alias("y"))
-    lo, hi, n = (F.col(c).cast("string") for c in ("lo", "hi", "n"))
-    parts = ["As shown in [", lo, "-", hi, ", ", n, "] and by ", author(F.col("s")), " et al. (", F.col("y").cast("string"), "), see Fig. ", n, " and Table ", hi, "; Section ", lo, ".", n, " and [", hi, "]–[", (F.col("hi") + 2).cast("string"), "] go on, as do [ABC+9", lo, "] and [40-90]."]
-    return rows.select(F.col("l_orderkey").alias("doc_id"), F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts)).alias("body"))
+#: sentences of the papers, one an order by its key: plain text, and what is to be found in it. Braces name columns of
+#: ``PAPERS_SQL``: the least and greatest line number, their count, an author and a year. What is to be found is a family,
+#: its kind, the text, and what it stands for: for brackets the content and the numbers as SQL, for authors the year.
+SENTENCES = (
+    ["As shown in ", ("bracket", "numeric", "[{lo}-{hi}, {n}]", "{lo}-{hi}, {n}", "list_append(range(lo, least(hi, lo + 30) + 1), n)"), " and by ", ("author", "one", "{a}", "{y}"), " et al. ({y}), see ", ("mention", "figure", "Fig. {n}", "{n}"), " and ", ("mention", "table", "Table {hi}", "{hi}"), "; ", ("mention", "section", "Section {lo}.{n}", "{lo}.{n}"), " and ", ("bracket", "between", "[{hi}]–[{hi2}]", "{hi}-{hi2}", "range(hi, hi + 3)"), " go on, as do ", ("bracket", "abbreviated", "[ABC+9{lo}]", "ABC+9{lo}", None), " and ", ("bracket", "numeric", "[40-90]", "40-90", "range(40, 71)"), "."],
+    ["Others (see ", ("author", "block", "{a}", "{y}"), ", {y}; Nobody, 1901; among others) prove ", ("mention", "equation", "Eq. ({n}.{lo})", "{n}.{lo}"), ", ", ("mention", "algorithm", "Algorithm {hi}", "{hi}"), " and ", ("mention", "theorem", "Lemma {lo}", "{lo}"), " [", ("bracket", "numeric", "[{lo}; {hi}]", "{lo}; {hi}", "[lo, hi]"), "]."],
+    ["(", ("author", "block", "{a}", "{y}"), ", {y}, pp. 3-4) as in ", ("mention", "sectionMark", "§ {lo}.{n}", "{lo}.{n}"), ", ", ("mention", "appendix", "App. B.{hi}", "B.{hi}"), ", not in configs {n}, ", ("mention", "figure", "FIGURE {lo}a – {n}b, {hi}", "{lo}a – {n}b, {hi}"), " nor ", ("bracket", "numeric", "[{hi}]", "{hi}", "[hi]"), "-", ("bracket", "numeric", "[1]", "1", "[1]"), ", but in ", ("bracket", "numeric", "[{lo} — {hi}]", "{lo} — {hi}", "range(lo, least(hi, lo + 30) + 1)"), "."],
+    ["No citation: [see {n}], [A1], (in {y}), Sect {lo}, tabletop {hi}, and ", ("mention", "table", "tab. S{lo}, S{hi}", "S{lo}, S{hi}"), "; ", ("author", "one", "{a}", "{y}"), "'s ({y}) is one, ", ("bracket", "abbreviated", "[Kno8{lo}, TeX9{hi}b]", "Kno8{lo}, TeX9{hi}b", None), " two."],
+)
+_COLUMNS = {"lo": "lo", "hi": "hi", "n": "n", "hi2": "(hi + 2)", "a": "author", "y": "y"}
 
 
-BODIES_SQL = """
-bodies AS (SELECT l_orderkey AS doc_id, 'As shown in [' || min(l_linenumber) || '-' || max(l_linenumber) || ', ' || count(*) || '] and by Q' || translate(min(l_suppkey)::VARCHAR, '0123456789', 'abcdefghij') || ' et al. (' || min(year(l_shipdate)) ||
-  '), see Fig. ' || count(*) || ' and Table ' || max(l_linenumber) || '; Section ' || min(l_linenumber) || '.' || count(*) || ' and [' || max(l_linenumber) || ']–[' || (max(l_linenumber) + 2) || '] go on, as do [ABC+9' || min(l_linenumber) || '] and [40-90].' AS body
-  FROM lineitem GROUP BY l_orderkey)
-"""
+def _parts(template: str) -> list[tuple[bool, str]]:
+    """A template as plain parts and names in braces (True)."""
+    import re
+
+    return [(k % 2 == 1, x) for k, x in enumerate(re.split(r"\{(\w+)\}", template)) if x or k % 2]
+
+
+def sql_text(template: str) -> str:
+    return " || ".join(f"{_COLUMNS[x]}::VARCHAR" if named else "'" + x.replace("'", "''") + "'" for named, x in _parts(template)) or "''"
+
+
+def bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sentence for each order that cites its entries and points at other parts: ``doc_id, body``."""
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.min("l_linenumber").alias("lo"), F.max("l_linenumber").alias("hi"), F.count(F.lit(1)).alias("n"), F.min("l_suppkey").alias("s"), F.min(F.year("l_shipdate")).alias("y"))
+    of = {"hi2": F.col("hi") + 2, "a": author(F.col("s"))}
+    text = lambda t: F.concat(*(of.get(x, F.col(x) if named else None).cast("string") if named else F.lit(x) for named, x in _parts(t)))
+    whole = ["".join(x if isinstance(x, str) else x[2] for x in sentence) for sentence in SENTENCES]
+    return rows.select(F.col("l_orderkey").alias("doc_id"), F.coalesce(*(F.when(F.col("l_orderkey") % len(whole) == k, text(t)) for k, t in enumerate(whole))).alias("body"))
+
+
+PAPERS_SQL = "papers AS (SELECT l_orderkey AS doc_id, min(l_linenumber) AS lo, max(l_linenumber) AS hi, count(*) AS n, 'Q' || translate(min(l_suppkey)::VARCHAR, '0123456789', 'abcdefghij') AS author, min(year(l_shipdate)) AS y FROM lineitem GROUP BY 1)"
+
+
+def marked_sql(family: str) -> str:
+    """What the sentences hold of one family: ``doc_id, kind, begin, length, content, ns, author, y`` from ``papers``."""
+    found = []
+    for k, sentence in enumerate(SENTENCES):
+        before = ""
+        for x in sentence:
+            if not isinstance(x, str) and x[0] == family:
+                numbers = x[4] if len(x) > 4 and x[4] else "NULL"
+                found.append(f"SELECT doc_id, '{x[1]}' AS kind, length({sql_text(before)})::INT AS \"begin\", length({sql_text(x[2])})::INT AS length, {sql_text(x[3])} AS content, {numbers}::BIGINT[] AS ns, author, y FROM papers WHERE doc_id % {len(SENTENCES)} = {k}")
+            before += x if isinstance(x, str) else x[2]
+    return " UNION ALL ".join(found)
