@@ -17,9 +17,9 @@ def mode_first_seen(rows: DataFrame, keys: list[str], value: str, order: list[st
     return counted.groupBy(*keys).agg(best.alias("__best")).select(*keys, F.col("__best.v").alias(name))
 
 
-def upper_median(value: Column) -> Column:
-    """Of n sorted values the one with n / 2, rounded down, before it."""
-    return F.element_at(F.sort_array(F.collect_list(value)), F.floor(F.count(value) / 2).cast("int") + 1)
+def upper_median(value: str) -> Column:
+    """Of n sorted values the one with n / 2, rounded down, before it: the middle from above. Counts combine before the shuffle."""
+    return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {value} DESC)")
 
 
 def middle_median(value: Column) -> Column:
@@ -27,6 +27,6 @@ def middle_median(value: Column) -> Column:
     return F.coalesce(F.percentile(value, 0.5), F.lit(0.0))
 
 
-def nearest_rank(value: Column, percent: int) -> Column:
+def nearest_rank(value: str, percent: int) -> Column:
     """The value at rank ``percent`` of n hundredths, rounded up; the first at least."""
-    return F.element_at(F.sort_array(F.collect_list(value)), F.greatest(F.ceil(F.lit(percent) / 100 * F.count(value)), F.lit(1)).cast("int"))
+    return F.expr(f"percentile_disc({percent / 100}) WITHIN GROUP (ORDER BY {value})")

@@ -11,12 +11,15 @@ from pyspark.sql import functions as F
 
 #: hyphen, en dash, em dash (fixed values)
 DASH = "[-–—]"
-#: word boundaries by ASCII word characters only
-OPENS, CLOSES = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
 #: roman numerals that count as such (fixed values): I to XXV
 ROMAN = ("I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX", "X", "XI", "XII", "XIII", "XIV", "XV", "XVI", "XVII", "XVIII", "XIX", "XX", "XXI", "XXII", "XXIII", "XXIV", "XXV")
-#: section numbers at the start of a heading: dotted digits, (n), A. or A.1, (a), roman with a full stop, (roman)
-SECTION_NUMBER = r"^(?:[0-9]+(?:\.[0-9]+)*\.?\s+|\([0-9]+\)\s*|[A-Z]\.(?:[0-9]+(?:\.[0-9]+)*\.?)?\s+|\([A-Za-z]\)\s*|[IVXLCDM]+\.\s+|\([IVXLCDM]+\)\s*)"
+_DOTTED = r"[0-9]+(?:\.[0-9]+)*"
+_ROMAN = "[IVXLCDM]+"
+#: numbers of a heading that a blank ends: dotted digits, a letter and a full stop (digits perhaps), roman and a full stop
+_BEFORE_BLANK = (rf"{_DOTTED}\.?", rf"[A-Z]\.(?:{_DOTTED}\.?)?", rf"{_ROMAN}\.")
+#: numbers in parentheses: digits, a letter, roman
+_IN_PARENTHESES = ("[0-9]+", "[A-Za-z]", _ROMAN)
+SECTION_NUMBER = "^(?:" + "|".join([rf"(?:{x})\s+" for x in _BEFORE_BLANK] + [rf"\((?:{x})\)\s*" for x in _IN_PARENTHESES]) + ")"
 LONGEST_RANGE = 31
 
 
@@ -63,7 +66,7 @@ def appendix_letter(title: Column) -> Column:
 
 def title_case(text: Column) -> Column:
     """At least 5 characters and 2 words, three fifths of which begin with a capital A to Z."""
-    words = F.filter(F.split(F.trim(text), r"(?U)\s+"), lambda w: w != "")
+    words = F.split(F.trim(text), r"(?U)[\s.]+")
     return (F.length(text) >= 5) & (F.size(words) >= 2) & (F.size(F.filter(words, lambda w: w.rlike("^[A-Z]"))) >= 0.6 * F.size(words))
 
 
@@ -81,6 +84,15 @@ def titles_match(a: Column, b: Column) -> Column:
     return (a != "") & (b != "") & (begins | ((F.size(words) >= 3) & (overlap(words, F.split(b, " ")) >= 0.5 * F.size(words))))
 
 
+def similar_titles(a: str, b: str) -> bool:
+    """Whether two normalised titles are equal or agree by the rule of ``titles_match``, for passes in Python."""
+    if not a or not b:
+        return False
+    short, long = sorted((a, b), key=len)
+    words, others = a.split(" "), set(b.split(" "))
+    return a == b or (len(short) >= 15 and long.startswith(short)) or (len(words) >= 3 and sum(w in others for w in words) >= 0.5 * len(words))
+
+
 def url_fragment(url: Column) -> Column:
     """What identifies an address: arXiv number, DOI, or host and path; the address itself if it has no host."""
     host = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)
@@ -140,21 +152,6 @@ def years(text: Column) -> Column:
     return F.aggregate(items, start, step, lambda s: s["out"])
 
 
-def spans(text: Column, pattern: str, group: int = 0) -> Column:
-    """All matches of a pattern as an array of (begin, length, value), in code points; ``value`` is the group's."""
-    gaps, whole, value = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    row = "array<struct<begin:int,length:int,value:string>>"
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(row).alias("out"))
-
-    def step(state: Column, x: Column) -> Column:
-        begin = state["at"] + F.length(x["gaps"])
-        hit = F.array(F.struct(begin.alias("begin"), F.length(x["whole"]).alias("length"), x["value"].alias("value"))).cast(row)
-        return F.struct((begin + F.coalesce(F.length(x["whole"]), F.lit(0))).alias("at"), F.when(x["whole"].isNotNull(), F.concat(state["out"], hit)).otherwise(state["out"]).alias("out"))
-
-    zipped = F.arrays_zip(gaps.alias("gaps"), whole.alias("whole"), value.alias("value"))
-    return F.aggregate(zipped, start, step, lambda s: s["out"])
-
-
 def pdf_date(value: Column) -> Column:
     """``D:YYYYMMDDHHMM...`` as ``YYYY-MM-DD HH:MM``; another text as it is, nothing as ``Unknown``."""
     parts = F.regexp_extract(value, r"^D:([0-9]{12})", 1)
@@ -189,3 +186,59 @@ def page_range(query: Column, start: Column, total: Column) -> Column:
     page = F.regexp_extract(query, r"^\s*([0-9]{1,9})\s*$", 1)
     to = F.when(plus != "", F.least(start + F.try_to_number(plus, F.lit("999999999")).cast("int"), total)).when(page != "", F.least(F.try_to_number(page, F.lit("999999999")).cast("int"), total))
     return F.when(to > start, to)
+
+
+def search_range(first: Column, last: Column, titles: Column, pages: Column, total: Column) -> Column:
+    """``(from, to)`` of a ranged search. ``first`` is a page's number or part of a section's title, ``last`` that or ``+n`` pages; ``titles`` and
+    ``pages`` are the sections in order. Anything else is page 1 and the last page; ``to`` is null unless beyond ``from``."""
+
+    def page(q: Column) -> Column:
+        number = F.try_to_number(F.nullif(F.regexp_extract(q, r"^\s*([0-9]{1,9})\s*$", 1), F.lit("")), F.lit("999999999")).cast("int")
+        wanted = F.lower(F.trim(q))
+        hit = F.array_position(F.transform(titles, lambda t: F.contains(F.lower(t), wanted)), True)
+        return F.coalesce(F.when(number.between(1, total), number), F.when((wanted != "") & (hit > 0), F.get(pages, (hit - 1).cast("int"))))
+
+    start = F.coalesce(page(first), F.lit(1))
+    plus = F.try_to_number(F.nullif(F.regexp_extract(last, r"^\s*\+\s*([0-9]{1,9})\s*$", 1), F.lit("")), F.lit("999999999")).cast("int")
+    end = F.coalesce(F.when(plus.isNotNull(), F.least(start + plus, total)), page(last))
+    return F.struct(start.alias("from"), F.when(end > start, end).alias("to"))
+
+
+def metadata(values: Column) -> Column:
+    """A map of a document's facts with "Unknown" for what is missing or empty."""
+    return F.transform_values(values, lambda k, v: F.coalesce(F.nullif(v, F.lit("")), F.lit("Unknown")))
+
+
+def linked_parts(text: Column) -> Column:
+    """A text as parts ``(text, url)`` in order: addresses and arXiv numbers with where they lead, what lies between with null."""
+    pattern = r"https?://[^\s<>\"]+[^\s<>\".,;:)\]]|(?i:arxiv):\s*[0-9]{4}\.[0-9]{4,5}(?:v[0-9]+)?"
+    gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    none = F.lit(None).cast("string")
+    number = lambda h: F.regexp_extract(h, r"([0-9]{4}\.[0-9]{4,5}(?:v[0-9]+)?)$", 1)
+    url = lambda h: F.when(h.rlike("^https?://"), h).otherwise(F.concat(F.lit("https://arxiv.org/abs/"), number(h)))
+    pairs = F.transform(F.arrays_zip(gaps.alias("g"), hits.alias("h")), lambda x: F.array(F.struct(x["g"].alias("text"), none.alias("url")), F.struct(x["h"].alias("text"), url(x["h"]).alias("url"))))
+    return F.filter(F.flatten(pairs), lambda s: F.coalesce(s["text"], F.lit("")) != "")
+
+
+def base64_text(content: Column, mime: str = "application/pdf") -> Column:
+    """Bytes as a ``data:`` address."""
+    return F.concat(F.lit(f"data:{mime};base64,"), F.regexp_replace(F.base64(content), r"\s", ""))
+
+
+def truncate_words(text: Column, most: int) -> Column:
+    """At most ``most`` characters, three full stops behind what was cut."""
+    return F.when(F.length(text) > most, F.concat(F.left(text, F.lit(most)), F.lit("..."))).otherwise(text)
+
+
+def clamp(value: Column, low: Column, high: Column) -> Column:
+    return F.least(F.greatest(value, low), high)
+
+
+def fit_scale(width: Column, height: Column, room: Column, tall: Column) -> Column:
+    """The scale at which a page fits into a room."""
+    return F.least(room / width, tall / height)
+
+
+def scroll_target(offset: Column, page_height: Column, top: Column, scale: Column) -> Column:
+    """Where to scroll to for a place ``top`` above a page's bottom."""
+    return offset + (page_height - top) * scale

@@ -18,13 +18,14 @@ DEFAULT_COLOR = "yellow"
 
 def nearest_color(rows: DataFrame, column: str) -> DataFrame:
     """``color_name`` of the palette's nearest colour by Euclid's distance; the first among equals, yellow for what is no colour."""
-    value = rgb(F.col(column))
+    plain = F.regexp_replace(F.col(column), "^#", "")
+    value = rgb(F.concat(F.lit("#"), plain))
     ranked = []
     for place, (name, code) in enumerate(PALETTE):
         r, g, b = (int(code[k : k + 2], 16) for k in (1, 3, 5))
         distance = F.pow(value["red"] - r, 2) + F.pow(value["green"] - g, 2) + F.pow(value["blue"] - b, 2)
         ranked.append(F.struct(distance.alias("d"), F.lit(place).alias("place"), F.lit(name).alias("name")))
-    known = F.col(column).rlike("^#[0-9a-fA-F]{6}$")
+    known = plain.rlike("^[0-9a-fA-F]{6}$")
     return rows.withColumn("color_name", F.when(known, F.array_min(F.array(*ranked))["name"]).otherwise(F.lit(DEFAULT_COLOR)))
 
 

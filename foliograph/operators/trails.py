@@ -5,28 +5,45 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliograph.functions import text as T
+from foliograph.functions.folds import in_order
+
 #: how long a click waits (fixed values): minutes, and how many wait at most
 LIFETIME_MINUTES = 10
 WAITING = 5
 TRAILS = 8
 
 
-def matched(clicks: DataFrame, opened: DataFrame, minutes: int = LIFETIME_MINUTES) -> DataFrame:
-    """Each opened paper with the first click of its user, by time, that is at most ``minutes`` older; a click is used once,
-    by the first paper that could take it.
+class _Waiting:
+    """The clicks of a user that wait for a paper, in order of arrival."""
+
+    def __init__(self) -> None:
+        self.clicks: list[dict] = []
+
+
+def matched(clicks: DataFrame, opened: DataFrame, minutes: int = LIFETIME_MINUTES, most: int = WAITING) -> DataFrame:
+    """Each opened paper with the click that led to it: ``open_id, click_id``.
 
-    Time falls into slots as long as the lifetime, so that the join has user and slot as keys: each click is sent to its
-    own slot and the next.
+    Both sides have ``user_id, event_id, ts, title, url``. A user's last ``most`` clicks wait; a paper takes the first of them that is
+    ``minutes`` old at most and agrees with it: equal or similar titles (as ``titles_match``), or the paper's address holds the
+    click's. A click that is taken is gone, and so are others of that very time. At one time clicks come before papers, and
+    ids decide. One pass over each user's events in order; the state is ``most`` clicks. Rows without a user match nothing.
     """
-    seconds = minutes * 60
-    slot = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / (seconds * 1_000_000))
-    sent = clicks.select("user_id", F.col("event_id").alias("click_id"), F.col("ts").alias("click_ts")).withColumn("slot", F.explode(F.array(slot("click_ts"), slot("click_ts") + 1)))
-    asked = opened.select("user_id", F.col("event_id").alias("open_id"), F.col("ts").alias("open_ts")).withColumn("slot", slot("open_ts"))
-    age = F.unix_micros(F.col("open_ts").cast("timestamp")) - F.unix_micros(F.col("click_ts").cast("timestamp"))
-    pairs = asked.join(sent, ["user_id", "slot"]).where(age.between(0, seconds * 1_000_000))
-    by_click = pairs.withColumn("nth", F.row_number().over(Window.partitionBy("click_id").orderBy("open_ts", "open_id"))).where("nth = 1")
-    by_open = by_click.groupBy("open_id").agg(F.min(F.struct("click_ts", "click_id"))["click_id"].alias("click_id"))
-    return by_open.select("open_id", "click_id")
+    side = lambda t, kind: t.select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.lit(kind).alias("kind"), "event_id", T.normalize_title(F.col("title")).alias("title"), T.url_fragment(F.col("url")).alias("fragment"))
+    rows = side(clicks, 0).unionByName(side(opened, 1)).where("user_id is not null")
+    oldest = minutes * 60 * 1_000_000
+
+    def step(state: _Waiting, row: dict):
+        if row["kind"] == 0:
+            state.clicks = [*state.clicks, row][-most:]
+            return []
+        for c in state.clicks:
+            if row["at"] - c["at"] <= oldest and (T.similar_titles(row["title"], c["title"]) or (c["fragment"] and c["fragment"] in (row["fragment"] or ""))):
+                state.clicks = [x for x in state.clicks if x["at"] != c["at"]]
+                return [(row["event_id"], c["event_id"])]
+        return []
+
+    return in_order(rows, ["user_id"], ["at", "kind", "event_id"], "open_id long, click_id long", _Waiting, step)
 
 
 def waiting(clicks: DataFrame, most: int = WAITING) -> DataFrame:
@@ -57,3 +74,90 @@ def milestones(events: DataFrame) -> DataFrame:
     """Events whose value is the largest of their user so far: each height is reached once."""
     before = F.max("value").over(Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1))
     return events.withColumn("before", before).where(F.coalesce(F.col("value") > F.col("before"), F.lit(True))).select("user_id", "event_id", "value")
+
+
+def connected(matches: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Where matched papers go in the trails: ``open_id, trail_id, parent_id, new``. ``matches`` has ``open_id, source`` (the normalised title
+    that the click came from), ``nodes`` has ``trail_id, node_id, title_norm, ord``: the first node of that title is the parent;
+    without one a new trail begins, named by the match."""
+    first = nodes.where("title_norm <> ''").groupBy("title_norm").agg(F.min(F.struct("ord", "trail_id", "node_id")).alias("n"))
+    out = matches.join(first, F.col("source") == F.col("title_norm"), "left")
+    return out.select("open_id", F.coalesce("n.trail_id", "open_id").alias("trail_id"), F.col("n.node_id").alias("parent_id"), F.col("n").isNull().alias("new"))
+
+
+def added_children(nodes: DataFrame, children: DataFrame) -> DataFrame:
+    """Trail nodes (``trail_id, parent_id, node_id, title_norm, ord``) with the children that aren't there yet: of one parent and title the
+    node that was there, else the first child; children without a title always come in."""
+    rows = nodes.withColumn("new", F.lit(0)).unionByName(children.withColumn("new", F.lit(1)))
+    nth = F.row_number().over(Window.partitionBy("trail_id", "parent_id", "title_norm").orderBy("new", "ord", "node_id"))
+    return rows.withColumn("nth", nth).where((F.col("nth") == 1) | (F.col("new") == 0) | (F.coalesce("title_norm", F.lit("")) == "")).drop("nth", "new")
+
+
+def shown(trails: DataFrame, nodes: DataFrame, title: str, others: int = 5) -> DataFrame:
+    """Each user's trails in the order that they are shown in: those with a node of ``title``, then ``others`` more; stars first, then
+    the last read. ``user_id, trail_id, current, place``."""
+    here = nodes.where(F.col("title_norm") == title).select("trail_id").distinct().withColumn("current", F.lit(True))
+    rows = trails.join(here, "trail_id", "left").withColumn("current", F.coalesce("current", F.lit(False)))
+    order = lambda *keys: F.row_number().over(Window.partitionBy("user_id", *keys).orderBy(F.desc("current"), F.desc("starred"), F.desc("last_ts"), "trail_id"))
+    kept = rows.withColumn("nth", order("current")).where(F.col("current") | (F.col("nth") <= others))
+    return kept.select("user_id", "trail_id", "current", (order() - 1).cast("int").alias("place"))
+
+
+#: how long an answer is kept, and how far apart requests are, in seconds; how long a permission to pass lasts (fixed values)
+KEPT, APART, PASS = 300, 2, 5
+
+
+def looked_up(requests: DataFrame, kept: float = KEPT) -> DataFrame:
+    """Requests (``client, key, event_id, ts, ok``) with ``real``: whether one goes out, as no successful one of its client and key did less
+    than ``kept`` seconds before. One pass over each key's requests in order."""
+    rows = requests.select("client", "key", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "ok")
+
+    def step(last: list, row: dict):
+        real = not last or row["at"] - last[0] >= kept * 1_000_000
+        if real and row["ok"]:
+            last[:] = [row["at"]]
+        return [(row["client"], row["key"], row["event_id"], row["at"], real)]
+
+    return in_order(rows, ["client", "key"], ["at", "event_id"], "client long, key long, event_id long, at long, real boolean", list, step)
+
+
+def spaced(real: DataFrame, apart: float = APART) -> DataFrame:
+    """When requests of a client (``client, event_id, at`` in microseconds) go out, ``apart`` seconds after the one before at least: the latest
+    of any earlier request's time and the steps since."""
+    step = F.lit(int(apart * 1_000_000))
+    order = Window.partitionBy("client").orderBy("at", "event_id")
+    nth = F.row_number().over(order)
+    start = F.max(F.col("at") - F.col("nth") * step).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) + F.col("nth") * step
+    return real.withColumn("nth", nth).withColumn("starts", start).drop("nth")
+
+
+def passed(permits: DataFrame, pages: DataFrame, seconds: float = PASS) -> DataFrame:
+    """Page views that pass by a permission for their address: ``page_id, permit_id``. A permission (``url, event_id, ts``) lasts ``seconds``, a
+    later one takes its place, and the first view uses it up."""
+    side = lambda t, kind: t.select("url", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.lit(kind).alias("kind"))
+
+    def step(held: list, row: dict):
+        if row["kind"] == 0:
+            held[:] = [(row["at"], row["event_id"])]
+            return []
+        given, held[:] = held[:], []
+        return [(row["event_id"], given[0][1])] if given and row["at"] - given[0][0] <= seconds * 1_000_000 else []
+
+    return in_order(side(permits, 0).unionByName(side(pages, 1)).where("url is not null"), ["url"], ["at", "kind", "event_id"], "page_id long, permit_id long", list, step)
+
+
+def progress(events: DataFrame, sections: DataFrame) -> DataFrame:
+    """The first event of each user that reaches each section: ``user_id, section_no, event_id``. ``events`` have ``user_id, event_id, ts, progress`` (a share
+    of the document), ``sections`` ``section_no, position``; a section is reached a hundredth before its place. Sections are a list of
+    one document's and go to every task."""
+    rows = events.join(F.broadcast(sections), events["progress"] >= sections["position"] - 0.01)
+    return rows.groupBy("user_id", "section_no").agg(F.min(F.struct("ts", "event_id"))["event_id"].alias("event_id"))
+
+
+def slot_taken(puts: DataFrame, takes: DataFrame) -> DataFrame:
+    """What each take from a slot gets: ``take_id, put_id``. ``puts`` and ``takes`` have ``slot, event_id, ts``; a slot holds the last put, and a take empties
+    it; a take from an empty slot gets nothing."""
+    side = lambda t, kind: t.select("slot", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.lit(kind).alias("kind"))
+    order = Window.partitionBy("slot").orderBy("at", "kind", "event_id")
+    rows = side(puts, 0).unionByName(side(takes, 1)).withColumns({"before": F.lag("kind").over(order), "held": F.lag("event_id").over(order)})
+    return rows.where("kind = 1 and before = 0").select(F.col("event_id").alias("take_id"), F.col("held").alias("put_id"))

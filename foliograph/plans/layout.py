@@ -67,8 +67,8 @@ def mode_of_quantity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def medians_of_quantity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = F.col("l_quantity")
-    return table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(stats.upper_median(q).alias("upper"), stats.middle_median(q).alias("middle"), stats.nearest_rank(q, 90).alias("p90"))
+    q = "l_quantity"
+    return table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(stats.upper_median(q).alias("upper"), stats.middle_median(F.col(q)).alias("middle"), stats.nearest_rank(q, 90).alias("p90"))
 
 
 def page_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

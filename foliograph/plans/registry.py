@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from foliograph.plans import citations, layout, marks, places, text
+from foliograph.plans import citations, glyphs, layout, marks, places, text
 
-MODULES = (layout, text, citations, places, marks)
+MODULES = (layout, text, citations, places, marks, glyphs)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
