@@ -47,11 +47,6 @@ def column_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.columns(lines(spark, sf_dir))
 
 
-def heading_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = lines(spark, sf_dir)
-    return layout.headings(rows, layout.body_metrics(rows))
-
-
 def document_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lines(spark, sf_dir)
     return layout.titles(rows, layout.body_metrics(rows))
@@ -81,16 +76,17 @@ def size_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sizes.select("doc_id", F.explode(layout.size_tiers(F.col("s"))).alias("t")).select("doc_id", "t.size", "t.tier")
 
 
-QUERIES = {f.__name__: f for f in (typeset_lines, search_hits, search_hits_whole, page_text, body_metrics, left_margins, bottom_margins, column_detect, heading_candidates, document_titles, line_groups, mode_of_quantity, medians_of_quantity, page_pairs, size_tiers)}
+QUERIES = {f.__name__: f for f in (typeset_lines, search_hits, search_hits_whole, page_text, body_metrics, left_margins, bottom_margins, column_detect, document_titles, line_groups, mode_of_quantity, medians_of_quantity, page_pairs, size_tiers)}
 
 _MODE = "(SELECT doc_id, arg_min(v, (-n) * 1000000000 + f) AS v FROM (SELECT doc_id, {c} AS v, count(*) AS n, min(line_no) AS f FROM body GROUP BY 1, 2) GROUP BY 1)"
 METRICS_SQL = f"""
 body AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY line_no) AS nth FROM lines WHERE page_no <= 6) WHERE nth BETWEEN 6 AND 40),
-metrics AS (SELECT d.doc_id, coalesce(m.fs, 10.0)::DOUBLE AS font_size, coalesce(s.v, 0)::INT AS font_style, coalesce(h.v, 10.0)::DOUBLE AS line_height, coalesce(w.v, 200.0)::DOUBLE AS line_width, coalesce(b.y, 0.0)::DOUBLE AS margin_bottom
+bottoms AS (SELECT doc_id, y, count(*) AS n, min(page_no) AS f FROM (SELECT doc_id, page_no, min(y) AS y FROM lines WHERE page_no <= 6 GROUP BY 1, 2) WHERE y > 0 GROUP BY 1, 2),
+metrics AS (SELECT d.doc_id, coalesce(z.v, 10.0)::DOUBLE AS font_size, coalesce(s.v, 0)::INT AS font_style, coalesce(m.v, 10.0)::DOUBLE AS line_height, coalesce(w.v, 200.0)::DOUBLE AS line_width, CASE WHEN z.v IS NULL THEN 0.0 ELSE b.y END::DOUBLE AS margin_bottom
   FROM (SELECT DISTINCT doc_id FROM lines) d
-  LEFT JOIN {_MODE.format(c="h")} h USING (doc_id) LEFT JOIN {_MODE.format(c="style")} s USING (doc_id) LEFT JOIN {_MODE.format(c="w")} w USING (doc_id)
-  LEFT JOIN (SELECT doc_id, list_sort(list(h))[(count(*) // 2 + 1)::INT] AS fs FROM body GROUP BY 1) m USING (doc_id)
-  LEFT JOIN (SELECT doc_id, min(y) AS y FROM lines WHERE page_no <= 6 GROUP BY 1) b USING (doc_id))
+  LEFT JOIN {_MODE.format(c="floor(h * 10 + 0.5) / 10")} z USING (doc_id) LEFT JOIN {_MODE.format(c="style")} s USING (doc_id) LEFT JOIN {_MODE.format(c="floor(w)")} w USING (doc_id)
+  LEFT JOIN (SELECT doc_id, list_sort(list(h))[(count(*) // 2 + 1)::INT] AS v FROM body GROUP BY 1) m USING (doc_id)
+  LEFT JOIN (SELECT doc_id, arg_min(y, (-n) * 1000000000 + f) AS y FROM bottoms GROUP BY 1) b USING (doc_id))
 """
 _MARGIN = "SELECT doc_id, page_no, arg_min(q, (-n) * 1000000000 + f) AS m FROM (SELECT doc_id, page_no, floor(x * 2 + 0.5) / 2 AS q, count(*) AS n, min(line_no) AS f FROM {t} GROUP BY 1, 2, 3) GROUP BY 1, 2"
 ORACLES = {
