@@ -74,8 +74,65 @@ def _events(spark: SparkSession, sf_dir: str, kind: str | None = None) -> DataFr
     return rows if kind is None else rows.where(F.col("event_type") == kind)
 
 
+def _papers(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """Events of three readers, with a title and an address each by the event's key; every other click has no address."""
+    titles = F.array(*(F.lit(t) for t in PAPERS))
+    url = F.concat(F.lit("https://Papers.org/p/"), (F.col("event_id") % 3).cast("string"))
+    rows = _events(spark, sf_dir, kind).withColumn("url", F.when((F.col("event_id") % 2 == 0) | (F.col("event_type") == "view"), url))
+    return rows.select((F.col("user_id") % 3).alias("user_id"), "event_id", "ts", F.get(titles, (F.col("event_id") % len(PAPERS)).cast("int")).alias("title"), "url")
+
+
+#: titles of four papers; the first two agree
+PAPERS = ("Graph Neural Networks", "Graph neural networks: for molecules", "Deep Learning", "Attention, and what it needs")
+
+
 def pending_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trails.matched(_events(spark, sf_dir, "click"), _events(spark, sf_dir, "view"), minutes=240)
+    return trails.matched(_papers(spark, sf_dir, "click"), _papers(spark, sf_dir, "view"))
+
+
+def trail_connections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _events(spark, sf_dir)
+    norm = F.concat(F.lit("title "), (F.col("event_id") % 40).cast("string"))
+    nodes = rows.where("event_type = 'signup'").select((F.col("event_id") % 20).alias("trail_id"), F.col("event_id").alias("node_id"), norm.alias("title_norm"), F.col("event_id").alias("ord"))
+    matches = rows.where("event_type = 'view'").select(F.col("event_id").alias("open_id"), F.concat(F.lit("title "), (F.col("event_id") % 55).cast("string")).alias("source"))
+    return trails.connected(matches, nodes)
+
+
+def trail_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _events(spark, sf_dir)
+    of = rows.select("event_type", (F.col("event_id") % 7).alias("trail_id"), (F.col("user_id") % 5).alias("parent_id"), F.col("event_id").alias("node_id"), F.when(F.col("event_id") % 11 > 0, F.concat(F.lit("t"), (F.col("event_id") % 9).cast("string"))).otherwise("").alias("title_norm"), F.col("event_id").alias("ord"))
+    return trails.added_children(of.where("event_type = 'signup'").drop("event_type"), of.where("event_type = 'view'").drop("event_type")).select("trail_id", "parent_id", "node_id")
+
+
+def trails_shown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _events(spark, sf_dir).groupBy("user_id", F.date_trunc("DAY", "ts").alias("day")).agg(F.max("ts").alias("last_ts"), F.min("event_id").alias("trail_id"))
+    nodes = rows.where("trail_id % 4 = 0").select("trail_id", F.lit("here").alias("title_norm"))
+    return trails.shown(rows.select("user_id", "trail_id", (F.col("trail_id") % 3 == 0).alias("starred"), "last_ts"), nodes, "here")
+
+
+def lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _events(spark, sf_dir).select((F.col("user_id") % 3).alias("client"), (F.col("event_id") % 5).alias("key"), "event_id", "ts", (F.col("event_id") % 4 != 0).alias("ok"))
+    return trails.looked_up(rows, 86400).select("event_id", "real")
+
+
+def spaced_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _events(spark, sf_dir).select((F.col("user_id") % 40).alias("client"), "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    return trails.spaced(rows, 7200).select("event_id", (F.col("starts") - F.col("at")).alias("wait"))
+
+
+def passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    of = lambda kind: _events(spark, sf_dir, kind).select(F.concat(F.lit("u"), (F.col("user_id") % 50).cast("string")).alias("url"), "event_id", "ts")
+    return trails.passed(of("click"), of("view"), 86400)
+
+
+def sections_reached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sections = spark.createDataFrame([(k, k / 10) for k in range(1, 10)], "section_no long, position double")
+    return trails.progress(_events(spark, sf_dir).select("user_id", "event_id", "ts", (F.col("event_id") % 97 / 97).alias("progress")), sections)
+
+
+def slot_takes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    of = lambda kind: _events(spark, sf_dir, kind).select((F.col("user_id") % 9).alias("slot"), "event_id", "ts")
+    return trails.slot_taken(of("click"), of("view"))
 
 
 def pending_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,11 +156,17 @@ def progress_milestones(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trails.milestones(_events(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (rect_overlap_join, nearest_anchor, containing_section_asof, position_dedup, bounding_boxes, line_rect_merge, outline_flatten, tree_layout, outline_tree, pending_match, pending_cap, pending_lifetime, trail_prune, search_debounce, progress_milestones)}
+QUERIES = {f.__name__: f for f in (rect_overlap_join, nearest_anchor, containing_section_asof, position_dedup, bounding_boxes, line_rect_merge, outline_flatten, tree_layout, outline_tree, pending_match, trail_connections, trail_children, trails_shown, lookups, spaced_requests, passes, sections_reached, slot_takes, pending_cap, pending_lifetime, trail_prune, search_debounce, progress_milestones)}
 
 _RECTS = """WITH numbered AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS no FROM lineitem),
 rects AS (SELECT l_orderkey AS doc_id, l_linenumber % 3 AS page_no, no, (l_partkey % 50 * 10)::DOUBLE AS x, (l_suppkey % 20 * 7)::DOUBLE AS y, l_quantity + 20.0::DOUBLE AS w, 12.0::DOUBLE AS h, l_quantity % 10 / 10 AS confidence FROM numbered)"""
 ORACLES = {
+    "tree_layout": """WITH leaves AS (SELECT r_regionkey AS tree_id, 100000000 + s_suppkey AS node_id, n_regionkey * 1000000 + 1000 * (n_nationkey + 1) AS parent, 2 AS depth FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+        UNION ALL SELECT n_regionkey, n_regionkey * 1000000 + 1000 * (n_nationkey + 1), n_regionkey * 1000000 + 1000 * (n_nationkey + 1), 1 FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier)),
+      y AS (SELECT *, 64.0 * (row_number() OVER (PARTITION BY tree_id ORDER BY parent, node_id) - 1) AS y FROM leaves),
+      n AS (SELECT tree_id, parent AS node_id, (arg_min(y, node_id) + arg_max(y, node_id)) / 2 AS y FROM y GROUP BY 1, 2),
+      r AS (SELECT tree_id, tree_id * 1000000 AS node_id, (arg_min(y, node_id) + arg_max(y, node_id)) / 2 AS y FROM n GROUP BY 1)
+      SELECT tree_id::BIGINT AS tree_id, node_id::BIGINT AS node_id, 480.0::DOUBLE AS x, y::DOUBLE AS y FROM y WHERE depth = 2 UNION ALL SELECT tree_id, node_id, 240.0, y FROM n UNION ALL SELECT tree_id, node_id, 0.0, y FROM r""",
     "rect_overlap_join": f"""{_RECTS} SELECT a.doc_id, a.page_no, a.no AS link_no, min(b.no) AS cit_no FROM rects a LEFT JOIN rects b ON a.doc_id = b.doc_id AND a.page_no = b.page_no AND b.no % 2 = 1
       AND a.x < b.x + b.w - 5 AND a.x + a.w - 5 > b.x AND a.y < b.y + b.h - 5 AND a.y + a.h - 5 > b.y WHERE a.no % 2 = 0 GROUP BY 1, 2, 3""",
     "nearest_anchor": f"""{_RECTS}, d AS (SELECT a.doc_id, a.page_no, a.no AS point_no, b.no AS anchor_no, abs(b.y - a.y) + CASE WHEN a.x = 0 THEN 0 ELSE abs(b.x - a.x) END AS distance FROM rects a JOIN rects b ON a.doc_id = b.doc_id AND a.page_no = b.page_no AND a.no % 2 = 0 AND b.no % 2 = 1 AND b.y <= a.y)
@@ -119,8 +182,30 @@ ORACLES = {
     "outline_flatten": """SELECT r_regionkey * 1000000 AS node_id, 0 AS depth, r_name AS path FROM region
       UNION ALL SELECT n_regionkey * 1000000 + 1000 * (n_nationkey + 1), 1, r_name || '/' || n_name FROM nation JOIN region ON n_regionkey = r_regionkey
       UNION ALL SELECT 100000000 + s_suppkey, 2, r_name || '/' || n_name || '/' || s_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
-    "pending_match": """WITH pairs AS (SELECT o.event_id AS open_id, o.ts AS open_ts, c.event_id AS click_id, c.ts AS click_ts, row_number() OVER (PARTITION BY c.event_id ORDER BY o.ts, o.event_id) AS nth FROM events o JOIN events c ON o.user_id = c.user_id AND o.event_type = 'view' AND c.event_type = 'click' AND o.ts >= c.ts AND o.ts <= c.ts + INTERVAL 240 MINUTE)
-      SELECT open_id, arg_min(click_id, (click_ts, click_id)) AS click_id FROM pairs WHERE nth = 1 GROUP BY 1""",
+    "pending_match": """WITH RECURSIVE ev AS (SELECT user_id % 3 AS u, ts, event_type = 'view' AS opens, event_id, [1, 1, 2, 3][event_id % 4 + 1] AS title, CASE WHEN event_id % 2 = 0 OR event_type = 'view' THEN event_id % 3 END AS url, row_number() OVER (PARTITION BY user_id % 3 ORDER BY ts, event_type = 'view', event_id) AS nth FROM events WHERE event_type IN ('click', 'view')),
+      st AS (SELECT DISTINCT u, 0::BIGINT AS nth, []::STRUCT(t TIMESTAMP, id BIGINT, title INT, url BIGINT)[] AS w, NULL::BIGINT AS open_id, NULL::BIGINT AS click_id FROM ev
+        UNION ALL SELECT u, nth, CASE WHEN NOT opens THEN list_append(w, {'t': ts, 'id': event_id, 'title': title, 'url': url})[-5:] WHEN hit IS NULL THEN w ELSE list_filter(w, lambda c: c.t <> hit.t) END, CASE WHEN opens AND hit IS NOT NULL THEN event_id END, CASE WHEN opens THEN hit.id END
+          FROM (SELECT e.*, st.w, list_filter(st.w, lambda c: c.t >= e.ts - INTERVAL 10 MINUTE AND (c.title = e.title OR c.url = e.url))[1] AS hit FROM st JOIN ev e ON e.u = st.u AND e.nth = st.nth + 1))
+      SELECT open_id, click_id FROM st WHERE open_id IS NOT NULL""",
+    "trail_connections": """WITH n AS (SELECT event_id % 40 AS t, arg_min(event_id % 20, event_id) AS trail_id, min(event_id) AS node_id FROM events WHERE event_type = 'signup' GROUP BY 1)
+      SELECT event_id AS open_id, coalesce(trail_id, event_id) AS trail_id, node_id AS parent_id, t IS NULL AS new FROM events LEFT JOIN n ON event_id % 55 = t WHERE event_type = 'view'""",
+    "trail_children": """WITH n AS (SELECT event_id % 7 AS trail_id, user_id % 5 AS parent_id, event_id AS node_id, CASE WHEN event_id % 11 > 0 THEN event_id % 9 END AS t, event_type = 'view' AS new FROM events WHERE event_type IN ('signup', 'view')),
+      k AS (SELECT *, row_number() OVER (PARTITION BY trail_id, parent_id, t ORDER BY new, node_id) AS nth FROM n) SELECT trail_id, parent_id, node_id FROM k WHERE NOT new OR t IS NULL OR nth = 1""",
+    "trails_shown": """WITH t AS (SELECT user_id, date_trunc('day', ts) AS d, max(ts) AS last_ts, min(event_id) AS trail_id FROM events GROUP BY 1, 2), c AS (SELECT *, trail_id % 4 = 0 AS current, trail_id % 3 = 0 AS starred FROM t),
+      k AS (SELECT *, row_number() OVER (PARTITION BY user_id, current ORDER BY starred DESC, last_ts DESC, trail_id) AS nth FROM c)
+      SELECT user_id, trail_id, current, (row_number() OVER (PARTITION BY user_id ORDER BY current DESC, starred DESC, last_ts DESC, trail_id) - 1)::INT AS place FROM k WHERE current OR nth <= 5""",
+    "lookups": """WITH RECURSIVE ev AS (SELECT user_id % 3 AS c, event_id % 5 AS k, event_id, ts, event_id % 4 <> 0 AS ok, row_number() OVER (PARTITION BY user_id % 3, event_id % 5 ORDER BY ts, event_id) AS nth FROM events),
+      st AS (SELECT DISTINCT c, k, 0::BIGINT AS nth, NULL::TIMESTAMP AS good, NULL::BIGINT AS event_id, false AS sent FROM ev
+        UNION ALL SELECT e.c, e.k, e.nth, CASE WHEN e.ok AND (st.good IS NULL OR e.ts - st.good >= INTERVAL 1 DAY) THEN e.ts ELSE st.good END, e.event_id, st.good IS NULL OR e.ts - st.good >= INTERVAL 1 DAY FROM st JOIN ev e ON e.c = st.c AND e.k = st.k AND e.nth = st.nth + 1)
+      SELECT event_id, sent AS real FROM st WHERE event_id IS NOT NULL""",
+    "spaced_requests": """WITH RECURSIVE ev AS (SELECT user_id % 40 AS c, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id % 40 ORDER BY ts, event_id) AS nth FROM events),
+      st AS (SELECT c, nth, event_id, t, t AS s FROM ev WHERE nth = 1 UNION ALL SELECT e.c, e.nth, e.event_id, e.t, greatest(e.t, st.s + 7200000000) FROM st JOIN ev e ON e.c = st.c AND e.nth = st.nth + 1)
+      SELECT event_id, s - t AS wait FROM st""",
+    "passes": """WITH e AS (SELECT *, lag(event_type) OVER w AS before, lag(event_id) OVER w AS held, lag(ts) OVER w AS given FROM events WHERE event_type IN ('click', 'view') WINDOW w AS (PARTITION BY user_id % 50 ORDER BY ts, event_type = 'view', event_id))
+      SELECT event_id AS page_id, held AS permit_id FROM e WHERE event_type = 'view' AND before = 'click' AND ts - given <= INTERVAL 1 DAY""",
+    "sections_reached": """SELECT user_id, k AS section_no, arg_min(event_id, (ts, event_id)) AS event_id FROM events, range(1, 10) r(k) WHERE event_id % 97 / 97 >= k / 10 - 0.01 GROUP BY 1, 2""",
+    "slot_takes": """WITH e AS (SELECT *, lag(event_type) OVER w AS before, lag(event_id) OVER w AS held FROM events WHERE event_type IN ('click', 'view') WINDOW w AS (PARTITION BY user_id % 9 ORDER BY ts, event_type = 'view', event_id))
+      SELECT event_id AS take_id, held AS put_id FROM e WHERE event_type = 'view' AND before = 'click'""",
     "pending_cap": "SELECT user_id, event_id, nth::INT AS nth FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS nth FROM events WHERE event_type = 'click') WHERE nth <= 5",
     "pending_lifetime": "SELECT event_id, user_id FROM events WHERE event_type = 'click' AND ts > TIMESTAMP '2024-01-14 23:50:00'",
     "trail_prune": """WITH t AS (SELECT user_id, date_trunc('day', ts) AS d, max(ts) AS last_ts, min(event_id) AS trail_id FROM events GROUP BY 1, 2),
