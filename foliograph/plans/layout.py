@@ -18,12 +18,12 @@ def typeset_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def search_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.search_hits(lines(spark, sf_dir), "There", 1, 2)
+    return layout.search_hits(lines(spark, sf_dir), "There")
 
 
-def search_hits_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ``search_hits``, over all pages: that query keeps to the range of pages of its SQL."""
-    return layout.search_hits(lines(spark, sf_dir), "There")
+def search_hits_ranged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A ranged search: pages 2 to 3, which is the feature."""
+    return layout.search_hits(lines(spark, sf_dir), "There", 2, 3)
 
 
 def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +76,7 @@ def size_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sizes.select("doc_id", F.explode(layout.size_tiers(F.col("s"))).alias("t")).select("doc_id", "t.size", "t.tier")
 
 
-QUERIES = {f.__name__: f for f in (typeset_lines, search_hits, search_hits_whole, page_text, body_metrics, left_margins, bottom_margins, column_detect, document_titles, line_groups, mode_of_quantity, medians_of_quantity, page_pairs, size_tiers)}
+QUERIES = {f.__name__: f for f in (typeset_lines, search_hits, search_hits_ranged, page_text, body_metrics, left_margins, bottom_margins, column_detect, document_titles, line_groups, mode_of_quantity, medians_of_quantity, page_pairs, size_tiers)}
 
 _MODE = "(SELECT doc_id, arg_min(v, (-n) * 1000000000 + f) AS v FROM (SELECT doc_id, {c} AS v, count(*) AS n, min(line_no) AS f FROM body GROUP BY 1, 2) GROUP BY 1)"
 METRICS_SQL = f"""
@@ -89,12 +89,21 @@ metrics AS (SELECT d.doc_id, coalesce(z.v, 10.0)::DOUBLE AS font_size, coalesce(
   LEFT JOIN (SELECT doc_id, arg_min(y, (-n) * 1000000000 + f) AS y FROM bottoms GROUP BY 1) b USING (doc_id))
 """
 _MARGIN = "SELECT doc_id, page_no, arg_min(q, (-n) * 1000000000 + f) AS m FROM (SELECT doc_id, page_no, floor(x * 2 + 0.5) / 2 AS q, count(*) AS n, min(line_no) AS f FROM {t} GROUP BY 1, 2, 3) GROUP BY 1, 2"
+_HITS = WITH + """, found AS (SELECT doc_id, page_no, line_no, unnest(list_filter(range(length(text)), lambda i: lower(text)[i + 1 : i + 5] = 'there')) AS place FROM lines {pages})
+  SELECT doc_id, page_no, line_no, place::INT AS place, (row_number() OVER (PARTITION BY doc_id ORDER BY line_no, place) - 1)::INT AS match_id FROM found"""
+TITLES_SQL = f"""{LINES_SQL}, {METRICS_SQL},
+big AS (SELECT l.* FROM lines l JOIN metrics m USING (doc_id) WHERE page_no = 1 AND 792 - y + 1 <= 0.3 * 792 AND h >= 1.1 * m.font_size AND NOT regexp_matches(lower(trim(text)), '^([0-9.]+$|abstract|introduction|chapter)')),
+high AS (SELECT *, line_no - row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS island FROM (SELECT *, max(h) OVER (PARTITION BY doc_id) AS most FROM big) WHERE abs(h - most) <= 0.5),
+joined AS (SELECT doc_id, string_agg(text, ' ' ORDER BY line_no) AS t FROM (SELECT *, min(island) OVER (PARTITION BY doc_id) AS one FROM high) WHERE island = one GROUP BY 1),
+titles AS (SELECT doc_id, trim(replace(t, '- ', '')) AS title FROM joined WHERE length(trim(replace(t, '- ', ''))) >= 5 AND regexp_matches(t, '[A-Za-z]{{3}}'))"""
 ORACLES = {
     "typeset_lines": f"{WITH} SELECT * FROM lines",
-    "search_hits": f"""{WITH}, found AS (SELECT doc_id, page_no, line_no, unnest(list_filter(range(length(text)), lambda i: lower(text)[i + 1 : i + 5] = 'there')) AS place FROM lines WHERE page_no BETWEEN 1 AND 2)
-      SELECT doc_id, page_no, line_no, place::INT AS place, (row_number() OVER (PARTITION BY doc_id ORDER BY line_no, place) - 1)::INT AS match_id FROM found""",
-    "search_hits_whole": f"""{WITH}, found AS (SELECT doc_id, page_no, line_no, unnest(list_filter(range(length(text)), lambda i: lower(text)[i + 1 : i + 5] = 'there')) AS place FROM lines)
-      SELECT doc_id, page_no, line_no, place::INT AS place, (row_number() OVER (PARTITION BY doc_id ORDER BY line_no, place) - 1)::INT AS match_id FROM found""",
+    "search_hits": _HITS.format(pages=""),
+    "search_hits_ranged": _HITS.format(pages="WHERE page_no BETWEEN 2 AND 3"),
+    "document_titles": f"WITH {TITLES_SQL} SELECT * FROM titles",
+    "size_tiers": f"""WITH RECURSIVE {LINES_SQL}, s AS (SELECT DISTINCT doc_id, (h + length(text) % 7)::DOUBLE AS size FROM lines),
+      a AS (SELECT doc_id, max(size) AS top, 0 AS tier FROM s GROUP BY 1 UNION ALL SELECT a.doc_id, max(s.size) AS top, a.tier + 1 AS tier FROM a JOIN s ON s.doc_id = a.doc_id AND s.size < a.top * 0.9 GROUP BY a.doc_id, a.tier)
+      SELECT s.doc_id, size, max(tier) AS tier FROM s JOIN a ON a.doc_id = s.doc_id AND size <= top GROUP BY 1, 2""",
     "page_text": f"{WITH} SELECT doc_id, page_no, string_agg(text, ' ' ORDER BY line_no) AS page_text FROM lines GROUP BY 1, 2",
     "body_metrics": f"{WITH}, {METRICS_SQL} SELECT * FROM metrics",
     "left_margins": f"""{WITH}, long AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY line_no) AS nth FROM lines WHERE length(text) > 10) WHERE nth <= 10 AND w <= 0.9 * 612)

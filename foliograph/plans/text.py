@@ -6,16 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliograph.functions import text as T
-from foliograph.operators import markup, titles
-from foliograph.sources.adapters import table
+from foliograph.operators import layout, markup, titles
+from foliograph.plans.layout import TITLES_SQL
+from foliograph.sources import files
+from foliograph.sources.adapters import lines, table
 
 
 def normalized_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", T.normalize_title(F.left("text", F.lit(80))).alias("title"))
-
-
-def normalized_first_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole first line of each document as its title, where ``normalized_titles`` keeps to the 80 characters of its SQL."""
+    """The whole first line of each document as its title."""
     return table(spark, sf_dir, "documents").select("doc_id", T.normalize_title(F.split_part("text", F.lit("\n"), F.lit(1))).alias("title"))
 
 
@@ -50,15 +48,47 @@ def section_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fuzzy_title_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of one source whose heads, 80 characters, agree: an equal first word is the key, the rule is the condition."""
-    heads = table(spark, sf_dir, "documents").select("doc_id", T.normalize_title(F.left("text", F.lit(80))).alias("title")).where("title <> ''").withColumn("key", F.left("title", F.lit(15)))
-    a, b = (heads.select(F.col("doc_id").alias(f"{x}_id"), F.col("title").alias(x), "key") for x in "ab")
-    return a.join(b, "key").where("a_id < b_id").where(T.titles_match(F.col("a"), F.col("b"))).select("a_id", "b_id")
+    """Documents whose detected titles agree, in either direction."""
+    rows = lines(spark, sf_dir)
+    found = layout.titles(rows, layout.body_metrics(rows))
+    return titles.agreeing(found.select("doc_id", T.normalize_title(F.col("title")).alias("title")))
+
+
+def reference_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("p_partkey").cast("string")
+    text = F.concat("p_name", F.lit(" http://h.org/"), key, F.lit("?a=b. "), F.lit("see arXiv: 2001."), F.lpad(key, 5, "0"), F.lit("v2, "), "p_brand")
+    return table(spark, sf_dir, "part").select("p_partkey", F.posexplode(T.linked_parts(text)).alias("place", "p")).select("p_partkey", "place", "p.text", "p.url")
+
+
+def section_search_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names, starts = F.array(*(F.lit(t) for t in ("Introduction", "Related Work", "Methods", "Conclusion"))), F.array(*(F.lit(k) for k in (1, 3, 5, 9)))
+    k = F.col("o_orderkey")
+    first = F.coalesce(F.when(k % 4 == 0, (k % 12).cast("string")), F.when(k % 4 == 1, F.lit(" work")), F.when(k % 4 == 2, F.lit("nothing")), F.lit(""))
+    last = F.coalesce(F.when(k % 3 == 0, F.concat(F.lit(" + "), (k % 7).cast("string"))), F.when(k % 3 == 1, F.lit("CONCL")), (k % 13).cast("string"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", T.search_range(first, last, names, starts, F.lit(10)).alias("r")).select("o_orderkey", F.col("r.from").alias("first_page"), F.col("r.to").alias("last_page"))
+
+
+def document_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts = F.map_from_arrays(F.array(F.lit("Title"), F.lit("Author"), F.lit("Date")), F.array(F.col("p_name"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_brand")).otherwise(""), F.when(F.col("p_partkey") % 3 == 0, F.col("p_type"))))
+    return table(spark, sf_dir, "part").select("p_partkey", F.explode(T.metadata(facts)).alias("fact", "value"))
+
+
+def shortened_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", T.truncate_words(F.col("text"), 30).alias("short"), T.base64_text(F.col("text").cast("binary"), "text/plain").alias("address"))
+
+
+def page_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q, p = F.col("l_quantity"), F.col("l_extendedprice")
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(T.clamp(q, F.lit(10.0), F.lit(40.0)), 6).alias("clamped"), F.round(T.fit_scale(q, p, F.lit(612.0), F.lit(792.0)), 6).alias("scale"), F.round(T.scroll_target(q, F.lit(792.0), p % 792, F.lit(1.5)), 6).alias("scroll"))
 
 
-def title_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents whose heads agree in either direction, whatever they begin with: the whole rule, where ``fuzzy_title_pairs`` holds to its SQL's key."""
-    return titles.agreeing(table(spark, sf_dir, "documents").select("doc_id", T.normalize_title(F.left("text", F.lit(80))).alias("title")))
+def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("page_id")
+    status = F.when(k % 5 == 0, 404).otherwise(200)
+    kind = F.get(F.array(F.lit("application/pdf"), F.lit("Application/PDF; charset=x"), F.lit("text/html")), (k % 3).cast("int"))
+    disposition = F.when(k % 4 == 1, "Attachment; filename=a.pdf")
+    content = F.concat(F.when(k % 2 == 0, "%PDF-").otherwise("%PD"), "html").cast("binary")
+    return table(spark, sf_dir, "pages").select("page_id", files.acceptable(status, kind, disposition).alias("acceptable"), files.has_magic(content).alias("magic"))
 
 
 def palette_colors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,13 +119,11 @@ def pdf_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", T.pdf_date(F.when(F.col("o_orderkey") % 3 > 0, value)).alias("shown"))
 
 
-QUERIES = {f.__name__: f for f in (normalized_titles, normalized_first_lines, normalized_part_names, url_fragments, url_file_names, number_expansion, year_lists, section_numbers, fuzzy_title_pairs, title_pairs, palette_colors, page_headings, page_links, search_page_ranges, clipped_texts, pdf_dates)}
+QUERIES = {f.__name__: f for f in (normalized_titles, normalized_part_names, url_fragments, url_file_names, number_expansion, year_lists, section_numbers, fuzzy_title_pairs, reference_links, section_search_ranges, document_facts, shortened_texts, page_geometry, responses, palette_colors, page_headings, page_links, search_page_ranges, clipped_texts, pdf_dates)}
 
 _NORM = "lower(regexp_replace(trim(regexp_replace({x}, '[^A-Za-z0-9\\s]', '', 'g'), ' ' || chr(9) || chr(10)), '\\s+', ' ', 'g'))"
-_HEADS = f"heads AS (SELECT doc_id, {_NORM.format(x='text[1:80]')} AS title FROM documents)"
 ORACLES = {
-    "normalized_titles": f"WITH {_HEADS} SELECT * FROM heads",
-    "normalized_first_lines": f"SELECT doc_id, {_NORM.format(x='split_part(text, chr(10), 1)')} AS title FROM documents",
+    "normalized_titles": f"SELECT doc_id, {_NORM.format(x='split_part(text, chr(10), 1)')} AS title FROM documents",
     "normalized_part_names": f"SELECT p_partkey, {_NORM.format(x='p_name')} AS title FROM part",
     "url_fragments": "SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)) || CASE WHEN regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) = '' THEN '/' ELSE regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) END AS fragment FROM pages",
     "url_file_names": """SELECT page_id, CASE WHEN f = '' THEN 'document.pdf' WHEN lower(f) LIKE '%.pdf' THEN f ELSE f || '.pdf' END AS file_name
@@ -105,13 +133,19 @@ ORACLES = {
       SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, (unnest(range(len(ns))))::INT AS place, unnest(ns)::INT AS number FROM parts""",
     "year_lists": "SELECT o_orderkey, unnest([0, 1, 2])::INT AS place, unnest([year(o_orderdate) || 'a', year(o_orderdate) || 'b', year(o_orderdate)::VARCHAR]) AS year FROM orders",
     "section_numbers": "SELECT p_partkey, (p_size % 9 + 1) || '.' || (p_partkey % 5) AS prefix, 2 AS depth, p_name AS plain, (p_size % 9 + 1)::INT AS first_part FROM part",
-    "fuzzy_title_pairs": f"""WITH {_HEADS}, w AS (SELECT doc_id, title, string_split(title, ' ') AS ws FROM heads WHERE title <> ''),
-      pairs AS (SELECT a.doc_id AS a_id, b.doc_id AS b_id, a.title AS a, b.title AS b, a.ws AS aw, b.ws AS bw FROM w a JOIN w b ON a.title[1:15] = b.title[1:15] AND a.doc_id < b.doc_id)
-      SELECT a_id, b_id FROM pairs WHERE (least(length(a), length(b)) >= 15 AND (CASE WHEN length(a) <= length(b) THEN starts_with(b, a) ELSE starts_with(a, b) END)) OR (len(aw) >= 3 AND len(list_filter(aw, lambda x: list_contains(bw, x))) >= 0.5 * len(aw))""",
-    "title_pairs": f"""WITH {_HEADS}, w AS (SELECT doc_id, title, string_split(title, ' ') AS ws FROM heads WHERE title <> ''),
+    "fuzzy_title_pairs": f"""WITH {TITLES_SQL}, heads AS (SELECT doc_id, {_NORM.format(x='title')} AS title FROM titles), w AS (SELECT doc_id, title, string_split(title, ' ') AS ws FROM heads WHERE title <> ''),
       pairs AS (SELECT a.doc_id AS a_id, b.doc_id AS b_id, least(length(a.title), length(b.title)) >= 15 AND (CASE WHEN length(a.title) <= length(b.title) THEN starts_with(b.title, a.title) ELSE starts_with(a.title, b.title) END) AS begins,
         len(a.ws) >= 3 AND len(list_filter(a.ws, lambda x: list_contains(b.ws, x))) >= 0.5 * len(a.ws) AS ab, len(b.ws) >= 3 AND len(list_filter(b.ws, lambda x: list_contains(a.ws, x))) >= 0.5 * len(b.ws) AS ba FROM w a JOIN w b ON a.doc_id < b.doc_id)
       SELECT a_id, b_id, begins OR ab AS forward, begins OR ba AS backward FROM pairs WHERE begins OR ab OR ba""",
+    "reference_links": """WITH p AS (SELECT p_partkey, [p_name || ' ', 'http://h.org/' || p_partkey || '?a=b', '. see ', 'arXiv: 2001.' || lpad(p_partkey::VARCHAR, 5, '0') || 'v2', ', ' || p_brand] AS t, [NULL, 'http://h.org/' || p_partkey || '?a=b', NULL, 'https://arxiv.org/abs/2001.' || lpad(p_partkey::VARCHAR, 5, '0') || 'v2', NULL] AS u FROM part)
+      SELECT p_partkey, unnest(range(5))::INT AS place, unnest(t) AS text, unnest(u) AS url FROM p""",
+    "section_search_ranges": """WITH q AS (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN CASE WHEN o_orderkey % 12 BETWEEN 1 AND 10 THEN o_orderkey % 12 ELSE 1 END WHEN 1 THEN 3 ELSE 1 END AS f FROM orders),
+      t AS (SELECT *, CASE o_orderkey % 3 WHEN 0 THEN least(f + o_orderkey % 7, 10) WHEN 1 THEN 9 ELSE CASE WHEN o_orderkey % 13 BETWEEN 1 AND 10 THEN o_orderkey % 13 END END AS l FROM q)
+      SELECT o_orderkey, f::INT AS first_page, CASE WHEN l > f THEN l END::INT AS last_page FROM t""",
+    "document_facts": """SELECT p_partkey, unnest(['Title', 'Author', 'Date']) AS fact, unnest([p_name, CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE 'Unknown' END, CASE WHEN p_partkey % 3 = 0 THEN p_type ELSE 'Unknown' END]) AS value FROM part""",
+    "shortened_texts": "SELECT doc_id, CASE WHEN length(text) > 30 THEN text[1:30] || '...' ELSE text END AS short, 'data:text/plain;base64,' || to_base64(encode(text)) AS address FROM documents",
+    "page_geometry": "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(least(greatest(l_quantity, 10.0), 40.0), 6) AS clamped, round(least(612 / l_quantity, 792 / l_extendedprice), 6) AS scale, round(l_quantity + (792 - l_extendedprice % 792) * 1.5, 6) AS scroll FROM lineitem",
+    "responses": "SELECT page_id, page_id % 5 <> 0 AND page_id % 3 < 2 AND page_id % 4 <> 1 AS acceptable, page_id % 2 = 0 AS magic FROM pages",
     "palette_colors": f"""WITH c AS (SELECT p_partkey, '#' || lpad(lower(to_hex(p_partkey * 7919 % 16777216)), 6, '0') AS color, (p_partkey * 7919 % 16777216) AS v FROM part),
       p AS (SELECT * FROM (VALUES {', '.join(f"({i}, '{n}', {int(h[1:3], 16)}, {int(h[3:5], 16)}, {int(h[5:], 16)})" for i, (n, h) in enumerate(markup.PALETTE))}) t(ord, color_name, r, g, b))
       SELECT p_partkey, color, arg_min(color_name, ((v // 65536 - r) ** 2 + (v // 256 % 256 - g) ** 2 + (v % 256 - b) ** 2) * 10 + ord) AS color_name FROM c, p GROUP BY 1, 2""",

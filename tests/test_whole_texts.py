@@ -13,12 +13,12 @@ def tables(spark, tmp_path_factory):
 
 
 def test_search_beyond_the_second_page(spark, tables):
-    got = registry.QUERIES["search_hits_whole"](spark, tables).collect()
+    got = registry.QUERIES["search_hits"](spark, tables).collect()
     assert sorted((r.page_no, r.line_no, r.match_id) for r in got) == [(k // 40 + 1, k, k) for k in range(130)]
 
 
 def test_titles_are_whole_first_lines(spark, tmp_path):
     line = "A title of many words, " * 9
     spark.createDataFrame([(1, line + "\nand a text"), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.doc_id: r.title for r in registry.QUERIES["normalized_first_lines"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r.title for r in registry.QUERIES["normalized_titles"](spark, str(tmp_path)).collect()}
     assert got == {1: ("a title of many words " * 9).strip(), 2: ""}
