@@ -30,7 +30,7 @@ from foliograph.llm.textvec import MULTIPLIERS, U, mix, powers
 SUFFIXES = ("s", "t", "re", "ve", "m", "ll", "d")
 SHORT = 48
 #: words that a worker remembers at most; then it starts anew
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 19
 NO_RANK = np.int32(0x7FFFFFFF)
 
 

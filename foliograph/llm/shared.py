@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a vectorised step works on at a time; a longer single text is a piece of its own.
-PIECE_BYTES = 1 << 18
+PIECE_BYTES = 1 << 19
 #: Rows of an Arrow batch that become Python objects at a time.
 ROWS_AT_ONCE = 64
 #: Rows up to which a list of ids (16 bytes each) is sent to every executor; beyond it the join shuffles.
