@@ -3,8 +3,10 @@
 A position matters if the ``LENGTH`` bytes from it on occur earlier too. Positions are found in two rounds.
 
 Anchors. Every window of ``LENGTH`` bytes has one anchor: the ``GRAM`` bytes within it whose hash is least (the leftmost of
-equal ones), the same in every copy. Consecutive windows with one anchor in one place are a stretch. Equal stretches are told by digest: all but the first
-repeat it wholly. A stretch met before within the same batch of texts is settled there and not dealt out.
+equal ones), the same in every copy. Consecutive windows with one anchor in one place are a stretch. Equal stretches are
+told by digest and anchor (128 bits): all but the first repeat it wholly. A stretch met before within the same batch of
+texts is settled there and not dealt out. So copies are settled before the index, which would otherwise have to be sent
+all bytes of the corpus.
 
 Suffixes. An anchor that has different stretches stands where copies begin, end or differ. Only for those the bytes
 themselves are fetched. They are dealt by anchor into shards; each shard takes them in the order of documents, in
@@ -16,12 +18,14 @@ A byte is removed if a repeating window covers it; overlaps count, and windows a
 
 Null texts are empty. Texts shorter than ``LENGTH`` lose nothing, and neither do rows without an id, which don't count
 as earlier either. Rows equal in id and text are one document and get the same result; of different texts under one id
-each loses what repeats in any of them.
+each loses what repeats in any of them. Of equal strings the one of the smallest id and place is kept. A text of any length
+is one piece; an empty table gives no row. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -105,42 +109,56 @@ def dealt(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(lean(run), STRETCH)
 
 
+class Settling:
+    """Goes through stretches in the order of anchor, digest and document, a batch at a time; between batches it holds the last row
+    and one row that may need comparing, however many stretches an anchor has."""
+
+    def __init__(self) -> None:
+        self.last: tuple | None = None  # anchor, digest, repeated, document and place of the last row
+        self.firsts = 0  # of the last row's anchor: how many digests so far
+        self.pending: pa.RecordBatch | None = None  # its only first stretch so far
+
+    def judge(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """Repeated stretches, and the first of each digest of anchors with several."""
+        anchor, digest, again, doc, at = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("anchor", "digest", "repeated", "doc_id", "at"))
+        before = self.last or (None,) * 5
+        differs = lambda x, held: np.concatenate([[held is None or x[0] != held], x[1:] != x[:-1]])
+        new_anchor = differs(anchor, before[0])
+        new = new_anchor | differs(digest, before[1]) | differs(again, before[2])
+        twice = ~new & ~differs(doc, before[3]) & ~differs(at, before[4])
+        group = np.cumsum(new_anchor) - (0 if not new_anchor[0] else 1)
+        first = new & ~again
+        firsts = np.bincount(group, weights=first).astype(np.int64)
+        if not new_anchor[0]:
+            firsts[0] += self.firsts
+        several = firsts > 1
+        held = self.pending
+        if not new_anchor[0] and held is not None and several[0]:
+            yield held
+        if new_anchor.any() or several[0]:
+            held = None  # it has been given, or its anchor has no other digest
+        out = batch.select(["anchor", "doc_id", "at", "n"]).append_column("repeated", pa.array(again | ~new))
+        own = np.flatnonzero(first & (group == group[-1]))
+        if firsts[-1] == 1 and len(own):
+            held = out.slice(int(own[0]), 1)
+        self.last, self.firsts, self.pending = (anchor[-1], digest[-1], again[-1], doc[-1], at[-1]), int(firsts[-1]), held
+        yield out.filter(pa.array((again | ~new | several[group]) & ~twice))
+
+
 def settled(found: DataFrame) -> DataFrame:
-    """``doc_id, at, n, repeated`` of stretches that repeat an equal one (repeated), and of the first of each of several
+    """``anchor, doc_id, at, n, repeated`` of stretches that repeat an equal one (repeated), and of the first of each of several
     stretches of one anchor (not repeated), whose bytes have to be compared."""
 
     # to each anchor's shard, in the order of anchor, digest and document
     ordered = found.repartition("anchor").sortWithinPartitions("anchor", "repeated", "digest", "doc_id", "at")
 
     def run(batches):
-        held: list[pa.Table] = []
-
-        def judge(table: pa.Table) -> pa.RecordBatch:
-            anchor, digest, again = (table.column(c).to_numpy() for c in ("anchor", "digest", "repeated"))
-            new_anchor = np.concatenate([[True], anchor[1:] != anchor[:-1]])
-            new = new_anchor | np.concatenate([[True], digest[1:] != digest[:-1]]) | np.concatenate([[True], again[1:] != again[:-1]])
-            group = np.cumsum(new_anchor) - 1
-            kinds = np.bincount(group, weights=new & ~again)
-            doc, at = (table.column(c).to_numpy() for c in ("doc_id", "at"))
-            twice = np.concatenate([[False], ~new[1:] & (doc[1:] == doc[:-1]) & (at[1:] == at[:-1])])
-            keep = (again | ~new | (kinds[group] > 1)) & ~twice
-            out = table.select(["anchor", "doc_id", "at", "n"]).append_column("repeated", pa.array(again | ~new)).append_column("kinds", pa.array(kinds[group].astype(np.int64)))
-            return out.filter(pa.array(keep)).combine_chunks().to_batches()
-
+        state = Settling()
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(pa.Table.from_batches([batch]))
-            table = pa.concat_tables(held).combine_chunks()
-            anchor = table.column("anchor").to_numpy()
-            cut = int(np.searchsorted(anchor, anchor[-1], "left"))  # the last anchor may go on
-            if cut:
-                yield from judge(table.slice(0, cut))
-            held = [table.slice(cut)]
-        if held:
-            yield from judge(pa.concat_tables(held).combine_chunks())
-
-    return ordered.mapInArrow(lean(run), "anchor long, doc_id long, at int, n int, repeated boolean, kinds long")
+            if batch.num_rows:
+                yield from state.judge(batch)
+
+    return ordered.mapInArrow(lean(run), "anchor long, doc_id long, at int, n int, repeated boolean")
 
 
 class Levels:
