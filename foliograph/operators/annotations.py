@@ -48,30 +48,80 @@ def simplified(column: Column, tolerance: float = 0.001) -> Column:
     return run(column)
 
 
-def lazy_brush(points: Column, radius: float) -> Column:
-    """Where a brush on a string of length ``radius`` is after each point: it moves only when pulled, straight to the pointer."""
-    row = "array<struct<x:double,y:double>>"
-    first = points[0]
-    start = F.struct(first["x"].alias("x"), first["y"].alias("y"), F.array().cast(row).alias("out"))
+def brushed(points: np.ndarray, radius: float, friction: float = 0.0) -> np.ndarray:
+    """Where a brush on a string of length ``radius`` is after each point."""
+    out = np.empty_like(points)
+    at = points[0].copy() if len(points) else None
+    share = 1.0 - np.sqrt(1 - (1 - friction) ** 2) if 0 < friction < 1 else 1.0
+    for k, p in enumerate(points):
+        way = p - at
+        far = float(np.hypot(*way))
+        if far > radius:
+            at = at + way * ((far - radius) / far * share)
+        out[k] = at
+    return out
+
+
+def lazy_brush(column: Column, radius: float, friction: float = 0.0) -> Column:
+    """Where a brush on a string of length ``radius`` is after each point: it moves only when pulled, straight towards the pointer,
+    by what the string lacks; with a friction between 0 and 1 by less of it."""
 
-    def step(s: Column, p: Column) -> Column:
-        dx, dy = p["x"] - s["x"], p["y"] - s["y"]
-        far = F.hypot(dx, dy)
-        pull = F.when(far > radius, (far - radius) / far).otherwise(0.0)
-        x, y = s["x"] + dx * pull, s["y"] + dy * pull
-        return F.struct(x.alias("x"), y.alias("y"), F.concat(s["out"], F.array(F.struct(x.alias("x"), y.alias("y"))).cast(row)).alias("out"))
+    @F.pandas_udf(POINTS)
+    def run(strokes: pd.Series) -> pd.Series:
+        def one(stroke):
+            if stroke is None or not len(stroke):
+                return stroke
+            return [{"x": x, "y": y} for x, y in brushed(np.array([(p["x"], p["y"]) for p in stroke], float), radius, friction).tolist()]
 
-    return F.aggregate(points, start, step, lambda s: s["out"])
+        return strokes.map(one)
+
+    return run(column)
 
 
 def moved(points: Column, dx: Column, dy: Column) -> Column:
     return F.transform(points, lambda p: F.struct((p["x"] + dx).alias("x"), (p["y"] + dy).alias("y")))
 
 
-def scaled(points: Column, factor: Column) -> Column:
-    """Points scaled about the top left corner of their bounds."""
+def scaled(points: Column, factor: Column, factor_y: Column | None = None) -> Column:
+    """Points scaled about the top left corner of their bounds, by one factor or one each way."""
     left, top = (F.array_min(points.getField(c)) for c in ("x", "y"))
-    return F.transform(points, lambda p: F.struct((left + (p["x"] - left) * factor).alias("x"), (top + (p["y"] - top) * factor).alias("y")))
+    down = factor if factor_y is None else factor_y
+    return F.transform(points, lambda p: F.struct((left + (p["x"] - left) * factor).alias("x"), (top + (p["y"] - top) * down).alias("y")))
+
+
+def resized(size: Column, by: Column, least: float = 20.0) -> Column:
+    """The factor by which a drag of ``by`` resizes; a side stays ``least`` long."""
+    return F.greatest(F.lit(least), size + by) / size
+
+
+def rotation(before: Column, centre: Column, start: Column, end: Column) -> Column:
+    """A rotation in degrees after a drag about ``centre`` from ``start`` to ``end``, all (x, y)."""
+    angle = lambda p: F.atan2(p["y"] - centre["y"], p["x"] - centre["x"])
+    return before + F.degrees(angle(end) - angle(start))
+
+
+def absolute(ratio: Column, width: Column, height: Column) -> Column:
+    """A rectangle of shares of the page in page units."""
+    return F.struct((ratio["left_ratio"] * width).alias("x"), (ratio["top_ratio"] * height).alias("y"), (ratio["width_ratio"] * width).alias("w"), (ratio["height_ratio"] * height).alias("h"))
+
+
+def subtree_dots(marks: DataFrame, below: DataFrame, most: int = 3) -> DataFrame:
+    """As ``color_dots``, for the marks of a section and all sections below it; ``below (ancestor, node_id)`` has every section with those above it."""
+    rows = marks.withColumnRenamed("section_id", "node_id").join(below, "node_id").select(F.col("ancestor").alias("section_id"), "mark_id", "color")
+    return color_dots(rows, most)
+
+
+def merged_ratio_rects(rects: DataFrame, gap: float = 0.01, high: float = 0.5) -> DataFrame:
+    """Rectangles of an annotation's page (``mark_id, rect_no, x, y, w, h`` in shares of the page) joined where they are on one line (their middles
+    less than ``high`` of the taller one's height apart) and no more than ``gap`` apart."""
+    order = Window.partitionBy("mark_id").orderBy("y", "x", "rect_no")
+    apart = F.abs(F.col("y") + F.col("h") / 2 - F.lag(F.col("y") + F.col("h") / 2).over(order)) >= high * F.greatest("h", F.lag("h").over(order))
+    lined = rects.withColumn("apart", F.coalesce(apart, F.lit(True)).cast("int"))
+    lined = lined.withColumn("line", F.sum("apart").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    across = Window.partitionBy("mark_id", "line").orderBy("x", "rect_no")
+    reach = F.max(F.col("x") + F.col("w")).over(across.rowsBetween(Window.unboundedPreceding, -1))
+    parts = lined.withColumn("new", F.coalesce((F.col("x") > reach + gap).cast("int"), F.lit(0))).withColumn("part", F.sum("new").over(across.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return parts.groupBy("mark_id", "line", "part").agg(F.min("x").alias("left"), F.min("y").alias("top"), F.max(F.col("x") + F.col("w")).alias("right"), F.max(F.col("y") + F.col("h")).alias("bottom"), F.count(F.lit(1)).alias("n"))
 
 
 def ratios(rect: Column, width: Column, height: Column) -> Column:

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from html import unescape
+from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from foliograph.functions.text import rgb
 
@@ -32,7 +33,7 @@ def nearest_color(rows: DataFrame, column: str) -> DataFrame:
 @F.pandas_udf(StringType())
 def unescaped(text: pd.Series) -> pd.Series:
     """HTML entities as the characters they stand for."""
-    return text.map(lambda t: None if t is None else unescape(t))
+    return text.map(lambda t: t if t is None or "&" not in t else unescape(t))
 
 
 def first_heading(html: Column) -> Column:
@@ -57,3 +58,90 @@ def citation_formats(html: Column) -> Column:
     names = F.regexp_extract_all(html, F.lit(r'(?is)<th[^>]*class="[^"]*gs_cith[^"]*"[^>]*>(.*?)</th>'), F.lit(1))
     texts = F.regexp_extract_all(html, F.lit(r'(?is)<div[^>]*class="[^"]*gs_citr[^"]*"[^>]*>(.*?)</div>'), F.lit(1))
     return F.filter(F.transform(F.arrays_zip(names.alias("n"), texts.alias("t")), lambda x: F.struct(F.trim(x["n"]).alias("format"), F.trim(F.regexp_replace(x["t"], "<[^>]*>", "")).alias("citation"))), lambda x: x["format"].isNotNull() & x["citation"].isNotNull())
+
+
+def bibliography_link(html: Column, base: str = "") -> Column:
+    """The address of a citation page's BibTeX export: the first link with "bib" in it behind the list of exports; null if none."""
+    behind = F.regexp_extract(html, r'(?is)id="gs_citi"(.*)$', 1)
+    href = F.replace(F.regexp_extract(behind, r'(?is)<a\s[^>]*href="([^"]*bib[^"]*)"', 1), F.lit("&amp;"), F.lit("&"))
+    return F.when(href != "", F.when(F.startswith(href, F.lit("https")), href).otherwise(F.concat(F.lit(base), href)))
+
+
+def color_code(name: Column) -> Column:
+    """The code of a palette's colour by its name; the default's for another."""
+    known = F.create_map(*(x for n, c in PALETTE for x in (F.lit(n), F.lit(c))))
+    return F.coalesce(F.try_element_at(known, F.lower(name)), F.lit(dict(PALETTE)[DEFAULT_COLOR]))
+
+
+#: classes of the parts of a search result: the result, its title, its full list of authors, and its two abstracts (fixed values)
+RESULT, TITLE, AUTHORS, ABSTRACTS = "gs_ri", "gs_rt", "gs_fmaa", ("gsh_csp", "gs_fma_snp")
+VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+
+
+class _Result(HTMLParser):
+    """Collects the text of the first result's parts."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.open: list[tuple[str, set]] = []
+        self.seen = self.over = False
+        self.title = self.link = None
+        self.authors: list[str] = []
+        self.abstracts = dict.fromkeys(ABSTRACTS, "")
+        self.taken: set[str] = set()
+
+    def within(self, name: str) -> bool:
+        return any(name in classes for _, classes in self.open)
+
+    def handle_starttag(self, tag, attrs):
+        facts = dict(attrs)
+        classes = set((facts.get("class") or "").split())
+        if RESULT in classes and not self.seen:
+            self.seen = True
+        if tag not in VOID:
+            self.open.append((tag, classes))
+        if self.over or not self.within(RESULT) or tag != "a":
+            return
+        if self.within(TITLE) and self.title is None:
+            self.title, self.link = "", facts.get("href")
+        elif self.within(AUTHORS):
+            self.authors.append("")
+
+    def handle_endtag(self, tag):
+        while self.open and any(t == tag for t, _ in self.open):
+            last, classes = self.open.pop()
+            self.over |= RESULT in classes
+            self.taken |= {n for n in ABSTRACTS if n in classes and self.seen}
+            if last == tag:
+                return
+
+    def handle_data(self, data):
+        if self.over or not self.within(RESULT):
+            return
+        in_link = any(t == "a" for t, _ in self.open)
+        if in_link and self.within(TITLE) and self.title is not None:
+            self.title += data
+        elif in_link and self.within(AUTHORS) and self.authors:
+            self.authors[-1] += data
+        for n in ABSTRACTS:
+            if self.within(n) and n not in self.taken:
+                self.abstracts[n] += data
+
+
+RESULT_TYPE = StructType([StructField("title", StringType()), StructField("link", StringType()), StructField("authors", ArrayType(StringType())), StructField("abstract", StringType())])
+
+
+@F.pandas_udf(RESULT_TYPE)
+def search_result(html: pd.Series) -> pd.DataFrame:
+    """The first result of a search page: title, link, all authors, and the longer of its two abstracts; nulls without one."""
+
+    def one(page):
+        parser = _Result()
+        parser.feed(page or "")
+        if not parser.seen:
+            return None, None, None, None
+        first, second = (parser.abstracts[n] for n in ABSTRACTS)
+        authors = [a.strip() for a in parser.authors if a.strip()]
+        return (parser.title or "").strip() or None, parser.link, authors, first if len(first) >= len(second) else second
+
+    return pd.DataFrame([one(p) for p in html], columns=["title", "link", "authors", "abstract"])

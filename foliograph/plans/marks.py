@@ -37,7 +37,12 @@ def color_dots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files.candidates(table(spark, sf_dir, "pages").select("page_id", F.when(F.col("page_id") % 2 == 0, F.concat(F.regexp_replace("url", "[?#].*$", ""), F.lit(".PDF?x"))).otherwise(F.col("url")).alias("url"), "html"))
+    """Pages with frames and embeds by their key; every seventh one is a file itself."""
+    k = F.col("page_id")
+    url = F.when(k % 7 == 0, F.concat(F.regexp_replace("url", "[?#].*$", ""), F.lit(".PDF?x"))).otherwise(F.col("url"))
+    embed, frame, known = F.lit('<embed src="e.x" type="application/pdf">'), F.lit('<iframe class=a src="https://x.org/v/My.PDF?y"></iframe><iframe src="https://pdf.org/none"></iframe>'), F.lit('<IFRAME src="shown" id="pdf-iframe">')
+    more = F.get(F.array(F.lit(""), embed, F.concat(embed, frame), F.concat(embed, frame, known)), (k % 4).cast("int"))
+    return files.candidates(table(spark, sf_dir, "pages").select("page_id", url.alias("url"), F.concat("html", more).alias("html")))
 
 
 def line_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,17 +51,24 @@ def line_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def structural_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lines(spark, sf_dir)
-    shape = rows.groupBy("doc_id").agg(F.percentile("w", 0.5).alias("body_width"), R.justified(F.col("w"), F.col("w"), F.col("h")).alias("straight"))
-    known = rows.join(R.line_gaps(rows), "doc_id").join(shape, "doc_id").withColumn("author_year", F.lit(False))
+    width = rows.groupBy("doc_id").agg(F.percentile("w", 0.5).alias("body_width"))
+    known = rows.join(R.line_gaps(rows), "doc_id").join(width, "doc_id").join(R.layouts(rows), "doc_id").withColumn("author_year", F.lit(False))
     return R.shaped_entries(known)
 
 
-QUERIES = {f.__name__: f for f in (stroke_simplify, brush_positions, stroke_bounds, color_dots, page_candidates, line_gaps, structural_entries)}
+def wide_gap_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entries of lines of one width and edge, of which every fourth stands off: the rule of gaps alone."""
+    rows = lines(spark, sf_dir).withColumns({"y": 700.0 - 18.0 * (F.col("line_no") % 40) - 9.0 * F.floor(F.col("line_no") % 40 / 4), "x": F.lit(72.0), "w": F.lit(300.0), "text": F.concat(F.lit("plain "), "text")}).where("page_no = 1")
+    return R.shaped_entries(rows.withColumns({"gap": F.lit(18.0), "body_width": F.lit(300.0), "straight": F.lit(False), "author_year": F.lit(False)}))
+
+
+QUERIES = {f.__name__: f for f in (stroke_simplify, brush_positions, stroke_bounds, color_dots, page_candidates, line_gaps, structural_entries, wide_gap_entries)}
 ORACLES = {
     "stroke_bounds": "SELECT l_orderkey, min(l_quantity / 50) AS min_x, max(l_quantity / 50) AS max_x, min(l_discount * 10) AS min_y, max(l_discount * 10) AS max_y FROM lineitem GROUP BY 1",
     "color_dots": """WITH c AS (SELECT p_partkey % 97 AS section_id, p_brand AS color, min(p_partkey) AS f, count(*) AS n FROM part GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY section_id ORDER BY f) AS nth FROM c)
       SELECT section_id, string_agg(color, ',' ORDER BY f) FILTER (nth <= 3) AS colors, greatest(sum(n) - 3, 0)::BIGINT AS extra FROM r GROUP BY 1""",
-    "page_candidates": "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN regexp_replace(url, '[?#].*$', '') || '.PDF?x' END AS candidate FROM pages",
+    "page_candidates": "SELECT page_id, CASE WHEN page_id % 7 = 0 THEN regexp_replace(url, '[?#].*$', '') || '.PDF?x' ELSE [NULL, 'e.x', 'https://x.org/v/My.PDF?y', 'shown'][page_id % 4 + 1] END AS candidate FROM pages",
+    "wide_gap_entries": f"WITH {LINES_SQL} SELECT doc_id, line_no, (line_no // 4 + 1)::INT AS entry FROM lines WHERE page_no = 1",
     "line_gaps": f"""WITH {LINES_SQL}, g AS (SELECT doc_id, h, abs(y - lag(y) OVER (PARTITION BY doc_id, page_no ORDER BY line_no)) AS gap FROM lines)
       SELECT doc_id, coalesce(quantile_cont(gap, 0.5) FILTER (gap > 0 AND gap < 4 * h), 0.0) AS gap FROM g GROUP BY 1""",
 }

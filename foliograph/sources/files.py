@@ -31,16 +31,33 @@ def data_bytes(value: Column) -> Column:
     return F.unbase64(F.when(F.startswith(value, F.lit("data:")), F.substring_index(value, ",", -1)).otherwise(value))
 
 
+#: the frame that viewers show a PDF in (fixed value)
+FRAME = "pdf-iframe"
+
+
 def candidates(pages: DataFrame) -> DataFrame:
-    """The best candidate of a page (``page_id, url, html``): itself, else frames whose path names a PDF, else typed embeds, in their order."""
+    """The best candidate of a page (``page_id, url, html``): itself if its path ends so, else the frame of the known id, else frames whose path
+    names a PDF, else typed embeds, in their order."""
+    return every_candidate(pages).groupBy("page_id", "url").agg(F.min(F.struct("rank", "place", "candidate"))["candidate"].alias("candidate")).select("page_id", "candidate")
+
+
+def every_candidate(pages: DataFrame) -> DataFrame:
+    """All candidates of a page in the order in which they are tried, each once: ``page_id, url, rank, place, candidate``; a page without any
+    has one row of nulls."""
     row = "array<struct<rank:int,place:int,url:string>>"
+    source = lambda tag: F.regexp_extract(tag, r'(?i)\s(?:src|data)="([^"]*)"', 1)
 
-    def of(rank: int, pattern: str) -> Column:
-        return F.transform(F.regexp_extract_all("html", F.lit(pattern), F.lit(1)), lambda u, i: F.struct(F.lit(rank).alias("rank"), i.alias("place"), u.alias("url"))).cast(row)
+    def of(rank: int, tags: str, keep) -> Column:
+        tagged = F.transform(F.regexp_extract_all("html", F.lit(tags), F.lit(0)), lambda t, i: F.struct(F.lit(rank).alias("rank"), i.alias("place"), F.when(keep(t), source(t)).alias("url")))
+        return F.filter(tagged, lambda s: F.coalesce(s["url"], F.lit("")) != "").cast(row)
 
+    path = lambda t: F.lower(F.regexp_replace(F.regexp_replace(source(t), r"[?#].*$", ""), "^[a-z]+://[^/]*", ""))
     itself = F.when(F.lower(F.regexp_replace("url", r"[?#].*$", "")).endswith(".pdf"), F.array(F.struct(F.lit(0).alias("rank"), F.lit(0).alias("place"), F.col("url").alias("url"))).cast(row)).otherwise(F.array().cast(row))
-    every = F.concat(itself, of(1, r'(?i)<iframe\s[^>]*src="([^"]*pdf[^"]*)"'), of(2, r'(?i)<(?:embed|object)\s[^>]*type="application/pdf"[^>]*(?:src|data)="([^"]*)"'))
-    return pages.select("page_id", F.array_min(every)["url"].alias("candidate"))
+    known = of(1, r"(?is)<iframe\s[^>]*>", lambda t: F.lower(t).contains(f'id="{FRAME}"'))
+    framed = of(2, r"(?is)<iframe\s[^>]*>", lambda t: F.contains(path(t), F.lit("pdf")))
+    typed = of(3, r"(?is)<(?:embed|object)\s[^>]*>", lambda t: F.lower(t).contains('type="application/pdf"'))
+    every = pages.select("page_id", "url", F.explode_outer(F.concat(itself, known, framed, typed)).alias("c")).select("page_id", "url", "c.rank", "c.place", F.col("c.url").alias("candidate"))
+    return every.groupBy("page_id", "url", "candidate").agg(F.min(F.struct("rank", "place")).alias("f")).select("page_id", "url", "f.rank", "f.place", "candidate")
 
 
 def newest(settings: DataFrame, defaults: DataFrame) -> DataFrame:
