@@ -119,7 +119,7 @@ def key_item(t: str, p: int) -> int | None:
     end = digits(t, q)
     if end is None or end < q + 2:
         return None
-    return end if end > q + 2 else q + 3 if q + 2 < len(t) and ascii_letter(t[q + 2]) else q + 2
+    return q + 3 if q + 2 < len(t) and ascii_letter(t[q + 2]) else q + 2
 
 
 def bracket_pair(t: str, p: int) -> tuple[int, int, int] | None:
