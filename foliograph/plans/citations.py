@@ -136,7 +136,7 @@ ORACLES = {
     "inline_citations": f"""{_PARTS}, every AS (SELECT doc_id, 'numeric' AS type, "begin", refs, valid / total AS confidence, CASE WHEN content LIKE '%-%' OR content LIKE '%—%' THEN 4 ELSE 0 END + CASE WHEN valid > 1 THEN 8 ELSE 0 END AS flags FROM judged JOIN (SELECT doc_id, "begin", content FROM spans) USING (doc_id, "begin") WHERE valid > 0
         UNION ALL SELECT doc_id, 'author-year', "begin", ref_ord::VARCHAR, confidence * 0.6, 0 FROM authors)
       SELECT doc_id, (doc_id % 3)::INT AS page_no, type, "begin", refs, round(confidence, 6) AS confidence, flags FROM every""",
-    "reference_anchors": f"""WITH {REFERENCES_SQL} SELECT doc_id, ref_ord, regexp_extract(text, '((?:19|20)[0-9]{{2}})\\.$', 1) AS year, lower(regexp_replace(text, '^[^ ]* ', '')[1:40]) AS author_search_text, false AS has_multiple_authors FROM refs""",
+    "reference_anchors": f"""WITH {REFERENCES_SQL} SELECT doc_id, ref_ord, regexp_extract(text, '(?:^|[^A-Za-z0-9_])((?:19|20)[0-9]{{2}})(?:[^A-Za-z0-9_]|$)', 1) AS year, lower(regexp_replace(text, '^[^ ]* ', '')[1:40]) AS author_search_text, false AS has_multiple_authors FROM refs""",
     "superscript_citations": f"""WITH {REFERENCES_SQL}, pairs AS (SELECT a.doc_id, a.ref_ord * 6.0 AS x, a.ref_index AS i, b.ref_index AS j FROM refs a LEFT JOIN refs b ON a.doc_id = b.doc_id AND b.ref_ord = a.ref_ord + 1 WHERE a.ref_ord % 3 = 0
         UNION ALL SELECT doc_id, ref_ord * 6.0, NULL, ref_index FROM refs WHERE ref_ord = 1)
       SELECT doc_id, 1 AS page_no, 1 AS line_no, x::DOUBLE AS x, concat_ws(',', i, j) AS content, (i IS NOT NULL)::BIGINT + (j IS NOT NULL)::BIGINT AS total, (i IS NOT NULL)::BIGINT + (j IS NOT NULL)::BIGINT AS valid, 1.0::DOUBLE AS confidence FROM pairs""",

@@ -63,7 +63,19 @@ def wide_gap_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (stroke_simplify, brush_positions, stroke_bounds, color_dots, page_candidates, line_gaps, structural_entries, wide_gap_entries)}
+_POINTS = "points AS (SELECT l_orderkey, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity / 50, l_discount * 10) - 1)::INT AS k, l_quantity / 50 AS x, l_discount * 10 AS y FROM lineitem)"
 ORACLES = {
+    # the parts of a stroke between points that stay, each split at its farthest point beyond the tolerance
+    "stroke_simplify": f"""WITH RECURSIVE {_POINTS}, seg AS (SELECT l_orderkey, 0 AS a, max(k) AS b, 0 AS depth FROM points GROUP BY 1
+        UNION ALL SELECT l_orderkey, unnest([a, far]) AS a, unnest([far, b]) AS b, depth + 1 FROM (
+          SELECT s.l_orderkey, s.a, s.b, s.depth, arg_min(p.k, (-(CASE WHEN pa.x = pb.x AND pa.y = pb.y THEN sqrt((p.x - pa.x) ** 2 + (p.y - pa.y) ** 2) ELSE abs((pb.y - pa.y) * (p.x - pa.x) - (pb.x - pa.x) * (p.y - pa.y)) / sqrt((pb.x - pa.x) ** 2 + (pb.y - pa.y) ** 2) END), p.k)) AS far,
+            max(CASE WHEN pa.x = pb.x AND pa.y = pb.y THEN sqrt((p.x - pa.x) ** 2 + (p.y - pa.y) ** 2) ELSE abs((pb.y - pa.y) * (p.x - pa.x) - (pb.x - pa.x) * (p.y - pa.y)) / sqrt((pb.x - pa.x) ** 2 + (pb.y - pa.y) ** 2) END) AS off
+          FROM seg s JOIN points pa ON pa.l_orderkey = s.l_orderkey AND pa.k = s.a JOIN points pb ON pb.l_orderkey = s.l_orderkey AND pb.k = s.b JOIN points p ON p.l_orderkey = s.l_orderkey AND p.k > s.a AND p.k < s.b GROUP BY 1, 2, 3, 4) WHERE off > 0.1),
+      kept AS (SELECT l_orderkey, a AS k FROM seg UNION SELECT l_orderkey, b FROM seg)
+      SELECT l_orderkey, (row_number() OVER (PARTITION BY l_orderkey ORDER BY k) - 1)::INT AS place, x, y FROM kept JOIN points USING (l_orderkey, k)""",
+    "brush_positions": f"""WITH RECURSIVE {_POINTS}, brush AS (SELECT l_orderkey, k, x, y FROM points WHERE k = 0
+        UNION ALL SELECT p.l_orderkey, p.k, CASE WHEN d > 0.2 THEN b.x + (p.x - b.x) * (d - 0.2) / d ELSE b.x END, CASE WHEN d > 0.2 THEN b.y + (p.y - b.y) * (d - 0.2) / d ELSE b.y END FROM brush b JOIN points p ON p.l_orderkey = b.l_orderkey AND p.k = b.k + 1, LATERAL (SELECT sqrt((p.x - b.x) ** 2 + (p.y - b.y) ** 2) AS d))
+      SELECT l_orderkey, k AS place, round(x, 6) AS x, round(y, 6) AS y FROM brush""",
     "stroke_bounds": "SELECT l_orderkey, min(l_quantity / 50) AS min_x, max(l_quantity / 50) AS max_x, min(l_discount * 10) AS min_y, max(l_discount * 10) AS max_y FROM lineitem GROUP BY 1",
     "color_dots": """WITH c AS (SELECT p_partkey % 97 AS section_id, p_brand AS color, min(p_partkey) AS f, count(*) AS n FROM part GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY section_id ORDER BY f) AS nth FROM c)
       SELECT section_id, string_agg(color, ',' ORDER BY f) FILTER (nth <= 3) AS colors, greatest(sum(n) - 3, 0)::BIGINT AS extra FROM r GROUP BY 1""",

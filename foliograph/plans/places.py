@@ -161,6 +161,14 @@ QUERIES = {f.__name__: f for f in (rect_overlap_join, nearest_anchor, containing
 _RECTS = """WITH numbered AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS no FROM lineitem),
 rects AS (SELECT l_orderkey AS doc_id, l_linenumber % 3 AS page_no, no, (l_partkey % 50 * 10)::DOUBLE AS x, (l_suppkey % 20 * 7)::DOUBLE AS y, l_quantity + 20.0::DOUBLE AS w, 12.0::DOUBLE AS h, l_quantity % 10 / 10 AS confidence FROM numbered)"""
 ORACLES = {
+    # the headings of each document one after the other; the topmost one above that a heading may lie below ends its way up
+    "outline_tree": """WITH RECURSIVE h AS (SELECT l_orderkey AS doc_id, l_partkey * 100 + l_linenumber AS ord, min(CASE WHEN l_quantity % 2 = 0 THEN l_linenumber::VARCHAR ELSE l_linenumber || '.' || l_quantity::INT END) AS prefix, min(CASE WHEN l_quantity % 2 = 0 THEN 1 ELSE 2 END) AS level FROM lineitem GROUP BY 1, 2),
+      n AS (SELECT doc_id, ord, level, list_transform(string_split(prefix, '.'), lambda x: x::INT) AS parts, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS nth FROM h),
+      st AS (SELECT DISTINCT doc_id, 0::BIGINT AS nth, []::STRUCT(ord BIGINT, level INT, parts INT[])[] AS above, 0 AS largest, NULL::BIGINT AS ord, NULL::BIGINT AS parent, false AS kept FROM n
+        UNION ALL SELECT doc_id, nth, CASE WHEN ok THEN list_append(above, {'ord': ord, 'level': level, 'parts': parts}) ELSE above END, CASE WHEN ok AND len(above) = 0 THEN greatest(largest, parts[1]) ELSE largest END, ord, above[-1].ord, ok
+          FROM (SELECT n.doc_id, n.nth, n.ord, n.level, n.parts, st.largest, st.above[1 : coalesce(list_max(list_filter(range(1, len(st.above) + 1), lambda i: st.above[i].level < n.level AND len(st.above[i].parts) < len(n.parts) AND n.parts[1 : len(st.above[i].parts)] = st.above[i].parts)), 0)] AS above FROM st JOIN n ON n.doc_id = st.doc_id AND n.nth = st.nth + 1),
+            LATERAL (SELECT len(above) > 0 OR (len(parts) = 1 AND (largest = 0 OR parts[1] <= largest + 5)) AS ok))
+      SELECT doc_id, ord, parent FROM st WHERE kept""",
     "tree_layout": """WITH leaves AS (SELECT r_regionkey AS tree_id, 100000000 + s_suppkey AS node_id, n_regionkey * 1000000 + 1000 * (n_nationkey + 1) AS parent, 2 AS depth FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
         UNION ALL SELECT n_regionkey, n_regionkey * 1000000 + 1000 * (n_nationkey + 1), n_regionkey * 1000000 + 1000 * (n_nationkey + 1), 1 FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier)),
       y AS (SELECT *, 64.0 * (row_number() OVER (PARTITION BY tree_id ORDER BY parent, node_id) - 1) AS y FROM leaves),

@@ -149,6 +149,8 @@ ORACLES = {
     "palette_colors": f"""WITH c AS (SELECT p_partkey, '#' || lpad(lower(to_hex(p_partkey * 7919 % 16777216)), 6, '0') AS color, (p_partkey * 7919 % 16777216) AS v FROM part),
       p AS (SELECT * FROM (VALUES {', '.join(f"({i}, '{n}', {int(h[1:3], 16)}, {int(h[3:5], 16)}, {int(h[5:], 16)})" for i, (n, h) in enumerate(markup.PALETTE))}) t(ord, color_name, r, g, b))
       SELECT p_partkey, color, arg_min(color_name, ((v // 65536 - r) ** 2 + (v // 256 % 256 - g) ** 2 + (v % 256 - b) ** 2) * 10 + ord) AS color_name FROM c, p GROUP BY 1, 2""",
+    "page_headings": """WITH h AS (SELECT page_id, regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1) AS t, len(regexp_extract_all(html, '<a\\s[^>]*href="([^"]*)"', 1)) AS n FROM pages)
+      SELECT page_id, trim(replace(replace(replace(replace(regexp_replace(t, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&')) AS heading, n AS n_links FROM h""",
     "page_links": """WITH l AS (SELECT page_id, regexp_extract_all(html, '<a\\s[^>]*href="([^"]*)"', 1) AS h FROM pages) SELECT page_id, unnest(range(len(h)))::INT AS place, replace(unnest(h), '&amp;', '&') AS href FROM l""",
     "search_page_ranges": """WITH q AS (SELECT o_orderkey, (o_orderkey % 7 + 1)::INT AS s, least(CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey % 7 + 1 + o_orderkey % 5 ELSE o_orderkey % 11 END, 9)::INT AS t FROM orders)
       SELECT o_orderkey, CASE WHEN t > s THEN t END AS last_page FROM q""",
