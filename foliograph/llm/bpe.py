@@ -8,7 +8,8 @@ parts in a heap instead, so a text without any boundary costs n log n. Words met
 Texts are split by the rules that the split pattern spells out, worked out over arrays of code points: which class
 each one is of, where the class changes, which space goes with what follows. Words are told apart by 64-bit hashes.
 
-A null text is an empty one: no ids. Repeated rows are encoded alike.
+A null text is an empty one: no ids. A text of any length is encoded whole. Of equal ranks the leftmost merges. Repeated
+rows are encoded alike; a null id stays null. An empty table gives no row. Other columns are ignored.
 """
 
 from __future__ import annotations

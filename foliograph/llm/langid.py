@@ -7,7 +7,8 @@ language with the least wins, the first in alphabetical order among equals.
 
 Texts are lower-cased; every run of characters that aren't letters is one space. Whole texts are parsed side by side, in
 rounds of ``CHUNK`` characters; each text's place in each automaton is carried from round to round. Null texts and texts without a letter are ``und``
-with score 0, and so is everything where nothing was learned. Repeated rows are labelled alike.
+with score 0, and so is everything where nothing was learned. A text of any length is parsed whole. Repeated rows are
+labelled alike; a null id stays null. An empty table gives no row. Other columns are ignored.
 """
 
 from __future__ import annotations

@@ -107,8 +107,11 @@ def plan(docs: DataFrame, max_repeats: float = MAX_REPEATS, entropy: float | Non
 
 
 def mixed(docs: DataFrame, max_repeats: float = MAX_REPEATS, entropy: float | None = None) -> DataFrame:
-    """The drawn rows with the columns of ``docs``; every row once at least."""
-    return plan(docs, max_repeats, entropy).select(*docs.columns)
+    """The drawn rows with the columns of ``docs``, whatever their names; every row once at least."""
+    # other columns go under numbers, so that none can be taken for a working column
+    own = {c: f"column {k}" for k, c in enumerate(docs.columns) if c not in ("doc_id", "source", "text")}
+    plain = docs.select(*(F.col(f"`{c}`").alias(own.get(c, c)) for c in docs.columns))
+    return plan(plain, max_repeats, entropy).select(*(F.col(f"`{own.get(c, c)}`").alias(c) for c in docs.columns))
 
 
 def mixture(docs: DataFrame, max_repeats: float = MAX_REPEATS, entropy: float | None = None) -> DataFrame:

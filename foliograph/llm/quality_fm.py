@@ -6,7 +6,8 @@ the logarithm of its length in characters as metadata. The score is
 interactions through vectors of rank ``RANK`` in time linear in the text, and a logistic link.
 
 Null and empty texts have statistics of 0 and no words; they are scored by intercept and length alone. Labels,
-language, source and id are never inputs. Repeated rows are scored alike.
+language, source and id are never inputs. A text of any length is scored whole. Repeated rows are scored alike, each by
+itself; a null id stays null. An empty table gives no row. Other columns are kept by ``keep_good`` and ignored otherwise.
 """
 
 from __future__ import annotations

@@ -6,7 +6,13 @@ embeddings are averaged, and a softmax over two classes reads the average. A tex
 one toxic passage, 1 - prod(1 - p), so a few words in a very long text are not averaged away, and embeddings and
 softmax learn jointly from the texts' labels through that product.
 
-Null and empty texts have no passage: their score is 0. Ties and repeated rows are scored alike, each on its own.
+A product over passages rises with a text's length, which averaging over the whole text would not; averaging however
+loses two toxic words among twenty thousand clean ones. The bias of a passage is learned jointly, so that long clean
+texts of the sample pull it down.
+
+Null and empty texts have no passage: their score is 0. A text of any length is scored whole, in one piece of its own.
+Ties and repeated rows are scored alike, each on its own; a null id stays null. Without labels, or with those of one
+class, every score is that of no or one class. An empty table gives no row. Other columns are ignored.
 """
 
 from __future__ import annotations

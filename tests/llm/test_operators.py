@@ -104,6 +104,19 @@ def test_bpe_against_the_library():
         assert own.decode(ids) == library.decode(want, skip_special_tokens=False) == text
 
 
+def test_bpe_over_every_code_point():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own, library = bpe.Coder(bpe.tokenizer_file(path)), Tokenizer.from_file(path)
+    points = [*range(0xD800), *range(0xE000, 0x110000)]
+    for around in ("{}", " {}a", "1{} "):
+        for lo in range(0, len(points), 1 << 15):
+            text = "".join(around.format(chr(c)) for c in points[lo : lo + (1 << 15)])
+            assert np.frombuffer(own.encode([text])[0], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def word_sets(rows, width):
     out = {}
     for i, text in rows:
@@ -249,6 +262,23 @@ def test_mixing_meets_its_limits(spark):
     assert len(times) == 1000 and times.max() <= 3 and drawn[drawn.source == "big"].groupby("doc_id").size().max() == 1
 
 
+def test_mixing_meets_an_entropy(spark):
+    rows = [(i, "w " * 50, "en", "big" if i < 900 else f"s{i % 5}", 1) for i in range(1000)]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumns({"__tokens": F.lit("x"), "__source": F.lit(1), "column 3": F.lit(2)})
+    p = np.array([0.9] + [0.02] * 5)
+
+    def entropy(a):
+        w = p**a / (p**a).sum()
+        return -(w * np.log(w)).sum()
+
+    for target in (0.6, 1.0):
+        weight = mixing.mixture(docs, max_repeats=1000.0, entropy=target).toPandas().groupby("source").weight.first().to_numpy()
+        got = -(weight * np.log(weight)).sum()
+        assert target - 0.001 <= got <= target + 1e-4
+    assert entropy(1.0) < 0.6 and mixing.mixed(docs, entropy=0.6).schema == docs.schema
+    assert set(mixing.mixed(docs).select("__tokens").distinct().toPandas()["__tokens"]) == {"x"}
+
+
 def test_fingerprints_align_shifted_recordings(spark):
     rng = np.random.default_rng(9)
     notes = rng.normal(size=64)
