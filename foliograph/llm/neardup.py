@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliograph.llm.graph import components
-from foliograph.llm.shared import ROWS_AT_ONCE, checkpointed, each_text, lean, only_ids, pieces
+from foliograph.llm.shared import BROADCAST_IDS, ROWS_AT_ONCE, checkpointed, each_text, lean, only_ids, pieces
 from foliograph.llm.textvec import MULTIPLIERS, U, followed, lay, mix, word_hashes
 
 BANDS = 32
@@ -304,7 +304,7 @@ def crowd_links(members: DataFrame, percent: int) -> DataFrame:
     """
     sizes = members.groupBy("heart").agg(*(F.ceil(F.count_if(c) / BLOCK).cast("int").alias(n) for c, n in ((F.col("minor"), "minors"), (~F.col("minor"), "others"))))
     block = F.pmod(F.xxhash64("node"), F.when(F.col("minor"), F.col("minors")).otherwise(F.col("others"))).cast("int")
-    placed = members.join(sizes, "heart").withColumn("own", F.when(F.col("minor"), block).otherwise(F.col("minors") + block))
+    placed = members.join(sent(checkpointed(sizes)), "heart").withColumn("own", F.when(F.col("minor"), block).otherwise(F.col("minors") + block))
     every = F.sequence(F.lit(0), F.col("minors") + F.col("others") - 1)
     partners = F.when(F.col("minor"), every).otherwise(F.sequence(F.lit(0), F.col("minors") - 1))
     dealt = placed.where("minors > 0").withColumn("other", F.explode(partners)).select("heart", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "part", "n", "difference")
@@ -335,6 +335,11 @@ def crowd_links(members: DataFrame, percent: int) -> DataFrame:
     return ordered.mapInArrow(lean(run), schema).distinct()
 
 
+def sent(facts: DataFrame) -> DataFrame:
+    """A checkpointed table of facts about crowds, broadcast while it is small: the members of a large crowd then stay where they are."""
+    return F.broadcast(facts) if facts.count() <= BROADCAST_IDS else facts.hint("merge")
+
+
 def labelled(nodes: DataFrame, parts: DataFrame, name: str, to: str) -> DataFrame:
     """``nodes`` with the component of column ``name`` in ``to``; a node without a link is its own."""
     return nodes.join(parts.select(F.col("node").alias(name), F.col("component").alias(to)), name, "left").withColumn(to, F.coalesce(to, name))
@@ -378,8 +383,8 @@ def class_components(nodes: DataFrame, docs: DataFrame, width: int, percent: int
     torn = split.groupBy("band", "code").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("band", "code")
     crowds = checkpointed(split.join(torn, ["band", "code"]).where("node <> heart").select("heart", "node", "part").distinct())
     sizes = crowds.groupBy("heart", "part").agg(F.count(F.lit(1)).alias("n"))
-    main = sizes.groupBy("heart").agg(F.max(F.struct("n", "part"))["part"].alias("main"), F.sum("n").alias("crowd"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    crowds = checkpointed(crowds.join(main, "heart").select("heart", "node", "part", (F.col("part") != F.col("main")).alias("minor"), "crowd"))
+    main = checkpointed(sizes.groupBy("heart").agg(F.max(F.struct("n", "part"))["part"].alias("main"), F.sum("n").alias("crowd"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1"))
+    crowds = checkpointed(crowds.join(sent(main), "heart").select("heart", "node", "part", (F.col("part") != F.col("main")).alias("minor"), "crowd"))
     if crowds.isEmpty():
         return parts
     few = crowds.where(F.col("crowd") <= SMALL).select("heart", "node", "part")
