@@ -159,6 +159,11 @@ def pdf_date(value: Column) -> Column:
     return F.when(F.coalesce(value, F.lit("")) == "", "Unknown").when(parts != "", made).otherwise(value)
 
 
+def shown_time(value: Column) -> Column:
+    """A time as ``YYYY-MM-DD HH:MM``; ``Unknown`` where there is none."""
+    return F.coalesce(F.date_format(value, "yyyy-MM-dd HH:mm"), F.lit("Unknown"))
+
+
 def truncate(text: Column, most: int) -> Column:
     return F.when(F.length(text) > most, F.concat(F.left(text, F.lit(most - 1)), F.lit("…"))).otherwise(text)
 

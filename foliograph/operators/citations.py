@@ -161,6 +161,19 @@ def superscripts(items: DataFrame, refs: DataFrame, body_height: float = 10.0) -
     return out.where("valid > 0").select("doc_id", "page_no", "line_no", "x", "content", "total", "valid", F.round(F.col("valid") / F.col("total"), 6).alias("confidence"))
 
 
+#: pages with fewer citations are searched for superscripts too (fixed value)
+FEW = 5
+
+
+def with_superscripts(found: DataFrame, raised: DataFrame) -> DataFrame:
+    """Citations (``doc_id, page_no, type, begin, confidence``) and, on pages with fewer than five of them, the superscripts (of
+    ``superscripts``) as well, with a null ``begin``."""
+    full = found.groupBy("doc_id", "page_no").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= FEW)
+    more = raised.join(full, ["doc_id", "page_no"], "left_anti")
+    columns = ["doc_id", "page_no", "type", "begin", "confidence"]
+    return found.select(*columns).unionByName(more.select("doc_id", "page_no", F.lit("superscript").alias("type"), F.lit(None).cast("int").alias("begin"), "confidence"))
+
+
 def inline_citations(pages: DataFrame, refs: DataFrame, skip: DataFrame | None = None) -> DataFrame:
     """All citations in the texts of pages (``doc_id, page_no, body``): numeric, abbreviated and author-year ones with at least
     one entry in ``refs``, none of which overlaps what an earlier rule has taken, penalised by the document's format.
@@ -264,3 +277,15 @@ def anchors(entries: DataFrame) -> DataFrame:
     bare = F.regexp_replace("text", r"^[\[(]?[0-9]+[\]).\s]*", "")
     several = F.regexp_like(F.left("text", F.lit(100)), F.lit(r"(?i)(?<![a-z0-9_])(?:et\s+al|and)(?![a-z0-9_])|,.*,|&"))
     return entries.withColumn("year", F.nullif(year, F.lit(""))).withColumn("author_search_text", F.lower(F.left(bare, F.lit(40)))).withColumn("has_multiple_authors", several)
+
+
+def entry_anchors(lines: DataFrame, entries: DataFrame) -> DataFrame:
+    """Where entries begin and end: ``doc_id, entry, page_no, start_x, start_y, end_x, end_y, text`` and what ``anchors`` reads. ``entries``
+    are ``doc_id, line_no, entry``; a place is half a line's height below its y, an end at the line's right edge."""
+    rows = lines.join(entries.select("doc_id", "line_no", "entry"), ["doc_id", "line_no"])
+    middle = F.col("y") - F.col("h") / 2
+    first = F.min(F.struct("line_no", "page_no", F.col("x").alias("x"), middle.alias("y")))
+    last = F.max(F.struct("line_no", (F.col("x") + F.col("w")).alias("x"), middle.alias("y")))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda s: s["text"]), " ")
+    whole = rows.groupBy("doc_id", "entry").agg(first.alias("f"), last.alias("l"), F.trim(text).alias("text"))
+    return anchors(whole.select("doc_id", "entry", "f.page_no", F.col("f.x").alias("start_x"), F.col("f.y").alias("start_y"), F.col("l.x").alias("end_x"), F.col("l.y").alias("end_y"), "text"))

@@ -41,6 +41,19 @@ def containing_section(points: DataFrame, sections: DataFrame) -> DataFrame:
     return marks.unionByName(asked).withColumn("section_no", F.last("section", ignorenulls=True).over(order)).where("kind = 1").select("doc_id", "point_no", "section_no")
 
 
+def containing_section_by_columns(points: DataFrame, sections: DataFrame) -> DataFrame:
+    """As ``containing_section``, on pages with columns: both sides have a ``column`` (-1 for the whole width), and the order is that of
+    ``outline.reading_order``: pages, bands between things over the whole width, columns, then from the top down."""
+    from foliograph.operators.outline import reading_order
+
+    none = F.lit(None).cast("long")
+    marks = sections.select("doc_id", "page_no", "x", "y", "column", F.lit(0).alias("ord"), F.col("section_no").cast("long").alias("section"), none.alias("point_no"))
+    asked = points.select("doc_id", "page_no", "x", "y", "column", F.lit(1).alias("ord"), none.alias("section"), F.col("point_no").cast("long").alias("point_no"))
+    placed = reading_order(marks.unionByName(asked))
+    order = Window.partitionBy("doc_id").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return placed.withColumn("section_no", F.last("section", ignorenulls=True).over(order)).where("ord = 1").select("doc_id", "point_no", "section_no")
+
+
 def best_by_place(rows: DataFrame) -> DataFrame:
     """Of rows at one rounded place the one of the highest confidence, the earliest among equals."""
     rx, ry = (F.floor(F.col(c) + 0.5).cast("long") for c in ("x", "y"))

@@ -94,6 +94,13 @@ def reference_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.anchors(references(spark, sf_dir).select("doc_id", "ref_ord", "text")).drop("text")
 
 
+def page_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All citations of a page, superscripts on pages with few others: each order's sentence is a page of one of three documents in turn."""
+    found = C.inline_citations(_pages(spark, sf_dir), references(spark, sf_dir))
+    raised = superscript_citations(spark, sf_dir).withColumn("page_no", (F.col("doc_id") % 3).cast("int"))
+    return C.with_superscripts(found, raised).groupBy("doc_id", "page_no", "type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("confidence"), 6).alias("confidence"))
+
+
 def superscript_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     refs = references(spark, sf_dir)
     text = F.when(F.col("ref_ord") % 3 == 0, F.concat(F.lit("a"), F.col("ref_index").cast("string"), F.lit(","))).when(F.col("ref_ord") % 3 == 1, F.col("ref_index").cast("string")).otherwise("word")
@@ -107,7 +114,7 @@ def numbered_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.numbered_entries(refs.select("doc_id", F.explode(two).alias("l")).select("doc_id", "l.*"))
 
 
-QUERIES = {f.__name__: f for f in (reference_entries, citation_spans, citation_numbers, citation_ref_join, abbreviated_citations, abbreviated_links, author_year_match, loose_author_match, inline_citations, reference_anchors, superscript_citations, crossref_mentions, crossref_targets, crossref_resolution, ref_format_vote, inline_format_vote, numbered_entries)}
+QUERIES = {f.__name__: f for f in (reference_entries, citation_spans, citation_numbers, citation_ref_join, abbreviated_citations, abbreviated_links, author_year_match, loose_author_match, inline_citations, page_citations, reference_anchors, superscript_citations, crossref_mentions, crossref_targets, crossref_resolution, ref_format_vote, inline_format_vote, numbered_entries)}
 
 # the oracles know how the sentences are made, not how they are read
 _PARTS = f"""WITH {PAPERS_SQL}, {REFERENCES_SQL},
@@ -140,6 +147,7 @@ ORACLES = {
     "superscript_citations": f"""WITH {REFERENCES_SQL}, pairs AS (SELECT a.doc_id, a.ref_ord * 6.0 AS x, a.ref_index AS i, b.ref_index AS j FROM refs a LEFT JOIN refs b ON a.doc_id = b.doc_id AND b.ref_ord = a.ref_ord + 1 WHERE a.ref_ord % 3 = 0
         UNION ALL SELECT doc_id, ref_ord * 6.0, NULL, ref_index FROM refs WHERE ref_ord = 1)
       SELECT doc_id, 1 AS page_no, 1 AS line_no, x::DOUBLE AS x, concat_ws(',', i, j) AS content, (i IS NOT NULL)::BIGINT + (j IS NOT NULL)::BIGINT AS total, (i IS NOT NULL)::BIGINT + (j IS NOT NULL)::BIGINT AS valid, 1.0::DOUBLE AS confidence FROM pairs""",
+    "page_citations": None,
     "crossref_mentions": f'{_PARTS} SELECT doc_id, kind, "begin", length, content AS target FROM mentions',
     "crossref_targets": f"{_PARTS} SELECT * FROM captions",
     "crossref_resolution": f'{_PARTS} SELECT doc_id, kind, content AS target, "begin", length, line_no FROM mentions LEFT JOIN (SELECT doc_id, kind, target AS content, line_no FROM captions) USING (doc_id, kind, content)',
@@ -147,3 +155,8 @@ ORACLES = {
     "inline_format_vote": f"WITH {REFERENCES_SQL} SELECT doc_id, {_STYLES} AS format, 1.0::DOUBLE AS confidence FROM refs GROUP BY 1",
     "numbered_entries": f"WITH {REFERENCES_SQL} SELECT doc_id, ref_ord AS entry, ref_index::VARCHAR AS ref_index, text FROM refs",
 }
+_FOUND = ORACLES["inline_citations"].split("SELECT doc_id, (doc_id % 3)::INT AS page_no")[0]
+_RAISED = ORACLES["superscript_citations"].split("pairs AS (")[1].split("SELECT doc_id, 1 AS page_no")[0].strip().removesuffix(")")
+ORACLES["page_citations"] = f"""{_FOUND.rstrip()}, pairs AS ({_RAISED}), full_pages AS (SELECT doc_id FROM every GROUP BY 1 HAVING count(*) >= 5),
+  both_kinds AS (SELECT doc_id, type, confidence FROM every UNION ALL SELECT doc_id, 'superscript', 1.0 FROM pairs WHERE doc_id NOT IN (SELECT doc_id FROM full_pages))
+  SELECT doc_id, (doc_id % 3)::INT AS page_no, type, count(*) AS n, round(sum(round(confidence, 6)), 6)::DOUBLE AS confidence FROM both_kinds GROUP BY 1, 2, 3"""

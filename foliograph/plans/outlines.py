@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliograph.functions import text as T
-from foliograph.operators import layout, outline, references, trees
+from foliograph.operators import citations, layout, outline, references, trees
 from foliograph.plans.layout import METRICS_SQL
 from foliograph.sources.adapters import LINES_SQL, lines, table
 
@@ -155,6 +155,28 @@ def entry_rects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return references.page_rects(rows).select("doc_id", "ref_ord", "page_no", F.size("rects").alias("n"), F.col("rects")[0]["x"].alias("first_x"), F.element_at("rects", -1)["y"].alias("last_y"))
 
 
+def entry_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lines(spark, sf_dir)
+    entries = rows.select("doc_id", "line_no", F.floor(F.col("line_no") / 3).alias("entry"))
+    return citations.entry_anchors(rows, entries).select("doc_id", "entry", "page_no", "start_x", "start_y", "end_x", "end_y", "text", "has_multiple_authors")
+
+
+def heading_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lines(spark, sf_dir)
+    of = rows.where("line_no = 0")
+    ends = of.where("doc_id % 3 = 0").select("doc_id", F.lit(1).alias("page_no"), F.lit(700.5).alias("y"), F.lit(14.0).alias("h"))
+    abstracts = of.where("doc_id % 2 = 0").select("doc_id", (F.col("doc_id") % 4 / 2 + 1).cast("int").alias("page_no"), F.lit(650.0).alias("y"))
+    return layout.heading_region(rows, ends, abstracts).select("doc_id", "line_no")
+
+
+def distinct_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliograph.operators import links
+    from foliograph.plans.places import _rects
+
+    rows = _rects(spark, sf_dir).select("doc_id", F.col("no").alias("ord"), (F.col("no") % 2).alias("dest_page"), (F.col("rect.y") / 21).alias("dest_y"))
+    return links.distinct_figures(rows).select("doc_id", "ord")
+
+
 def usable_indexes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return references.usable(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id")))
 
@@ -169,7 +191,7 @@ def normalized_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return headed(spark, sf_dir).where("line_no % 7 = 3").select("doc_id", "line_no", T.normalize_heading(F.col("text")).alias("heading"), T.appendix_letter(F.col("text")).alias("letter"))
 
 
-QUERIES = {f.__name__: f for f in (heading_candidates, heading_levels, abstract_lines, section_targets, chosen_outlines, purged_outlines, outlines_with_abstract, document_title_choice, nearest_heading_lines, located_bookmarks, reading_order, column_of_lines, reference_sections, probed_sections, line_layouts, bounding_anchors, entry_rects, usable_indexes, tree_descendants, normalized_headings)}
+QUERIES = {f.__name__: f for f in (heading_candidates, heading_levels, abstract_lines, section_targets, chosen_outlines, purged_outlines, outlines_with_abstract, document_title_choice, nearest_heading_lines, located_bookmarks, reading_order, column_of_lines, reference_sections, probed_sections, line_layouts, bounding_anchors, entry_rects, entry_anchors, heading_regions, distinct_figures, usable_indexes, tree_descendants, normalized_headings)}
 
 ORACLES = {
     "heading_candidates": f"WITH {_FOUND} SELECT * FROM headings",
@@ -200,6 +222,9 @@ ORACLES = {
       SELECT l.doc_id, line_no, CASE WHEN t.doc_id IS NULL THEN -1 WHEN x >= 198 THEN 1 ELSE 0 END::INT AS column_no FROM (SELECT DISTINCT doc_id, page_no FROM counted) k JOIN lines l USING (doc_id, page_no) LEFT JOIN two t USING (doc_id, page_no)""",
     "bounding_anchors": None,
     "entry_rects": None,
+    "entry_anchors": f"""WITH {LINES_SQL} SELECT doc_id, (line_no // 3)::BIGINT AS entry, arg_min(page_no, line_no) AS page_no, arg_min(x, line_no) AS start_x, arg_min(y - h / 2, line_no) AS start_y, arg_max(x + w, line_no) AS end_x, arg_max(y - h / 2, line_no) AS end_y, trim(string_agg(text, ' ' ORDER BY line_no)) AS text,
+      regexp_matches(trim(string_agg(text, ' ' ORDER BY line_no))[1:100], '(?i)(?:^|[^a-z0-9_])(?:et\\s+al|and)(?:$|[^a-z0-9_])|,.*,|&') AS has_multiple_authors FROM lines GROUP BY 1, 2""",
+    "heading_regions": f"""WITH {LINES_SQL} SELECT doc_id, line_no FROM lines WHERE page_no >= CASE WHEN doc_id % 2 = 0 THEN (doc_id % 4) // 2 + 1 ELSE 1 END AND NOT (page_no <= 1 AND y > CASE WHEN doc_id % 3 = 0 THEN 700 - 42 WHEN doc_id % 2 = 0 THEN 650 ELSE 792 END)""",
     "usable_indexes": "SELECT l_orderkey AS doc_id, count(*) AS n_entries, count(*) >= 5 AS usable FROM lineitem GROUP BY 1",
     "tree_descendants": """WITH s AS (SELECT s_suppkey, n_nationkey, n_regionkey FROM supplier JOIN nation ON s_nationkey = n_nationkey)
       SELECT 100000000 + s_suppkey AS ancestor, 1 AS n FROM s UNION ALL SELECT n_regionkey * 1000000 + 1000 * (n_nationkey + 1), 1 + (SELECT count(*) FROM s WHERE s.n_nationkey = nation.n_nationkey) FROM nation
@@ -219,3 +244,4 @@ ORACLES["bounding_anchors"] = f"""{_RECTS}, p AS (SELECT * FROM rects WHERE no %
   c AS (SELECT p.doc_id, p.page_no, p.no AS point_no, coalesce(n.cur, r.cur) AS cur FROM p LEFT JOIN near n ON n.doc_id = p.doc_id AND n.point_no = p.no LEFT JOIN reach r ON r.doc_id = p.doc_id AND r.page_no = p.page_no)
   SELECT c.doc_id, c.page_no, point_no, cur AS current, min(a.no) AS next FROM c LEFT JOIN a ON a.doc_id = c.doc_id AND a.no > c.cur GROUP BY 1, 2, 3, 4"""
 ORACLES["entry_rects"] = f"""{_RECTS} SELECT doc_id, no // 3 AS ref_ord, page_no, count(*) AS n, arg_min(x, no) AS first_x, arg_max(y, no) AS last_y FROM rects GROUP BY 1, 2, 3"""
+ORACLES["distinct_figures"] = f"""{_RECTS} SELECT doc_id, min(no) AS ord FROM rects GROUP BY doc_id, no % 2, floor(y / 21 + 0.5)"""

@@ -36,6 +36,12 @@ def containing_section_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.containing_section(rows.where("no % 2 = 0").withColumnRenamed("no", "point_no"), rows.where("no % 2 = 1").withColumnRenamed("no", "section_no"))
 
 
+def containing_section_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    column = F.when(F.col("no") % 5 == 0, -1).when(F.col("x") > 250, 1).otherwise(0)
+    rows = _rects(spark, sf_dir).select("doc_id", "page_no", "no", "rect.x", "rect.y").withColumn("column", column)
+    return spatial.containing_section_by_columns(rows.where("no % 2 = 0").withColumnRenamed("no", "point_no").withColumn("y", F.col("y") + 0.5), rows.where("no % 2 = 1").withColumnRenamed("no", "section_no").withColumn("y", F.col("y") + F.col("section_no") / 1000))
+
+
 def position_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.best_by_place(_rects(spark, sf_dir).select("doc_id", F.lit(1).alias("page_no"), F.col("no").alias("ord"), (F.col("rect.x") / 100).alias("x"), (F.col("rect.y") / 100).alias("y"), "confidence"))
 
@@ -156,7 +162,7 @@ def progress_milestones(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trails.milestones(_events(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (rect_overlap_join, nearest_anchor, containing_section_asof, position_dedup, bounding_boxes, line_rect_merge, outline_flatten, tree_layout, outline_tree, pending_match, trail_connections, trail_children, trails_shown, lookups, spaced_requests, passes, sections_reached, slot_takes, pending_cap, pending_lifetime, trail_prune, search_debounce, progress_milestones)}
+QUERIES = {f.__name__: f for f in (rect_overlap_join, nearest_anchor, containing_section_asof, containing_section_columns, position_dedup, bounding_boxes, line_rect_merge, outline_flatten, tree_layout, outline_tree, pending_match, trail_connections, trail_children, trails_shown, lookups, spaced_requests, passes, sections_reached, slot_takes, pending_cap, pending_lifetime, trail_prune, search_debounce, progress_milestones)}
 
 _RECTS = """WITH numbered AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS no FROM lineitem),
 rects AS (SELECT l_orderkey AS doc_id, l_linenumber % 3 AS page_no, no, (l_partkey % 50 * 10)::DOUBLE AS x, (l_suppkey % 20 * 7)::DOUBLE AS y, l_quantity + 20.0::DOUBLE AS w, 12.0::DOUBLE AS h, l_quantity % 10 / 10 AS confidence FROM numbered)"""
@@ -182,6 +188,10 @@ ORACLES = {
     "containing_section_asof": f"""{_RECTS}, c AS (SELECT a.doc_id, a.no AS point_no, b.no AS section_no, row_number() OVER (PARTITION BY a.doc_id, a.no ORDER BY b.page_no DESC NULLS LAST, b.y, b.no DESC) AS nth
         FROM rects a LEFT JOIN rects b ON a.doc_id = b.doc_id AND b.no % 2 = 1 AND (b.page_no < a.page_no OR (b.page_no = a.page_no AND b.y >= a.y)) WHERE a.no % 2 = 0)
       SELECT doc_id, point_no, section_no FROM c WHERE nth = 1""",
+    "containing_section_columns": f"""{_RECTS}, p AS (SELECT doc_id, page_no, no, CASE WHEN no % 2 = 0 THEN y + 0.5 ELSE y + no / 1000 END AS y, CASE WHEN no % 5 = 0 THEN -1 WHEN x > 250 THEN 1 ELSE 0 END AS col FROM rects),
+      b AS (SELECT a.doc_id, a.no, a.page_no, a.col, a.y, count(*) FILTER (o.col = -1) AS band FROM p a JOIN p o ON a.doc_id = o.doc_id AND a.page_no = o.page_no AND o.y >= a.y GROUP BY ALL),
+      r AS (SELECT doc_id, no, row_number() OVER (PARTITION BY doc_id ORDER BY page_no, band, col, y DESC, no % 2 = 0, no) AS place FROM b)
+      SELECT a.doc_id, a.no AS point_no, arg_max(s.no, s.place) AS section_no FROM r a LEFT JOIN r s ON s.doc_id = a.doc_id AND s.no % 2 = 1 AND s.place < a.place WHERE a.no % 2 = 0 GROUP BY 1, 2""",
     "position_dedup": f"""{_RECTS} SELECT doc_id, 1 AS page_no, floor(x / 100 + 0.5)::BIGINT AS rx, floor(y / 100 + 0.5)::BIGINT AS ry, arg_min(no, (-confidence, no)) AS ord, max(confidence) AS confidence FROM rects GROUP BY 1, 3, 4""",
     "bounding_boxes": f"""{_RECTS} SELECT doc_id, page_no, min(x) AS "left", min(y) AS top, max(x + w) AS "right", max(y + h) AS bottom FROM rects GROUP BY 1, 2""",
     "line_rect_merge": f"""{_RECTS}, r AS (SELECT *, max(x + w) OVER (PARTITION BY doc_id, page_no ORDER BY x, w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM rects),

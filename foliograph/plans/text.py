@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliograph.functions import text as T
-from foliograph.operators import layout, markup, titles
+from foliograph.operators import glyphs, layout, markup, titles
 from foliograph.plans.layout import TITLES_SQL
 from foliograph.sources import files
 from foliograph.sources.adapters import lines, table
@@ -111,12 +111,12 @@ def search_page_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clipped_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", T.escape_html(T.truncate(T.clean_copy(F.col("text")), 60)).alias("clip"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.escape_html(T.truncate(glyphs.composed(T.clean_copy(F.col("text"))), 60)).alias("clip"))
 
 
 def pdf_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     value = F.concat(F.lit("D:"), F.date_format("o_orderdate", "yyyyMMddHHmm"), F.lit("00Z"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", T.pdf_date(F.when(F.col("o_orderkey") % 3 > 0, value)).alias("shown"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", T.pdf_date(F.when(F.col("o_orderkey") % 3 > 0, value)).alias("shown"), T.shown_time(F.when(F.col("o_orderkey") % 5 > 0, F.col("o_orderdate"))).alias("time"))
 
 
 QUERIES = {f.__name__: f for f in (normalized_titles, normalized_part_names, url_fragments, url_file_names, number_expansion, year_lists, section_numbers, fuzzy_title_pairs, reference_links, section_search_ranges, document_facts, shortened_texts, page_geometry, responses, palette_colors, page_headings, page_links, search_page_ranges, clipped_texts, pdf_dates)}
@@ -154,7 +154,7 @@ ORACLES = {
     "page_links": """WITH l AS (SELECT page_id, regexp_extract_all(html, '<a\\s[^>]*href="([^"]*)"', 1) AS h FROM pages) SELECT page_id, unnest(range(len(h)))::INT AS place, replace(unnest(h), '&amp;', '&') AS href FROM l""",
     "search_page_ranges": """WITH q AS (SELECT o_orderkey, (o_orderkey % 7 + 1)::INT AS s, least(CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey % 7 + 1 + o_orderkey % 5 ELSE o_orderkey % 11 END, 9)::INT AS t FROM orders)
       SELECT o_orderkey, CASE WHEN t > s THEN t END AS last_page FROM q""",
-    "clipped_texts": """WITH c AS (SELECT doc_id, replace(replace(text, chr(10), ' '), '- ', '') AS t FROM documents), k AS (SELECT doc_id, CASE WHEN length(t) > 60 THEN t[1:59] || '…' ELSE t END AS t FROM c)
+    "clipped_texts": """WITH c AS (SELECT doc_id, nfc_normalize(replace(replace(text, chr(10), ' '), '- ', '')) AS t FROM documents), k AS (SELECT doc_id, CASE WHEN length(t) > 60 THEN t[1:59] || '…' ELSE t END AS t FROM c)
       SELECT doc_id, replace(replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS clip FROM k""",
-    "pdf_dates": "SELECT o_orderkey, CASE WHEN o_orderkey % 3 > 0 THEN strftime(o_orderdate, '%Y-%m-%d %H:%M') ELSE 'Unknown' END AS shown FROM orders",
+    "pdf_dates": "SELECT o_orderkey, CASE WHEN o_orderkey % 3 > 0 THEN strftime(o_orderdate, '%Y-%m-%d %H:%M') ELSE 'Unknown' END AS shown, CASE WHEN o_orderkey % 5 > 0 THEN strftime(o_orderdate, '%Y-%m-%d %H:%M') ELSE 'Unknown' END AS time FROM orders",
 }
