@@ -6,7 +6,6 @@ through a text once for each kind of thing, take the leftmost reading, and go on
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -22,6 +21,7 @@ CONJUNCTIONS = ("and", "&amp;", "&", "＆")
 #: phrases that may open a parenthesis, and those of them that may follow another
 OPENERS = ("e.g.", "i.e.", "see also", "see", "cf.", "compare", "inter alia:")
 EXAMPLES = ("e.g.", "i.e.")
+LONGEST_FIRST = tuple(sorted(OPENERS, key=len, reverse=True))
 #: phrases that may close it
 CLOSERS = ("among others", "amongst others", "and others")
 #: kinds of mentions with the words that begin them, longest first
@@ -159,19 +159,14 @@ def bracket_citations(t: str) -> Iterator[tuple[str, int, int, str]]:
 # ---- authors and years
 
 
-@lru_cache(1 << 14)
-def name_letter(c: str) -> bool:
-    return c in "'’-" or unicodedata.category(c)[0] in "LM"
-
-
-@lru_cache(1 << 12)
-def capital(c: str) -> bool:
-    return unicodedata.category(c) == "Lu"
+#: a capital and at least one more letter, mark, apostrophe or hyphen
+PROPER = regex.compile(r"\p{Lu}[\p{L}\p{M}'’\-]+")
+BY_LETTER = {c: tuple(w for w in (*PARTICLES, *(w.capitalize() for w in PARTICLES)) if w[0] == c) for c in {x for w in PARTICLES for x in (w[0], w[0].upper())}}
 
 
 def particle(t: str, p: int) -> int | None:
-    for w in PARTICLES:
-        if t.startswith((w, w.capitalize()), p) and (q := spaced(t, p + len(w))) is not None:
+    for w in BY_LETTER.get(t[p : p + 1], ()):
+        if t.startswith(w, p) and (q := spaced(t, p + len(w))) is not None:
             return q
     return None
 
@@ -184,12 +179,8 @@ def surname(t: str, p: int) -> int | None:
 
 
 def surname_itself(t: str, p: int) -> int | None:
-    if p >= len(t) or not capital(t[p]):
-        return None
-    q = p + 1
-    while q < len(t) and name_letter(t[q]):
-        q += 1
-    return q if q > p + 1 else None
+    m = PROPER.match(t, p)
+    return m.end() if m else None
 
 
 def and_others(t: str, p: int) -> int:
@@ -247,7 +238,7 @@ def parenthesis(t: str, p: int) -> tuple[int, str] | None:
 
 def opener(t: str, p: int) -> int:
     """The phrase that a parenthesis may begin with, blanks behind it included."""
-    phrase = next((w for w in sorted(OPENERS, key=len, reverse=True) if t.startswith(w, p)), None)
+    phrase = next((w for w in LONGEST_FIRST if t.startswith(w, p)), None)
     if phrase is None:
         return p
     p += len(phrase)
@@ -350,6 +341,11 @@ def pair_and_others(t: str, p: int) -> Cited | None:
 SINGLE = (two_outside, three_outside, three_inside, two_inside, one_outside, one_inside, pair_and_others)
 
 
+#: those of them that begin with a parenthesis, and what all of them hold: four digits before something that may follow a year
+INSIDE = frozenset((three_inside, two_inside, one_inside))
+DATED = regex.compile(r"[0-9]{4}")
+
+
 def block_part(t: str, p: int) -> Cited | None:
     """One citation of a block: one, two or three authors, or two with a comma between them, then years and pages."""
     first = surname(t, p)
@@ -418,17 +414,18 @@ def name_starts() -> regex.Pattern:
 def author_citations(t: str) -> Iterator[tuple[int, int, int, int, str, str | None, str]]:
     """``rank, at, end, begin, author, second, year`` by every rule, overlaps between rules included: blocks have rank 0, a
     block's citations its whole place from ``at`` to ``end``."""
-    if "(" not in t:
+    if "(" not in t or not DATED.search(t):
         return
+    names, openings = [*may_start(t, False)], [*may_start(t, True)]
     behind = 0
-    for p in may_start(t, True):
+    for p in openings:
         if p >= behind and (found := block(t, p)) is not None:
             behind = found[0]
             for begin, (_, author, second, years) in found[1]:
                 yield from ((0, p, behind, begin, own(author), second, y) for y in each_year(years))
     for rank, rule in enumerate(SINGLE, 1):
         behind = 0
-        for p in may_start(t, rule in (three_inside, two_inside, one_inside)):
+        for p in openings if rule in INSIDE else names:
             if p >= behind and (found := rule(t, p)) is not None:
                 behind, author, second, years = found
                 yield from ((rank, p, behind, p, own(author), second, y) for y in each_year(years))

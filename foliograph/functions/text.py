@@ -23,6 +23,11 @@ SECTION_NUMBER = "^(?:" + "|".join([rf"(?:{x})\s+" for x in _BEFORE_BLANK] + [rf
 LONGEST_RANGE = 31
 
 
+def given(value: Column, then) -> Column:
+    """``then(value)`` with the value worked out once: within a lambda an expression would be worked out again for every element."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def normalize_title(title: Column) -> Column:
     """Letters, digits and single spaces, lower case; null is empty."""
     kept = F.regexp_replace(F.regexp_replace(title, r"(?U)[^A-Za-z0-9\s]", ""), r"(?U)^\s+|\s+$", "")
@@ -113,12 +118,14 @@ def number_items(content: Column) -> Column:
     """``1-3, 5; 7`` as an array of (first, last, is_range); items that aren't numbers are dropped."""
 
     def item(x: Column) -> Column:
-        first = F.regexp_extract(x, r"^([0-9]+)", 1)
-        last = F.regexp_extract(x, rf"^[0-9]+\s*{DASH}\s*([0-9]+)$", 1)
-        return F.struct(F.try_to_number(first, F.lit("999999999")).cast("int").alias("first"), F.try_to_number(F.when(last != "", last), F.lit("999999999")).cast("int").alias("last"))
-
-    items = F.transform(F.split(content, "[,;]"), lambda x: item(F.trim(x)))
-    return F.filter(items, lambda s: s["first"].isNotNull())
+        whole = F.get(x, F.lit(0)).try_cast("int")
+        some = F.regexp_extract(F.get(x, F.lit(0)), r"^([0-9]{1,9})(?![0-9])", 1).try_cast("int")
+        last = F.when((F.size(x) == 2) & whole.isNotNull(), F.get(x, F.lit(1)).try_cast("int"))
+        return F.struct(F.coalesce(whole, some).alias("first"), last.alias("last"))
+
+    # an item is its pieces around dashes: one number or two
+    pieces = F.transform(F.split(content, r"\s*[,;]\s*"), lambda x: F.split(F.trim(x), rf"\s*{DASH}\s*"))
+    return F.filter(F.transform(pieces, item), lambda s: s["first"].isNotNull())
 
 
 def expand_numbers(content: Column) -> Column:
