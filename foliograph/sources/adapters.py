@@ -95,7 +95,9 @@ def sql_text(template: str) -> str:
 
 def bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sentence for each order that cites its entries and points at other parts: ``doc_id, body``."""
-    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.min("l_linenumber").alias("lo"), F.max("l_linenumber").alias("hi"), F.count(F.lit(1)).alias("n"), F.min("l_suppkey").alias("s"), F.min(F.year("l_shipdate")).alias("y"))
+    # sentences are short and reading them takes long: as many tasks as shuffles have, not as few as the bytes would fill
+    items = table(spark, sf_dir, "lineitem").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "l_orderkey")
+    rows = items.groupBy("l_orderkey").agg(F.min("l_linenumber").alias("lo"), F.max("l_linenumber").alias("hi"), F.count(F.lit(1)).alias("n"), F.min("l_suppkey").alias("s"), F.min(F.year("l_shipdate")).alias("y"))
     of = {"hi2": F.col("hi") + 2, "a": author(F.col("s"))}
     text = lambda t: F.concat(*(of.get(x, F.col(x) if named else None).cast("string") if named else F.lit(x) for named, x in _parts(t)))
     whole = ["".join(x if isinstance(x, str) else x[2] for x in sentence) for sentence in SENTENCES]
