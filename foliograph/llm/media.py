@@ -6,9 +6,9 @@ two areas and yields two bits, and the filters of a frame are packed into one in
 
 Recordings with the same fingerprint form a class, named by its smallest id. A single integer of a smooth recording is
 common, so the index goes by composite keys: the steady bits of three integers at fixed distances (``DISTANCES``).
-Classes that share keys with a query's class are aligned: the differences of the keys' places are counted, the fullest
-offset wins (the smallest among equals), and the share of differing bits over the overlap decides. No count is capped,
-and copies never meet.
+Classes that share keys with a query's class are aligned: the differences of the keys' places make a histogram of offsets.
+Each offset in it, and the two next to it, is judged by the share of differing bits over the overlap; the least wins, of
+equal ones the fullest and then the smallest. No count is capped, and copies never meet.
 
 Null, empty and undecodable media, and recordings shorter than a filter, have the empty fingerprint: they are in no
 class and match nothing. A row without an id is left out. Repeated rows of one id are members alike; of several
@@ -43,7 +43,7 @@ EDGE = 0.12
 MOST_ERRORS = 0.2
 LEAST_OVERLAP = 32
 #: places of the integers of a composite key, none reaching over LEAST_OVERLAP integers
-DISTANCES = ((0, 15, 30), (0, 11, 30))
+DISTANCES = ((0, 15, 30), (0, 12, 24))
 #: the bits of a composite key: which of the two areas is greater, for the filters of four classes and more
 STEADY = sum(2 << 2 * k for k, (_, _, classes, _) in enumerate(FILTERS) if classes >= 4)
 #: recordings that are decoded at a time
@@ -162,6 +162,42 @@ def indexed(whole: DataFrame) -> DataFrame:
     return whole.select("class", "asked", "prints").mapInArrow(lean(run), "class long, asked boolean, key long, place int")
 
 
+def best_offset(x: np.ndarray, y: np.ndarray, offsets: list[dict]) -> tuple[float, int] | None:
+    """The share of differing bits and the offset where two fingerprints agree best, of those in the histogram and next to it that
+    leave an overlap; None if there is none."""
+    votes: dict[int, int] = {}
+    for o in offsets:
+        for shift in (o["shift"] - 1, o["shift"], o["shift"] + 1):
+            votes[shift] = votes.get(shift, 0) + (o["n"] if shift == o["shift"] else 0)
+    best = None
+    for shift, n in votes.items():
+        u, v = x[max(shift, 0) :], y[max(-shift, 0) :]
+        size = min(len(u), len(v))
+        if size < LEAST_OVERLAP:
+            continue
+        errors = int(np.bitwise_count(u[:size] ^ v[:size]).sum()) / (size * 2 * len(FILTERS))
+        best = min(best or (2.0,), (errors, -n, abs(shift), shift))
+    return (best[0], best[3]) if best else None
+
+
+def judged(pairs: DataFrame) -> DataFrame:
+    """``a, b, shift, errors`` of the pairs (``a, b, offsets, x, y``) that match at their best offset."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for lo in range(0, batch.num_rows, AT_ONCE):
+                part = batch.slice(lo, AT_ONCE)
+                for a, b, offsets, x, y in zip(*(part.column(c).to_pylist() for c in ("a", "b", "offsets", "x", "y")), strict=True):
+                    best = best_offset(np.array(x, np.int32).view(np.uint32), np.array(y, np.int32).view(np.uint32), offsets)
+                    if best is not None and best[0] <= MOST_ERRORS:
+                        out.append((a, b, best[1], best[0]))
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.float64())
+            yield pa.RecordBatch.from_pydict({n: pa.array([r[k] for r in out], kind) for k, (n, kind) in enumerate(zip(("a", "b", "shift", "errors"), kinds, strict=True))})
+
+    return pairs.select("a", "b", "offsets", "x", "y").mapInArrow(lean(run), "a long, b long, shift int, errors double")
+
+
 def aligned(media: DataFrame, queries: str, id_column: str = "id", media_column: str = "media") -> DataFrame:
     """Classes of recordings, and how the classes of the queries match all classes.
 
@@ -176,16 +212,9 @@ def aligned(media: DataFrame, queries: str, id_column: str = "id", media_column:
     asked = keys.where("asked").select(F.col("class").alias("a"), F.col("place").alias("pa"), "key")
     shared = asked.join(keys.select(F.col("class").alias("b"), F.col("place").alias("pb"), "key"), "key").where("a <> b")
     votes = shared.groupBy("a", "b", (F.col("pa") - F.col("pb")).alias("shift")).agg(F.count(F.lit(1)).alias("n"))
-    best = votes.groupBy("a", "b").agg(F.max(F.struct("n", -F.abs("shift"), -F.col("shift")))["col3"].alias("s")).select("a", "b", (-F.col("s")).alias("shift"))
-    pairs = best.join(whole.where("asked").select(F.col("class").alias("a"), F.col("prints").alias("x")), "a").join(whole.select(F.col("class").alias("b"), F.col("prints").alias("y")), "b")
-    x = F.slice("x", F.greatest(F.col("shift"), F.lit(0)) + 1, F.size("x"))
-    y = F.slice("y", F.greatest(-F.col("shift"), F.lit(0)) + 1, F.size("y"))
-    # a negative integer would be counted with the 32 ones that widening puts before it
-    bits = lambda p, q: F.bit_count(p.bitwiseXOR(q).cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
-    differing = F.aggregate(F.zip_with(x, y, lambda p, q: F.coalesce(bits(p, q), F.lit(0))), F.lit(0), lambda s, v: s + v)
-    overlap = F.least(F.size(x), F.size(y))
-    scored = pairs.select("a", "b", "shift", overlap.alias("overlap"), (differing / (overlap * 2 * len(FILTERS))).alias("errors"))
-    match = scored.where((F.col("overlap") >= LEAST_OVERLAP) & (F.col("errors") <= MOST_ERRORS)).select(F.lit("match").alias("kind"), "a", "b", F.col("shift").cast("int").alias("shift"), F.round("errors", 6).alias("errors"))
+    offsets = votes.groupBy("a", "b").agg(F.collect_list(F.struct("n", "shift")).alias("offsets"))  # as many as a recording has places, twice
+    pairs = offsets.join(whole.where("asked").select(F.col("class").alias("a"), F.col("prints").alias("x")), "a").join(whole.select(F.col("class").alias("b"), F.col("prints").alias("y")), "b")
+    match = judged(pairs).select(F.lit("match").alias("kind"), "a", "b", "shift", F.round("errors", 6).alias("errors"))
     member = prints.join(classes, "key").select(F.lit("member").alias("kind"), F.col("id").alias("a"), F.col("class").alias("b"), F.lit(0).alias("shift"), F.lit(0.0).alias("errors"))
     return member.unionByName(match.distinct())
 
