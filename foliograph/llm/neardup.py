@@ -372,14 +372,14 @@ def class_components(nodes: DataFrame, docs: DataFrame, width: int, percent: int
     ends = candidates.select(F.explode(F.array("centre", "member")).alias("node"), F.struct("equal", (-F.col("centre")).alias("c"), (-F.col("member")).alias("m"), "centre", "member").alias("p"))
     best = checkpointed(ends.groupBy("node").agg(F.max("p").alias("p")).select("p.centre", "p.member").distinct())
     links = checkpointed(confirmed(best, docs, width, percent))
-    parts = components(links)
+    parts = sent(checkpointed(components(links)))
     apart = labelled(labelled(candidates.select("centre", "member"), parts, "centre", "ca"), parts, "member", "cb").where("ca <> cb").select("centre", "member")
     rest = checkpointed(apart.join(best, ["centre", "member"], "left_anti"))
     if not rest.isEmpty():
         links = checkpointed(links.union(confirmed(rest, docs, width, percent)))
-        parts = components(links)
+        parts = sent(checkpointed(components(links)))
     # crowds that still hold several components: the members of torn buckets, by the bucket's heart
-    split = labelled(crowded, parts, "node", "part")
+    split = checkpointed(labelled(crowded, parts, "node", "part"))
     torn = split.groupBy("band", "code").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("band", "code")
     crowds = checkpointed(split.join(torn, ["band", "code"]).where("node <> heart").select("heart", "node", "part").distinct())
     sizes = crowds.groupBy("heart", "part").agg(F.count(F.lit(1)).alias("n"))
