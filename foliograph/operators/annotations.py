@@ -23,7 +23,7 @@ def simplified_points(points: np.ndarray, tolerance: float) -> np.ndarray:
         if b - a < 2:
             continue
         inner, chord = points[a + 1 : b] - points[a], points[b] - points[a]
-        size = np.hypot(*chord)
+        size = float(np.sqrt(chord[0] * chord[0] + chord[1] * chord[1]))
         off = np.abs(chord[1] * inner[:, 0] - chord[0] * inner[:, 1]) / size if size else np.hypot(inner[:, 0], inner[:, 1])
         far = int(off.argmax())
         if off[far] > tolerance:
