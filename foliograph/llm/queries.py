@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliograph.llm import mixing
+from foliograph.llm import chat, codebooks, mixing, spelling
 from foliograph.llm.shared import table
 
 
@@ -71,5 +71,17 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_bytes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_bpe, op4_minhash_dedup, op5_pii, op6_quality_rules, op7_mixing, op8_quality_classifier, op9_media, op10_suffix_dedup)}
-ORACLES: dict[str, str] = {"op7_mixing": mixing.ORACLE}
+def op11_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.formatted_digests(table(spark, sf_dir, "conversations"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codebooks.compressed(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_bpe, op4_minhash_dedup, op5_pii, op6_quality_rules, op7_mixing, op8_quality_classifier, op9_media, op10_suffix_dedup, op11_chat, op12_spelling_variants, op13_vector_codes)}
+ORACLES: dict[str, str] = {"op7_mixing": mixing.ORACLE, "op11_chat": chat.ORACLE, "op12_spelling_variants": spelling.ORACLE, "op13_vector_codes": codebooks.ORACLE}
