@@ -1,28 +1,119 @@
-"""Passes over ordered rows that keep a small state, where no window can say what comes next; and cutting lineage."""
+"""Passes over ordered rows, of groups of any size; and cutting lineage.
+
+Rows are laid out in order over partitions by ranges of key and order, so a large group is several partitions' work: each does its
+part, and what one hands on to the next is settled in between, from a few values a partition. ``so_far`` does that for sums, maxima and last
+values in windows; ``in_order`` for any state that moves from row to row.
+"""
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 from collections.abc import Callable, Iterable
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+#: the number of the partition that a row was laid in
+PART = "__part"
+
+
+def laid_out(rows: DataFrame, keys: list[str], order: list[str], falling: bool = False) -> DataFrame:
+    """``rows`` sorted by keys and order over all partitions, with ``__part``; written, so that every pass meets the same parts."""
+    by = [*(F.col(k).asc() for k in keys), *(F.col(o).desc() if falling else F.col(o).asc() for o in order)]
+    return cut(rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn(PART, F.spark_partition_id()))
+
+
+def torn(laid: DataFrame, keys: list[str]) -> list[tuple[int, int, bool]]:
+    """Neighbouring parts that share a group, as ``part, next, whole``: whether that group is all that the next part has. One row a part comes to the driver."""
+    ends = laid.groupBy(PART).agg(F.min(F.struct(*keys)).alias("first"), F.max(F.struct(*keys)).alias("last"))
+    parts = sorted(ends.collect(), key=lambda r: r[PART])
+    return [(a[PART], b[PART], b["first"] == b["last"]) for a, b in zip(parts, parts[1:], strict=False) if a["last"] == b["first"]]
+
+
+def group_of(laid: DataFrame, keys: list[str], parts: list[int], which: Callable[[Column], Column]) -> DataFrame:
+    """The rows of the first (``F.min``) or last (``F.max``) group of each of ``parts``."""
+    some = laid.where(F.col(PART).isin(parts))
+    chosen = some.groupBy(F.col(PART).alias("p")).agg(which(F.struct(*keys)).alias("k"))  # a row a part
+    same = [F.col(k).eqNullSafe(F.col(f"k.{k}")) for k in keys]
+    return some.join(F.broadcast(chosen), [F.col(PART) == F.col("p"), *same], "left_semi")
+
+
+def so_far(laid: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column] | None = None, most: dict[str, Column] | None = None, last: dict[str, Column] | None = None, falling: bool = False) -> DataFrame:
+    """The rows of ``laid_out`` with the sum, maximum and last value that isn't null of the rows before each in its group: null if there are none.
+
+    Windows are over the parts of a group. What a part adds to what came before is a row for each group that is torn, fewer than two
+    for each part, and is broadcast. ``keys``, ``order`` and ``falling`` are those that the rows were laid out by.
+    """
+    sums, most, last = sums or {}, most or {}, last or {}
+    edge = F.min if falling else F.max
+    by = [F.col(o).desc() if falling else F.col(o).asc() for o in order]
+    inside = Window.partitionBy(PART, *keys).orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    rows = laid.withColumns({n: F.sum(c).over(inside) for n, c in sums.items()} | {n: F.max(c).over(inside) for n, c in most.items()} | {n: F.last(c, ignorenulls=True).over(inside) for n, c in last.items()})
+    shared = torn(laid, keys)
+    if not shared:
+        return rows
+    own = {n: F.sum(c) for n, c in sums.items()} | {n: F.max(c) for n, c in most.items()} | {n: edge(F.when(c.isNotNull(), F.struct(*order, c.alias("value")))) for n, c in last.items()}
+    met = group_of(laid, keys, [a for a, _, _ in shared], F.max)
+    ended = met.groupBy(PART, *keys).agg(*(c.alias(n) for n, c in own.items()))
+    follows = F.create_map(*(F.lit(x) for a, b, _ in shared for x in (a, b)))
+    # what each part that goes on leaves to the next, with all that comes before it
+    before = Window.partitionBy(*keys).orderBy(PART)
+    totals = {n: F.sum(n).over(before) for n in sums} | {n: F.max(n).over(before) for n in most} | {n: F.last(F.col(f"{n}.value"), ignorenulls=True).over(before) for n in last}
+    carried = ended.select(follows[F.col(PART)].alias("p"), *(F.col(k).alias(f"__{k}") for k in keys), *(c.alias(f"__{n}") for n, c in totals.items()))
+    joined = rows.join(F.broadcast(carried), [F.col(PART) == F.col("p"), *(F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys)], "left")
+    both = {n: F.when(F.col(n).isNull() | F.col(f"__{n}").isNull(), F.coalesce(n, f"__{n}")).otherwise(F.col(n) + F.col(f"__{n}")) for n in sums} | {n: F.greatest(n, f"__{n}") for n in most} | {n: F.coalesce(n, f"__{n}") for n in last}
+    return joined.withColumns(both).select(*rows.columns)
+
 
 def in_order(rows: DataFrame, keys: list[str], order: list[str], schema: str, state: Callable[[], Any], step: Callable[[Any, dict], Iterable[tuple]], last: Callable[[Any], Iterable[tuple]] | None = None) -> DataFrame:
     """Each group's rows through ``step(state, row)`` in order; what it gives becomes rows of ``schema``.
 
-    Groups are dealt by their keys, sorted within the partition and streamed: memory holds one state and one Arrow batch,
-    however large a group is. ``last(state)`` gives what a group ends with. An empty table gives no row.
+    Parts of a group are done side by side. First each part that hands a group on runs it from a new state; then those that get another
+    state than they assumed run again, until none does. A state that soon depends on its last rows alone is settled in the second round, however
+    large the group; one that never forgets takes a round a part. At last all parts run from their settled states and give rows.
+    Memory holds one state and one Arrow batch. ``last(state)`` gives what a group ends with. States are pickled and go through
+    the driver, one for each part that hands a group on: they should be small. An empty table gives no row.
     """
-    ordered = rows.repartition(*keys).sortWithinPartitions(*keys, *order)
+    laid = laid_out(rows, keys, order)
     kinds = to_arrow_schema(StructType.fromDDL(schema))
+    shared = torn(laid, keys)
+    follower = {a: b for a, b, _ in shared}
+    passing = {b for _, b, whole in shared if whole and b in follower}
+    coming: dict[int, bytes] = {}
+
+    def settled(batches):
+        """The state that each part's last group ends with."""
+        part, held = None, None
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row[PART] != part:
+                    if part is not None:
+                        yield pa.RecordBatch.from_pydict({"part": [part], "state": [pickle.dumps(held)]})
+                    part = row[PART]
+                    held = pickle.loads(coming[part]) if part in coming and part in passing else state()
+                for _ in step(held, row):
+                    pass
+        if part is not None:
+            yield pa.RecordBatch.from_pydict({"part": [part], "state": [pickle.dumps(held)]})
+
+    todo = sorted(follower)
+    while todo:
+        ended = group_of(laid, keys, todo, F.max).mapInArrow(settled, "part long, state binary").collect()
+        todo = []
+        for r in ended:
+            after = follower[r.part]
+            if coming.get(after) != r.state:
+                coming[after] = bytes(r.state)
+                if after in passing:
+                    todo.append(after)
 
     def run(batches):
-        now, held = None, None
+        now, held, part = None, None, None
 
         def made(out: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind.type) for k, kind in enumerate(kinds)], schema=kinds)
@@ -31,16 +122,18 @@ def in_order(rows: DataFrame, keys: list[str], order: list[str], schema: str, st
             out: list[tuple] = []
             for row in batch.to_pylist():
                 key = tuple(row[k] for k in keys)
-                if now is None or key != now:
-                    if now is not None and last is not None:
+                if now is None or key != now or row[PART] != part:
+                    if now is not None and last is not None and (row[PART] == part or part not in follower):
                         out += last(held)
-                    now, held = key, state()
+                    goes_on = row[PART] != part and row[PART] in coming
+                    now, part = key, row[PART]
+                    held = pickle.loads(coming[part]) if goes_on else state()
                 out += step(held, row)
             yield made(out)
-        if now is not None and last is not None:
+        if now is not None and last is not None and part not in follower:
             yield made([*last(held)])
 
-    return ordered.mapInArrow(run, schema)
+    return laid.mapInArrow(run, schema)
 
 
 def cut(df: DataFrame) -> DataFrame:

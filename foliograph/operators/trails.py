@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliograph.functions import text as T
-from foliograph.functions.folds import in_order
+from foliograph.functions.folds import in_order, laid_out, so_far
 
 #: how long a click waits (fixed values): minutes, and how many wait at most
 LIFETIME_MINUTES = 10
@@ -27,7 +27,7 @@ def matched(clicks: DataFrame, opened: DataFrame, minutes: int = LIFETIME_MINUTE
     Both sides have ``user_id, event_id, ts, title, url``. A user's last ``most`` clicks wait; a paper takes the first of them that is
     ``minutes`` old at most and agrees with it: equal or similar titles (as ``titles_match``), or the paper's address holds the
     click's. A click that is taken is gone, and so are others of that very time. At one time clicks come before papers, and
-    ids decide. One pass over each user's events in order; the state is ``most`` clicks. Rows without a user match nothing.
+    ids decide. A pass over each user's events in order, a busy user's in parts; the state is ``most`` clicks. Rows without a user match nothing.
     """
     side = lambda t, kind: t.select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.lit(kind).alias("kind"), "event_id", T.normalize_title(F.col("title")).alias("title"), T.url_fragment(F.col("url")).alias("fragment"))
     rows = side(clicks, 0).unionByName(side(opened, 1)).where("user_id is not null")
@@ -35,10 +35,11 @@ def matched(clicks: DataFrame, opened: DataFrame, minutes: int = LIFETIME_MINUTE
 
     def step(state: _Waiting, row: dict):
         if row["kind"] == 0:
-            state.clicks = [*state.clicks, row][-most:]
+            state.clicks = [*state.clicks, {k: row[k] for k in ("at", "event_id", "title", "fragment")}][-most:]
             return []
+        state.clicks = [c for c in state.clicks if row["at"] - c["at"] <= oldest]  # what is too old now will be later
         for c in state.clicks:
-            if row["at"] - c["at"] <= oldest and (T.similar_titles(row["title"], c["title"]) or (c["fragment"] and c["fragment"] in (row["fragment"] or ""))):
+            if T.similar_titles(row["title"], c["title"]) or (c["fragment"] and c["fragment"] in (row["fragment"] or "")):
                 state.clicks = [x for x in state.clicks if x["at"] != c["at"]]
                 return [(row["event_id"], c["event_id"])]
         return []
@@ -47,7 +48,7 @@ def matched(clicks: DataFrame, opened: DataFrame, minutes: int = LIFETIME_MINUTE
 
 
 def waiting(clicks: DataFrame, most: int = WAITING) -> DataFrame:
-    """The last ``most`` clicks of each user."""
+    """The last ``most`` clicks of each user. Spark keeps that many of each user in each task before it shuffles."""
     return clicks.withColumn("nth", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id")))).where(f"nth <= {most}").select("user_id", "event_id", "nth")
 
 
@@ -57,23 +58,24 @@ def fresh(clicks: DataFrame, now, minutes: int = LIFETIME_MINUTES) -> DataFrame:
 
 
 def pruned(trails: DataFrame, most: int = TRAILS) -> DataFrame:
-    """Each user's trails; beyond ``most`` the one longest unread that has no star goes."""
-    count = F.count(F.lit(1)).over(Window.partitionBy("user_id"))
-    nth = F.row_number().over(Window.partitionBy("user_id", "starred").orderBy("last_ts", "trail_id"))
-    return trails.withColumn("n", count).withColumn("nth", nth).where(~((F.col("n") > most) & ~F.col("starred") & (F.col("nth") == 1))).drop("n", "nth")
+    """Each user's trails; beyond ``most`` the one longest unread that has no star goes. Counts and the oldest combine before they are shuffled."""
+    oldest = F.min(F.when(~F.col("starred"), F.struct("last_ts", "trail_id")))["trail_id"]
+    gone = trails.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), oldest.alias("trail_id")).where(F.col("n") > most).select("user_id", "trail_id")
+    return trails.join(gone, ["user_id", "trail_id"], "left_anti").select(*trails.columns)
 
 
 def settled(events: DataFrame, seconds: float) -> DataFrame:
     """The last event of each burst: the user's next one is more than ``seconds`` later, or there is none."""
-    after = F.lead("ts").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    gap = F.unix_micros(after.cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))
-    return events.withColumn("gap", gap).where(F.coalesce(F.col("gap") > seconds * 1_000_000, F.lit(True))).select("user_id", "event_id", "ts")
+    order = ["at", "event_id"]
+    rows = laid_out(events.select("user_id", "event_id", "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("at")), ["user_id"], order, falling=True)
+    rows = so_far(rows, ["user_id"], order, last={"after": F.col("at")}, falling=True)
+    return rows.where(F.coalesce(F.col("after") - F.col("at") > seconds * 1_000_000, F.lit(True))).select("user_id", "event_id", "ts")
 
 
 def milestones(events: DataFrame) -> DataFrame:
     """Events whose value is the largest of their user so far: each height is reached once."""
-    before = F.max("value").over(Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1))
-    return events.withColumn("before", before).where(F.coalesce(F.col("value") > F.col("before"), F.lit(True))).select("user_id", "event_id", "value")
+    rows = so_far(laid_out(events.select("user_id", "event_id", "ts", "value"), ["user_id"], ["ts", "event_id"]), ["user_id"], ["ts", "event_id"], most={"before": F.col("value")})
+    return rows.where(F.coalesce(F.col("value") > F.col("before"), F.lit(True))).select("user_id", "event_id", "value")
 
 
 def connected(matches: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -98,9 +100,12 @@ def shown(trails: DataFrame, nodes: DataFrame, title: str, others: int = 5) -> D
     the last read. ``user_id, trail_id, current, place``."""
     here = nodes.where(F.col("title_norm") == title).select("trail_id").distinct().withColumn("current", F.lit(True))
     rows = trails.join(here, "trail_id", "left").withColumn("current", F.coalesce("current", F.lit(False)))
-    order = lambda *keys: F.row_number().over(Window.partitionBy("user_id", *keys).orderBy(F.desc("current"), F.desc("starred"), F.desc("last_ts"), "trail_id"))
-    kept = rows.withColumn("nth", order("current")).where(F.col("current") | (F.col("nth") <= others))
-    return kept.select("user_id", "trail_id", "current", (order() - 1).cast("int").alias("place"))
+    first = Window.partitionBy("user_id").orderBy(F.desc("starred"), F.desc("last_ts"), "trail_id")
+    kept = rows.where("not current").withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= others).drop("nth").unionByName(rows.where("current"))
+    order = ["other", "plain", "unread", "trail_id"]
+    placed = kept.select("user_id", "trail_id", "current", (~F.col("current")).alias("other"), (~F.col("starred")).alias("plain"), (-F.unix_micros(F.col("last_ts").cast("timestamp"))).alias("unread"))
+    placed = so_far(laid_out(placed, ["user_id"], order), ["user_id"], order, sums={"place": F.lit(1)})
+    return placed.select("user_id", "trail_id", "current", F.coalesce("place", F.lit(0)).cast("int").alias("place"))
 
 
 #: how long an answer is kept, and how far apart requests are, in seconds; how long a permission to pass lasts (fixed values)
@@ -124,11 +129,11 @@ def looked_up(requests: DataFrame, kept: float = KEPT) -> DataFrame:
 def spaced(real: DataFrame, apart: float = APART) -> DataFrame:
     """When requests of a client (``client, event_id, at`` in microseconds) go out, ``apart`` seconds after the one before at least: the latest
     of any earlier request's time and the steps since."""
-    step = F.lit(int(apart * 1_000_000))
-    order = Window.partitionBy("client").orderBy("at", "event_id")
-    nth = F.row_number().over(order)
-    start = F.max(F.col("at") - F.col("nth") * step).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) + F.col("nth") * step
-    return real.withColumn("nth", nth).withColumn("starts", start).drop("nth")
+    step, order = F.lit(int(apart * 1_000_000)), ["at", "event_id"]
+    rows = so_far(laid_out(real, ["client"], order), ["client"], order, sums={"nth": F.lit(1)})
+    rows = rows.withColumn("nth", F.coalesce("nth", F.lit(0))).withColumn("slack", F.col("at") - F.col("nth") * step)
+    rows = so_far(rows, ["client"], order, most={"before": F.col("slack")})
+    return rows.withColumn("starts", F.greatest("before", "slack") + F.col("nth") * step).select(*real.columns, "starts")
 
 
 def passed(permits: DataFrame, pages: DataFrame, seconds: float = PASS) -> DataFrame:
@@ -148,16 +153,25 @@ def passed(permits: DataFrame, pages: DataFrame, seconds: float = PASS) -> DataF
 
 def progress(events: DataFrame, sections: DataFrame) -> DataFrame:
     """The first event of each user that reaches each section: ``user_id, section_no, event_id``. ``events`` have ``user_id, event_id, ts, progress`` (a share
-    of the document), ``sections`` ``section_no, position``; a section is reached a hundredth before its place. Sections are a list of
-    one document's and go to every task."""
-    rows = events.join(F.broadcast(sections), events["progress"] >= sections["position"] - 0.01)
-    return rows.groupBy("user_id", "section_no").agg(F.min(F.struct("ts", "event_id"))["event_id"].alias("event_id"))
+    of the document), ``sections`` ``section_no, position``; a section is reached a hundredth before its place.
+
+    Only a user's milestones reach sections for the first time: those between the height before and the new one, which are sought by
+    hundredths of the document, so that neither side goes to every task.
+    """
+    order = ["ts", "event_id"]
+    rows = laid_out(events.select("user_id", "event_id", "ts", "progress").where("progress is not null"), ["user_id"], order)
+    rows = so_far(rows, ["user_id"], order, most={"before": F.col("progress")}).where("before is null or progress > before")
+    hundredth = lambda c: F.least(F.greatest(F.floor(c * 100), F.lit(-2)), F.lit(102))
+    rows = rows.withColumn("cell", F.explode(F.sequence(F.coalesce(hundredth(F.col("before")), F.lit(-2)), hundredth(F.col("progress")))))
+    marks = sections.select("section_no", (F.col("position") - 0.01).alias("place"), hundredth(F.col("position") - 0.01).alias("cell"))
+    met = rows.join(marks, "cell").where("progress >= place and (before is null or before < place)")
+    return met.select("user_id", "section_no", "event_id")
 
 
 def slot_taken(puts: DataFrame, takes: DataFrame) -> DataFrame:
     """What each take from a slot gets: ``take_id, put_id``. ``puts`` and ``takes`` have ``slot, event_id, ts``; a slot holds the last put, and a take empties
     it; a take from an empty slot gets nothing."""
     side = lambda t, kind: t.select("slot", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.lit(kind).alias("kind"))
-    order = Window.partitionBy("slot").orderBy("at", "kind", "event_id")
-    rows = side(puts, 0).unionByName(side(takes, 1)).withColumns({"before": F.lag("kind").over(order), "held": F.lag("event_id").over(order)})
-    return rows.where("kind = 1 and before = 0").select(F.col("event_id").alias("take_id"), F.col("held").alias("put_id"))
+    order = ["at", "kind", "event_id"]
+    rows = so_far(laid_out(side(puts, 0).unionByName(side(takes, 1)), ["slot"], order), ["slot"], order, last={"before": F.struct("kind", "event_id")})
+    return rows.where("kind = 1 and before.kind = 0").select(F.col("event_id").alias("take_id"), F.col("before.event_id").alias("put_id"))
