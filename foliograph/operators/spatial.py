@@ -1,6 +1,6 @@
-"""Joins by place: overlapping rectangles, the nearest anchor, and the containing section.
+"""Joins by place: overlapping rectangles, the nearest target, and the containing section.
 
-Every join has document and page as equality keys, so that distances and overlaps are only worked out within a page.
+Document and page are equality keys of every join, and so are the cells of a grid: what meets is near, and no page's rows all meet each other.
 """
 
 from __future__ import annotations
@@ -8,6 +8,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliograph.functions.folds import PART, cut, laid_out, so_far
+
+PAGE = ["doc_id", "page_no"]
+#: width and height of the cells in which rectangles meet, and columns and rows of cells; what lies beyond is in the outermost
+WIDE, HIGH, COLUMNS, ROWS = 96.0, 32.0, 16, 64
+#: how far the search for the nearest target goes at first, and how much farther when that proves nothing
+REACH, FARTHER = 12.0, 4
+
 
 def overlaps(a: Column, b: Column, tolerance: float) -> Column:
     """Whether rectangles (x, y, w, h) overlap with ``tolerance`` units to spare; below 0 they must overlap by more."""
@@ -15,21 +23,108 @@ def overlaps(a: Column, b: Column, tolerance: float) -> Column:
     return (a["x"] < b["x"] + b["w"] + t) & (a["x"] + a["w"] + t > b["x"]) & (a["y"] < b["y"] + b["h"] + t) & (a["y"] + a["h"] + t > b["y"])
 
 
+def cell(value: Column, size: float, most: int) -> Column:
+    return F.least(F.greatest(F.floor(value / size), F.lit(-1).cast("long")), F.lit(most).cast("long"))
+
+
+def meeting(left: DataFrame, right: DataFrame, tolerance: float) -> DataFrame:
+    """Rows of ``left`` (a rectangle ``a`` and others) and ``right`` (``b`` and others) of one page whose rectangles overlap, as ``overlaps``.
+
+    Rectangles are dealt to the cells that they touch and meet within a cell. Of the cells that two share the one counts that
+    holds the larger of their left and of their lower edges. Null rectangles meet nothing.
+    """
+    grown = max(tolerance, 0.0)
+
+    def dealt(rows: DataFrame, name: str, by: float) -> DataFrame:
+        low = lambda c, s: F.least(F.col(f"{name}.{c}"), F.col(f"{name}.{c}") + F.col(f"{name}.{s}")) - by
+        high = lambda c, s: F.greatest(F.col(f"{name}.{c}"), F.col(f"{name}.{c}") + F.col(f"{name}.{s}")) + by
+        over = lambda c, s, size, most: F.explode(F.sequence(cell(low(c, s), size, most), cell(high(c, s), size, most)))
+        return rows.where(F.col(name).isNotNull()).withColumn("__cx", over("x", "w", WIDE, COLUMNS)).withColumn("__cy", over("y", "h", HIGH, ROWS))
+
+    both = dealt(left, "a", grown).join(dealt(right, "b", 0.0), [*PAGE, "__cx", "__cy"])
+    edge = lambda c, s: F.greatest(F.least(F.col(f"a.{c}"), F.col(f"a.{c}") + F.col(f"a.{s}")) - grown, F.least(F.col(f"b.{c}"), F.col(f"b.{c}") + F.col(f"b.{s}")))
+    here = (cell(edge("x", "w"), WIDE, COLUMNS) == F.col("__cx")) & (cell(edge("y", "h"), HIGH, ROWS) == F.col("__cy"))
+    return both.where(overlaps(F.col("a"), F.col("b"), tolerance) & here).drop("__cx", "__cy")
+
+
 def first_overlap(links: DataFrame, cited: DataFrame, tolerance: float = -5.0) -> DataFrame:
-    """Each link (``doc_id, page_no, link_no, rect``) with the first citation (``cit_no, rect``) of its page that it overlaps; null if none."""
-    keys = ["doc_id", "page_no"]
-    both = links.withColumnRenamed("rect", "a").join(cited.withColumnRenamed("rect", "b"), keys).where(overlaps(F.col("a"), F.col("b"), tolerance))
-    first = both.groupBy(*keys, "link_no").agg(F.min("cit_no").alias("cit_no"))
-    return links.select(*keys, "link_no").join(first, [*keys, "link_no"], "left")
+    """Each link (``doc_id, page_no, link_no, rect``) with the first citation (``cit_no, rect``) of its page that it overlaps; null if none.
+    Equal rectangles of a page are one when they meet."""
+    places = lambda rows: rows.groupBy(*PAGE, "rect")
+    met = meeting(links.select(*PAGE, "rect").distinct().withColumnRenamed("rect", "a"), places(cited).agg(F.min("cit_no").alias("cit_no")).withColumnRenamed("rect", "b"), tolerance)
+    first = met.groupBy(*PAGE, F.col("a").alias("rect")).agg(F.min("cit_no").alias("cit_no"))
+    return links.select(*PAGE, "link_no", "rect").join(first, [*PAGE, "rect"], "left").drop("rect")
+
+
+def nearest(points: DataFrame, targets: DataFrame, measure, proven, most: float | None = None, allowed: Column | None = None) -> DataFrame:
+    """Each point's (``doc_id, page_no, point_no, x, y``) nearest target (``target_no, left, right, low, high``) of its page, the smallest of
+    equally near ones: ``doc_id, page_no, point_no, far, target_no``; points on pages without one are left out.
+
+    ``measure(dx, dy)`` is the distance by how far a point is off a target sideways and up or down, ``proven(reach)`` the distance up to which any
+    target lies within ``reach`` both ways. Points look at the cells, as large as the reach, that their reach touches; those that find none
+    so near that a nearer one would have been seen look ``FARTHER`` times as far, until none is left. With ``most`` they look that
+    far, once. ``allowed`` is a condition on both (a target's columns, a point's ``x`` and ``y``).
+    """
+    keys = [*PAGE, "point_no"]
+    asked = points.select(*keys, "x", "y")
+
+    def look(left: DataFrame, reach: float) -> DataFrame:
+        over = lambda low, high: F.explode(F.sequence(F.floor(low / reach), F.floor(high / reach)))
+        seen = left.withColumn("__cx", over(F.col("x") - reach, F.col("x") + reach)).withColumn("__cy", over(F.col("y") - reach, F.col("y") + reach))
+        there = targets.select(*PAGE, "target_no", "left", "right", "low", "high").withColumn("__cx", over(F.col("left"), F.col("right"))).withColumn("__cy", over(F.col("low"), F.col("high")))
+        both = seen.join(there, [*PAGE, "__cx", "__cy"])
+        both = both.where(allowed) if allowed is not None else both
+        off = lambda low, at, high: F.greatest(F.col(low) - F.col(at), F.col(at) - F.col(high), F.lit(0.0))
+        best = both.groupBy(*keys).agg(F.min(F.struct(measure(off("left", "x", "right"), off("low", "y", "high")).alias("far"), "target_no")).alias("m"))
+        return best.select(*keys, "m.far", "m.target_no").where(F.col("far") <= proven(reach))
+
+    if most is not None:
+        return look(asked, most)
+    left, reach, found = asked.join(targets.select(*PAGE).distinct(), PAGE, "left_semi"), REACH, None
+    while True:
+        done = cut(look(left, reach))
+        found = done if found is None else found.unionByName(done)
+        left = cut(left.where("x IS NOT NULL AND y IS NOT NULL").join(done.select(*keys), keys, "left_anti"))
+        if left.isEmpty():
+            return found
+        reach *= FARTHER
+
+
+def across(dx: Column, dy: Column) -> Column:
+    return dx + dy
+
+
+def as_points(rows: DataFrame, number: str, x: str = "x", y: str = "y") -> DataFrame:
+    """Rows that are places as targets of ``nearest``."""
+    return rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*PAGE, F.col(number).alias("target_no"), F.col(x).alias("left"), F.col(x).alias("right"), F.col(y).alias("low"), F.col(y).alias("high"))
+
+
+def beside(points: DataFrame, targets: DataFrame) -> DataFrame:
+    """Points (``doc_id, page_no, point_no, y``) with ``below`` and ``above``, the last target (``target_no, y``) of the page at or below a point and the
+    next one above it, as structs of ``y`` and the smallest number there; null if there is none. Both sides in one order, and the last
+    target seen from either side: no pairs."""
+    places = targets.where("y IS NOT NULL").groupBy(*PAGE, "y").agg(F.min("target_no").alias("target_no"))
+    marks = places.select(*PAGE, "y", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("point_no"), "target_no")
+    asked = points.where("y IS NOT NULL").select(*PAGE, "y", F.lit(1).alias("kind"), F.col("point_no").cast("long").alias("point_no"), F.lit(None).cast(places.schema["target_no"].dataType).alias("target_no"))
+    rows, order = marks.unionByName(asked), ["y", "kind", "point_no"]
+    seen = F.when(F.col("kind") == 0, F.struct("y", "target_no"))
+    up = so_far(laid_out(rows, PAGE, order), PAGE, order, last={"below": seen})
+    both = so_far(laid_out(up.drop(PART), PAGE, order, falling=True), PAGE, order, last={"above": seen}, falling=True)
+    return both.where("kind = 1").select(*PAGE, "point_no", "y", "below", "above")
+
+
+def nearest_below(points: DataFrame, anchors: DataFrame, most: float) -> DataFrame:
+    """``doc_id, page_no, point_no, far, target_no`` of each point's nearest anchor (``target_no, x, y``) at or below it by |dx| + |dy|, nearer than
+    ``most``; where a point's x is 0, dx counts nothing and the last anchor in y is the nearest."""
+    aside = nearest(points.where("x <> 0"), as_points(anchors, "target_no"), across, F.lit, most, F.col("low") <= F.col("y"))
+    straight = beside(points.where("x = 0"), anchors).where("below is not null").select(*PAGE, "point_no", (F.col("y") - F.col("below.y")).alias("far"), F.col("below.target_no").alias("target_no"))
+    return aside.unionByName(straight).where(F.col("far") < most)
 
 
 def nearest_anchor(points: DataFrame, anchors: DataFrame, most: float = 50.0) -> DataFrame:
     """Each point's nearest anchor of its page at or below it, by |dx| + |dy| (dx counts nothing for x = 0), nearer than ``most``."""
-    keys = ["doc_id", "page_no"]
-    both = points.join(anchors.select(*keys, F.col("anchor_no"), F.col("x").alias("ax"), F.col("y").alias("ay")), keys).where("ay <= y")
-    distance = F.abs(F.col("ay") - F.col("y")) + F.when(F.col("x") == 0, 0.0).otherwise(F.abs(F.col("ax") - F.col("x")))
-    near = both.withColumn("distance", distance).groupBy(*keys, "point_no").agg(F.min(F.struct("distance", "anchor_no")).alias("m"))
-    return near.select(*keys, "point_no", "m.anchor_no", F.round("m.distance", 6).alias("distance")).where(F.col("distance") < most)
+    near = nearest_below(points, anchors.withColumnRenamed("anchor_no", "target_no"), most)
+    return near.select(*PAGE, "point_no", F.col("target_no").alias("anchor_no"), F.round("far", 6).alias("distance"))
 
 
 def containing_section(points: DataFrame, sections: DataFrame) -> DataFrame:
