@@ -17,15 +17,15 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliograph.llm.shared import held_out, lean, pieces
+from foliograph.llm.shared import checkpointed, each_text, held_out, lean, pieces
 
-#: labelled texts a language that a fit takes at most; of a longer text ``WINDOWS`` windows, ``CHARACTERS`` characters together
+#: labelled texts a language, and characters of them together, that a fit takes at most; languages that it learns at most
 TEXTS = 64
-CHARACTERS = 512
-WINDOWS = 4
+CHARACTERS = 1 << 15
+LANGUAGES = 256
 CHUNK = 256
 #: how steeply the score falls with the difference in entropy, in nats a bit
 STEEP = 4.0
@@ -147,21 +147,28 @@ def parser(samples: tuple[tuple[str, str], ...]) -> Parser:
     return Parser(dict(samples))
 
 
-def windows(text: Column, key: Column) -> Column:
-    part, wide = F.floor(F.length(text) / WINDOWS).cast("int"), CHARACTERS // WINDOWS
-    cut = lambda k: F.substr(text, part * k + F.pmod(F.xxhash64(key, F.lit(k)), part - wide + 1).cast("int") + 1, F.lit(wide))
-    return F.when(F.length(text) <= CHARACTERS, text).otherwise(F.concat_ws("\n", *(cut(k) for k in range(WINDOWS))))
-
-
 def learn(docs: DataFrame, texts: int = TEXTS) -> tuple[tuple[str, str], ...]:
-    """A sample of each language's text: ``texts`` rows, spread by hash. A text of up to ``CHARACTERS`` characters is taken
-    whole; of a longer one ``WINDOWS`` windows, one in each equal part, their places by hash."""
+    """A sample of each language's text: whole texts of ``texts`` rows at most, spread by hash, ``CHARACTERS`` characters together. A text that
+    doesn't fit is left out, unless none does: then the shortest is taken. More than ``LANGUAGES`` values of ``lang`` are an error."""
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"), 4, 2))
-    ids = known.groupBy("lang", F.pmod(F.xxhash64("doc_id"), F.lit(texts)).alias("slot")).agg(F.min("doc_id").alias("doc_id"))
-    # `texts` rows a language: the number of languages bounds the broadcast and what comes back
-    rows = known.select("doc_id", "lang", windows(F.col("text"), F.col("doc_id")).alias("text")).join(F.broadcast(ids.select("doc_id", "lang").distinct()), ["doc_id", "lang"])
+    ids = checkpointed(known.groupBy("lang", F.pmod(F.xxhash64("doc_id"), F.lit(texts)).alias("slot")).agg(F.min("doc_id").alias("doc_id")).select("doc_id", "lang"))
+    if ids.select("lang").distinct().count() > LANGUAGES:
+        raise ValueError(f"lang has more than {LANGUAGES} values; an automaton each would not fit into a worker")
+    # LANGUAGES * texts rows at most: a proven bound for the broadcast and for the sizes that come back
+    rows = known.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"])
+    one = checkpointed(rows.groupBy("lang", "doc_id").agg(F.min("text").alias("text")))
+    sizes = one.select("lang", "doc_id", F.length("text").alias("size"), F.xxhash64("doc_id").alias("turn")).collect()
+    taken: dict[str, list[int]] = {}
+    room: dict[str, int] = {}
+    for r in sorted(sizes, key=lambda r: (r.lang, r.turn, r.doc_id)):
+        if r.size <= room.setdefault(r.lang, CHARACTERS):
+            room[r.lang] -= r.size
+            taken.setdefault(r.lang, []).append(r.doc_id)
+    for r in sorted(sizes, key=lambda r: (r.size, r.doc_id)):
+        taken.setdefault(r.lang, [r.doc_id])
+    chosen = docs.sparkSession.createDataFrame([(x, i) for x, own in taken.items() for i in own], "lang string, doc_id long")
     found: dict[str, list[str]] = {}
-    for r in sorted(rows.groupBy("lang", "doc_id").agg(F.min("text").alias("text")).collect(), key=lambda r: (r.lang, r.doc_id)):
+    for r in sorted(one.join(F.broadcast(chosen), ["lang", "doc_id"]).collect(), key=lambda r: (r.lang, r.doc_id)):
         found.setdefault(r.lang, []).append(r.text)
     return tuple((lang, "\n".join(parts)) for lang, parts in sorted(found.items()))
 
@@ -174,7 +181,7 @@ def language(docs: DataFrame, texts: int = TEXTS) -> DataFrame:
         for batch in batches:
             of = parser(shared.value)
             names, scores = [], []
-            for piece in pieces([x or b"" for x in batch.column("text").cast(pa.binary()).to_pylist()], 1 << 21):
+            for piece in pieces(each_text(batch), 1 << 21):
                 found, score = of.predict([x.decode("utf-8", "replace") for x in piece])
                 names += found
                 scores += score.tolist()

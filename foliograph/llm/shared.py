@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a vectorised step works on at a time; a longer single text is a piece of its own.
@@ -69,7 +69,7 @@ def only_ids(docs: DataFrame, ids: DataFrame, rows: int, how: str = "left_semi")
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> list[tuple[str, int]]:
     """A bounded sample of labelled texts for a fit: of each class ``per_class`` rows and ``FIT_BYTES`` bytes at most, in a stable
-    order; texts that would go beyond the bytes are left out whole, the others by their hash.
+    order. Texts are taken whole, by their hash; one that doesn't fit into the bytes left is left out alone, and the next is tried.
 
     Rows whose crc32(doc_id) is 0 modulo 5 are held out. Null labels and ids do not teach; of several labels of
     one id the largest counts, of several texts the smallest. Null texts are empty ones.
@@ -79,9 +79,16 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, per_class: in
     picked = spread_ids(known, "label", per_class)
     # two classes, so 2 * per_class rows at most: a proven bound for the broadcast and for what comes back
     joined = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
-    one = joined.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
-    so_far = F.sum(F.octet_length("text")).over(Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    rows = one.withColumn("so_far", so_far).where(F.col("so_far") <= FIT_BYTES).select("doc_id", "text", "label").collect()
+    one = checkpointed(joined.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label")))
+    sizes = one.select("doc_id", "label", F.octet_length("text").alias("size"), F.xxhash64("doc_id").alias("turn")).collect()
+    room: dict[int, int] = {}
+    fitting = []
+    for r in sorted(sizes, key=lambda r: (r.label, r.turn, r.doc_id)):
+        left = room.setdefault(r.label, FIT_BYTES)
+        if r.size <= left:
+            room[r.label] = left - r.size
+            fitting.append(r.doc_id)
+    rows = one.where(F.col("doc_id").isin(fitting)).select("doc_id", "text", "label").collect() if fitting else []
     return [(r.text, r.label) for r in sorted(rows, key=lambda r: r.doc_id)]
 
 
