@@ -14,11 +14,33 @@ WAITING = 5
 TRAILS = 8
 
 
-class _Waiting:
-    """The clicks of a user that wait for a paper, in order of arrival."""
+def take_click(minutes: int = LIFETIME_MINUTES, most: int = WAITING):
+    """The step of ``matched``: what is held are the clicks that wait, as ``at, event_id, title, fragment``, in order of arrival."""
+    oldest = minutes * 60 * 1_000_000
+
+    def step(held: list, row: dict):
+        if row["kind"] == 0:
+            held[:] = [*held, (row["at"], row["event_id"], row["title"], row["fragment"])][-most:]
+            return []
+        held[:] = [c for c in held if row["at"] - c[0] <= oldest]  # what is too old now will be later
+        for at, event_id, title, fragment in held:
+            if T.similar_titles(row["title"], title) or (fragment and fragment in (row["fragment"] or "")):
+                held[:] = [c for c in held if c[0] != at]
+                return [(row["event_id"], event_id)]
+        return []
+
+    return step
+
+
+def both_sides(first: DataFrame, second: DataFrame, *columns: str) -> DataFrame:
+    """Rows of both with ``kind``, 0 and 1, ``at`` in microseconds, ``event_id`` and ``columns``."""
+    side = lambda t, kind: t.select(F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.lit(kind).alias("kind"), "event_id", *columns)
+    return side(first, 0).unionByName(side(second, 1))
 
-    def __init__(self) -> None:
-        self.clicks: list[dict] = []
+
+def titled(rows: DataFrame) -> DataFrame:
+    """Rows with titles and addresses as they are compared."""
+    return rows.withColumn("title", T.normalize_title(F.col("title"))).withColumn("fragment", T.url_fragment(F.col("url")))
 
 
 def matched(clicks: DataFrame, opened: DataFrame, minutes: int = LIFETIME_MINUTES, most: int = WAITING) -> DataFrame:
@@ -29,22 +51,8 @@ def matched(clicks: DataFrame, opened: DataFrame, minutes: int = LIFETIME_MINUTE
     click's. A click that is taken is gone, and so are others of that very time. At one time clicks come before papers, and
     ids decide. A pass over each user's events in order, a busy user's in parts; the state is ``most`` clicks. Rows without a user match nothing.
     """
-    side = lambda t, kind: t.select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.lit(kind).alias("kind"), "event_id", T.normalize_title(F.col("title")).alias("title"), T.url_fragment(F.col("url")).alias("fragment"))
-    rows = side(clicks, 0).unionByName(side(opened, 1)).where("user_id is not null")
-    oldest = minutes * 60 * 1_000_000
-
-    def step(state: _Waiting, row: dict):
-        if row["kind"] == 0:
-            state.clicks = [*state.clicks, {k: row[k] for k in ("at", "event_id", "title", "fragment")}][-most:]
-            return []
-        state.clicks = [c for c in state.clicks if row["at"] - c["at"] <= oldest]  # what is too old now will be later
-        for c in state.clicks:
-            if T.similar_titles(row["title"], c["title"]) or (c["fragment"] and c["fragment"] in (row["fragment"] or "")):
-                state.clicks = [x for x in state.clicks if x["at"] != c["at"]]
-                return [(row["event_id"], c["event_id"])]
-        return []
-
-    return in_order(rows, ["user_id"], ["at", "kind", "event_id"], "open_id long, click_id long", _Waiting, step)
+    rows = both_sides(titled(clicks), titled(opened), "user_id", "title", "fragment").where("user_id is not null")
+    return in_order(rows, ["user_id"], ["at", "kind", "event_id"], "open_id long, click_id long", list, take_click(minutes, most))
 
 
 def waiting(clicks: DataFrame, most: int = WAITING) -> DataFrame:
@@ -112,18 +120,26 @@ def shown(trails: DataFrame, nodes: DataFrame, title: str, others: int = 5) -> D
 KEPT, APART, PASS = 300, 2, 5
 
 
-def looked_up(requests: DataFrame, kept: float = KEPT) -> DataFrame:
-    """Requests (``client, key, event_id, ts, ok``) with ``real``: whether one goes out, as no successful one of its client and key did less
-    than ``kept`` seconds before. One pass over each key's requests in order."""
-    rows = requests.select("client", "key", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "ok")
+def look_up(kept: float = KEPT):
+    """The step of ``looked_up``: what is held is when the last successful request went out."""
 
-    def step(last: list, row: dict):
-        real = not last or row["at"] - last[0] >= kept * 1_000_000
+    def step(held: list, row: dict):
+        real = not held or row["at"] - held[0][0] >= kept * 1_000_000
         if real and row["ok"]:
-            last[:] = [row["at"]]
+            held[:] = [(row["at"],)]
         return [(row["client"], row["key"], row["event_id"], row["at"], real)]
 
-    return in_order(rows, ["client", "key"], ["at", "event_id"], "client long, key long, event_id long, at long, real boolean", list, step)
+    return step
+
+
+LOOKED_UP = "client long, key long, event_id long, at long, real boolean"
+
+
+def looked_up(requests: DataFrame, kept: float = KEPT) -> DataFrame:
+    """Requests (``client, key, event_id, ts, ok``) with ``real``: whether one goes out, as no successful one of its client and key did less
+    than ``kept`` seconds before. A pass over each key's requests in order."""
+    rows = requests.select("client", "key", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "ok")
+    return in_order(rows, ["client", "key"], ["at", "event_id"], LOOKED_UP, list, look_up(kept))
 
 
 def spaced(real: DataFrame, apart: float = APART) -> DataFrame:
@@ -136,10 +152,8 @@ def spaced(real: DataFrame, apart: float = APART) -> DataFrame:
     return rows.withColumn("starts", F.greatest("before", "slack") + F.col("nth") * step).select(*real.columns, "starts")
 
 
-def passed(permits: DataFrame, pages: DataFrame, seconds: float = PASS) -> DataFrame:
-    """Page views that pass by a permission for their address: ``page_id, permit_id``. A permission (``url, event_id, ts``) lasts ``seconds``, a
-    later one takes its place, and the first view uses it up."""
-    side = lambda t, kind: t.select("url", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.lit(kind).alias("kind"))
+def let_pass(seconds: float = PASS):
+    """The step of ``passed``: what is held is the last permission, until a view uses it."""
 
     def step(held: list, row: dict):
         if row["kind"] == 0:
@@ -148,7 +162,14 @@ def passed(permits: DataFrame, pages: DataFrame, seconds: float = PASS) -> DataF
         given, held[:] = held[:], []
         return [(row["event_id"], given[0][1])] if given and row["at"] - given[0][0] <= seconds * 1_000_000 else []
 
-    return in_order(side(permits, 0).unionByName(side(pages, 1)).where("url is not null"), ["url"], ["at", "kind", "event_id"], "page_id long, permit_id long", list, step)
+    return step
+
+
+def passed(permits: DataFrame, pages: DataFrame, seconds: float = PASS) -> DataFrame:
+    """Page views that pass by a permission for their address: ``page_id, permit_id``. A permission (``url, event_id, ts``) lasts ``seconds``, a
+    later one takes its place, and the first view uses it up."""
+    rows = both_sides(permits, pages, "url").where("url is not null")
+    return in_order(rows, ["url"], ["at", "kind", "event_id"], "page_id long, permit_id long", list, let_pass(seconds))
 
 
 def progress(events: DataFrame, sections: DataFrame) -> DataFrame:
@@ -171,7 +192,6 @@ def progress(events: DataFrame, sections: DataFrame) -> DataFrame:
 def slot_taken(puts: DataFrame, takes: DataFrame) -> DataFrame:
     """What each take from a slot gets: ``take_id, put_id``. ``puts`` and ``takes`` have ``slot, event_id, ts``; a slot holds the last put, and a take empties
     it; a take from an empty slot gets nothing."""
-    side = lambda t, kind: t.select("slot", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.lit(kind).alias("kind"))
     order = ["at", "kind", "event_id"]
-    rows = so_far(laid_out(side(puts, 0).unionByName(side(takes, 1)), ["slot"], order), ["slot"], order, last={"before": F.struct("kind", "event_id")})
+    rows = so_far(laid_out(both_sides(puts, takes, "slot"), ["slot"], order), ["slot"], order, last={"before": F.struct("kind", "event_id")})
     return rows.where("kind = 1 and before.kind = 0").select(F.col("event_id").alias("take_id"), F.col("before.event_id").alias("put_id"))
