@@ -85,6 +85,23 @@ ORACLES = {
     "citation_links": f"""{_LINKS}, l AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_no, floor(x + 0.5), floor(y + 0.5) ORDER BY link_no DESC) AS nth FROM links WHERE kind = 'destination' AND NOT (page_no > doc_id % 2 AND page_no <= 2) AND dest_page + 1 >= doc_id % 2),
       n AS (SELECT l.doc_id, l.page_no, l.link_no, arg_min(a.no, (abs(a.y - dest_y) + CASE WHEN dest_x <> 0 THEN abs(a.x - dest_x) ELSE 0 END, a.no)) AS ref, min(abs(a.y - dest_y) + CASE WHEN dest_x <> 0 THEN abs(a.x - dest_x) ELSE 0 END) AS off FROM l JOIN odd a ON a.doc_id = l.doc_id AND a.page_no = l.dest_page AND a.y <= l.dest_y WHERE nth = 1 AND dest_y <> 0 GROUP BY 1, 2, 3)
       SELECT l.doc_id, l.page_no, l.link_no, dest_y <> 0 AS valid, CASE WHEN off < 50 THEN ref END::VARCHAR AS ref_index FROM l LEFT JOIN n USING (doc_id, page_no, link_no) WHERE nth = 1""",
+    # a page's list of citations as a state; its links in order, each to the first that it overlaps, or to the list's end
+    "merged_citations": f"""{_LINKS.replace("WITH ", "WITH RECURSIVE ", 1)}, l AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_no, floor(x + 0.5), floor(y + 0.5) ORDER BY link_no DESC) AS last FROM links WHERE kind = 'destination' AND NOT (page_no > doc_id % 2 AND page_no <= 2) AND dest_page + 1 >= doc_id % 2),
+      n AS (SELECT l.doc_id, l.page_no, l.link_no, arg_min(a.no, (abs(a.y - dest_y) + CASE WHEN dest_x <> 0 THEN abs(a.x - dest_x) ELSE 0 END, a.no)) AS ref, min(abs(a.y - dest_y) + CASE WHEN dest_x <> 0 THEN abs(a.x - dest_x) ELSE 0 END) AS off FROM l JOIN odd a ON a.doc_id = l.doc_id AND a.page_no = l.dest_page AND a.y <= l.dest_y WHERE last = 1 AND dest_y <> 0 GROUP BY 1, 2, 3),
+      k AS MATERIALIZED (SELECT l.doc_id, l.page_no, l.x, l.y, l.w, l.h, l.dest_page, CASE WHEN off < 50 AND dest_y <> 0 THEN ref END::VARCHAR AS ref, row_number() OVER (PARTITION BY l.doc_id, l.page_no ORDER BY l.link_no) AS nth FROM l LEFT JOIN n USING (doc_id, page_no, link_no) WHERE last = 1),
+      c AS (SELECT doc_id, page_no, floor(x + 0.5)::BIGINT AS px, floor(y + 0.5)::BIGINT AS py, min(no) AS turn, arg_min({{'px': floor(x + 0.5)::BIGINT, 'py': floor(y + 0.5)::BIGINT, 'x': x, 'y': y, 'w': w, 'h': h, 'kind': ['numeric', 'author-year', 'abbreviated'][no % 3 + 1], 'refs': [no::VARCHAR, (no + 2)::VARCHAR], 'sure': confidence, 'flags': 0, 'dest': NULL::INT}}, (-confidence, no)) AS c FROM odd GROUP BY ALL),
+      st AS (SELECT doc_id, page_no, 0::BIGINT AS nth, coalesce(list(c ORDER BY turn) FILTER (turn IS NOT NULL), []) AS held FROM (SELECT DISTINCT doc_id, page_no FROM rects) LEFT JOIN c USING (doc_id, page_no) GROUP BY ALL
+        UNION ALL SELECT doc_id, page_no, nth, CASE
+            WHEN hit IS NOT NULL THEN list_concat(held[: hit - 1], [{{'px': o.px, 'py': o.py, 'x': o.x, 'y': o.y, 'w': o.w, 'h': o.h, 'kind': o.kind, 'refs': CASE WHEN leads AND NOT agrees THEN [ref] ELSE o.refs END, 'sure': CASE WHEN agrees THEN least(1.0, o.sure + 0.2) ELSE o.sure END, 'flags': o.flags | CASE WHEN agrees THEN 3 ELSE 1 END, 'dest': CASE WHEN leads THEN dest_page ELSE o.dest END}}], held[hit + 1 :])
+            WHEN same IS NOT NULL THEN list_concat(held[: same - 1], [own], held[same + 1 :]) ELSE list_append(held, own) END
+          FROM (SELECT *, held[hit] AS o, coalesce(ref IS NOT NULL AND list_contains(held[hit].refs, ref), false) AS agrees, coalesce(ref IS NOT NULL AND (list_contains(held[hit].refs, ref) OR held[hit].kind NOT IN ('numeric', 'abbreviated')), false) AS leads FROM (
+            SELECT k.*, st.held, {{'px': floor(k.x + 0.5)::BIGINT, 'py': floor(k.y + 0.5)::BIGINT, 'x': k.x, 'y': k.y, 'w': k.w, 'h': k.h, 'kind': 'imported', 'refs': [k.ref], 'sure': 0.85::DOUBLE, 'flags': 3, 'dest': k.dest_page}} AS own,
+              list_min(list_filter(range(1, len(st.held) + 1), lambda i: st.held[i].x < k.x + k.w - 5 AND st.held[i].x + st.held[i].w > k.x + 5 AND st.held[i].y < k.y + k.h - 5 AND st.held[i].y + st.held[i].h > k.y + 5)) AS hit,
+              list_min(list_filter(range(1, len(st.held) + 1), lambda i: st.held[i].px = floor(k.x + 0.5) AND st.held[i].py = floor(k.y + 0.5))) AS same
+            FROM st JOIN k ON k.doc_id = st.doc_id AND k.page_no = st.page_no AND k.nth = st.nth + 1))),
+      e AS (SELECT doc_id, page_no, list_filter(arg_max(held, nth), lambda c: c.sure >= 0.3) AS held FROM st GROUP BY 1, 2),
+      u AS (SELECT doc_id, page_no, unnest(range(len(held))) AS place, unnest(held) AS c FROM e)
+      SELECT doc_id, page_no::INT AS page_no, place::INT AS place, c.kind AS type, array_to_string(list_transform(c.refs, lambda r: coalesce(r, 'null')), ',') AS refs, round(c.sure, 6) AS confidence, c.flags AS flags, c.dest AS dest_page FROM u""",
     "merged_crossrefs": f"""{_LINKS}, f AS (SELECT *, ['figure', 'table'][(no % 4) // 2 + 1] AS kind, row_number() OVER (PARTITION BY doc_id, page_no, floor(x + 0.5), floor(y + 0.5) ORDER BY no DESC) AS nth FROM odd),
       m AS (SELECT l.*, (SELECT min(f.no) FROM f WHERE nth = 1 AND f.doc_id = l.doc_id AND f.page_no = l.page_no AND f.x < l.x + l.w + 5 AND f.x + f.w + 5 > l.x AND f.y < l.y + l.h + 5 AND f.y + f.h + 5 > l.y) AS ref FROM links l WHERE kind = 'destination'),
       b AS (SELECT doc_id, ref, max(link_no) AS link_no FROM m WHERE ref IS NOT NULL GROUP BY 1, 2)
