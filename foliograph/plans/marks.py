@@ -57,8 +57,8 @@ def structural_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def wide_gap_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The entries of lines of one width and edge, of which every fourth stands off: the rule of gaps alone."""
-    rows = lines(spark, sf_dir).withColumns({"y": 700.0 - 18.0 * (F.col("line_no") % 40) - 9.0 * F.floor(F.col("line_no") % 40 / 4), "x": F.lit(72.0), "w": F.lit(300.0), "text": F.concat(F.lit("plain "), "text")}).where("page_no = 1")
+    """The entries of lines of one width and edge, of which every fourth stands off: the rules of gaps and of new pages."""
+    rows = lines(spark, sf_dir).withColumns({"y": 700.0 - 18.0 * (F.col("line_no") % 40) - 9.0 * F.floor(F.col("line_no") % 40 / 4), "x": F.lit(72.0), "w": F.lit(300.0), "text": F.concat(F.lit("plain "), "text")})
     return R.shaped_entries(rows.withColumns({"gap": F.lit(18.0), "body_width": F.lit(300.0), "straight": F.lit(False), "author_year": F.lit(False)}))
 
 
@@ -80,7 +80,22 @@ ORACLES = {
     "color_dots": """WITH c AS (SELECT p_partkey % 97 AS section_id, p_brand AS color, min(p_partkey) AS f, count(*) AS n FROM part GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY section_id ORDER BY f) AS nth FROM c)
       SELECT section_id, string_agg(color, ',' ORDER BY f) FILTER (nth <= 3) AS colors, greatest(sum(n) - 3, 0)::BIGINT AS extra FROM r GROUP BY 1""",
     "page_candidates": "SELECT page_id, CASE WHEN page_id % 7 = 0 THEN regexp_replace(url, '[?#].*$', '') || '.PDF?x' ELSE [NULL, 'e.x', 'https://x.org/v/My.PDF?y', 'shown'][page_id % 4 + 1] END AS candidate FROM pages",
-    "wide_gap_entries": f"WITH {LINES_SQL} SELECT doc_id, line_no, (line_no // 4 + 1)::INT AS entry FROM lines WHERE page_no = 1",
+    # the first lines of pages after the first leap there without evidence
+    "wide_gap_entries": f"WITH {LINES_SQL} SELECT doc_id, line_no, (1 + sum(CASE WHEN line_no % 4 = 0 AND line_no % 40 > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no))::INT AS entry FROM lines",
+    # a document's lines one after the other, with the entry, its left edge and the direction as a state
+    "structural_entries": f"""WITH RECURSIVE {LINES_SQL}, gaps AS (SELECT *, abs(y - lag(y) OVER (PARTITION BY doc_id, page_no ORDER BY line_no)) AS g FROM lines),
+      s AS (SELECT * FROM lines WHERE length(trim(text)) > 10), m AS (SELECT doc_id, count(*) AS n, list_sort(list(w))[greatest(ceil(0.9 * count(*)), 1)::INT] AS wide, median(h) AS height FROM s GROUP BY 1),
+      flat AS (SELECT doc_id, any_value(n) >= 5 AND count(*) FILTER (w >= 0.5 * wide AND abs(w - wide) < 3 * height) >= 0.7 * count(*) FILTER (w >= 0.5 * wide) AS straight FROM s JOIN m USING (doc_id) GROUP BY 1),
+      known AS (SELECT l.doc_id, coalesce(median(CASE WHEN g > 0 AND g < 4 * h THEN g END), 0) AS gap, median(w) AS body, coalesce(any_value(straight), false) AS straight FROM gaps l LEFT JOIN flat f ON f.doc_id = l.doc_id GROUP BY 1),
+      seen AS (SELECT *, lead(x) OVER (PARTITION BY doc_id ORDER BY line_no) AS next_x FROM lines),
+      told AS (SELECT doc_id, line_no, x, h AS reach, lag(x) OVER d AS last_x, y - lag(y) OVER d AS step, gap, page_no <> lag(page_no) OVER d AS turned, (lag(w) OVER d < body - 2 * h)::INT AS short, straight::INT AS straight, coalesce(next_x - x > 2, false)::INT AS inset, row_number() OVER d AS nth,
+          (regexp_matches(trim(text), '^[A-Z][a-zÀ-ÿ]+[,\\s]+[A-Z].*(?:19|20)[0-9]{{2}}') OR regexp_matches(trim(text), '^[\\[(]?[A-Z]*\\+?[0-9]+[\\]).]') OR regexp_matches(trim(text), '^[A-Z][a-zÀ-ÿ]+[,.]'))::INT AS begins
+        FROM seen JOIN known USING (doc_id) WHERE length(trim(text)) > 2 WINDOW d AS (PARTITION BY doc_id ORDER BY line_no)),
+      st AS (SELECT doc_id, nth, line_no, 1 AS entry, x AS edge, 0.0::DOUBLE AS course FROM told WHERE nth = 1
+        UNION ALL SELECT doc_id, nth, line_no, entry + opens::INT, CASE WHEN opens THEN x ELSE edge END, CASE WHEN leap THEN 0 WHEN step <> 0 THEN sign(step) ELSE course END FROM (
+          SELECT *, CASE WHEN leap THEN short + inset > 0 WHEN abs(step) > 1.3 * gap THEN true WHEN x <= edge + reach AND last_x >= edge + reach THEN short + begins > 0 WHEN short = 1 THEN straight + begins > 0 WHEN x <= edge + reach THEN begins > straight ELSE false END AS opens
+          FROM (SELECT t.*, st.entry, st.edge, st.course, t.turned OR (abs(t.step) > t.gap AND sign(t.step) * st.course < 0) AS leap FROM st JOIN told t ON t.doc_id = st.doc_id AND t.nth = st.nth + 1)))
+      SELECT doc_id, line_no, entry FROM st""",
     "line_gaps": f"""WITH {LINES_SQL}, g AS (SELECT doc_id, h, abs(y - lag(y) OVER (PARTITION BY doc_id, page_no ORDER BY line_no)) AS gap FROM lines)
       SELECT doc_id, coalesce(quantile_cont(gap, 0.5) FILTER (gap > 0 AND gap < 4 * h), 0.0) AS gap FROM g GROUP BY 1""",
 }
