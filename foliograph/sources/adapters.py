@@ -64,7 +64,7 @@ def references(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REFERENCES_SQL = """
-refs AS (SELECT l_orderkey AS doc_id, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate))::INT AS ref_ord, l_linenumber AS ref_index,
+refs AS MATERIALIZED (SELECT l_orderkey AS doc_id, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate))::INT AS ref_ord, l_linenumber AS ref_index,
   '[' || l_linenumber || '] Q' || translate(l_suppkey::VARCHAR, '0123456789', 'abcdefghij') || ', A. Part ' || l_partkey || '. Title. ' || year(l_shipdate) || '.' AS text,
   year(l_shipdate)::VARCHAR AS year, 'Q' || translate(l_suppkey::VARCHAR, '0123456789', 'abcdefghij') AS author FROM lineitem)
 """
@@ -104,7 +104,7 @@ def bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("l_orderkey").alias("doc_id"), F.coalesce(*(F.when(F.col("l_orderkey") % len(whole) == k, text(t)) for k, t in enumerate(whole))).alias("body"))
 
 
-PAPERS_SQL = "papers AS (SELECT l_orderkey AS doc_id, min(l_linenumber) AS lo, max(l_linenumber) AS hi, count(*) AS n, 'Q' || translate(min(l_suppkey)::VARCHAR, '0123456789', 'abcdefghij') AS author, min(year(l_shipdate)) AS y FROM lineitem GROUP BY 1)"
+PAPERS_SQL = "papers AS MATERIALIZED (SELECT l_orderkey AS doc_id, min(l_linenumber) AS lo, max(l_linenumber) AS hi, count(*) AS n, 'Q' || translate(min(l_suppkey)::VARCHAR, '0123456789', 'abcdefghij') AS author, min(year(l_shipdate)) AS y FROM lineitem GROUP BY 1)"
 
 
 def marked_sql(family: str) -> str:
