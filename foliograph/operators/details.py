@@ -5,69 +5,43 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliograph.functions.folds import in_order
 from foliograph.operators.citations import loosely_matched
+from foliograph.operators.spatial import as_points, nearest
 
 #: pieces of text that a reference takes at most, and how far its lines may be from its left edge (fixed values)
 MOST_PIECES, OUTDENT, HANGING = 35, 10.0, 6.0
 
 
-class _Text:
-    """A reference's text in the making."""
-
-    def __init__(self) -> None:
-        self.first: dict | None = None
-        self.before: dict | None = None
-        self.parts: list[str] = []
-        self.gap = self.next_x = None
-        self.lines, self.done = 0, False
-
-    def ends_before(self, line: dict) -> bool:
-        gap = abs(line["y"] - self.before["y"])
-        if gap <= 3:  # a further piece of the same line
-            return False
-        self.lines += 1
-        if self.gap is not None and gap > 1.5 * self.gap:
-            return True
-        self.gap = gap if self.gap is None else self.gap
-        wide = line["body_width"] or 0
-        if line["numbered"] or (wide > 0 and 0 < self.before["w"] < wide - 2 * (line["h"] or 10)):
-            return True
-        if self.lines == 1:
-            self.next_x = line["x"]
-            return False
-        hanging = self.next_x > self.first["x"] + HANGING
-        return line["x"] < (self.next_x if hanging else min(self.first["x"], self.next_x)) - OUTDENT
-
-    def takes(self, line: dict) -> list:
-        if self.done or not line["text"].strip():
-            return []
-        if self.first is None:
-            self.first = line
-        elif self.ends_before(line):
-            self.done = True
-            return []
-        self.parts.append(line["text"])
-        self.before, self.done = line, len(self.parts) > MOST_PIECES
-        return []
-
-    def gives(self) -> list[tuple]:
-        text = "".join(self.parts).strip()
-        return [(self.first["doc_id"], self.first["cit_no"], text)] if text else []
-
-
 def texts_at(targets: DataFrame, lines: DataFrame, metrics: DataFrame) -> DataFrame:
     """``doc_id, cit_no, text``: the reference that begins at a place (``doc_id, cit_no, page_no, x, y``), read from the nearest line on, by
-    |dy| + |dx| / 2, to the next wide gap, numbered line, short line or outdent. One pass over each place's lines in order."""
-    off = F.abs(F.col("y") - F.col("ty")) + 0.5 * F.abs(F.col("x") - F.col("tx"))
-    order = Window.partitionBy("doc_id", "page_no").orderBy("line_no")
-    after = F.when(F.abs(F.lead("y").over(order) - F.col("y")) < 3, F.lead("text").over(order)).otherwise("")
+    |dy| + |dx| / 2, to the next wide gap, numbered line, short line or outdent, ``MOST_PIECES + 1`` pieces at most.
+
+    The page's lines that aren't blank are numbered; a place meets just the next few of them, and windows over those find the first that
+    breaks off. Pieces within 3 units of the one before are of its line; places that no line is nearest to give nothing.
+    """
+    page = Window.partitionBy("doc_id", "page_no").orderBy("line_no")
+    after = F.when(F.abs(F.lead("y").over(page) - F.col("y")) < 3, F.lead("text").over(page)).otherwise("")
     numbered = F.regexp_like(F.concat("text", F.coalesce(after, F.lit(""))), F.lit(r"(?U)^\s*[\[(]?[0-9]{1,3}[\]).,]?\s+\S"))
-    shown = lines.withColumn("numbered", numbered).join(metrics.select("doc_id", F.col("line_width").alias("body_width")), "doc_id", "left")
-    near = targets.select("doc_id", "cit_no", "page_no", F.col("x").alias("tx"), F.col("y").alias("ty")).join(shown, ["doc_id", "page_no"])
-    first = near.groupBy("doc_id", "cit_no").agg(F.min(F.struct(off.alias("off"), "line_no"))["line_no"].alias("start"))
-    rows = near.join(first, ["doc_id", "cit_no"]).where("line_no >= start").select("doc_id", "cit_no", "line_no", F.coalesce("text", F.lit("")).alias("text"), "x", "y", "w", "h", "numbered", "body_width")
-    return in_order(rows, ["doc_id", "cit_no"], ["line_no"], "doc_id long, cit_no long, text string", _Text, _Text.takes, _Text.gives)
+    blank = F.length(F.trim(F.coalesce("text", F.lit("")))) == 0
+    shown = lines.select("doc_id", "page_no", "line_no", F.coalesce("text", F.lit("")).alias("text"), "x", "y", "w", "h", F.coalesce(numbered, F.lit(False)).alias("numbered"), blank.alias("blank"))
+    shown = shown.withColumn("nth", F.sum((~F.col("blank")).cast("int")).over(page) + F.col("blank").cast("int"))
+    near = nearest(targets.select("doc_id", "page_no", F.col("cit_no").alias("point_no"), "x", "y"), as_points(lines, "line_no"), lambda dx, dy: dy + 0.5 * dx, lambda reach: F.lit(reach / 2))
+    starts = near.select("doc_id", "page_no", F.col("point_no").alias("cit_no"), F.col("target_no").alias("line_no")).join(shown.select("doc_id", "page_no", "line_no", "nth"), ["doc_id", "page_no", "line_no"])
+    asked = starts.select("doc_id", "page_no", "cit_no", F.explode(F.sequence(F.col("nth"), F.col("nth") + MOST_PIECES)).alias("nth"))
+    rows = asked.join(shown.where("not blank"), ["doc_id", "page_no", "nth"]).join(metrics.select("doc_id", F.col("line_width").alias("body_width")), "doc_id", "left")
+    order = Window.partitionBy("doc_id", "cit_no").orderBy("nth")
+    rows = rows.withColumn("gap", F.abs(F.col("y") - F.lag("y").over(order))).withColumn("opens", F.coalesce(F.col("gap") > 3, F.lit(False)))
+    rows = rows.withColumn("line", F.sum(F.col("opens").cast("int")).over(order))
+    second = F.when((F.col("line") == 1) & F.col("opens"), F.struct("gap", "x"))
+    rows = rows.withColumns({"second": F.first(second, ignorenulls=True).over(order), "first_x": F.first("x").over(order), "last_w": F.lag("w").over(order)})
+    room = F.col("body_width") - 2 * F.when(F.coalesce("h", F.lit(0.0)) != 0, F.col("h")).otherwise(10.0)
+    short = (F.col("body_width") > 0) & (F.col("last_w") > 0) & (F.col("last_w") < room)
+    edge = F.when(F.col("second.x") > F.col("first_x") + HANGING, F.col("second.x")).otherwise(F.least("first_x", "second.x"))
+    later = (F.col("line") > 1) & ((F.col("gap") > 1.5 * F.col("second.gap")) | (F.col("x") < edge - OUTDENT))
+    breaks = F.col("opens") & (F.col("numbered") | F.coalesce(short, F.lit(False)) | F.coalesce(later, F.lit(False)))
+    read = rows.withColumn("over", F.max(breaks).over(order)).where("not over")
+    pieces = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "text"))), lambda s: s["text"]), "")
+    return read.groupBy("doc_id", "cit_no").agg(F.trim(pieces).alias("text")).where("text <> ''")
 
 
 INVALID = "invalid location"
