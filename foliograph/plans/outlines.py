@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliograph.functions import text as T
+from foliograph.functions.folds import cut
 from foliograph.operators import citations, layout, outline, references, trees
 from foliograph.plans.layout import METRICS_SQL
 from foliograph.sources.adapters import LINES_SQL, lines, table
@@ -103,10 +104,19 @@ def nearest_heading_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outline.nearest_lines(points, rows)
 
 
+def _bookmarks(rows: DataFrame) -> DataFrame:
+    """Bookmarks without a place: all headings but some, and, with long titles, lines without their last word and the halves of others."""
+    at, half = F.col("line_no") % 7, F.array_join(F.slice(F.split("text", " "), 1, 6), " ")
+    title = F.when((at == 3) & ~F.col("text").contains("lower"), F.col("text")).when(at == 5, F.regexp_replace("text", " [^ ]*$", "")).when(at == 1, half)
+    node = F.col("line_no").cast("long")
+    return rows.select("doc_id", node.alias("node_id"), F.lit(None).cast("long").alias("parent_id"), F.col("line_no").alias("ord"), title.alias("title"), F.lit(0).alias("page_index"), F.lit(0.0).alias("left"), F.lit(0.0).alias("top")).where("title IS NOT NULL")
+
+
 def located_bookmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = headed(spark, sf_dir)
-    marks = _outline(spark, sf_dir).withColumns({"left": F.lit(0.0), "top": F.lit(0.0)}).where("title NOT LIKE '%lower%'")
-    return outline.located(marks, rows, layout.body_metrics(rows))
+    """Every bookmark's line. Every eleventh line is in bold, so that halves of such lines' words name them."""
+    plain = cut(headed(spark, sf_dir))
+    rows = plain.withColumn("style", F.when(F.col("line_no") % 11 == 1, 1).otherwise(F.col("style")))
+    return outline.located(_bookmarks(rows), rows, layout.body_metrics(plain))
 
 
 def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,19 +130,26 @@ def column_of_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(edges, ["doc_id", "page_no"]).select("doc_id", "line_no", layout.column_index(F.col("x"), F.col("edges")).alias("column_no"))
 
 
+def _ending(rows: DataFrame, which: str = "true") -> DataFrame:
+    """Lines of the documents that ``which`` holds for with numbered entries at the end, three lines each."""
+    last = rows.groupBy("doc_id").agg(F.max("line_no").alias("last"))
+    from_end = F.col("last") - F.col("line_no")
+    numbered = F.concat(F.lit("["), (5 - F.floor(from_end / 3)).cast("string"), F.lit("] "), "text")
+    return rows.join(last, "doc_id").withColumn("text", F.when(F.expr(which) & (from_end % 3 == 2) & (from_end < 15), numbered).otherwise(F.col("text"))).drop("last")
+
+
 def reference_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = headed(spark, sf_dir)
-    by_outline = _outline(spark, sf_dir).where("doc_id % 2 = 0 AND page_index >= 3")
-    return references.sections(rows, by_outline, layout.body_metrics(rows), first_page=1).where("tier <= 2")
+    """Sections of all documents by all three tiers: some have an outline that names one, some a heading, and of every third one the
+    headings are taken away and its last lines are numbered entries."""
+    plain = cut(headed(spark, sf_dir))
+    rows = plain.withColumn("text", F.when((F.col("doc_id") % 3 == 1) & (F.col("text") == "References"), "Remarks").otherwise(F.col("text")))
+    by_outline = _outline(spark, sf_dir).where("doc_id % 3 = 0 AND doc_id % 2 = 0 AND page_index >= 3")
+    return references.sections(_ending(rows, "doc_id % 3 = 1"), by_outline, layout.body_metrics(plain))
 
 
 def probed_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last lines of a document as numbered entries, three lines each: found from the end."""
-    rows = lines(spark, sf_dir)
-    last = rows.groupBy("doc_id").agg(F.max("line_no").alias("last"))
-    from_end = F.col("last") - F.col("line_no")
-    numbered = rows.join(last, "doc_id").withColumn("text", F.when((from_end % 3 == 2) & (from_end < 15), F.concat(F.lit("["), (5 - F.floor(from_end / 3)).cast("string"), F.lit("] "), "text")).otherwise(F.col("text"))).where("last >= 60").drop("last")
-    return references.starts_by_probe(numbered)
+    return references.starts_by_probe(_ending(lines(spark, sf_dir)))
 
 
 def line_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -234,7 +251,6 @@ ORACLES = {
       q AS (SELECT doc_id, arg_min(q, (-n, f)) AS left_x FROM (SELECT doc_id, floor(x / 2 + 0.5) * 2 AS q, count(*) AS n, min(line_no) AS f FROM s GROUP BY 1, 2) GROUP BY 1),
       t AS (SELECT doc_id, any_value(n) AS n, count(*) FILTER (w >= 0.5 * wide) AS measured, count(*) FILTER (w >= 0.5 * wide AND abs(w - wide) < 3 * height) AS fl, count(*) FILTER (x > left_x + height) AS inset FROM s JOIN m USING (doc_id) JOIN q USING (doc_id) GROUP BY 1)
       SELECT d.doc_id, coalesce(n >= 5 AND fl >= 0.7 * measured, false) AS straight, coalesce(n >= 5 AND inset >= 3 AND inset >= 0.1 * n, false) AS indents FROM (SELECT DISTINCT doc_id FROM lines) d LEFT JOIN t USING (doc_id)""",
-    "probed_sections": f"""WITH {LINES_SQL}, l AS (SELECT doc_id, max(line_no) AS last, max(page_no) AS pages FROM lines GROUP BY 1) SELECT doc_id, (last - 15)::INT AS start_line FROM l WHERE last >= 60""",
 }
 from foliograph.plans.places import _RECTS  # noqa: E402
 
@@ -245,3 +261,66 @@ ORACLES["bounding_anchors"] = f"""{_RECTS}, p AS (SELECT * FROM rects WHERE no %
   SELECT c.doc_id, c.page_no, point_no, cur AS current, min(a.no) AS next FROM c LEFT JOIN a ON a.doc_id = c.doc_id AND a.no > c.cur GROUP BY 1, 2, 3, 4"""
 ORACLES["entry_rects"] = f"""{_RECTS} SELECT doc_id, no // 3 AS ref_ord, page_no, count(*) AS n, arg_min(x, no) AS first_x, arg_max(y, no) AS last_y FROM rects GROUP BY 1, 2, 3"""
 ORACLES["distinct_figures"] = f"""{_RECTS} SELECT doc_id, min(no) AS ord FROM rects GROUP BY doc_id, no % 2, floor(y / 21 + 0.5)"""
+
+
+def _plain(text: str) -> str:
+    """SQL for a normalised heading."""
+    number = r"^(?:[0-9]+(?:\.[0-9]+)*\.?\s+|\([0-9]+\)\s*|[A-Z]\.(?:[0-9]+(?:\.[0-9]+)*\.?)?\s+|\([A-Za-z]\)\s*|[IVXLCDM]+\.\s+|\([IVXLCDM]+\)\s*)"
+    return rf"regexp_replace(lower(regexp_replace(trim(regexp_replace(regexp_replace(trim({text}), '{number}', ''), '[^A-Za-z0-9\s]', '', 'g')), '\s+', ' ', 'g')), '^appendix\s*(?:[a-z]\s+)?', '')"
+
+
+# every bookmark with every line of its document by the rule, then one bookmark after the other with the line reached as a state
+ORACLES["located_bookmarks"] = rf"""WITH RECURSIVE {_HEADED}, {_METRICS},
+  marks AS (SELECT doc_id, line_no::BIGINT AS node_id, CASE WHEN line_no % 7 = 3 AND NOT contains(text, 'lower') THEN text WHEN line_no % 7 = 5 THEN regexp_replace(text, ' [^ ]*$', '') WHEN line_no % 7 = 1 THEN array_to_string(string_split(text, ' ')[1:6], ' ') END AS title FROM headed),
+  asked AS MATERIALIZED (SELECT *, {_plain("title")} AS key, CASE WHEN regexp_matches(title, '(?i)^\s*appendix\s+[A-Z](?:[^A-Za-z0-9_]|$)') THEN upper(regexp_extract(title, '(?i)^\s*appendix\s+([A-Z])', 1)) ELSE regexp_extract(title, '^\s*([A-Z])(?:\.|\s)', 1) END AS letter, row_number() OVER (PARTITION BY doc_id ORDER BY node_id) AS nth FROM marks WHERE title IS NOT NULL),
+  read AS MATERIALIZED (SELECT h.doc_id, line_no, lower(trim(text)) AS low, {_plain("text")} AS line, h.h > 1.2 * m.line_height OR line_no % 11 = 1 OR h.style IN (1, 3) AS shown FROM headed h JOIN metrics m USING (doc_id)),
+  split AS (SELECT a.doc_id, a.nth, a.key, a.letter, r.line_no, r.low, r.line, r.shown, string_split(a.key, ' ') AS ws, string_split(r.line, ' ') AS os FROM asked a JOIN read r USING (doc_id)),
+  found AS MATERIALIZED (SELECT doc_id, nth, list(line_no ORDER BY line_no) AS at FROM split WHERE (letter <> '' AND (starts_with(low, lower(letter) || '. ') OR regexp_extract(low, '(?:^|[^a-z0-9_])appendix\s+([a-z])(?:[^a-z0-9_]|$)', 1) = lower(letter))) OR (key <> '' AND key = line)
+      OR (length(key) > 25 AND len(ws) >= 3 AND len(os) >= 2 AND len(list_filter(ws, lambda w: list_contains(os, w))) / greatest(len(ws), len(os)) >= CASE WHEN shown THEN 0.4 ELSE 0.85 END) GROUP BY 1, 2),
+  st AS (SELECT DISTINCT doc_id, 0::BIGINT AS nth, 0 AS here, NULL::BIGINT AS node_id, NULL::INT AS line_no FROM asked
+    UNION ALL SELECT doc_id, nth, coalesce(hit, here), CASE WHEN hit IS NOT NULL THEN node_id END, hit FROM (
+      SELECT a.doc_id, a.nth, a.node_id, st.here, list_min(list_filter(coalesce(f.at, []), lambda l: l >= st.here)) AS hit FROM st JOIN asked a ON a.doc_id = st.doc_id AND a.nth = st.nth + 1 LEFT JOIN found f ON f.doc_id = a.doc_id AND f.nth = a.nth))
+  SELECT doc_id, node_id, line_no FROM st WHERE node_id IS NOT NULL"""
+
+
+def _margins(of: str) -> str:
+    """SQL for the left margin of each page of lines ``of``, and those of them that can belong to a reference section."""
+    mode = "SELECT doc_id, page_no, arg_min(q, (-n, f)) AS m FROM (SELECT doc_id, page_no, floor(x * 2 + 0.5) / 2 AS q, count(*) AS n, min(line_no) AS f FROM {t} GROUP BY 1, 2, 3) GROUP BY 1, 2"
+    return f"""long_lines AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY line_no) AS nth FROM {of} WHERE length(text) > 10) WHERE nth <= 10 AND w <= 0.9 * 612),
+  margins AS (SELECT e.doc_id, e.page_no, coalesce(s.m, e.m) AS margin FROM ({mode.format(t=of)}) e LEFT JOIN ({mode.format(t="long_lines")}) s USING (doc_id, page_no)),
+  eligible AS MATERIALIZED (SELECT l.*, margin, x <= margin + 20 AS edge FROM {of} l JOIN margins USING (doc_id, page_no) WHERE length(trim(text)) > 3 AND y < 792 AND y > 0 AND NOT (x + w <= margin OR x >= 612 - margin) AND NOT (length(trim(text)) < 10 AND regexp_extract(lower(trim(text)), 'page\\s+([0-9]+)', 1) = page_no::VARCHAR))"""
+
+
+# the numbers that lines begin with, from a document's end backwards, with the run and its length as a state
+_PROBED = r"""tail AS (SELECT e.*, row_number() OVER (PARTITION BY doc_id ORDER BY line_no DESC) - 1 AS place FROM eligible e JOIN (SELECT doc_id, max(page_no) AS pages FROM eligible_of GROUP BY 1) USING (doc_id) WHERE page_no >= ceil(pages * 0.6) AND y < 0.97 * 792 AND y > 0.03 * 792),
+  told AS (SELECT doc_id, place, line_no, k, regexp_extract(text, p, 1) AS n, row_number() OVER (PARTITION BY doc_id, k ORDER BY place) AS nth FROM tail, (VALUES (0, '^\s*\[([0-9]{0,3})\]'), (1, '^\s*\(([0-9]{0,3})\)'), (2, '^\s*([0-9]{1,3})\.\s')) t(k, p) WHERE regexp_matches(text, p)),
+  seq AS MATERIALIZED (SELECT doc_id, k, nth, place, line_no, try_cast(n AS INT) AS n FROM told),
+  probe AS (SELECT doc_id, k, nth, place, line_no, n, 1 AS run, 0.0::DOUBLE AS way, 0 AS steps, false AS found, false AS over FROM seq WHERE nth = 1
+    UNION ALL SELECT doc_id, k, nth, place, line_no, n, CASE WHEN found THEN run WHEN follows THEN now + 1 ELSE 1 END, CASE WHEN found THEN way WHEN follows THEN length + place - before ELSE length END, CASE WHEN found THEN steps WHEN follows THEN taken + 1 ELSE taken END,
+        found OR (follows AND now + 1 >= 3), over OR (found AND place - before - 1 > ceil(2.5 * way / steps)) FROM (
+      SELECT *, now > 0 AND n = last_n - 1 AS follows FROM (
+        SELECT s.doc_id, s.k, s.nth, s.place, s.line_no, s.n, p.place AS before, p.n AS last_n, p.run, p.way, p.steps, p.found, p.over, CASE WHEN quiet THEN 0 ELSE p.run END AS now, CASE WHEN quiet THEN 0 ELSE p.way END AS length, CASE WHEN quiet THEN 0 ELSE p.steps END AS taken
+        FROM probe p JOIN seq s ON s.doc_id = p.doc_id AND s.k = p.k AND s.nth = p.nth + 1, LATERAL (SELECT s.place - p.place - 1 > CASE WHEN p.steps > 0 THEN 3 * p.way / p.steps ELSE 10 END AS quiet)))),
+  probed AS (SELECT doc_id, arg_min(start_line, k) AS start_line FROM (SELECT doc_id, k, greatest(min(line_no) - 1, 0)::INT AS start_line FROM probe WHERE found AND NOT over GROUP BY 1, 2) GROUP BY 1)"""
+
+
+def _numbered(of: str, which: str) -> str:
+    return f"SELECT doc_id, line_no, page_no, CASE WHEN {which} AND (last - line_no) % 3 = 2 AND last - line_no < 15 THEN '[' || (5 - (last - line_no) // 3) || '] ' || text ELSE text END AS text, x, y, w, h, style FROM {of} JOIN (SELECT doc_id, max(line_no) AS last FROM {of} GROUP BY 1) USING (doc_id)"
+
+
+ORACLES["probed_sections"] = f"""WITH RECURSIVE {LINES_SQL}, eligible_of AS MATERIALIZED ({_numbered("lines", "true")}), {_margins("eligible_of")}, {_PROBED} SELECT doc_id, start_line FROM probed"""
+_HEADS = ", ".join(f"'{x}'" for x in ("references", "bibliography"))
+_LATER = ", ".join(f"'{x}'" for x in references.LATER_HEADINGS)
+ORACLES["reference_sections"] = f"""WITH RECURSIVE {_OUTLINE}, {_METRICS},
+  kept AS (SELECT * REPLACE (CASE WHEN doc_id % 3 = 1 AND text = 'References' THEN 'Remarks' ELSE text END AS text) FROM headed),
+  eligible_of AS MATERIALIZED ({_numbered("kept", "doc_id % 3 = 1")}), {_margins("eligible_of")}, {_PROBED},
+  first AS (SELECT doc_id, arg_min(page_index + 1, ord) AS page_no, arg_min("left", ord) AS px, arg_min(top, ord) AS py FROM outlines WHERE doc_id % 6 = 0 AND page_index >= 3 AND lower(trim(title)) IN ({_HEADS}) GROUP BY 1),
+  starts AS (SELECT l.doc_id, 1 AS tier, arg_min(line_no, (abs(y - py) + abs(x - px), line_no)) AS start_line FROM eligible_of l JOIN first f ON f.doc_id = l.doc_id AND f.page_no = l.page_no GROUP BY 1
+    UNION ALL SELECT doc_id, 2, min(line_no) FROM eligible_of WHERE page_no >= 3 AND y < 0.95 * 792 AND y > 0.05 * 792 AND lower(trim(text)) IN ({_HEADS}) GROUP BY 1
+    UNION ALL SELECT doc_id, 3, start_line FROM probed),
+  bottoms_of AS (SELECT doc_id, page_no, min(y) AS bottom, max(line_no) AS page_end FROM eligible_of GROUP BY 1, 2),
+  after AS (SELECT s.tier, s.start_line, e.*, bool_or(edge) OVER (PARTITION BY e.doc_id, s.tier, e.page_no ORDER BY line_no) AS counts, m.line_height AS body, m.margin_bottom AS low, bottom, page_end FROM eligible e JOIN starts s ON s.doc_id = e.doc_id AND e.line_no > s.start_line JOIN metrics m ON m.doc_id = e.doc_id JOIN bottoms_of b ON b.doc_id = e.doc_id AND b.page_no = e.page_no),
+  counted AS (SELECT *, min(CASE WHEN replace(regexp_replace(lower(trim(text)), '^(?:[0-9]+(?:\\.[0-9]+)*\\.?|[ivxlcdm]+\\.)\\s+', ''), ' ', '') IN ({_LATER}) OR (h > 1.5 * body AND style = 1) OR (y = bottom AND line_no = page_end AND bottom > low + 0.4 * 792) THEN line_no END) OVER (PARTITION BY doc_id, tier) AS stop FROM after WHERE counts),
+  ended AS (SELECT doc_id, tier, max(line_no) AS last, any_value(stop) AS stop, count(*) AS n FROM counted WHERE stop IS NULL OR line_no < stop GROUP BY 1, 2),
+  every AS (SELECT s.doc_id, s.tier, s.start_line, coalesce(stop - 1, last, s.start_line + 1)::INT AS end_line, coalesce(n, 0) AS n FROM starts s LEFT JOIN ended e ON e.doc_id = s.doc_id AND e.tier = s.tier)
+  SELECT doc_id, arg_min(start_line, tier)::INT AS start_line, arg_min(end_line, tier) AS end_line, min(tier)::INT AS tier FROM every WHERE tier = 2 OR n >= 3 GROUP BY 1"""
