@@ -136,12 +136,18 @@ def in_order(rows: DataFrame, keys: list[str], order: list[str], schema: str, st
     return laid.mapInArrow(run, schema)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder that the session names in spark.checkpoint.dir; a local master gets one of its own."""
-    context = df.sparkSession.sparkContext
+def shared_folder(session) -> str:
+    """The folder that the session names in spark.checkpoint.dir; a local master gets one of its own."""
+    context = session.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = context.getConf().get("spark.checkpoint.dir")
         if not folder and context.master != "local" and not context.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder, its lineage cut."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
+from foliograph.functions.folds import cut
+
 POINTS = ArrayType(StructType([StructField("x", DoubleType()), StructField("y", DoubleType())]))
 #: how far a comment may be from its mark, as a share of the page's longer side
 NEAR = 0.1
@@ -132,27 +134,30 @@ def ratios(rect: Column, width: Column, height: Column) -> Column:
 def commented(marks: DataFrame, comments: DataFrame, width: float, height: float) -> DataFrame:
     """``doc_id, comment_id, mark_id``: a comment belongs to the mark it names; another to the nearest mark of its page
     without a comment, nearer than a tenth of the page's longer side. Comments choose in the order of their ids, and a
-    mark takes one comment; a page's comments and marks are settled together."""
+    mark takes one comment.
+
+    Comments meet the marks within reach in cells of that size. In a round each comment looks at its nearest mark that is left, and has it
+    if no earlier comment that is undecided could still want it; so each page's first comment is always settled, and most others with it.
+    """
     named = comments.join(marks.select("doc_id", F.col("mark_id").alias("linked")), ["doc_id", "linked"], "left_semi").select("doc_id", "comment_id", F.col("linked").alias("mark_id"))
     taken = named.select("doc_id", "mark_id").distinct()
     free = marks.join(taken, ["doc_id", "mark_id"], "left_anti")
     asking = comments.join(named.select("doc_id", "comment_id"), ["doc_id", "comment_id"], "left_anti")
-    side = lambda t, kind, key: t.select("doc_id", "page_no", F.lit(kind).alias("kind"), F.col(key).alias("id"), "x", "y")
     most = NEAR * max(width, height)
-
-    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        left = pdf[pdf.kind == "mark"].sort_values("id")
-        at, ids, used = left[["x", "y"]].to_numpy(), left.id.to_numpy(), np.zeros(len(left), bool)
-        out = []
-        for c in pdf[pdf.kind == "comment"].sort_values("id").itertuples():
-            off = np.where(used, np.inf, np.hypot(at[:, 0] - c.x, at[:, 1] - c.y)) if len(at) else np.zeros(0)
-            if len(off) and off.min() < most:
-                used[off.argmin()] = True
-                out.append((c.doc_id, c.id, ids[off.argmin()]))
-        return pd.DataFrame(out, columns=["doc_id", "comment_id", "mark_id"])
-
-    near = side(free, "mark", "mark_id").unionByName(side(asking, "comment", "comment_id")).groupBy("doc_id", "page_no").applyInPandas(settle, "doc_id long, comment_id long, mark_id long")
-    return named.unionByName(near)
+    cell = lambda c, by: F.floor((F.col(c) + by) / most)
+    over = lambda c: F.explode(F.sequence(cell(c, -most), cell(c, most)))
+    near = asking.select("doc_id", "page_no", "comment_id", F.col("x").alias("cx"), F.col("y").alias("cy")).withColumn("i", over("cx")).withColumn("j", over("cy"))
+    near = near.join(free.select("doc_id", "page_no", "mark_id", "x", "y", cell("x", 0.0).alias("i"), cell("y", 0.0).alias("j")), ["doc_id", "page_no", "i", "j"])
+    off = F.pow(F.col("x") - F.col("cx"), 2) + F.pow(F.col("y") - F.col("cy"), 2)
+    pairs = cut(near.select("doc_id", "page_no", "comment_id", "mark_id", off.alias("off")).where(F.col("off") < most * most))
+    found = named
+    while not pairs.isEmpty():
+        wanted = pairs.groupBy("doc_id", "page_no", "comment_id").agg(F.min(F.struct("off", "mark_id"))["mark_id"].alias("mark_id"))
+        first = pairs.groupBy("doc_id", "mark_id").agg(F.min("comment_id").alias("comment_id"))
+        settled = cut(wanted.join(first, ["doc_id", "mark_id", "comment_id"], "left_semi"))
+        found = found.unionByName(settled.select("doc_id", "comment_id", "mark_id"))
+        pairs = cut(pairs.join(settled.select("doc_id", "comment_id"), ["doc_id", "comment_id"], "left_anti").join(settled.select("doc_id", "mark_id"), ["doc_id", "mark_id"], "left_anti"))
+    return found
 
 
 def color_dots(marks: DataFrame, most: int = 3) -> DataFrame:

@@ -207,12 +207,27 @@ def inline_citations(pages: DataFrame, refs: DataFrame, skip: DataFrame | None =
     return penalised(kept, inline_format(refs)).select(*keys, "type", "begin", "refs", F.round("confidence", 6).alias("confidence"), "flags")
 
 
-def captions(lines: DataFrame) -> DataFrame:
-    """Lines that define what cross references point at; of one kind and number the first counts."""
+def captions(lines: DataFrame, metrics: DataFrame | None = None) -> DataFrame:
+    """Lines that define what cross references point at; of one kind and number the first counts.
+
+    With ``metrics (doc_id, font_size)`` a line must also look like a definition, as ``is_definition``; lines then have ``first_item, style, h`` too.
+    """
     found = scanner.read_by(lines, ["doc_id", "line_no"], "text", scanner.definition, "kind string, target string")
+    if metrics is not None:
+        shown = found.join(lines.select("doc_id", "line_no", "text", "first_item", "style", "h"), ["doc_id", "line_no"]).join(metrics.select("doc_id", "font_size"), "doc_id")
+        found = shown.where(is_definition(F.col("kind"), F.col("text"), F.col("first_item"), F.col("style"), F.col("h"), F.col("font_size")))
     return found.groupBy("doc_id", "kind", "target").agg(F.min("line_no").alias("line_no"))
 
 
+def is_definition(kind: Column, text: Column, first_item: Column, style: Column, size: Column, body_size: Column) -> Column:
+    """Whether a line that begins as a caption does is one: by the sign behind its number, else by how its first item looks."""
+    sign = F.regexp_like(text, F.lit(r"^\S+\s*[0-9]+(?:\.[0-9]+)?[A-Za-z]?\s*[:.]"))
+    styled, larger = style > 0, size > 1.05 * body_size
+    capitals = first_item == F.upper(first_item)
+    caption = (styled | capitals) & (F.length(first_item) < 15)
+    return (kind == "sectionMark") | sign | F.when(kind.isin("figure", "table"), caption).when(kind.isin("theorem", "algorithm"), styled | larger).otherwise(styled | larger | capitals)
+
+
 def resolved(found: DataFrame, targets: DataFrame) -> DataFrame:
     """Cross references with the line of the definition of their kind and number, where there is one."""
     return found.join(targets, ["doc_id", "kind", "target"], "left")

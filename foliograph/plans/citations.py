@@ -48,6 +48,15 @@ def crossref_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.captions(_caption_lines(spark, sf_dir))
 
 
+def defined_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that begin as captions do, of which those that look like definitions count: by a sign, a style, a size or capitals."""
+    n = F.col("ref_ord")
+    kinds = F.array(F.lit("Figure "), F.lit("Table "), F.lit("Lemma "), F.lit("Algorithm "))
+    of = F.get(kinds, n % 4)
+    rows = references(spark, sf_dir).select("doc_id", n.alias("line_no"), F.concat(of, F.col("ref_index").cast("string"), F.when(n % 5 == 0, ": ").otherwise(" "), F.col("author")).alias("text"), F.when(n % 7 == 0, F.upper(of)).when(n % 3 == 0, F.concat(of, F.lit("and much more"))).otherwise(of).alias("first_item"), (F.col("doc_id") % 3 % 2).cast("int").alias("style"), F.when(n % 11 < 4, 11.0).otherwise(10.0).alias("h"))
+    return C.captions(rows, rows.select("doc_id").distinct().withColumn("font_size", F.lit(10.0)))
+
+
 def crossref_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.resolved(C.mentions(bodies(spark, sf_dir)), C.captions(_caption_lines(spark, sf_dir)))
 
@@ -117,7 +126,7 @@ def numbered_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.numbered_entries(refs.select("doc_id", F.explode(two).alias("l")).select("doc_id", "l.*"))
 
 
-QUERIES = {f.__name__: f for f in (reference_entries, citation_spans, citation_numbers, citation_ref_join, abbreviated_citations, abbreviated_links, author_year_match, loose_author_match, inline_citations, page_citations, reference_anchors, superscript_citations, crossref_mentions, crossref_targets, crossref_resolution, ref_format_vote, inline_format_vote, numbered_entries)}
+QUERIES = {f.__name__: f for f in (reference_entries, citation_spans, citation_numbers, citation_ref_join, abbreviated_citations, abbreviated_links, author_year_match, loose_author_match, inline_citations, page_citations, reference_anchors, superscript_citations, crossref_mentions, crossref_targets, defined_captions, crossref_resolution, ref_format_vote, inline_format_vote, numbered_entries)}
 
 # the oracles know how the sentences are made, not how they are read
 _PARTS = f"""WITH {PAPERS_SQL}, {REFERENCES_SQL},
@@ -153,6 +162,8 @@ ORACLES = {
     "page_citations": None,
     "crossref_mentions": f'{_PARTS} SELECT doc_id, kind, "begin", length, content AS target FROM mentions',
     "crossref_targets": f"{_PARTS} SELECT * FROM captions",
+    "defined_captions": f"""WITH {REFERENCES_SQL}, n AS (SELECT doc_id, ref_ord, ref_index, ['figure', 'table', 'theorem', 'algorithm'][ref_ord % 4 + 1] AS kind, ['Figure ', 'Table ', 'Lemma ', 'Algorithm '][ref_ord % 4 + 1] AS word, doc_id % 3 = 1 AS styled, ref_ord % 11 < 4 AS larger, ref_ord % 7 = 0 AS capitals FROM refs)
+      SELECT doc_id, kind, ref_index::VARCHAR AS target, min(ref_ord) AS line_no FROM n WHERE ref_ord % 5 = 0 OR CASE WHEN ref_ord % 4 < 2 THEN (styled OR capitals) AND (capitals OR ref_ord % 3 > 0) ELSE styled OR larger END GROUP BY 1, 2, 3""",
     "crossref_resolution": f'{_PARTS} SELECT doc_id, kind, content AS target, "begin", length, line_no FROM mentions LEFT JOIN (SELECT doc_id, kind, target AS content, line_no FROM captions) USING (doc_id, kind, content)',
     "ref_format_vote": f"WITH {REFERENCES_SQL} SELECT doc_id, {_STYLES} AS format, least(count(*), 50) AS sampled FROM refs GROUP BY 1",
     "inline_format_vote": f"WITH {REFERENCES_SQL} SELECT doc_id, {_STYLES} AS format, 1.0::DOUBLE AS confidence FROM refs GROUP BY 1",

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliograph.functions.folds import shared_folder
 from foliograph.operators import annotations as A
 from foliograph.operators import details as D
-from foliograph.operators import markup, store, trees
+from foliograph.operators import layout, markup, store, trees
+from foliograph.plans.layout import METRICS_SQL
 from foliograph.plans.places import _RECTS, _rects, _tree
-from foliograph.sources.adapters import REFERENCES_SQL, references, table
+from foliograph.sources.adapters import LINES_SQL, REFERENCES_SQL, lines, references, table
 
 
 def stored_state(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,8 +101,78 @@ def stroke_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rects(spark, sf_dir).select("doc_id", "no", F.round(turn, 6).alias("rotation"), F.round(A.resized(F.col("rect.w"), F.col("rect.y") - 60), 6).alias("factor"))
 
 
-QUERIES = {f.__name__: f for f in (stored_state, annotation_updates, load_sources, stored_settings, citation_targets, page_totals, page_groups, shown_rects, focus_moves, pages_in_view, scroll_progress, subtree_dots, color_codes, rect_ratios, stroke_turns)}
+def comment_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rectangles as marks and comments in turn; every third comment names the mark before it, others choose."""
+    rows = _rects(spark, sf_dir).select("doc_id", "page_no", "no", "rect.x", "rect.y")
+    marks = rows.where("no % 2 = 0").withColumnRenamed("no", "mark_id")
+    comments = rows.where("no % 2 = 1").withColumn("linked", F.when(F.col("no") % 3 == 0, F.col("no") - 1)).withColumnRenamed("no", "comment_id")
+    return A.commented(marks, comments, 612.0, 792.0)
+
+
+def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with a search result, the numbers of papers and citation formats in front, each in several ways by its key."""
+    k, n = F.col("page_id"), F.col("page_id").cast("string")
+    result = F.concat(F.lit('<div class="gs_r"><div class="gs_ri"><h3 class="gs_rt"><a href="https://h/'), n, F.lit('">On <b>page</b> '), n, F.lit(' &amp; more</a></h3><div class="gs_fmaa"><a>A. '), n, F.lit('</a>, <a> B. Two </a></div><div class="gsh_csp">short</div><div class="gs_fma_snp">'), F.when(k % 2 == 0, "a longer one").otherwise("no"), F.lit("</div></div></div>"))
+    paper = F.when(k % 4 == 0, F.concat(F.lit('<div data-cid="C'), n, F.lit('x"></div><a href="?cites=1">'))).when(k % 4 == 1, F.concat(F.lit('<a href="/s?hl=en&amp;cites='), n, F.lit('&amp;x=1">'))).when(k % 4 == 2, F.concat(F.lit('<button data-clk-atid="B'), n, F.lit('">'))).otherwise("")
+    formats = F.concat(F.lit('<table><tr><th class="gs_cith">MLA</th><td><div class="gs_citr">Q. <i>'), n, F.lit('</i></div></td></tr><tr><th scope="row" class="x gs_cith"> APA </th><td><div tabindex="0" class="gs_citr">R.</div></td></tr></table><div id="gs_citi"><a href="'), F.when(k % 3 == 0, "https://h").otherwise(""), F.lit("/scholar.bib?q="), n, F.lit('&amp;y">BibTeX</a></div>'))
+    return table(spark, sf_dir, "pages").select("page_id", F.concat(F.when(k % 5 > 0, result).otherwise(""), paper, F.when(k % 7 > 0, formats).otherwise(""), "html").alias("html"))
+
+
+def search_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = _results(spark, sf_dir).select("page_id", markup.search_result(F.col("html")).alias("r"))
+    return read.select("page_id", "r.title", "r.link", F.array_join("r.authors", "; ").alias("authors"), "r.abstract")
+
+
+def paper_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _results(spark, sf_dir).select("page_id", markup.paper_id(F.col("html")).alias("paper"))
+
+
+def citation_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _results(spark, sf_dir).select("page_id", markup.bibliography_link(F.col("html"), "https://b").alias("bibtex"), F.explode_outer(markup.citation_formats(F.col("html"))).alias("f"))
+    return rows.select("page_id", "bibtex", "f.format", "f.citation")
+
+
+def exported_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Marks written as lines of JSON to a new folder beside the session's checkpoints, and read back."""
+    rows = _rects(spark, sf_dir).where("no % 5 = 0").select("doc_id", "page_no", F.col("no").alias("mark_id"), "rect", F.when(F.col("no") % 2 == 0, "seen").alias("comment"))
+    folder = f"{shared_folder(spark)}/exported-{uuid.uuid4().hex}"
+    store.exported(rows, folder)
+    return spark.read.schema(rows.schema).json(folder).select("doc_id", "page_no", "mark_id", "rect.x", "rect.w", "comment")
+
+
+def citation_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every third line's citation stands for: an entry by its index or year, what stands at a place, or no valid place."""
+    rows = lines(spark, sf_dir)
+    k = F.col("line_no")
+    refs = rows.where("line_no % 5 = 0").select("doc_id", k.alias("ref_ord"), (k / 5).cast("int").alias("ref_index"), "text", (2000 + k % 10).cast("string").alias("year"))
+    cited = rows.where("line_no % 3 = 0").select("doc_id", k.cast("long").alias("cit_no"), F.when(k % 4 == 0, (k / 5).cast("int").cast("string")).alias("ref_index"), F.when(k % 4 == 1, "qqqq").alias("author"), F.when(k % 4 == 1, (2000 + k % 10).cast("string")).alias("year"), "page_no", (F.col("x") + 3).alias("x"), F.when(k % 4 == 3, 0.0).otherwise(F.col("y") - 2).alias("y"))
+    return D.citation_texts(cited, refs, rows, layout.body_metrics(rows), layout.columns(rows))
+
+
+QUERIES = {f.__name__: f for f in (stored_state, annotation_updates, load_sources, stored_settings, citation_targets, page_totals, page_groups, shown_rects, focus_moves, pages_in_view, scroll_progress, subtree_dots, color_codes, rect_ratios, stroke_turns, comment_marks, search_results, paper_ids, citation_formats, exported_annotations, citation_texts)}
 ORACLES = {
+    # a page's comments in order, each to the nearest mark that no earlier one has
+    "comment_marks": f"""{_RECTS.replace("WITH ", "WITH RECURSIVE ", 1)}, named AS (SELECT c.doc_id, c.no AS comment_id, c.no - 1 AS mark_id FROM rects c WHERE c.no % 6 = 3),
+      asking AS (SELECT doc_id, page_no, no, x, y, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY no) AS nth FROM rects WHERE no % 2 = 1 AND no % 3 > 0),
+      free AS (SELECT doc_id, page_no, list({{'no': no, 'x': x, 'y': y}} ORDER BY no) AS marks FROM rects m WHERE no % 2 = 0 AND NOT EXISTS (SELECT 1 FROM named n WHERE n.doc_id = m.doc_id AND n.mark_id = m.no) GROUP BY 1, 2),
+      st AS (SELECT doc_id, page_no, 0::BIGINT AS nth, marks AS remaining, NULL::BIGINT AS comment_id, NULL::BIGINT AS mark_id FROM free
+        UNION ALL SELECT doc_id, page_no, nth, CASE WHEN hit IS NULL THEN remaining ELSE list_filter(remaining, lambda m: m.no <> hit) END, CASE WHEN hit IS NOT NULL THEN no END, hit FROM (
+          SELECT a.*, st.remaining, list_min(list_transform(list_filter(st.remaining, lambda m: (m.x - a.x) ** 2 + (m.y - a.y) ** 2 < 79.2 ** 2), lambda m: {{'off': (m.x - a.x) ** 2 + (m.y - a.y) ** 2, 'no': m.no}})).no AS hit FROM st JOIN asking a ON a.doc_id = st.doc_id AND a.page_no = st.page_no AND a.nth = st.nth + 1))
+      SELECT doc_id, comment_id, mark_id FROM st WHERE comment_id IS NOT NULL UNION ALL SELECT * FROM named""",
+    "search_results": """SELECT page_id, CASE WHEN page_id % 5 > 0 THEN 'On page ' || page_id || ' & more' END AS title, CASE WHEN page_id % 5 > 0 THEN 'https://h/' || page_id END AS link, CASE WHEN page_id % 5 > 0 THEN 'A. ' || page_id || '; B. Two' END AS authors, CASE WHEN page_id % 5 > 0 THEN CASE WHEN page_id % 2 = 0 THEN 'a longer one' ELSE 'short' END END AS abstract FROM pages""",
+    "paper_ids": "SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'C' || page_id || 'x' WHEN 1 THEN page_id::VARCHAR WHEN 2 THEN 'B' || page_id END AS paper FROM pages",
+    "citation_formats": """SELECT page_id, CASE WHEN page_id % 7 > 0 THEN CASE WHEN page_id % 3 = 0 THEN 'https://h' ELSE 'https://b' END || '/scholar.bib?q=' || page_id || '&y' END AS bibtex, f AS format, CASE WHEN f = 'MLA' THEN 'Q. ' || page_id WHEN f = 'APA' THEN 'R.' END AS citation
+      FROM (SELECT page_id, unnest(CASE WHEN page_id % 7 > 0 THEN ['MLA', 'APA'] ELSE [NULL] END) AS f FROM pages)""",
+    "exported_annotations": f"{_RECTS} SELECT doc_id, page_no, no AS mark_id, x, w, CASE WHEN no % 2 = 0 THEN 'seen' END AS comment FROM rects WHERE no % 5 = 0",
+    # a place's lines one after the other, until one breaks off
+    "citation_texts": f"""WITH RECURSIVE {LINES_SQL}, {METRICS_SQL}, seen AS (SELECT l.*, m.line_width AS wide, row_number() OVER (PARTITION BY l.doc_id, page_no ORDER BY line_no) AS k, lead(y) OVER p AS next_y, lead(text) OVER p AS next_text FROM lines l JOIN metrics m USING (doc_id) WINDOW p AS (PARTITION BY doc_id, page_no ORDER BY line_no)),
+      told AS MATERIALIZED (SELECT *, regexp_matches(text || CASE WHEN abs(next_y - y) < 3 THEN next_text ELSE '' END, '^\\s*[\\[(]?[0-9]{{1,3}}[\\]).,]?\\s+\\S') AS numbered FROM seen),
+      st AS (SELECT doc_id, line_no AS cit_no, page_no, k, 1 AS pieces, text, x AS first_x, NULL::DOUBLE AS second_x, NULL::DOUBLE AS gap, y, w FROM told WHERE line_no % 12 IN (6, 9)
+        UNION ALL SELECT t.doc_id, st.cit_no, st.page_no, t.k, st.pieces + 1, st.text || t.text, st.first_x, coalesce(st.second_x, CASE WHEN abs(t.y - st.y) > 3 THEN t.x END), coalesce(st.gap, CASE WHEN abs(t.y - st.y) > 3 THEN abs(t.y - st.y) END), t.y, t.w FROM st JOIN told t ON t.doc_id = st.doc_id AND t.page_no = st.page_no AND t.k = st.k + 1
+          WHERE st.pieces <= 35 AND (abs(t.y - st.y) <= 3 OR NOT (t.numbered OR (t.wide > 0 AND st.w > 0 AND st.w < t.wide - 2 * t.h) OR (st.gap IS NOT NULL AND (abs(t.y - st.y) > 1.5 * st.gap OR t.x < CASE WHEN st.second_x > st.first_x + 6 THEN st.second_x ELSE least(st.first_x, st.second_x) END - 10))))),
+      read AS (SELECT doc_id, cit_no, trim(arg_max(text, pieces)) AS text FROM st GROUP BY 1, 2),
+      c AS (SELECT doc_id, line_no AS n FROM lines WHERE line_no % 3 = 0)
+      SELECT c.doc_id, n::BIGINT AS cit_no, CASE n % 4 WHEN 0 THEN (SELECT text FROM lines l WHERE l.doc_id = c.doc_id AND l.line_no = n // 5 * 5) WHEN 1 THEN coalesce((SELECT arg_min(text, line_no) FROM lines l WHERE l.doc_id = c.doc_id AND l.line_no % 5 = 0 AND l.line_no % 10 = n % 10), r.text) WHEN 3 THEN 'invalid location' ELSE r.text END AS text FROM c LEFT JOIN read r ON r.doc_id = c.doc_id AND r.cit_no = n""",
     "stored_state": "SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS nth FROM events) WHERE nth = 1 AND event_type <> 'error'",
     "annotation_updates": """WITH u AS (SELECT l_partkey AS id, CASE WHEN l_linenumber % 2 = 0 THEN 'c' || l_suppkey END AS color, CASE WHEN l_linenumber % 3 = 0 THEN 'n' || l_suppkey END AS comment, l_orderkey * 100000 + l_linenumber * 10000 + l_suppkey AS t, l_quantity = 50 AS gone FROM lineitem),
       g AS (SELECT id, arg_max(color, (t, color)) FILTER (color IS NOT NULL) AS color, arg_max(comment, (t, comment)) FILTER (comment IS NOT NULL) AS comment, max(t) AS t, bool_or(gone) AS gone FROM u GROUP BY 1)

@@ -72,6 +72,14 @@ def _outline(spark: SparkSession, sf_dir: str) -> DataFrame:
 _OUTLINE = f"{_HEADED}, outlines AS (SELECT doc_id, line_no::BIGINT AS node_id, CASE WHEN k % 11 <> 0 THEN ((k // 11) * 77 + 3)::BIGINT END AS parent_id, line_no AS ord, text AS title, (page_no - 1)::INT AS page_index, x AS \"left\", y AS top FROM headed WHERE at_heading)"
 
 
+def outlines_with_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outlines with every fifth line as a figure and every eleventh as a note below the sections that contain them."""
+    rows = headed(spark, sf_dir)
+    k = F.col("line_no")
+    items = rows.where("line_no % 5 = 1 OR line_no % 11 = 2").select("doc_id", k.cast("long").alias("item_no"), F.when(k % 5 == 1, "Figure").otherwise("Note").alias("title"), (F.col("page_no") - 1).alias("page_index"), F.col("x").alias("left"), F.col("y").alias("top"))
+    return outline.inserted(_outline(spark, sf_dir), items)
+
+
 def section_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outline.section_targets(_outline(spark, sf_dir)).drop("x", "y")
 
@@ -208,7 +216,7 @@ def normalized_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return headed(spark, sf_dir).where("line_no % 7 = 3").select("doc_id", "line_no", T.normalize_heading(F.col("text")).alias("heading"), T.appendix_letter(F.col("text")).alias("letter"))
 
 
-QUERIES = {f.__name__: f for f in (heading_candidates, heading_levels, abstract_lines, section_targets, chosen_outlines, purged_outlines, outlines_with_abstract, document_title_choice, nearest_heading_lines, located_bookmarks, reading_order, column_of_lines, reference_sections, probed_sections, line_layouts, bounding_anchors, entry_rects, entry_anchors, heading_regions, distinct_figures, usable_indexes, tree_descendants, normalized_headings)}
+QUERIES = {f.__name__: f for f in (heading_candidates, heading_levels, abstract_lines, outlines_with_items, section_targets, chosen_outlines, purged_outlines, outlines_with_abstract, document_title_choice, nearest_heading_lines, located_bookmarks, reading_order, column_of_lines, reference_sections, probed_sections, line_layouts, bounding_anchors, entry_rects, entry_anchors, heading_regions, distinct_figures, usable_indexes, tree_descendants, normalized_headings)}
 
 ORACLES = {
     "heading_candidates": f"WITH {_FOUND} SELECT * FROM headings",
@@ -219,6 +227,11 @@ ORACLES = {
       c AS (SELECT *, 1 + coalesce(sum(room) OVER (PARTITION BY doc_id ORDER BY tier ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM b)
       SELECT doc_id, line_no, tier, (base + CASE WHEN depth > 0 THEN depth - least ELSE 0 END)::INT AS level FROM t JOIN c USING (doc_id, tier)""",
     "abstract_lines": f"WITH {_HEADED} SELECT doc_id, arg_min(page_no, line_no) AS page_no, min(line_no) AS line_no, arg_min(x, line_no) AS x, arg_min(y, line_no) AS y FROM headed WHERE text = 'Abstract' GROUP BY 1",
+    "outlines_with_items": f"""WITH {_OUTLINE}, items AS (SELECT doc_id, -1 - line_no::BIGINT AS node_id, CASE WHEN line_no % 5 = 1 THEN 'Figure' ELSE 'Note' END AS title, page_no - 1 AS page_index, y AS top, line_no FROM headed WHERE line_no % 5 = 1 OR line_no % 11 = 2),
+      held AS (SELECT i.doc_id, i.node_id, arg_max(o.node_id, (o.page_index, -o.top, o.node_id)) FILTER (o.page_index < i.page_index OR (o.page_index = i.page_index AND o.top >= i.top)) AS parent, arg_max(o.node_id, o.ord) FILTER (o.parent_id IS NULL) AS last FROM items i LEFT JOIN outlines o ON o.doc_id = i.doc_id GROUP BY 1, 2),
+      every AS (SELECT doc_id, node_id, parent_id, 'section' AS kind, title, page_index, top FROM outlines UNION ALL SELECT i.doc_id, i.node_id, coalesce(h.parent, h.last), 'item', title, page_index, top FROM items i JOIN held h ON h.doc_id = i.doc_id AND h.node_id = i.node_id),
+      n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, parent_id ORDER BY page_index, top DESC, kind DESC, node_id DESC)::INT AS nth FROM every)
+      SELECT a.doc_id, a.node_id, a.parent_id, a.kind, a.title, a.nth, coalesce(c.nth || '.', '') || coalesce(b.nth || '.', '') || a.nth AS path FROM n a LEFT JOIN n b ON b.doc_id = a.doc_id AND b.node_id = a.parent_id LEFT JOIN n c ON c.doc_id = b.doc_id AND c.node_id = b.parent_id""",
     "section_targets": f"""WITH {_OUTLINE}, keyed AS (SELECT *, 'section' AS kind, CASE WHEN title LIKE 'IV.%' THEN '4' WHEN title LIKE 'A Large%' THEN 'A' WHEN regexp_matches(title, '^[0-9]') THEN string_split(title, ' ')[1] WHEN title LIKE 'Appendix%' THEN 'B' END AS target FROM outlines
         UNION ALL SELECT *, 'appendix', CASE WHEN title LIKE 'A Large%' THEN 'A' WHEN title LIKE 'Appendix%' THEN 'B' END FROM outlines)
       SELECT doc_id, kind, target, arg_min(page_index + 1, ord)::INT AS page_no, arg_min(title, ord) AS text FROM keyed WHERE target IS NOT NULL GROUP BY 1, 2, 3""",
