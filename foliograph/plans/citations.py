@@ -162,8 +162,8 @@ ORACLES = {
     "page_citations": None,
     "crossref_mentions": f'{_PARTS} SELECT doc_id, kind, "begin", length, content AS target FROM mentions',
     "crossref_targets": f"{_PARTS} SELECT * FROM captions",
-    "defined_captions": f"""WITH {REFERENCES_SQL}, n AS (SELECT doc_id, ref_ord, ref_index, ['figure', 'table', 'theorem', 'algorithm'][ref_ord % 4 + 1] AS kind, ['Figure ', 'Table ', 'Lemma ', 'Algorithm '][ref_ord % 4 + 1] AS word, doc_id % 3 = 1 AS styled, ref_ord % 11 < 4 AS larger, ref_ord % 7 = 0 AS capitals FROM refs)
-      SELECT doc_id, kind, ref_index::VARCHAR AS target, min(ref_ord) AS line_no FROM n WHERE ref_ord % 5 = 0 OR CASE WHEN ref_ord % 4 < 2 THEN (styled OR capitals) AND (capitals OR ref_ord % 3 > 0) ELSE styled OR larger END GROUP BY 1, 2, 3""",
+    "defined_captions": f"""WITH {REFERENCES_SQL}, n AS (SELECT doc_id, ref_ord, ref_index, ['figure', 'table', 'theorem', 'algorithm'][ref_ord % 4 + 1] AS kind, ['Figure ', 'Table ', 'Lemma ', 'Algorithm '][ref_ord % 4 + 1] AS word, doc_id % 3 = 1 AS styled, ref_ord % 7 = 0 AS capitals FROM refs)
+      SELECT doc_id, kind, ref_index::VARCHAR AS target, min(ref_ord) AS line_no FROM n WHERE ref_ord % 5 = 0 OR (kind = 'table' AND (styled OR capitals) AND (capitals OR ref_ord % 3 > 0)) GROUP BY 1, 2, 3""",
     "crossref_resolution": f'{_PARTS} SELECT doc_id, kind, content AS target, "begin", length, line_no FROM mentions LEFT JOIN (SELECT doc_id, kind, target AS content, line_no FROM captions) USING (doc_id, kind, content)',
     "ref_format_vote": f"WITH {REFERENCES_SQL} SELECT doc_id, {_STYLES} AS format, least(count(*), 50) AS sampled FROM refs GROUP BY 1",
     "inline_format_vote": f"WITH {REFERENCES_SQL} SELECT doc_id, {_STYLES} AS format, 1.0::DOUBLE AS confidence FROM refs GROUP BY 1",
