@@ -1,6 +1,7 @@
 """Media columns: chroma audio fingerprints, and the alignment of recordings by them.
 
-A recording is a WAV file in a binary column. Its spectrum is folded into twelve pitch classes a frame; an integral
+A recording is a WAV file in a binary column: PCM of 8 to 32 bits, any number of channels, any rate; it is read in blocks and brought to
+``RATE`` by a windowed sinc, so that a recording matches itself at another rate. Its spectrum is folded into twelve pitch classes a frame; an integral
 image over frames and classes gives the sums under ``FILTERS`` rectangles in constant time each; every filter compares
 two areas and yields two bits, and the filters of a frame are packed into one integer.
 
@@ -10,7 +11,7 @@ Classes that share keys with a query's class are aligned: the differences of the
 Each offset in it, and the two next to it, is judged by the share of differing bits over the overlap; the least wins, of
 equal ones the fullest and then the smallest. No count is capped, and copies never meet.
 
-Null, empty and undecodable media, and recordings shorter than a filter, have the empty fingerprint: they are in no
+Null, empty and undecodable media (rates of 0 or beyond ``MOST_RATE`` too), and recordings shorter than a filter, have the empty fingerprint: they are in no
 class and match nothing. A row without an id is left out. Repeated rows of one id are members alike; of several
 recordings under one id each is in a class. An empty table gives no row. Other columns are ignored.
 """
@@ -19,6 +20,10 @@ from __future__ import annotations
 
 import io
 import wave
+from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
+from math import ceil, gcd
 
 import numpy as np
 import pyarrow as pa
@@ -46,24 +51,74 @@ LEAST_OVERLAP = 32
 DISTANCES = ((0, 15, 30), (0, 12, 24))
 #: the bits of a composite key: which of the two areas is greater, for the filters of four classes and more
 STEADY = sum(2 << 2 * k for k, (_, _, classes, _) in enumerate(FILTERS) if classes >= 4)
-#: recordings that are decoded at a time
-AT_ONCE = 256
+#: recordings whose fingerprints are made at a time, and samples and frames of one that are
+AT_ONCE, SAMPLES_AT_ONCE, FRAMES_AT_ONCE = 256, 1 << 18, 4096
+#: the rate that all recordings are brought to, the highest that is read, and the waves of the kernel on either side
+RATE, MOST_RATE, LOBES = 4000, 1 << 20, 8
 
 
-def decode(data: bytes | None) -> tuple[np.ndarray, int]:
-    """Mono samples from -1 to 1 and their rate; nothing for what isn't PCM WAV."""
+def sound(data: bytes | None) -> tuple[int, Iterator[np.ndarray]]:
+    """The rate of a WAV file, and its mono samples from -1 to 1, some at a time; rate 0 for what isn't PCM WAV of a rate up to ``MOST_RATE``."""
     try:
-        with wave.open(io.BytesIO(data or b"")) as w:
-            raw, width, channels, rate = w.readframes(w.getnframes()), w.getsampwidth(), w.getnchannels(), w.getframerate()
+        w = wave.open(io.BytesIO(data or b""))
+        width, channels, rate = w.getsampwidth(), w.getnchannels(), w.getframerate()
     except (wave.Error, EOFError):
-        return np.zeros(0, np.float32), 0
-    if width == 1:
-        x = np.frombuffer(raw, np.uint8).astype(np.float32) / 128 - 1
-    elif width in (2, 4):
-        x = np.frombuffer(raw[: len(raw) // width * width], f"<i{width}").astype(np.float32) / float(1 << (8 * width - 1))
-    else:
-        return np.zeros(0, np.float32), 0
-    return x[: len(x) // channels * channels].reshape(-1, channels).mean(1), rate
+        return 0, iter(())
+    if not 0 < rate <= MOST_RATE or width not in (1, 2, 3, 4):
+        return 0, iter(())
+
+    def blocks() -> Iterator[np.ndarray]:
+        while raw := w.readframes(SAMPLES_AT_ONCE):
+            n = len(raw) // (width * channels) * channels
+            if width == 1:
+                x = np.frombuffer(raw, np.uint8, n).astype(np.float32) / 128 - 1
+            elif width == 3:
+                parts = np.frombuffer(raw, np.uint8, 3 * n).reshape(-1, 3).astype(np.int32)
+                x = ((parts[:, 0] << 8 | parts[:, 1] << 16 | parts[:, 2] << 24) / float(1 << 31)).astype(np.float32)
+            else:
+                x = np.frombuffer(raw, f"<i{width}", n).astype(np.float32) / float(1 << (8 * width - 1))
+            yield x.reshape(-1, channels).mean(1)
+
+    return rate, blocks()
+
+
+@lru_cache(8)
+def kernel(rate: int) -> tuple[int, int, int, np.ndarray]:
+    """``up, down, half`` and the weights of the samples around a place, a row for each phase: a windowed sinc below both rates' half."""
+    up, down = RATE // gcd(rate, RATE), rate // gcd(rate, RATE)
+    cutoff = 0.9 * min(1.0, RATE / rate)
+    half = ceil(LOBES / cutoff)
+    t = np.arange(-half + 1, half + 1)[None, :] - np.arange(up)[:, None] / up
+    h = cutoff * np.sinc(cutoff * t) * np.cos(np.pi / 2 * np.clip(t / half, -1, 1)) ** 2
+    return up, down, half, (h / h.sum(1, keepdims=True)).astype(np.float32)
+
+
+def resampled(rate: int, blocks: Iterator[np.ndarray]) -> np.ndarray:
+    """Samples at ``RATE``, from blocks at another rate; memory holds one block and the result."""
+    if rate == RATE:
+        return np.concatenate([np.zeros(0, np.float32), *blocks])
+    up, down, half, weights = kernel(rate)
+    held, first, k, total, out = np.zeros(half, np.float32), -half, 0, 0, []
+    for block in chain(blocks, [None]):
+        total += 0 if block is None else len(block)
+        held = np.concatenate([held, np.zeros(half + down, np.float32) if block is None else block])
+        # places whose samples are all there, and at the end those within the recording
+        end = min(-(-total * up // down), ((first + len(held) - half - 1) * up) // down + 1)
+        while k < end:
+            at = np.arange(k, min(k + 4096, end), dtype=np.int64) * down
+            rows = np.lib.stride_tricks.sliding_window_view(held, 2 * half)[at // up - half + 1 - first]
+            out.append((rows * weights[at % up]).sum(1))
+            k += len(at)
+        gone = k * down // up - half + 1 - first
+        if gone > 0:
+            held, first = held[gone:], first + gone
+    return np.concatenate([np.zeros(0, np.float32), *out])
+
+
+def decode(data: bytes | None) -> tuple[np.ndarray, int]:
+    """Mono samples from -1 to 1 at ``RATE``, and that rate; nothing and 0 for what can't be decoded."""
+    rate, blocks = sound(data)
+    return (resampled(rate, blocks), RATE) if rate else (np.zeros(0, np.float32), 0)
 
 
 def folding(rate: int) -> np.ndarray:
@@ -79,9 +134,9 @@ def chroma(samples: np.ndarray, rate: int) -> np.ndarray:
     """Pitch-class strengths of every frame, each frame scaled to length 1."""
     if len(samples) < FRAME:
         return np.zeros((0, CLASSES), np.float32)
-    frames = np.lib.stride_tricks.sliding_window_view(samples, FRAME)[::HOP]
-    power = np.abs(np.fft.rfft(frames * np.hanning(FRAME).astype(np.float32), axis=1)) ** 2
-    out = power.astype(np.float32) @ folding(rate)
+    frames, window, classes = np.lib.stride_tricks.sliding_window_view(samples, FRAME)[::HOP], np.hanning(FRAME).astype(np.float32), folding(rate)
+    parts = [(np.abs(np.fft.rfft(frames[k : k + FRAMES_AT_ONCE] * window, axis=1)) ** 2).astype(np.float32) @ classes for k in range(0, len(frames), FRAMES_AT_ONCE)]
+    out = np.concatenate(parts)
     norm = np.sqrt((out * out).sum(1, keepdims=True))
     return np.where(norm > 1e-6, out / np.maximum(norm, 1e-6), 0)
 
@@ -123,7 +178,7 @@ def fingerprints(media: DataFrame, id_column: str, media_column: str) -> DataFra
         for batch in batches:
             for lo in range(0, batch.num_rows, AT_ONCE):
                 part = batch.slice(lo, AT_ONCE)
-                prints = [fingerprint(chroma(*decode(x))).view(np.int32) for x in part.column(1).to_pylist()]
+                prints = [fingerprint(chroma(*decode(x.as_py()))).view(np.int32) for x in part.column(1)]
                 yield pa.RecordBatch.from_pydict({"id": part.column(0), "prints": pa.array(prints, pa.list_(pa.int32()))})
 
     return media.select(F.col(id_column).cast("long").alias("id"), F.col(media_column).alias("media")).mapInArrow(lean(run), "id long, prints array<int>")
@@ -220,7 +275,6 @@ def aligned(media: DataFrame, queries: str, id_column: str = "id", media_column:
 
 
 #: what the adapter below renders: samples a second, and samples a note
-RATE = 4000
 NOTE = 256
 
 
