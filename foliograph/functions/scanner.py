@@ -1,7 +1,7 @@
-"""A reader of inline citations and mentions of other parts: small rules over characters, put together by hand.
+"""A reader of citations by author and year: small rules over characters, put together by hand, for what ``patterns`` can't say.
 
-A rule takes a text and a place and returns the place behind what it read, or ``None``. The three readers at the end go
-through a text once for each kind of thing, take the leftmost reading, and go on behind it. Places are in code points.
+A rule takes a text and a place and returns the place behind what it read, or ``None``. The reader goes
+through a text once for each rule, takes the leftmost reading, and goes on behind it. Places are in code points.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-# fixed values: words and kinds that citations and mentions are known by
+# fixed values: words that citations are known by
 #: small words before a surname, with either case of their first letter
 PARTICLES = ("de", "von", "van", "der", "den", "le", "la", "del", "dos", "das", "di", "du")
 #: what stands between two authors
@@ -24,22 +24,9 @@ EXAMPLES = ("e.g.", "i.e.")
 LONGEST_FIRST = tuple(sorted(OPENERS, key=len, reverse=True))
 #: phrases that may close it
 CLOSERS = ("among others", "amongst others", "and others")
-#: kinds of mentions with the words that begin them, longest first
-STEMS = {
-    "figure": ("figure", "figs", "fig"),
-    "table": ("table", "tabs", "tab"),
-    "section": ("section", "secs", "sec"),
-    "sectionMark": ("§",),
-    "equation": ("equation", "eqn", "eqs", "eq"),
-    "algorithm": ("algorithm", "algs", "alg"),
-    "theorem": ("proposition", "definition", "corollary", "theorem", "lemma"),
-    "appendix": ("appendix", "app."),
-}
 DASHES = "-–—"
-MOST_SPAN = 30
 
 DIGITS = frozenset("0123456789")
-WORD = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_")
 
 
 def blanks(t: str, p: int) -> int:
@@ -85,77 +72,6 @@ def listed(t: str, p: int, item: Callable[[str, int], int | None], signs: str) -
     return None
 
 
-def ranged(t: str, p: int, item: Callable[[str, int], int | None]) -> int | None:
-    """An item, or two with a dash between them."""
-    end = item(t, p)
-    if end is None:
-        return None
-    dash = one_of(t, blanks(t, end), DASHES)
-    last = item(t, blanks(t, dash)) if dash is not None else None
-    return end if last is None else last
-
-
-# ---- numbers and keys in brackets
-
-
-def bracketed(t: str, p: int, item: Callable[[str, int], int | None]) -> int | None:
-    if one_of(t, p, "[") is None or (end := listed(t, p + 1, item, ",;")) is None:
-        return None
-    return one_of(t, end, "]")
-
-
-def number_item(t: str, p: int) -> int | None:
-    return ranged(t, p, digits)
-
-
-def key_item(t: str, p: int) -> int | None:
-    """A key such as ABC+23a: a capital and letters, a plus sign perhaps, two digits, a small letter perhaps."""
-    q = p
-    while q < len(t) and (ascii_letter(t[q]) or ascii_letter(t[q], "A", "Z")):
-        q += 1
-    if q < p + 2 or not ascii_letter(t[p], "A", "Z"):
-        return None
-    q = maybe(t, q, "+")
-    end = digits(t, q)
-    if end is None or end < q + 2:
-        return None
-    return q + 3 if q + 2 < len(t) and ascii_letter(t[q + 2]) else q + 2
-
-
-def bracket_pair(t: str, p: int) -> tuple[int, int, int] | None:
-    """``[a]-[b]``: the place behind it, a and b."""
-    first = digits(t, p + 1) if one_of(t, p, "[") is not None else None
-    if first is None or (closed := one_of(t, first, "]")) is None or (dash := one_of(t, blanks(t, closed), DASHES)) is None:
-        return None
-    again = one_of(t, blanks(t, dash), "[")
-    last = digits(t, again) if again is not None else None
-    if last is None or (end := one_of(t, last, "]")) is None:
-        return None
-    return end, int(t[p + 1 : first]), int(t[again:last])
-
-
-def bracket_citations(t: str) -> Iterator[tuple[str, int, int, str]]:
-    """``kind, begin, length, content``: ranges between brackets that rise by ``MOST_SPAN`` at most, lists of numbers, lists of
-    keys; what lies in an earlier kind's reading is left out."""
-    taken: list[tuple[int, int]] = []
-    rules = (("between", None), ("numeric", number_item), ("abbreviated", key_item))
-    for kind, item in rules:
-        found = []
-        p = t.find("[")
-        while p >= 0:
-            end, content = None, ""
-            if item is None:
-                if (pair := bracket_pair(t, p)) is not None and pair[1] < pair[2] <= pair[1] + MOST_SPAN:
-                    end, content = pair[0], f"{pair[1]}-{pair[2]}"
-            elif (end := bracketed(t, p, item)) is not None:
-                content = t[p + 1 : end - 1]
-            if end is not None and not any(a < end and p < b for a, b in taken):
-                found.append((p, end))
-                yield kind, p, end - p, content
-            p = t.find("[", end if end is not None else p + 1)
-        taken += found
-
-
 # ---- authors and years
 
 
@@ -436,121 +352,6 @@ def own(author: str) -> str:
     return author[:-2] if author.endswith(("'s", "’s")) else author
 
 
-# ---- mentions of other parts
-
-
-def label(t: str, p: int) -> int | None:
-    """A letter perhaps, digits, a letter perhaps."""
-    q = p + 1 if p < len(t) and t[p] in WORD and t[p] not in DIGITS and t[p] != "_" else p
-    end = digits(t, q)
-    if end is None:
-        return None
-    return end + 1 if end < len(t) and t[end] in WORD and t[end] not in DIGITS and t[end] != "_" else end
-
-
-def dotted(t: str, p: int, most: int = 99, letters: bool = False, numbers: bool = True) -> int | None:
-    """A number (or a letter) and up to ``most`` further numbers after full stops."""
-    end = digits(t, p) if numbers else None
-    if end is None and letters and p < len(t) and t[p] in WORD and t[p] not in DIGITS and t[p] != "_":
-        end = p + 1
-    while end is not None and most and end < len(t) and t[end] == "." and (more := digits(t, end + 1)) is not None:
-        end, most = more, most - 1
-    return end
-
-
-def figure_target(t: str, p: int) -> int | None:
-    end = ranged(t, p, label)
-    while end is not None and (sign := one_of(t, blanks(t, end), ",&")) is not None and (more := label(t, blanks(t, sign))) is not None:
-        end = more
-    return end
-
-
-def table_target(t: str, p: int) -> int | None:
-    return listed(t, p, label, DASHES + ",")
-
-
-#: how each kind goes on behind its word: whether a full stop may follow, whether a blank must, and the target
-GRAMMAR: dict[str, tuple[bool, bool, Callable[[str, int], int | None]]] = {
-    "figure": (True, False, figure_target),
-    "table": (True, True, table_target),
-    "section": (True, True, lambda t, p: dotted(t, p, letters=True)),
-    "sectionMark": (False, False, lambda t, p: dotted(t, p, letters=True)),
-    "equation": (True, False, lambda t, p: dotted(t, p, 1)),
-    "algorithm": (True, False, digits),
-    "theorem": (False, True, lambda t, p: dotted(t, p, 1)),
-    "appendix": (False, True, lambda t, p: dotted(t, p, 1, letters=True, numbers=False)),
-}
-
-
-@lru_cache(1)
-def stems() -> regex.Pattern:
-    words = {w: k for k, ws in STEMS.items() for w in ws}
-    inner = "|".join(regex.escape(w) for w in sorted(words, key=len, reverse=True))
-    return regex.compile(f"(?i){inner}")
-
-
-@lru_cache(1)
-def kind_of() -> dict[str, str]:
-    return {w: k for k, ws in STEMS.items() for w in ws}
-
-
-def mention_at(t: str, kind: str, p: int) -> tuple[int, int, int] | None:
-    """The place behind a mention whose word ends at ``p``, and where its target begins and ends."""
-    stop, blank, target = GRAMMAR[kind]
-    p = maybe(t, p, ".") if stop else p
-    q = spaced(t, p) if blank else blanks(t, p)
-    if q is None:
-        return None
-    start = maybe(t, q, "(") if kind == "equation" else q
-    end = target(t, start)
-    if end is None:
-        return None
-    return maybe(t, end, ")") if kind == "equation" else end, start, end
-
-
-def mentions(t: str) -> Iterator[tuple[str, int, int, str]]:
-    """``kind, begin, length, target`` of every mention of another part of the document."""
-    behind = dict.fromkeys(GRAMMAR, 0)
-    for m in stems().finditer(t):
-        word, p = m.group().lower(), m.start()
-        kind = kind_of()[word]
-        if p < behind[kind] or (word != "§" and p and t[p - 1] in WORD):
-            continue
-        # the longest word may be too long: "Tabs" is one, "Figu" is "Fig" and a letter
-        for w in (w for w in STEMS[kind] if word.startswith(w)):
-            if (found := mention_at(t, kind, p + len(w))) is not None:
-                behind[kind] = found[0]
-                yield kind, p, found[0] - p, t[found[1] : found[2]]
-                break
-
-
-#: words that a definition of each kind begins with, whether a full stop may follow, and the signs that must
-DEFINED = {"figure": (("figure", "fig"), True, ":."), "table": (("table", "tab"), True, ""), "algorithm": (("algorithm",), True, ":."), "theorem": (STEMS["theorem"], False, ":.")}
-
-
-def definition(t: str) -> Iterator[tuple[str, str]]:
-    """``kind, target`` of a line that begins as a caption or a heading with a section mark does."""
-    low = t.lower()
-    if t.startswith("§"):
-        p = blanks(t, 1)
-        end = dotted(t, p)
-        if end is not None and spaced(t, end) is not None:
-            yield "sectionMark", t[p:end]
-        return
-    for kind, (words, stop, signs) in DEFINED.items():
-        for w in (w for w in words if low.startswith(w)):
-            p = maybe(t, len(w), ".") if stop else len(w)
-            q = spaced(t, p) if kind == "theorem" else blanks(t, p)
-            end = dotted(t, q, 1 if kind == "theorem" else 0) if q is not None else None
-            if end is None:
-                continue
-            if kind in ("figure", "table") and end < len(t) and t[end] in WORD and t[end].isalpha():
-                end += 1
-            if not signs or one_of(t, blanks(t, end), signs) is not None:
-                yield kind, t[q:end]
-                return
-
-
 # ---- on Spark
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliograph.functions import scanner
+from foliograph.functions import patterns, scanner
 from foliograph.functions.text import expand_numbers, number_items
 
 LEAST_CONFIDENCE = 0.3
@@ -25,7 +25,7 @@ def citations(bodies: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Numeric citations of every text: ranges between brackets first, then brackets, then abbreviated keys; a match that
     overlaps an earlier kind's is dropped. ``content`` is what stands in the brackets, as ``a-b`` for a range between them."""
     keys = keys or ["doc_id"]
-    return scanner.read_by(bodies, keys, "body", scanner.bracket_citations, "kind string, begin int, length int, content string")
+    return bodies.select(*keys, F.inline(patterns.bracket_citations(F.col("body"))))
 
 
 def cited_numbers(found: DataFrame) -> DataFrame:
@@ -92,7 +92,7 @@ def claimed(matched: DataFrame, keys: list[str] | None = None) -> DataFrame:
 
 def mentions(bodies: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Cross references of every kind: ``doc_id, kind, begin, length, target``."""
-    return scanner.read_by(bodies, keys or ["doc_id"], "body", scanner.mentions, "kind string, begin int, length int, target string")
+    return bodies.select(*(keys or ["doc_id"]), F.inline(patterns.mentions(F.col("body"))))
 
 
 def abbreviated_index(refs: DataFrame) -> DataFrame:
@@ -212,7 +212,7 @@ def captions(lines: DataFrame, metrics: DataFrame | None = None) -> DataFrame:
 
     With ``metrics (doc_id, font_size)`` a line must also look like a definition, as ``is_definition``; lines then have ``first_item, style, h`` too.
     """
-    found = scanner.read_by(lines, ["doc_id", "line_no"], "text", scanner.definition, "kind string, target string")
+    found = lines.select("doc_id", "line_no", patterns.definition(F.col("text")).alias("d")).where("d IS NOT NULL").select("doc_id", "line_no", "d.*")
     if metrics is not None:
         shown = found.join(lines.select("doc_id", "line_no", "text", "first_item", "style", "h"), ["doc_id", "line_no"]).join(metrics.select("doc_id", "font_size"), "doc_id")
         found = shown.where(is_definition(F.col("kind"), F.col("text"), F.col("first_item"), F.col("style"), F.col("h"), F.col("font_size")))
