@@ -54,6 +54,13 @@ def fuzzy_title_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return titles.agreeing(found.select("doc_id", T.normalize_title(F.col("title")).alias("title")))
 
 
+def title_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by their detected titles, and the titles that agree."""
+    rows = lines(spark, sf_dir)
+    found = layout.titles(rows, layout.body_metrics(rows))
+    return titles.classes(found.select("doc_id", T.normalize_title(F.col("title")).alias("title")))
+
+
 def reference_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("p_partkey").cast("string")
     text = F.concat("p_name", F.lit(" http://h.org/"), key, F.lit("?a=b. "), F.lit("see arXiv: 2001."), F.lpad(key, 5, "0"), F.lit("v2, "), "p_brand")
@@ -119,7 +126,7 @@ def pdf_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", T.pdf_date(F.when(F.col("o_orderkey") % 3 > 0, value)).alias("shown"), T.shown_time(F.when(F.col("o_orderkey") % 5 > 0, F.col("o_orderdate"))).alias("time"))
 
 
-QUERIES = {f.__name__: f for f in (normalized_titles, normalized_part_names, url_fragments, url_file_names, number_expansion, year_lists, section_numbers, fuzzy_title_pairs, reference_links, section_search_ranges, document_facts, shortened_texts, page_geometry, responses, palette_colors, page_headings, page_links, search_page_ranges, clipped_texts, pdf_dates)}
+QUERIES = {f.__name__: f for f in (normalized_titles, normalized_part_names, url_fragments, url_file_names, number_expansion, year_lists, section_numbers, fuzzy_title_pairs, title_classes, reference_links, section_search_ranges, document_facts, shortened_texts, page_geometry, responses, palette_colors, page_headings, page_links, search_page_ranges, clipped_texts, pdf_dates)}
 
 _NORM = "lower(regexp_replace(trim(regexp_replace({x}, '[^A-Za-z0-9\\s]', '', 'g'), ' ' || chr(9) || chr(10)), '\\s+', ' ', 'g'))"
 ORACLES = {
@@ -133,6 +140,11 @@ ORACLES = {
       SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, (unnest(range(len(ns))))::INT AS place, unnest(ns)::INT AS number FROM parts""",
     "year_lists": "SELECT o_orderkey, unnest([0, 1, 2])::INT AS place, unnest([year(o_orderdate) || 'a', year(o_orderdate) || 'b', year(o_orderdate)::VARCHAR]) AS year FROM orders",
     "section_numbers": "SELECT p_partkey, (p_size % 9 + 1) || '.' || (p_partkey % 5) AS prefix, 2 AS depth, p_name AS plain, (p_size % 9 + 1)::INT AS first_part FROM part",
+    "title_classes": f"""WITH {TITLES_SQL}, heads AS (SELECT doc_id, {_NORM.format(x='title')} AS title FROM titles), w AS (SELECT title, min(doc_id) AS id, string_split(title, ' ') AS ws FROM heads WHERE title <> '' GROUP BY title),
+      pairs AS (SELECT a.id AS a_id, b.id AS b_id, least(length(a.title), length(b.title)) >= 15 AND (CASE WHEN length(a.title) <= length(b.title) THEN starts_with(b.title, a.title) ELSE starts_with(a.title, b.title) END) AS begins,
+        len(a.ws) >= 3 AND len(list_filter(a.ws, lambda x: list_contains(b.ws, x))) >= 0.5 * len(a.ws) AS ab, len(b.ws) >= 3 AND len(list_filter(b.ws, lambda x: list_contains(a.ws, x))) >= 0.5 * len(b.ws) AS ba FROM w a JOIN w b ON a.id <= b.id)
+      SELECT 'pair' AS kind, a_id, b_id, begins OR ab AS forward, begins OR ba AS backward FROM pairs WHERE a_id < b_id AND (begins OR ab OR ba)
+      UNION ALL SELECT 'member', h.doc_id, p.a_id, begins OR ab, begins OR ba FROM heads h JOIN w ON w.title = h.title JOIN pairs p ON p.a_id = w.id AND p.b_id = w.id""",
     "fuzzy_title_pairs": f"""WITH {TITLES_SQL}, heads AS (SELECT doc_id, {_NORM.format(x='title')} AS title FROM titles), w AS (SELECT doc_id, title, string_split(title, ' ') AS ws FROM heads WHERE title <> ''),
       pairs AS (SELECT a.doc_id AS a_id, b.doc_id AS b_id, least(length(a.title), length(b.title)) >= 15 AND (CASE WHEN length(a.title) <= length(b.title) THEN starts_with(b.title, a.title) ELSE starts_with(a.title, b.title) END) AS begins,
         len(a.ws) >= 3 AND len(list_filter(a.ws, lambda x: list_contains(b.ws, x))) >= 0.5 * len(a.ws) AS ab, len(b.ws) >= 3 AND len(list_filter(b.ws, lambda x: list_contains(a.ws, x))) >= 0.5 * len(b.ws) AS ba FROM w a JOIN w b ON a.doc_id < b.doc_id)
