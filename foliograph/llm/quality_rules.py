@@ -1,11 +1,13 @@
 """Quality rules: counted rules, and a hashed n-gram logistic regression with calibrated probabilities.
 
-The regression reads hashed word 1- and 2-grams and byte 3- and 4-grams, each family as shares of the text, is
+The regression reads hashed word 1- and 2-grams and character 3- and 4-grams, each family as shares of the text, is
 trained on labelled rows, calibrated by Platt's sigmoid on rows that the training left out, and scored in Arrow
 batches. A text is kept if it passes the counted rules and its calibrated probability reaches ``THRESHOLD``.
 
 Null is an empty text: no words, so the counted rules fail it and its score is the calibrated probability of the
-intercept. Ties don't arise (a probability equal to the threshold is kept); repeated rows are judged alike.
+intercept. Ties don't arise (a probability equal to the threshold is kept); repeated rows are judged alike. A null id is kept and never
+held out. A text of any length is scored whole, in one piece of its own; a labelled text beyond the fit's bytes doesn't teach. Without
+labels, or with those of one class, every score is that of no or one class. An empty table gives no row. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 
 from foliograph.llm.shared import arrow_map, labelled_texts
 from foliograph.llm.structure import duplicate_lines, of_bytes, repeated_words, statistics
-from foliograph.llm.textvec import Piece, followed, lay, mix, rolling, word_hashes
+from foliograph.llm.textvec import Piece, characters, followed, lay, mix, rolling, word_hashes
 
 WORD_BITS = 17
 CHAR_BITS = 15
@@ -38,18 +40,16 @@ def families(p: Piece, hashes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]
     two, at = followed(hashes, p.word_doc, 2)
     out = [((h >> np.uint64(64 - WORD_BITS)).astype(np.int32) + k * (1 << WORD_BITS), np.bincount(d, minlength=p.n)) for k, (h, d) in enumerate(((hashes, p.word_doc), (two, p.word_doc[at])))]
     base = 2 << WORD_BITS
+    chars, begin = characters(p)
     for k, n in enumerate((3, 4)):
-        h = rolling(p.buf, n)
+        h = rolling(chars, n)
         row = (h >> np.uint64(64 - CHAR_BITS)).astype(np.int32) + (base + k * (1 << CHAR_BITS))
-        own = np.maximum(np.diff(p.doc_start) - n + 1, 0)
         inside = np.ones(len(h), bool)
         for back in range(1, n):  # windows that run into the next text
-            cut = p.doc_start[1:] - back
+            cut = begin[1:] - back
             inside[cut[(cut >= 0) & (cut < len(h))]] = False
-        # a text shorter than n may lose windows of the text before it to no one: count what is left
-        which = np.repeat(np.arange(p.n), np.diff(p.doc_start))[: len(h)]
-        own = np.bincount(which[inside], minlength=p.n) if p.n else own
-        out.append((row[inside], own))
+        which = np.repeat(np.arange(p.n), np.diff(begin))[: len(h)]
+        out.append((row[inside], np.bincount(which[inside], minlength=p.n)))
     return out
 
 

@@ -83,8 +83,22 @@ def followed(h: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.nda
     return run[whole], whole
 
 
+def characters(p: Piece) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each character, its UTF-8 bytes one above the other, and where each text's begin among them."""
+    tail = np.append((p.buf & 0xC0) == 0x80, np.zeros(3, bool))
+    at = np.flatnonzero(~tail[: len(p.buf)])
+    out, more = p.buf[at].astype(U), np.ones(len(at), bool)
+    wide = np.append(p.buf, np.zeros(3, np.uint8))
+    for k in (1, 2, 3):
+        more &= tail[at + k]
+        if not more.any():
+            break
+        out[more] |= wide[at[more] + k].astype(U) << U(8 * k)
+    return out, np.searchsorted(at, p.doc_start)
+
+
 def rolling(buf: np.ndarray, n: int) -> np.ndarray:
-    """A 64-bit hash of every window of ``n`` bytes, built by doubling."""
+    """A 64-bit hash of every window of ``n`` bytes (or numbers of characters), built by doubling."""
     if len(buf) < n:
         return np.zeros(0, U)
     h = (buf.astype(U) + U(1)) * U(MULTIPLIERS[7])

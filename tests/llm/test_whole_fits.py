@@ -6,7 +6,7 @@ import numpy as np
 
 import pytest
 
-from foliograph.llm import langid, quality_fm, quality_rules, shared, toxicity
+from foliograph.llm import langid, quality_fm, quality_rules, shared, textvec, toxicity
 
 HEADER = "this header is the same everywhere and says nothing at all about what follows it " * 8
 
@@ -47,6 +47,19 @@ def test_language_phrases_go_on_across_rounds():
     assert parts == 1
 
 
+def test_n_grams_are_of_characters():
+    texts = ["aé漢𝐀b".encode(), b"", "éé".encode(), b"plain"]
+    p = textvec.lay(texts)
+    chars, begin = textvec.characters(p)
+    whole = b"\n".join(texts).decode() + "\n"
+    assert [int(c).to_bytes(4, "little").rstrip(b"\0").decode() for c in chars] == list(whole)
+    assert begin.tolist() == [0, 6, 7, 10, 16]
+    counts = [n.tolist() for _, n in quality_rules.families(p, textvec.word_hashes(p))[2:]]
+    assert counts == [[4, 0, 1, 4], [3, 0, 0, 3]]
+    alone = quality_rules.families(textvec.lay(texts[:1]), textvec.word_hashes(textvec.lay(texts[:1])))[2][0]
+    assert quality_rules.families(p, textvec.word_hashes(p))[2][0][:4].tolist() == alone[:4].tolist()
+
+
 def test_toxicity_learns_a_word_of_few_texts():
     rng = np.random.default_rng(5)
     plain = [" ".join(rng.choice([f"word{chr(97 + k)}{chr(97 + j)}" for k in range(12) for j in range(5)], 30)) for _ in range(60)]
