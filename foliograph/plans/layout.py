@@ -18,12 +18,12 @@ def typeset_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def search_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.search_hits(lines(spark, sf_dir), "There")
+    return layout.search_hits(lines(spark, sf_dir, "There"), "There")
 
 
 def search_hits_ranged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A ranged search: pages 2 to 3, which is the feature."""
-    return layout.search_hits(lines(spark, sf_dir), "There", 2, 3)
+    return layout.search_hits(lines(spark, sf_dir, "There"), "There", 2, 3)
 
 
 def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
