@@ -14,6 +14,7 @@ from foliograph.operators import layout, markup, store, trees
 from foliograph.plans.layout import METRICS_SQL
 from foliograph.plans.places import _RECTS, _rects, _tree
 from foliograph.sources.adapters import LINES_SQL, REFERENCES_SQL, lines, references, table
+from foliograph.streaming.store import KeyedTable
 
 
 def stored_state(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,8 +150,31 @@ def citation_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.citation_texts(cited, refs, rows, layout.body_metrics(rows), layout.columns(rows))
 
 
-QUERIES = {f.__name__: f for f in (stored_state, annotation_updates, load_sources, stored_settings, citation_targets, page_totals, page_groups, shown_rects, focus_moves, pages_in_view, scroll_progress, subtree_dots, color_codes, rect_ratios, stroke_turns, comment_marks, search_results, paper_ids, citation_formats, exported_annotations, citation_texts)}
+def _filled(spark: SparkSession, sf_dir: str) -> KeyedTable:
+    """A new keyed table of the session's shared folder, after all events in three batches by time, each given twice: errors delete a reader's
+    row, views take it, all others put it."""
+    kept = KeyedTable(spark, f"{shared_folder(spark)}/table-{uuid.uuid4().hex}", "user_id long, value double", ["user_id"], 16)
+    kind = F.col("event_type")
+    changes = table(spark, sf_dir, "events").select("user_id", "value", F.when(kind == "error", "delete").when(kind == "view", "take").otherwise("put").alias("op"), F.col("ts").cast("timestamp").alias("at"), "event_id")
+    for batch, (first, last) in enumerate((("2000-01-01", "2024-01-11"), ("2024-01-11", "2024-01-21"), ("2024-01-21", "2100-01-01"))):
+        part = changes.where((F.col("at") >= F.lit(first).cast("timestamp")) & (F.col("at") < F.lit(last).cast("timestamp")))
+        kept.apply(part, "events", batch)
+        kept.apply(part, "events", batch)
+    return kept
+
+
+def stored_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _filled(spark, sf_dir).rows()
+
+
+def stored_takes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _filled(spark, sf_dir).taken()
+
+
+QUERIES = {f.__name__: f for f in (stored_state, annotation_updates, load_sources, stored_settings, citation_targets, page_totals, page_groups, shown_rects, focus_moves, pages_in_view, scroll_progress, subtree_dots, color_codes, rect_ratios, stroke_turns, comment_marks, search_results, paper_ids, citation_formats, exported_annotations, citation_texts, stored_table, stored_takes)}
 ORACLES = {
+    "stored_table": "SELECT user_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS nth FROM events) WHERE nth = 1 AND event_type NOT IN ('error', 'view')",
+    "stored_takes": "SELECT event_id, user_id, held AS value FROM (SELECT *, lag(event_type) OVER w AS before, lag(value) OVER w AS held FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE event_type = 'view' AND before NOT IN ('error', 'view')",
     # a page's comments in order, each to the nearest mark that no earlier one has
     "comment_marks": f"""{_RECTS.replace("WITH ", "WITH RECURSIVE ", 1)}, named AS (SELECT c.doc_id, c.no AS comment_id, c.no - 1 AS mark_id FROM rects c WHERE c.no % 6 = 3),
       asking AS (SELECT doc_id, page_no, no, x, y, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY no) AS nth FROM rects WHERE no % 2 = 1 AND no % 3 > 0),
