@@ -61,7 +61,7 @@ def nearest(points: DataFrame, targets: DataFrame, measure, proven, most: float
     equally near ones: ``doc_id, page_no, point_no, far, target_no``; points on pages without one are left out.
 
     ``measure(dx, dy)`` is the distance by how far a point is off a target sideways and up or down, ``proven(reach)`` the distance up to which any
-    target lies within ``reach`` both ways. Points look at the cells, as large as the reach, that their reach touches; those that find none
+    target lies within ``reach`` both ways. Points look at the cells, twice as large as the reach, that their reach touches; those that find none
     so near that a nearer one would have been seen look ``FARTHER`` times as far, until none is left. With ``most`` they look that
     far, once. ``allowed`` is a condition on both (a target's columns, a point's ``x`` and ``y``).
     """
@@ -69,7 +69,7 @@ def nearest(points: DataFrame, targets: DataFrame, measure, proven, most: float
     asked = points.select(*keys, "x", "y")
 
     def look(left: DataFrame, reach: float) -> DataFrame:
-        over = lambda low, high: F.explode(F.sequence(F.floor(low / reach), F.floor(high / reach)))
+        over = lambda low, high: F.explode(F.sequence(F.floor(low / (2 * reach)), F.floor(high / (2 * reach))))
         seen = left.withColumn("__cx", over(F.col("x") - reach, F.col("x") + reach)).withColumn("__cy", over(F.col("y") - reach, F.col("y") + reach))
         there = targets.select(*PAGE, "target_no", "left", "right", "low", "high").withColumn("__cx", over(F.col("left"), F.col("right"))).withColumn("__cy", over(F.col("low"), F.col("high")))
         both = seen.join(there, [*PAGE, "__cx", "__cy"])
@@ -99,9 +99,9 @@ def as_points(rows: DataFrame, number: str, x: str = "x", y: str = "y") -> DataF
     return rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*PAGE, F.col(number).alias("target_no"), F.col(x).alias("left"), F.col(x).alias("right"), F.col(y).alias("low"), F.col(y).alias("high"))
 
 
-def beside(points: DataFrame, targets: DataFrame) -> DataFrame:
+def beside(points: DataFrame, targets: DataFrame, above: bool = True) -> DataFrame:
     """Points (``doc_id, page_no, point_no, y``) with ``below`` and ``above``, the last target (``target_no, y``) of the page at or below a point and the
-    next one above it, as structs of ``y`` and the smallest number there; null if there is none. Both sides in one order, and the last
+    next one above it, as structs of ``y`` and the smallest number there; null if there is none. Without ``above`` only the first is sought. Both sides in one order, and the last
     target seen from either side: no pairs."""
     places = targets.where("y IS NOT NULL").groupBy(*PAGE, "y").agg(F.min("target_no").alias("target_no"))
     marks = places.select(*PAGE, "y", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("point_no"), "target_no")
@@ -109,6 +109,8 @@ def beside(points: DataFrame, targets: DataFrame) -> DataFrame:
     rows, order = marks.unionByName(asked), ["y", "kind", "point_no"]
     seen = F.when(F.col("kind") == 0, F.struct("y", "target_no"))
     up = so_far(laid_out(rows, PAGE, order), PAGE, order, last={"below": seen})
+    if not above:
+        return up.where("kind = 1").select(*PAGE, "point_no", "y", "below")
     both = so_far(laid_out(up.drop(PART), PAGE, order, falling=True), PAGE, order, last={"above": seen}, falling=True)
     return both.where("kind = 1").select(*PAGE, "point_no", "y", "below", "above")
 
@@ -117,7 +119,7 @@ def nearest_below(points: DataFrame, anchors: DataFrame, most: float) -> DataFra
     """``doc_id, page_no, point_no, far, target_no`` of each point's nearest anchor (``target_no, x, y``) at or below it by |dx| + |dy|, nearer than
     ``most``; where a point's x is 0, dx counts nothing and the last anchor in y is the nearest."""
     aside = nearest(points.where("x <> 0"), as_points(anchors, "target_no"), across, F.lit, most, F.col("low") <= F.col("y"))
-    straight = beside(points.where("x = 0"), anchors).where("below is not null").select(*PAGE, "point_no", (F.col("y") - F.col("below.y")).alias("far"), F.col("below.target_no").alias("target_no"))
+    straight = beside(points.where("x = 0"), anchors, above=False).where("below is not null").select(*PAGE, "point_no", (F.col("y") - F.col("below.y")).alias("far"), F.col("below.target_no").alias("target_no"))
     return aside.unionByName(straight).where(F.col("far") < most)
 
 
