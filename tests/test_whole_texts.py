@@ -1,5 +1,6 @@
 """Registered queries that read whole texts."""
 
+import duckdb
 import pytest
 
 from foliograph.plans import registry
@@ -22,3 +23,12 @@ def test_titles_are_whole_first_lines(spark, tmp_path):
     spark.createDataFrame([(1, line + "\nand a text"), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.title for r in registry.QUERIES["normalized_titles"](spark, str(tmp_path)).collect()}
     assert got == {1: ("a title of many words " * 9).strip(), 2: ""}
+
+
+def test_titles_keep_what_ends_them(spark, tmp_path):
+    body = "\n".join(" ".join(["word"] * 12) for _ in range(30))
+    heads = ["Title: Nets and stars***", "Nets\u00a0", "Deep ab- c"]
+    spark.createDataFrame([(k, f"{t}\n{body}") for k, t in enumerate(heads)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.title for r in registry.QUERIES["document_titles"](spark, str(tmp_path)).collect()}
+    assert got == {r[0]: r[1] for r in duckdb.sql(registry.ORACLES["document_titles"].replace("FROM documents", f"FROM '{tmp_path}/documents.parquet/*.parquet'")).fetchall()}
+    assert got[0] == heads[0]
