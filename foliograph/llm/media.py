@@ -7,7 +7,8 @@ two areas and yields two bits, and the filters of a frame are packed into one in
 
 Recordings with the same fingerprint form a class, named by its smallest id. A single integer of a smooth recording is
 common, so the index goes by composite keys: the steady bits of three integers at fixed distances (``DISTANCES``).
-Classes that share keys with a query's class are aligned: the differences of the keys' places make a histogram of offsets.
+Classes that share keys with a query's class are aligned, each pair once, however many keys it shares: the index holds a key's classes in
+blocks of ``BLOCK`` ids. The differences of the shared keys' places make a histogram of offsets.
 Each offset in it, and the two next to it, is judged by the share of differing bits over the overlap; the least wins, of
 equal ones the fullest and then the smallest. No count is capped, and copies never meet.
 
@@ -51,6 +52,8 @@ LEAST_OVERLAP = 32
 DISTANCES = ((0, 15, 30), (0, 12, 24))
 #: the bits of a composite key: which of the two areas is greater, for the filters of four classes and more
 STEADY = sum(2 << 2 * k for k, (_, _, classes, _) in enumerate(FILTERS) if classes >= 4)
+#: ids of a block of the index, and places that are compared at a time
+BLOCK, PLACES_AT_ONCE = 4096, 1 << 18
 #: recordings whose fingerprints are made at a time, and samples and frames of one that are
 AT_ONCE, SAMPLES_AT_ONCE, FRAMES_AT_ONCE = 256, 1 << 18, 4096
 #: the rate that all recordings are brought to, the highest that is read, and the waves of the kernel on either side
@@ -202,19 +205,45 @@ def composite_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def indexed(whole: DataFrame) -> DataFrame:
-    """``class, asked, key, place``: the composite keys of every class."""
+    """``class, asked, key``: the composite keys of every class, each once."""
 
     def run(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, AT_ONCE):
                 part = batch.slice(lo, AT_ONCE)
-                found = [composite_keys(np.array(x, np.int32)) for x in part.column("prints").to_pylist()]
-                owner = np.repeat(np.arange(len(found)), [len(k) for k, _ in found])
-                of_class, asked = part.column("class").take(pa.array(owner)), part.column("asked").take(pa.array(owner))
-                key, place = (np.concatenate([x[c] for x in found]) for c in (0, 1))
-                yield pa.RecordBatch.from_pydict({"class": of_class, "asked": asked, "key": pa.array(key.view(np.int64)), "place": pa.array(place.astype(np.int32))})
+                found = [np.unique(composite_keys(np.array(x, np.int32))[0]) for x in part.column("prints").to_pylist()]
+                owner = pa.array(np.repeat(np.arange(len(found)), [len(k) for k in found]))
+                yield pa.RecordBatch.from_pydict({"class": part.column("class").take(owner), "asked": part.column("asked").take(owner), "key": pa.array(np.concatenate(found).view(np.int64))})
 
-    return whole.select("class", "asked", "prints").mapInArrow(lean(run), "class long, asked boolean, key long, place int")
+    return whole.select("class", "asked", "prints").mapInArrow(lean(run), "class long, asked boolean, key long")
+
+
+def candidates(keys: DataFrame) -> DataFrame:
+    """``a, b``: each class of a query and each other class that shares a key with it, once. Of a key a block of classes is one row, so that classes
+    that share many keys meet in as many rows as there are keys and blocks, and become pairs afterwards."""
+    blocks = keys.groupBy("key", F.floor(F.col("class") / BLOCK).alias("block")).agg(F.collect_set("class").alias("classes"))
+    met = keys.where("asked").select(F.col("class").alias("a"), "key").join(blocks, "key")
+    # a block has BLOCK classes at most, and a recording as many keys as places
+    others = met.groupBy("a", "block").agg(F.array_distinct(F.flatten(F.collect_list("classes"))).alias("classes"))
+    return others.select("a", F.explode(F.array_remove("classes", F.col("a"))).alias("b"))
+
+
+def offsets_of(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> list[dict]:
+    """The histogram of offsets of two recordings' keys and places: ``shift, n`` for every difference of places of one key."""
+    order = np.argsort(y[0], kind="stable")
+    keys, places = y[0][order], y[1][order]
+    first, n = np.searchsorted(keys, x[0]), np.searchsorted(keys, x[0], "right")
+    n = n - first
+    votes: dict[int, int] = {}
+    before = np.cumsum(n) - n
+    total = int(n.sum())
+    for lo in range(0, total, PLACES_AT_ONCE):
+        at = np.arange(lo, min(lo + PLACES_AT_ONCE, total))
+        of = np.searchsorted(before + n, at, "right")
+        shifts, counts = np.unique(x[1][of] - places[first[of] + at - before[of]], return_counts=True)
+        for shift, count in zip(shifts.tolist(), counts.tolist(), strict=True):
+            votes[shift] = votes.get(shift, 0) + count
+    return [{"shift": s, "n": c} for s, c in votes.items()]
 
 
 def best_offset(x: np.ndarray, y: np.ndarray, offsets: list[dict]) -> tuple[float, int] | None:
@@ -236,21 +265,26 @@ def best_offset(x: np.ndarray, y: np.ndarray, offsets: list[dict]) -> tuple[floa
 
 
 def judged(pairs: DataFrame) -> DataFrame:
-    """``a, b, shift, errors`` of the pairs (``a, b, offsets, x, y``) that match at their best offset."""
+    """``a, b, shift, errors`` of the pairs (``a, b, x, y``) that match at their best offset."""
 
     def run(batches):
         for batch in batches:
             out = []
             for lo in range(0, batch.num_rows, AT_ONCE):
                 part = batch.slice(lo, AT_ONCE)
-                for a, b, offsets, x, y in zip(*(part.column(c).to_pylist() for c in ("a", "b", "offsets", "x", "y")), strict=True):
-                    best = best_offset(np.array(x, np.int32).view(np.uint32), np.array(y, np.int32).view(np.uint32), offsets)
+                known: dict[int, tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]] = {}
+                for a, b, *both in zip(*(part.column(c).to_pylist() for c in ("a", "b", "x", "y")), strict=True):
+                    for i, prints in zip((a, b), both, strict=True):
+                        if i not in known:
+                            known[i] = (p := np.array(prints, np.int32)).view(np.uint32), composite_keys(p)
+                    (x, of_x), (y, of_y) = known[a], known[b]
+                    best = best_offset(x, y, offsets_of(of_x, of_y))
                     if best is not None and best[0] <= MOST_ERRORS:
                         out.append((a, b, best[1], best[0]))
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.float64())
             yield pa.RecordBatch.from_pydict({n: pa.array([r[k] for r in out], kind) for k, (n, kind) in enumerate(zip(("a", "b", "shift", "errors"), kinds, strict=True))})
 
-    return pairs.select("a", "b", "offsets", "x", "y").mapInArrow(lean(run), "a long, b long, shift int, errors double")
+    return pairs.select("a", "b", "x", "y").mapInArrow(lean(run), "a long, b long, shift int, errors double")
 
 
 def aligned(media: DataFrame, queries: str, id_column: str = "id", media_column: str = "media") -> DataFrame:
@@ -264,11 +298,7 @@ def aligned(media: DataFrame, queries: str, id_column: str = "id", media_column:
     classes = checkpointed(prints.groupBy("key").agg(F.min("id").alias("class"), F.max(F.expr(queries)).alias("asked")))
     whole = checkpointed(prints.join(classes.withColumnRenamed("class", "id"), ["key", "id"]).dropDuplicates(["key"]).select(F.col("id").alias("class"), F.coalesce("asked", F.lit(False)).alias("asked"), "prints"))
     keys = checkpointed(indexed(whole))
-    asked = keys.where("asked").select(F.col("class").alias("a"), F.col("place").alias("pa"), "key")
-    shared = asked.join(keys.select(F.col("class").alias("b"), F.col("place").alias("pb"), "key"), "key").where("a <> b")
-    votes = shared.groupBy("a", "b", (F.col("pa") - F.col("pb")).alias("shift")).agg(F.count(F.lit(1)).alias("n"))
-    offsets = votes.groupBy("a", "b").agg(F.collect_list(F.struct("n", "shift")).alias("offsets"))  # as many as a recording has places, twice
-    pairs = offsets.join(whole.where("asked").select(F.col("class").alias("a"), F.col("prints").alias("x")), "a").join(whole.select(F.col("class").alias("b"), F.col("prints").alias("y")), "b")
+    pairs = candidates(keys).join(whole.where("asked").select(F.col("class").alias("a"), F.col("prints").alias("x")), "a").join(whole.select(F.col("class").alias("b"), F.col("prints").alias("y")), "b")
     match = judged(pairs).select(F.lit("match").alias("kind"), "a", "b", "shift", F.round("errors", 6).alias("errors"))
     member = prints.join(classes, "key").select(F.lit("member").alias("kind"), F.col("id").alias("a"), F.col("class").alias("b"), F.lit(0).alias("shift"), F.lit(0.0).alias("errors"))
     return member.unionByName(match.distinct())
