@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -20,6 +20,8 @@ from foliograph.operators.layout import PAGE_HEIGHT, PAGE_WIDTH, group_lines
 #: parts of family names that tell a style (fixed values); the last of the bold ones in that very case
 BOLD_NAMES = ("bold", "black", "heavy", "semibold", "-bd", "-medi", "cmbx")
 BOLD_EXACT = "SFSX"
+#: texts that Python composes at a time
+TEXTS_AT_ONCE = 64
 ITALIC_NAMES = ("italic", "ital", "oblique", "slant", "-it")
 #: blocks of characters without blanks between words (fixed values)
 CJK = ((0x4E00, 0x9FFF), (0x3400, 0x4DBF), (0x20000, 0x2A6DF), (0xF900, 0xFAFF), (0x3000, 0x303F), (0x3040, 0x309F), (0x30A0, 0x30FF), (0xFF00, 0xFFEF), (0xAC00, 0xD7AF))
@@ -125,10 +127,16 @@ def lines_of(slices: DataFrame, page_height: float = PAGE_HEIGHT) -> DataFrame:
     return out.select("doc_id", "page_no", "line_no", F.array_join(F.transform("i", lambda s: s["content"]), "").alias("text"), first["x"].alias("x"), first["y"].alias("y"), "original_y", (end["x"] + end["w"] - first["x"]).alias("w"), "h", "font_size", "style")
 
 
-@F.pandas_udf(StringType())
-def composed(text: pd.Series) -> pd.Series:
-    """Text with its characters composed (NFC)."""
-    return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
+def composed(text: Column | str) -> Column:
+    """Text with its characters composed (NFC). Only texts with other characters than those of ASCII leave the JVM, and few are Python's at a time."""
+    whole = F.col(text) if isinstance(text, str) else text
+    return F.coalesce(normalized(F.when(F.octet_length(whole) > F.length(whole), whole)), whole)
+
+
+@F.arrow_udf(StringType())
+def normalized(text: pa.Array) -> pa.Array:
+    made = [pa.array([None if t is None else unicodedata.normalize("NFC", t) for t in text.slice(lo, TEXTS_AT_ONCE).to_pylist()], pa.string()) for lo in range(0, len(text), TEXTS_AT_ONCE)]
+    return pa.concat_arrays(made) if made else pa.array([], pa.string())
 
 
 def letter(code: Column) -> Column:
