@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliograph.functions.folds import shared_folder
+from foliograph.functions.folds import cut, shared_folder
 from foliograph.operators import annotations as A
 from foliograph.operators import details as D
 from foliograph.operators import layout, markup, store, trees
@@ -143,7 +143,7 @@ def exported_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def citation_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What every third line's citation stands for: an entry by its index or year, what stands at a place, or no valid place."""
-    rows = lines(spark, sf_dir)
+    rows = cut(lines(spark, sf_dir))  # read by every branch
     k = F.col("line_no")
     refs = rows.where("line_no % 5 = 0").select("doc_id", k.alias("ref_ord"), (k / 5).cast("int").alias("ref_index"), "text", (2000 + k % 10).cast("string").alias("year"))
     cited = rows.where("line_no % 3 = 0").select("doc_id", k.cast("long").alias("cit_no"), F.when(k % 4 == 0, (k / 5).cast("int").cast("string")).alias("ref_index"), F.when(k % 4 == 1, "qqqq").alias("author"), F.when(k % 4 == 1, (2000 + k % 10).cast("string")).alias("year"), "page_no", (F.col("x") + 3).alias("x"), F.when(k % 4 == 3, 0.0).otherwise(F.col("y") - 2).alias("y"))
