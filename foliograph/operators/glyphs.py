@@ -15,7 +15,7 @@ from pyspark.sql.types import StringType
 
 from foliograph.functions.folds import in_order
 from foliograph.functions.stats import mode_first_seen
-from foliograph.operators.layout import PAGE_HEIGHT, PAGE_WIDTH, group_lines
+from foliograph.operators.layout import PAGE_HEIGHT, PAGE_WIDTH, on_lines
 
 #: parts of family names that tell a style (fixed values); the last of the bold ones in that very case
 BOLD_NAMES = ("bold", "black", "heavy", "semibold", "-bd", "-medi", "cmbx")
@@ -116,15 +116,13 @@ def items(slices: DataFrame, page_height: float = PAGE_HEIGHT) -> DataFrame:
 def lines_of(slices: DataFrame, page_height: float = PAGE_HEIGHT) -> DataFrame:
     """Items as lines, in stream order: ``text``, the first item's ``x`` and ``y``, upper medians of ``original_y``, ``h`` (of heights
     above 2) and ``font_size``, ``w`` to the last item's right edge, and the ``style`` that any item has."""
-    rows = items(slices, page_height)
-    told = group_lines(rows.select("doc_id", "page_no", F.col("slice_no").alias("ord"), "y", "h")).withColumnRenamed("ord", "slice_no")
-    item = F.struct("slice_no", "content", "x", "y", "w")
-    middle = lambda c: F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {c} DESC)")
-    tall = F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY h DESC) FILTER (WHERE h > 2)")
-    grouped = rows.join(told, ["doc_id", "page_no", "slice_no"]).groupBy("doc_id", "page_no", F.col("line").alias("line_no"))
-    out = grouped.agg(F.array_sort(F.collect_list(item)).alias("i"), middle("original_y").alias("original_y"), tall.alias("h"), middle("font_size").alias("font_size"), F.bit_or("style").alias("style"))
+    told = on_lines(items(slices, page_height), "slice_no")
+    item = F.struct("slice_no", "content", "x", "y", "w", "original_y", "h", "font_size")
+    out = told.groupBy("doc_id", "page_no", F.col("line").alias("line_no")).agg(F.array_sort(F.collect_list(item)).alias("i"), F.bit_or("style").alias("style"))
+    falling = lambda c: F.sort_array(F.filter(F.transform("i", lambda s: s[c]), lambda v: v > 2 if c == "h" else v.isNotNull()), asc=False)
+    middle = lambda c: F.get(falling(c), F.ceil(F.size(falling(c)) / 2).cast("int") - 1).alias(c)
     first, end = F.element_at("i", 1), F.element_at("i", -1)
-    return out.select("doc_id", "page_no", "line_no", F.array_join(F.transform("i", lambda s: s["content"]), "").alias("text"), first["x"].alias("x"), first["y"].alias("y"), "original_y", (end["x"] + end["w"] - first["x"]).alias("w"), "h", "font_size", "style")
+    return out.select("doc_id", "page_no", "line_no", F.array_join(F.transform("i", lambda s: s["content"]), "").alias("text"), first["x"].alias("x"), first["y"].alias("y"), middle("original_y"), (end["x"] + end["w"] - first["x"]).alias("w"), middle("h"), middle("font_size"), "style")
 
 
 def composed(text: Column | str) -> Column:
