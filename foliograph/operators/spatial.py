@@ -1,6 +1,7 @@
 """Joins by place: overlapping rectangles, the nearest target, and the containing section.
 
-Document and page are equality keys of every join, and so are the cells of a grid: what meets is near, and no page's rows all meet each other.
+Document and page are equality keys of every join. What a page of up to ``FEW`` targets holds is one list, which comes to each row of the other side
+once; on fuller pages the cells of a grid are keys too: what meets is near, and no such page's rows all meet each other.
 """
 
 from __future__ import annotations
@@ -8,9 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliograph.functions.folds import PART, cut, laid_out, so_far
+from foliograph.functions.folds import PART, by_size, cut, laid_out, so_far
 
 PAGE = ["doc_id", "page_no"]
+#: targets of a page that are listed as a whole
+FEW = 64
 #: width and height of the cells in which rectangles meet, and columns and rows of cells; what lies beyond is in the outermost
 WIDE, HIGH, COLUMNS, ROWS = 96.0, 32.0, 16, 64
 #: how far the search for the nearest target goes at first, and how much farther when that proves nothing
@@ -27,12 +30,32 @@ def cell(value: Column, size: float, most: int) -> Column:
     return F.least(F.greatest(F.floor(value / size), F.lit(-1).cast("long")), F.lit(most).cast("long"))
 
 
+def by_page(targets: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """``doc_id, page_no, __there``: the targets of each page of up to ``FEW`` as a list of structs; and the targets of fuller pages, None if there are none."""
+    rows = cut(targets)
+    full = cut(rows.groupBy(*PAGE).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > FEW).select(*PAGE))
+    listed = lambda some: some.groupBy(*PAGE).agg(F.collect_list(F.struct(*(c for c in rows.columns if c not in PAGE))).alias("__there"))
+    if full.isEmpty():
+        return listed(rows), None
+    return listed(rows.join(full, PAGE, "left_anti")), rows.join(full, PAGE, "left_semi")
+
+
 def meeting(left: DataFrame, right: DataFrame, tolerance: float) -> DataFrame:
     """Rows of ``left`` (a rectangle ``a`` and others) and ``right`` (``b`` and others) of one page whose rectangles overlap, as ``overlaps``.
 
-    Rectangles are dealt to the cells that they touch and meet within a cell. Of the cells that two share the one counts that
-    holds the larger of their left and of their lower edges. Null rectangles meet nothing.
+    Each of ``left`` goes through the list of its page; on full pages rectangles meet in cells. Null rectangles meet nothing.
     """
+    there = right.where("b IS NOT NULL")
+    lists, full = by_page(there)
+    near = left.where("a IS NOT NULL").join(lists, PAGE)
+    found = near.withColumn("__t", F.explode(F.filter("__there", lambda t: overlaps(F.col("a"), t["b"], tolerance))))
+    met = found.select(*left.columns, *(F.col("__t")[c].alias(c) for c in there.columns if c not in PAGE))
+    return met if full is None else met.unionByName(meeting_in_cells(left, full, tolerance))
+
+
+def meeting_in_cells(left: DataFrame, right: DataFrame, tolerance: float) -> DataFrame:
+    """``meeting`` for full pages: rectangles are dealt to the cells that they touch and meet within a cell. Of the cells that two share the one counts that
+    holds the larger of their left and of their lower edges."""
     grown = max(tolerance, 0.0)
 
     def dealt(rows: DataFrame, name: str, by: float) -> DataFrame:
@@ -56,31 +79,55 @@ def first_overlap(links: DataFrame, cited: DataFrame, tolerance: float = -5.0) -
     return links.select(*PAGE, "link_no", "rect").join(first, [*PAGE, "rect"], "left").drop("rect")
 
 
-def nearest(points: DataFrame, targets: DataFrame, measure, proven, most: float | None = None, allowed: Column | None = None) -> DataFrame:
+def nearest(points: DataFrame, targets: DataFrame, measure, proven, most: float | None = None, allowed=None) -> DataFrame:
     """Each point's (``doc_id, page_no, point_no, x, y``) nearest target (``target_no, left, right, low, high``) of its page, the smallest of
     equally near ones: ``doc_id, page_no, point_no, far, target_no``; points on pages without one are left out.
 
     ``measure(dx, dy)`` is the distance by how far a point is off a target sideways and up or down, ``proven(reach)`` the distance up to which any
-    target lies within ``reach`` both ways. Points look at the cells, twice as large as the reach, that their reach touches; those that find none
-    so near that a nearer one would have been seen look ``FARTHER`` times as far, until none is left. With ``most`` they look that
-    far, once. ``allowed`` is a condition on both (a target's columns, a point's ``x`` and ``y``).
+    target lies within ``reach`` both ways. With ``most`` only targets proven by that reach count. ``allowed(of)`` is a condition on both, ``of`` naming
+    a target's columns and a point's ``x`` and ``y``.
     """
+    lists, full = by_page(targets.select(*PAGE, "target_no", *EDGES).dropna(subset=EDGES))
+    found = nearest_listed(points, lists, measure, allowed)
+    found = found if most is None else found.where(F.col("far") <= proven(most))
+    return found if full is None else found.unionByName(nearest_in_cells(points, full, measure, proven, most, allowed))
+
+
+#: what of a target is measured
+EDGES = ["left", "right", "low", "high"]
+
+
+def nearest_listed(points: DataFrame, lists: DataFrame, measure, allowed=None) -> DataFrame:
+    """``nearest`` among the targets that ``by_page`` listed: each point goes through its page's list."""
+    keys = [*PAGE, "point_no"]
+    off = lambda low, at, high: F.greatest(low - at, at - high, F.lit(0.0))
+    told = lambda t: F.struct(measure(off(t["left"], F.col("x"), t["right"]), off(t["low"], F.col("y"), t["high"])).alias("far"), t["target_no"].alias("target_no"))
+    there = F.col("__there") if allowed is None else F.filter("__there", lambda t: allowed(lambda c: F.col(c) if c in ("x", "y") else t[c]))
+    both = points.where("x IS NOT NULL AND y IS NOT NULL").select(*keys, "x", "y").join(lists, PAGE)
+    best = both.select(*keys, F.array_min(F.transform(there, told)).alias("m")).where("m IS NOT NULL").groupBy(*keys).agg(F.min("m").alias("m"))
+    return best.select(*keys, "m.far", "m.target_no")
+
+
+def nearest_in_cells(points: DataFrame, targets: DataFrame, measure, proven, most: float | None = None, allowed=None) -> DataFrame:
+    """``nearest`` for full pages. Points look at the cells, twice as large as the reach, that their reach touches; those that find none so near that a
+    nearer one would have been seen look ``FARTHER`` times as far, until none is left. With ``most`` they look that far, once."""
     keys = [*PAGE, "point_no"]
-    asked = points.select(*keys, "x", "y")
+    targets = cut(targets)
+    asked = points.select(*keys, "x", "y").join(targets.select(*PAGE).distinct(), PAGE, "left_semi")
 
     def look(left: DataFrame, reach: float) -> DataFrame:
         over = lambda low, high: F.explode(F.sequence(F.floor(low / (2 * reach)), F.floor(high / (2 * reach))))
         seen = left.withColumn("__cx", over(F.col("x") - reach, F.col("x") + reach)).withColumn("__cy", over(F.col("y") - reach, F.col("y") + reach))
-        there = targets.select(*PAGE, "target_no", "left", "right", "low", "high").withColumn("__cx", over(F.col("left"), F.col("right"))).withColumn("__cy", over(F.col("low"), F.col("high")))
+        there = targets.select(*PAGE, "target_no", *EDGES).withColumn("__cx", over(F.col("left"), F.col("right"))).withColumn("__cy", over(F.col("low"), F.col("high")))
         both = seen.join(there, [*PAGE, "__cx", "__cy"])
-        both = both.where(allowed) if allowed is not None else both
+        both = both.where(allowed(F.col)) if allowed is not None else both
         off = lambda low, at, high: F.greatest(F.col(low) - F.col(at), F.col(at) - F.col(high), F.lit(0.0))
         best = both.groupBy(*keys).agg(F.min(F.struct(measure(off("left", "x", "right"), off("low", "y", "high")).alias("far"), "target_no")).alias("m"))
         return best.select(*keys, "m.far", "m.target_no").where(F.col("far") <= proven(reach))
 
     if most is not None:
         return look(asked, most)
-    left, reach, found = asked.join(targets.select(*PAGE).distinct(), PAGE, "left_semi"), REACH, None
+    left, reach, found = asked, REACH, None
     while True:
         done = cut(look(left, reach))
         found = done if found is None else found.unionByName(done)
@@ -103,24 +150,37 @@ def beside(points: DataFrame, targets: DataFrame, above: bool = True) -> DataFra
     """Points (``doc_id, page_no, point_no, y``) with ``below`` and ``above``, the last target (``target_no, y``) of the page at or below a point and the
     next one above it, as structs of ``y`` and the smallest number there; null if there is none. Without ``above`` only the first is sought. Both sides in one order, and the last
     target seen from either side: no pairs."""
+    seen = F.when(F.col("kind") == 0, F.struct("y", "target_no"))
+    order = ["y", "kind", "point_no"]
     places = targets.where("y IS NOT NULL").groupBy(*PAGE, "y").agg(F.min("target_no").alias("target_no"))
     marks = places.select(*PAGE, "y", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("point_no"), "target_no")
     asked = points.where("y IS NOT NULL").select(*PAGE, "y", F.lit(1).alias("kind"), F.col("point_no").cast("long").alias("point_no"), F.lit(None).cast(places.schema["target_no"].dataType).alias("target_no"))
-    rows, order = marks.unionByName(asked), ["y", "kind", "point_no"]
-    seen = F.when(F.col("kind") == 0, F.struct("y", "target_no"))
-    up = so_far(laid_out(rows, PAGE, order), PAGE, order, last={"below": seen})
-    if not above:
-        return up.where("kind = 1").select(*PAGE, "point_no", "y", "below")
-    both = so_far(laid_out(up.drop(PART), PAGE, order, falling=True), PAGE, order, last={"above": seen}, falling=True)
-    return both.where("kind = 1").select(*PAGE, "point_no", "y", "below", "above")
+    few, many = by_size(cut(marks.unionByName(asked)), PAGE)
+    before = lambda *by: F.last(seen, ignorenulls=True).over(Window.partitionBy(*PAGE).orderBy(*by).rowsBetween(Window.unboundedPreceding, -1))
+    sides = {"below": before(*order)} | ({"above": before(*map(F.desc, order))} if above else {})
+    found = few.withColumns(sides)
+    if many is not None:
+        dealt = so_far(laid_out(many, PAGE, order), PAGE, order, last={"below": seen}).drop(PART)
+        if above:
+            dealt = so_far(laid_out(dealt, PAGE, order, falling=True), PAGE, order, last={"above": seen}, falling=True).drop(PART)
+        found = found.unionByName(dealt)
+    return found.where("kind = 1").select(*PAGE, "point_no", "y", *sides)
 
 
 def nearest_below(points: DataFrame, anchors: DataFrame, most: float) -> DataFrame:
     """``doc_id, page_no, point_no, far, target_no`` of each point's nearest anchor (``target_no, x, y``) at or below it by |dx| + |dy|, nearer than
     ``most``; where a point's x is 0, dx counts nothing and the last anchor in y is the nearest."""
-    aside = nearest(points.where("x <> 0"), as_points(anchors, "target_no"), across, F.lit, most, F.col("low") <= F.col("y"))
-    straight = beside(points.where("x = 0"), anchors, above=False).where("below is not null").select(*PAGE, "point_no", (F.col("y") - F.col("below.y")).alias("far"), F.col("below.target_no").alias("target_no"))
-    return aside.unionByName(straight).where(F.col("far") < most)
+    x = F.coalesce(F.col("x").cast("double"), F.lit(float("nan")))  # without an x an anchor is near to points at 0 alone
+    lists, full = by_page(anchors.where("y IS NOT NULL").select(*PAGE, "target_no", x.alias("left"), x.alias("right"), F.col("y").alias("low"), F.col("y").alias("high")))
+    below = lambda of: of("low") <= of("y")
+    found = nearest_listed(points, lists, lambda dx, dy: F.when(F.col("x") == 0, dy).otherwise(across(dx, dy)), below)
+    if full is not None:
+        crowd = cut(full)
+        asked = points.join(crowd.select(*PAGE).distinct(), PAGE, "left_semi")
+        aside = nearest_in_cells(asked.where("x <> 0"), crowd.where(~F.isnan("left")), across, F.lit, most, below)
+        straight = beside(asked.where("x = 0"), crowd.select(*PAGE, "target_no", F.col("low").alias("y")), above=False).where("below is not null").select(*PAGE, "point_no", (F.col("y") - F.col("below.y")).alias("far"), F.col("below.target_no").alias("target_no"))
+        found = found.unionByName(aside).unionByName(straight)
+    return found.where(F.col("far") < most)
 
 
 def nearest_anchor(points: DataFrame, anchors: DataFrame, most: float = 50.0) -> DataFrame:

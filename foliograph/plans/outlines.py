@@ -168,7 +168,7 @@ def line_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bounding_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     from foliograph.plans.places import _rects
 
-    rows = _rects(spark, sf_dir).select("doc_id", "page_no", "no", "rect.x", "rect.y")
+    rows = cut(_rects(spark, sf_dir).select("doc_id", "page_no", "no", "rect.x", "rect.y"))
     anchors = rows.where("no % 2 = 1").withColumnRenamed("no", "ref_ord")
     spans = rows.where("no % 2 = 1").select("doc_id", F.col("no").alias("ref_ord"), ((F.col("page_no") + 1) % 3).alias("page_no"))
     return references.bounding_anchors(rows.where("no % 2 = 0").withColumnRenamed("no", "point_no"), anchors, spans)
