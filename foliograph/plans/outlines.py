@@ -108,7 +108,7 @@ def document_title_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nearest_heading_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = headed(spark, sf_dir)
+    rows = cut(headed(spark, sf_dir).select("doc_id", "page_no", "line_no", "x", "y"))
     points = rows.where("line_no % 5 = 0").select("doc_id", "page_no", F.col("line_no").alias("point_no"), (F.col("x") + 7).alias("x"), (F.col("y") - 8.5).alias("y"))
     return outline.nearest_lines(points, rows)
 
