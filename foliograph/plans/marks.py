@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliograph.functions.folds import cut
 from foliograph.operators import annotations as A
 from foliograph.operators import references as R
 from foliograph.sources import files
@@ -50,7 +51,7 @@ def line_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def structural_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = lines(spark, sf_dir)
+    rows = cut(lines(spark, sf_dir))  # typeset once for four passes
     width = rows.groupBy("doc_id").agg(F.percentile("w", 0.5).alias("body_width"))
     known = rows.join(R.line_gaps(rows), "doc_id").join(width, "doc_id").join(R.layouts(rows), "doc_id").withColumn("author_year", F.lit(False))
     return R.shaped_entries(known)
