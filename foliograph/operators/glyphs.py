@@ -104,7 +104,7 @@ def runs(chars: DataFrame) -> DataFrame:
     behind blanks, at another line, a wide gap, between digits and letters or punctuation, and around characters of scripts
     without blanks. Its y is its top, its height the largest box's."""
     schema = "doc_id long, page_no int, slice_no int, content string, x double, y double, w double, h double, font_size double, font_family string"
-    return in_order(seen(chars), ["doc_id", "page_no"], ["idx"], schema, _Run, _Run.takes, _Run.ended)
+    return in_order(seen(chars), ["doc_id", "page_no"], ["idx"], schema, _Run, _Run.takes, _Run.ended, light=True)
 
 
 def items(slices: DataFrame, page_height: float = PAGE_HEIGHT) -> DataFrame:
