@@ -5,23 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliograph.functions.folds import cut
 from foliograph.operators import links as L
 from foliograph.plans.places import _RECTS, _rects
 
 
-def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _links(spark: SparkSession, sf_dir: str, rects: DataFrame | None = None) -> DataFrame:
     """Every other rectangle of a paper as a link: to a place of the paper, or out of it."""
-    rows = _rects(spark, sf_dir).where("no % 2 = 0")
+    rows = (_rects(spark, sf_dir) if rects is None else rects).where("no % 2 = 0")
     out = F.col("no") % 6 == 0
     return rows.select("doc_id", "page_no", F.col("no").alias("link_no"), F.when(out, "action").otherwise("destination").alias("kind"), F.when(~out, F.col("no") % 3).alias("dest_page"), F.when(~out, F.col("rect.x") * (F.col("no") % 4 - 1).cast("double") % 400).alias("dest_x"), F.when(~out, F.col("rect.y") + (F.col("no") % 5) * 9 - 9).alias("dest_y"), F.when(out & (F.col("no") % 12 == 0), F.concat(F.lit("https://h/"), F.col("no").cast("string"))).alias("uri"), "rect")
 
 
-def _anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rects(spark, sf_dir).where("no % 2 = 1").select("doc_id", F.col("no").alias("ref_ord"), F.col("no").cast("string").alias("ref_index"), (F.col("page_no") + 1).alias("page_no"), "rect.x", "rect.y")
+def _anchors(spark: SparkSession, sf_dir: str, rects: DataFrame | None = None) -> DataFrame:
+    return (_rects(spark, sf_dir) if rects is None else rects).where("no % 2 = 1").select("doc_id", F.col("no").alias("ref_ord"), F.col("no").cast("string").alias("ref_index"), (F.col("page_no") + 1).alias("page_no"), "rect.x", "rect.y")
 
 
-def _sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rects(spark, sf_dir).select("doc_id").distinct().select("doc_id", (F.col("doc_id") % 2).alias("start_page"), F.lit(2).alias("end_page"))
+def _sections(spark: SparkSession, sf_dir: str, rects: DataFrame | None = None) -> DataFrame:
+    return (_rects(spark, sf_dir) if rects is None else rects).select("doc_id").distinct().select("doc_id", (F.col("doc_id") % 2).alias("start_page"), F.lit(2).alias("end_page"))
 
 
 def citation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,9 +31,10 @@ def citation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def merged_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rects = cut(_rects(spark, sf_dir))  # numbered once for citations, links, anchors and sections
     kinds = F.get(F.array(*(F.lit(k) for k in ("numeric", "author-year", "abbreviated"))), (F.col("no") % 3).cast("int"))
-    found = _rects(spark, sf_dir).where("no % 2 = 1").select("doc_id", "page_no", F.col("no").alias("cit_no"), kinds.alias("type"), F.array("rect").alias("rects"), F.array(F.col("no").cast("string"), (F.col("no") + 2).cast("string")).alias("refs"), "confidence", F.lit(0).alias("flags"))
-    every = L.citation_links(_links(spark, sf_dir), _anchors(spark, sf_dir), _sections(spark, sf_dir))
+    found = rects.where("no % 2 = 1").select("doc_id", "page_no", F.col("no").alias("cit_no"), kinds.alias("type"), F.array("rect").alias("rects"), F.array(F.col("no").cast("string"), (F.col("no") + 2).cast("string")).alias("refs"), "confidence", F.lit(0).alias("flags"))
+    every = L.citation_links(_links(spark, sf_dir, rects), _anchors(spark, sf_dir, rects), _sections(spark, sf_dir, rects))
     return L.merged_citations(found, every).select("doc_id", "page_no", "place", "type", F.array_join("refs", ",", "null").alias("refs"), F.round("confidence", 6).alias("confidence"), "flags", "dest_page")
 
 
