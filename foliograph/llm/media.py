@@ -54,6 +54,8 @@ DISTANCES = ((0, 15, 30), (0, 12, 24))
 STEADY = sum(2 << 2 * k for k, (_, _, classes, _) in enumerate(FILTERS) if classes >= 4)
 #: ids of a block of the index, and places that are compared at a time
 BLOCK, PLACES_AT_ONCE = 4096, 1 << 18
+#: integers of fingerprints that are indexed or compared at a time
+INTEGERS_AT_ONCE = 1 << 19
 #: recordings whose fingerprints are made at a time, and samples and frames of one that are
 AT_ONCE, SAMPLES_AT_ONCE, FRAMES_AT_ONCE = 256, 1 << 18, 4096
 #: the rate that all recordings are brought to, the highest that is read, and the waves of the kernel on either side
@@ -187,21 +189,37 @@ def fingerprints(media: DataFrame, id_column: str, media_column: str) -> DataFra
     return media.select(F.col(id_column).cast("long").alias("id"), F.col(media_column).alias("media")).mapInArrow(lean(run), "id long, prints array<int>")
 
 
-def composite_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The composite keys of a fingerprint and their places; of a run of equal keys the first."""
+def portions(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of rows, as ``lo, hi``, that hold up to ``INTEGERS_AT_ONCE`` integers together; a larger row is one of its own."""
+    ends, lo = np.cumsum(sizes), 0
+    while lo < len(sizes):
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] - sizes[lo] + INTEGERS_AT_ONCE, "right")))
+        yield lo, hi
+        lo = hi
+
+
+def lengths(column: pa.ListArray) -> np.ndarray:
+    return column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def composite_keys(prints: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``owner, key, place`` of the composite keys of fingerprints that lie end to end, ``sizes`` integers each; of a run of equal keys the first."""
     steady = (prints.view(np.uint32) & np.uint32(STEADY)).astype(U)
-    keys, places = [], []
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    place = np.arange(len(prints)) - (np.cumsum(sizes) - sizes)[owner]
+    left = sizes[owner] - place
+    found = []
     for family, distances in enumerate(DISTANCES):
-        n = len(steady) - max(distances)
-        if n <= 0:
-            continue
+        n = max(len(prints) - max(distances), 0)
         key = np.full(n, family + 1, U)
         for d in distances:
             key = mix(key * U(MULTIPLIERS[5]) + steady[d : d + n])
-        place = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        keys.append(key[place])
-        places.append(place)
-    return (np.concatenate(keys), np.concatenate(places)) if keys else (np.zeros(0, U), np.zeros(0, np.int64))
+        begins = place[:n] == 0
+        begins[1:] |= key[1:] != key[:-1]
+        kept = np.flatnonzero(begins & (left[:n] > max(distances)))
+        found.append((owner[kept], key[kept], place[kept]))
+    owners, keys, places = (np.concatenate(c) for c in zip(*found, strict=True))
+    return owners, keys, places
 
 
 def indexed(whole: DataFrame) -> DataFrame:
@@ -209,11 +227,16 @@ def indexed(whole: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for lo in range(0, batch.num_rows, AT_ONCE):
-                part = batch.slice(lo, AT_ONCE)
-                found = [np.unique(composite_keys(np.array(x, np.int32))[0]) for x in part.column("prints").to_pylist()]
-                owner = pa.array(np.repeat(np.arange(len(found)), [len(k) for k in found]))
-                yield pa.RecordBatch.from_pydict({"class": part.column("class").take(owner), "asked": part.column("asked").take(owner), "key": pa.array(np.concatenate(found).view(np.int64))})
+            for lo, hi in portions(lengths(batch.column("prints"))):
+                part = batch.slice(lo, hi - lo)
+                prints = part.column("prints")
+                owner, key, _ = composite_keys(prints.flatten().to_numpy(), lengths(prints))
+                order = np.lexsort((key, owner))
+                owner, key = owner[order], key[order]
+                first = np.ones(len(key), bool)
+                first[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
+                of = pa.array(owner[first])
+                yield pa.RecordBatch.from_pydict({"class": part.column("class").take(of), "asked": part.column("asked").take(of), "key": pa.array(key[first].view(np.int64))})
 
     return whole.select("class", "asked", "prints").mapInArrow(lean(run), "class long, asked boolean, key long")
 
@@ -228,63 +251,103 @@ def candidates(keys: DataFrame) -> DataFrame:
     return others.select("a", F.explode(F.array_remove("classes", F.col("a"))).alias("b"))
 
 
-def offsets_of(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> list[dict]:
-    """The histogram of offsets of two recordings' keys and places: ``shift, n`` for every difference of places of one key."""
+def summed(values: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Each distinct value, and the sum of its counts."""
+    value, of = np.unique(np.concatenate(values), return_inverse=True)
+    return value, np.bincount(of, np.concatenate(counts), len(value)).astype(np.int64)
+
+
+def differences(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """By how much the places of equal keys differ, and how often. Memory holds ``PLACES_AT_ONCE`` of them, and the distinct ones."""
     order = np.argsort(y[0], kind="stable")
     keys, places = y[0][order], y[1][order]
-    first, n = np.searchsorted(keys, x[0]), np.searchsorted(keys, x[0], "right")
-    n = n - first
-    votes: dict[int, int] = {}
-    before = np.cumsum(n) - n
-    total = int(n.sum())
+    first = np.searchsorted(keys, x[0])
+    n = np.searchsorted(keys, x[0], "right") - first
+    met = np.flatnonzero(n)
+    own, first, n = x[1][met], first[met], n[met]
+    ends = np.cumsum(n)
+    total = int(ends[-1]) if len(ends) else 0
+    values, counts, most = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], PLACES_AT_ONCE
     for lo in range(0, total, PLACES_AT_ONCE):
         at = np.arange(lo, min(lo + PLACES_AT_ONCE, total))
-        of = np.searchsorted(before + n, at, "right")
-        shifts, counts = np.unique(x[1][of] - places[first[of] + at - before[of]], return_counts=True)
-        for shift, count in zip(shifts.tolist(), counts.tolist(), strict=True):
-            votes[shift] = votes.get(shift, 0) + count
-    return [{"shift": s, "n": c} for s, c in votes.items()]
-
-
-def best_offset(x: np.ndarray, y: np.ndarray, offsets: list[dict]) -> tuple[float, int] | None:
-    """The share of differing bits and the offset where two fingerprints agree best, of those in the histogram and next to it that
-    leave an overlap; None if there is none."""
-    votes: dict[int, int] = {}
-    for o in offsets:
-        for shift in (o["shift"] - 1, o["shift"], o["shift"] + 1):
-            votes[shift] = votes.get(shift, 0) + (o["n"] if shift == o["shift"] else 0)
-    best = None
-    for shift, n in votes.items():
-        u, v = x[max(shift, 0) :], y[max(-shift, 0) :]
-        size = min(len(u), len(v))
-        if size < LEAST_OVERLAP:
-            continue
-        errors = int(np.bitwise_count(u[:size] ^ v[:size]).sum()) / (size * 2 * len(FILTERS))
-        best = min(best or (2.0,), (errors, -n, abs(shift), shift))
-    return (best[0], best[3]) if best else None
+        of = np.searchsorted(ends, at, "right")
+        value, count = np.unique(own[of] - places[first[of] + at - (ends - n)[of]], return_counts=True)
+        values.append(value)
+        counts.append(count)
+        if sum(map(len, values)) > 2 * most:
+            value, count = summed(values, counts)
+            values, counts, most = [value], [count], max(len(value), PLACES_AT_ONCE)
+    return summed(values, counts)
+
+
+def offsets_of(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> list[dict]:
+    """The histogram of offsets of two recordings' keys and places: ``shift, n`` for every difference of places of one key."""
+    return [{"shift": s, "n": n} for s, n in zip(*(c.tolist() for c in differences(x, y)), strict=True)]
+
+
+def recordings_in(ids: pa.Array, prints: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which of the distinct recordings each row has; and these, end to end, with their sizes."""
+    flat, sizes = prints.flatten().to_numpy(), lengths(prints)
+    known: dict[tuple[int, bytes], int] = {}
+    ends = np.cumsum(sizes).tolist()
+    which = [known.setdefault((i, flat[end - n : end].tobytes()), len(known)) for i, end, n in zip(ids.to_pylist(), ends, sizes.tolist(), strict=True)]
+    parts = [np.frombuffer(p, np.uint32) for _, p in known]
+    return np.array(which), np.concatenate(parts), np.array([len(p) for p in parts])
+
+
+def wrong_bits(x: np.ndarray, y: np.ndarray, at_x: np.ndarray, at_y: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """How many bits differ between ``sizes`` integers of ``x`` from ``at_x`` on and as many of ``y`` from ``at_y`` on."""
+    out = np.zeros(len(sizes), np.int64)
+    for lo, hi in portions(sizes):
+        n = sizes[lo:hi]
+        first = np.cumsum(n) - n
+        along = np.arange(int(n.sum()))
+        bits = np.bitwise_count(x[np.repeat(at_x[lo:hi] - first, n) + along] ^ y[np.repeat(at_y[lo:hi] - first, n) + along])
+        out[lo:hi] = np.add.reduceat(bits, first, dtype=np.int64)
+    return out
+
+
+def best_offsets(a: np.ndarray, x: np.ndarray, x_sizes: np.ndarray, b: np.ndarray, y: np.ndarray, y_sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the pairs (``a`` numbers a recording in ``x``, ``b`` one in ``y``) that match: their places, the offsets where they agree best, of those
+    in their histogram and next to it that leave an overlap, and the shares of differing bits there.
+
+    Recordings lie end to end, so far apart that a difference of places tells the pair and its offset: keys are looked up once a recording, not once a pair.
+    """
+    base = int(y_sizes.max()) + 1
+    span = int(x_sizes.max()) + base + 2
+    i, x_key, x_place = composite_keys(x, x_sizes)
+    j, y_key, y_place = composite_keys(y, y_sizes)
+    code, n = differences((x_key, i * len(y_sizes) * span + x_place + base), (y_key, y_place - j * span))
+    pairs, row = np.unique(a * len(y_sizes) + b, return_index=True)
+    at = np.minimum(np.searchsorted(pairs, code // span), len(pairs) - 1)
+    here = pairs[at] == code // span
+    code, n = summed([code[here] - 1, code[here], code[here] + 1], [0 * n[here], n[here], 0 * n[here]])
+    row, shift = row[np.searchsorted(pairs, code // span)], code % span - base
+    over_x, over_y = np.maximum(shift, 0), np.maximum(-shift, 0)
+    sizes = np.minimum(x_sizes[a[row]] - over_x, y_sizes[b[row]] - over_y)
+    enough = sizes >= LEAST_OVERLAP
+    row, shift, n, over_x, over_y, sizes = (c[enough] for c in (row, shift, n, over_x, over_y, sizes))
+    first_x, first_y = np.cumsum(x_sizes) - x_sizes, np.cumsum(y_sizes) - y_sizes
+    errors = wrong_bits(x, y, first_x[a[row]] + over_x, first_y[b[row]] + over_y, sizes) / (sizes * 2 * len(FILTERS))
+    good = errors <= MOST_ERRORS
+    row, shift, n, errors = (c[good] for c in (row, shift, n, errors))
+    order = np.lexsort((shift, np.abs(shift), -n, errors, row))
+    row, best = np.unique(row[order], return_index=True)
+    return row, shift[order][best], errors[order][best]
 
 
 def judged(pairs: DataFrame) -> DataFrame:
-    """``a, b, shift, errors`` of the pairs (``a, b, x, y``) that match at their best offset."""
+    """``a, b, shift, errors`` of the pairs (``a, b, x, y``) that match at their best offset. They come by ``b``, so that a recording's pairs are together."""
 
     def run(batches):
         for batch in batches:
-            out = []
-            for lo in range(0, batch.num_rows, AT_ONCE):
-                part = batch.slice(lo, AT_ONCE)
-                known: dict[int, tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]] = {}
-                for a, b, *both in zip(*(part.column(c).to_pylist() for c in ("a", "b", "x", "y")), strict=True):
-                    for i, prints in zip((a, b), both, strict=True):
-                        if i not in known:
-                            known[i] = (p := np.array(prints, np.int32)).view(np.uint32), composite_keys(p)
-                    (x, of_x), (y, of_y) = known[a], known[b]
-                    best = best_offset(x, y, offsets_of(of_x, of_y))
-                    if best is not None and best[0] <= MOST_ERRORS:
-                        out.append((a, b, best[1], best[0]))
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.float64())
-            yield pa.RecordBatch.from_pydict({n: pa.array([r[k] for r in out], kind) for k, (n, kind) in enumerate(zip(("a", "b", "shift", "errors"), kinds, strict=True))})
-
-    return pairs.select("a", "b", "x", "y").mapInArrow(lean(run), "a long, b long, shift int, errors double")
+            for lo, hi in portions(lengths(batch.column("x")) + lengths(batch.column("y"))):
+                part = batch.slice(lo, hi - lo)
+                row, shift, errors = best_offsets(*recordings_in(part.column("a"), part.column("x")), *recordings_in(part.column("b"), part.column("y")))
+                found = part.select(["a", "b"]).take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([*found.columns, pa.array(shift, pa.int32()), pa.array(errors)], names=["a", "b", "shift", "errors"])
+
+    return pairs.select("a", "b", "x", "y").sortWithinPartitions("b").mapInArrow(lean(run), "a long, b long, shift int, errors double")
 
 
 def aligned(media: DataFrame, queries: str, id_column: str = "id", media_column: str = "media") -> DataFrame:
