@@ -40,6 +40,22 @@ def by_page(targets: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     return listed(rows.join(full, PAGE, "left_anti")), rows.join(full, PAGE, "left_semi")
 
 
+def with_list(rows: DataFrame, targets: DataFrame) -> DataFrame:
+    """``rows``, each with ``__there``, the targets of its page as a list of structs; of a page of more than ``FEW`` there are ``FEW`` + 1 in it.
+
+    Both sides lie page by page, targets first: nothing is counted or listed beforehand, and what is dealt by document already, as rows numbered
+    within documents are, isn't shuffled again.
+    """
+    kinds = {c: rows.schema[c].dataType for c in PAGE}
+    of = lambda side: side.dropna(subset=PAGE).select(*PAGE, F.struct(*(c for c in side.columns if c not in PAGE)).alias("__of"))
+    both = of(targets).withColumnRenamed("__of", "__t").unionByName(of(rows), allowMissingColumns=True)
+    page = Window.partitionBy(*PAGE)
+    nth = F.row_number().over(page.orderBy(F.col("__t").isNull()))
+    some = F.collect_list(F.when(F.col("__nth") <= FEW + 1, F.col("__t"))).over(page)
+    listed = both.withColumn("__nth", nth).withColumn("__there", some).where("__of IS NOT NULL")
+    return listed.select(*(F.col(c).cast(kinds[c]).alias(c) for c in PAGE), "__of.*", "__there").select(*rows.columns, "__there")
+
+
 def meeting(left: DataFrame, right: DataFrame, tolerance: float) -> DataFrame:
     """Rows of ``left`` (a rectangle ``a`` and others) and ``right`` (``b`` and others) of one page whose rectangles overlap, as ``overlaps``.
 
@@ -87,25 +103,29 @@ def nearest(points: DataFrame, targets: DataFrame, measure, proven, most: float
     target lies within ``reach`` both ways. With ``most`` only targets proven by that reach count. ``allowed(of)`` is a condition on both, ``of`` naming
     a target's columns and a point's ``x`` and ``y``.
     """
-    lists, full = by_page(targets.select(*PAGE, "target_no", *EDGES).dropna(subset=EDGES))
-    found = nearest_listed(points, lists, measure, allowed)
+    targets = targets.select(*PAGE, "target_no", *EDGES).dropna(subset=EDGES)
+    found, full = nearest_listed(points, targets, measure, allowed)
     found = found if most is None else found.where(F.col("far") <= proven(most))
-    return found if full is None else found.unionByName(nearest_in_cells(points, full, measure, proven, most, allowed))
+    return found if full is None else found.unionByName(nearest_in_cells(points, targets.join(full, PAGE, "left_semi"), measure, proven, most, allowed))
 
 
 #: what of a target is measured
 EDGES = ["left", "right", "low", "high"]
 
 
-def nearest_listed(points: DataFrame, lists: DataFrame, measure, allowed=None) -> DataFrame:
-    """``nearest`` among the targets that ``by_page`` listed: each point goes through its page's list."""
+def nearest_listed(points: DataFrame, targets: DataFrame, measure, allowed=None) -> tuple[DataFrame, DataFrame | None]:
+    """``nearest`` on pages of up to ``FEW`` targets: each point goes through its page's list. And the fuller pages that points are on, None if there are none.
+    What was found is written, a row a point; points and targets themselves aren't."""
     keys = [*PAGE, "point_no"]
     off = lambda low, at, high: F.greatest(low - at, at - high, F.lit(0.0))
     told = lambda t: F.struct(measure(off(t["left"], F.col("x"), t["right"]), off(t["low"], F.col("y"), t["high"])).alias("far"), t["target_no"].alias("target_no"))
     there = F.col("__there") if allowed is None else F.filter("__there", lambda t: allowed(lambda c: F.col(c) if c in ("x", "y") else t[c]))
-    both = points.where("x IS NOT NULL AND y IS NOT NULL").select(*keys, "x", "y").join(lists, PAGE)
-    best = both.select(*keys, F.array_min(F.transform(there, told)).alias("m")).where("m IS NOT NULL").groupBy(*keys).agg(F.min("m").alias("m"))
-    return best.select(*keys, "m.far", "m.target_no")
+    full = F.size("__there") > FEW
+    both = with_list(points.where("x IS NOT NULL AND y IS NOT NULL").select(*keys, "x", "y"), targets)
+    seen = both.select(*keys, F.when(~full, F.array_min(F.transform(there, told))).alias("m"), full.alias("full")).where("m IS NOT NULL OR full")
+    seen = cut(seen.groupBy(*keys).agg(F.min("m").alias("m"), F.max("full").alias("full")))
+    found, fuller = seen.where("NOT full").select(*keys, "m.far", "m.target_no"), seen.where("full")
+    return found, None if fuller.isEmpty() else fuller.select(*PAGE).distinct()
 
 
 def nearest_in_cells(points: DataFrame, targets: DataFrame, measure, proven, most: float | None = None, allowed=None) -> DataFrame:
@@ -171,11 +191,11 @@ def nearest_below(points: DataFrame, anchors: DataFrame, most: float) -> DataFra
     """``doc_id, page_no, point_no, far, target_no`` of each point's nearest anchor (``target_no, x, y``) at or below it by |dx| + |dy|, nearer than
     ``most``; where a point's x is 0, dx counts nothing and the last anchor in y is the nearest."""
     x = F.coalesce(F.col("x").cast("double"), F.lit(float("nan")))  # without an x an anchor is near to points at 0 alone
-    lists, full = by_page(anchors.where("y IS NOT NULL").select(*PAGE, "target_no", x.alias("left"), x.alias("right"), F.col("y").alias("low"), F.col("y").alias("high")))
+    targets = anchors.where("y IS NOT NULL").select(*PAGE, "target_no", x.alias("left"), x.alias("right"), F.col("y").alias("low"), F.col("y").alias("high"))
     below = lambda of: of("low") <= of("y")
-    found = nearest_listed(points, lists, lambda dx, dy: F.when(F.col("x") == 0, dy).otherwise(across(dx, dy)), below)
+    found, full = nearest_listed(points, targets, lambda dx, dy: F.when(F.col("x") == 0, dy).otherwise(across(dx, dy)), below)
     if full is not None:
-        crowd = cut(full)
+        crowd = cut(targets.join(full, PAGE, "left_semi"))
         asked = points.join(crowd.select(*PAGE).distinct(), PAGE, "left_semi")
         aside = nearest_in_cells(asked.where("x <> 0"), crowd.where(~F.isnan("left")), across, F.lit, most, below)
         straight = beside(asked.where("x = 0"), crowd.select(*PAGE, "target_no", F.col("low").alias("y")), above=False).where("below is not null").select(*PAGE, "point_no", (F.col("y") - F.col("below.y")).alias("far"), F.col("below.target_no").alias("target_no"))

@@ -163,3 +163,18 @@ def test_f22_runs_are_made_without_a_written_copy(spark):
     finally:
         folds.cut = real
     assert 0 < rows < 10 * n and max(written) <= 2  # keys of large groups alone
+
+
+@given
+@pytest.mark.parametrize("name", ["nearest_spans", "nearest_anchor"])
+def test_f18_numbered_rows_are_shuffled_once(spark, name):
+    n = spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    assert work(spark, lambda: registry.QUERIES[name](spark, SF))[1] < 1.5 * n
+
+
+def test_f18_pages_without_a_number_and_of_other_types(spark, way):
+    points = spark.createDataFrame([(1, None, 1, 5.0, 5.0), (None, 1, 2, 5.0, 5.0), (1, 1, 3, 5.0, 5.0), (1, 1, 3, 9.0, 9.0), (3, 1, 4, 1.0, 1.0)], "doc_id long, page_no int, point_no long, x double, y double")
+    spans = spark.createDataFrame([(1, None, 7, (5.0, 5.0, 1.0, 1.0)), (None, 1, 8, (5.0, 5.0, 1.0, 1.0)), (1, 1, 10, (0.0, 0.0, 1.0, 1.0)), (1, 1, 9, (8.0, 8.0, 2.0, 2.0)), (3, 1, 5, None)], "doc_id int, page_no long, span_no long, rect struct<x:double,y:double,w:double,h:double>")
+    found = links.nearest_span(points, spans)
+    assert found.schema["page_no"].dataType.simpleString() == "int"
+    assert list(map(tuple, found.collect())) == [(1, 1, 3, 9)]
