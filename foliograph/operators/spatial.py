@@ -59,14 +59,20 @@ def with_list(rows: DataFrame, targets: DataFrame) -> DataFrame:
 def meeting(left: DataFrame, right: DataFrame, tolerance: float) -> DataFrame:
     """Rows of ``left`` (a rectangle ``a`` and others) and ``right`` (``b`` and others) of one page whose rectangles overlap, as ``overlaps``.
 
-    Each of ``left`` goes through the list of its page; on full pages rectangles meet in cells. Null rectangles meet nothing.
+    Each of ``left`` goes through the list of its page, and those that meet something are written with it; on full pages rectangles meet in cells. Null
+    rectangles meet nothing.
     """
     there = right.where("b IS NOT NULL")
-    lists, full = by_page(there)
-    near = left.where("a IS NOT NULL").join(lists, PAGE)
-    found = near.withColumn("__t", F.explode(F.filter("__there", lambda t: overlaps(F.col("a"), t["b"], tolerance))))
+    full = F.size("__there") > FEW
+    hits = F.when(~full, F.filter("__there", lambda t: overlaps(F.col("a"), t["b"], tolerance)))
+    both = with_list(left.where("a IS NOT NULL"), there).select(*left.columns, hits.alias("__hits"), full.alias("__full"))
+    seen = cut(both.where(F.col("__full") | (F.size("__hits") > 0)))
+    found = seen.where("NOT __full").select(*left.columns, F.explode("__hits").alias("__t"))
     met = found.select(*left.columns, *(F.col("__t")[c].alias(c) for c in there.columns if c not in PAGE))
-    return met if full is None else met.unionByName(meeting_in_cells(left, full, tolerance))
+    fuller = seen.where("__full").select(*left.columns)
+    if fuller.isEmpty():
+        return met
+    return met.unionByName(meeting_in_cells(fuller, there.join(fuller.select(*PAGE).distinct(), PAGE, "left_semi"), tolerance))
 
 
 def meeting_in_cells(left: DataFrame, right: DataFrame, tolerance: float) -> DataFrame:

@@ -178,3 +178,10 @@ def test_f18_pages_without_a_number_and_of_other_types(spark, way):
     found = links.nearest_span(points, spans)
     assert found.schema["page_no"].dataType.simpleString() == "int"
     assert list(map(tuple, found.collect())) == [(1, 1, 3, 9)]
+
+
+@given
+@pytest.mark.parametrize(("name", "most"), [("link_texts", 1.5), ("rect_overlap_join", 2.5)])
+def test_f18_rows_that_meet_are_shuffled_once(spark, name, most):
+    n = spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    assert work(spark, lambda: registry.QUERIES[name](spark, SF))[1] < most * n
