@@ -31,3 +31,18 @@ def test_pages_are_read_once(spark):
     both = C.with_superscripts(found, spark.createDataFrame([(2, 0, 0.5)], "doc_id long, page_no int, confidence double"))
     assert both._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") + both._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 0
     assert sorted((r.doc_id, r.type) for r in both.collect()) == [(1, "author-year"), (1, "numeric"), (2, "superscript")]
+
+
+def test_votes_are_shuffled_not_texts(spark):
+    refs = spark.createDataFrame([(1, k, str(k % 2), f"[{k}] One, A. 200{k}.", "2001") for k in range(3)], "doc_id long, ref_ord int, ref_index string, text string, year string")
+    plan = C.inline_format(refs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "text#" not in plan.split("Window", 1)[0] and "[doc_id" in plan
+    window = next(x for x in plan.splitlines() if "row_number" in x)
+    assert "text#" not in window and plan.index("RLIKE") > plan.index("row_number")
+
+
+def test_equal_indices_and_keys(spark):
+    """Of equal indices the first entry counts, of equal keys the last; numbers without an entry lower the confidence."""
+    refs = spark.createDataFrame([(1, k, i, "x", None) for k, i in ((1, "2"), (2, "2"), (3, "ABC99"), (4, "abc99"), (5, None))] + [(2, 1, "7", "x", None)], "doc_id long, ref_ord int, ref_index string, text string, year string")
+    pages = spark.createDataFrame([(1, 1, "as in [2, 7] and [ABC99] but [7]")], "doc_id long, page_no int, body string")
+    assert sorted((r.type, r.refs, r.confidence) for r in C.inline_citations(pages, refs).collect()) == [("abbreviated", [4], 0.6), ("numeric", [1], 0.5)]
